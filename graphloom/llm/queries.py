@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprint, mixing, url_filter
+from graphloom.llm import fingerprint, language, mixing, quality, toxicity, url_filter
 from graphloom.session import table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
@@ -48,5 +48,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).withColumn("shards", F.expr("cast(size(array_distinct(transform(slices, x -> x.shard))) as int)")).drop("slices")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_fingerprint": op2_fingerprint, "op3_mixing": op3_mixing}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, with the number of spans and of languages among them."""
+    r = language.identify(table(spark, sf_dir, "documents"))
+    return r.withColumn("n_spans", F.size("spans")).withColumn("n_langs", F.expr("size(array_distinct(transform(spans, x -> x.lang)))")).drop("spans")
+
+
+def ratings(labels: DataFrame) -> DataFrame:
+    """Graded ratings out of the labels: 0 poor, 1 good but toxic, 2 good."""
+    return labels.select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade(table(spark, sf_dir, "documents"), ratings(table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op9_language, op10_quality)}
 ORACLE = {"op1_url_filter": OP1_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprint, language, mixing, near_dedup, quality, toxicity, url_filter
+from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, toxicity, url_filter
 from graphloom.session import table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
@@ -56,6 +56,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, with the number of spans and of languages among them."""
     r = language.identify(table(spark, sf_dir, "documents"))
@@ -71,5 +75,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(table(spark, sf_dir, "documents"), ratings(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op6_near_dedup, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op6_near_dedup, op8_embedding_dedup, op9_language, op10_quality)}
 ORACLE = {"op1_url_filter": OP1_SQL}

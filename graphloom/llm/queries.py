@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, toxicity, url_filter
-from graphloom.session import table
+from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, token_counts, toxicity, url_filter
+from graphloom.session import shared_dir, table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -56,6 +58,26 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key is in ``ids``; up to 2,000,000 ids (counted first) are broadcast, more are shuffled with the texts."""
+    ids = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, key, "left_semi")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents; poor ones (quality 0) revised to single spaces;
+    toxic ones deleted. The second batch is sent twice and counts once."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
+    store = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    store.commit("load", token_counts.insert(docs))
+    poor = having(docs, labels.where("quality = 0 and toxic = 0"))
+    revised = token_counts.delete(poor).unionByName(token_counts.insert(poor.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))))
+    for _ in range(2):
+        store.commit("revise", revised)
+    store.commit("drop", token_counts.delete(having(docs, labels.where("toxic = 1"))))
+    return store.totals()
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -75,5 +97,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(table(spark, sf_dir, "documents"), ratings(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op6_near_dedup, op8_embedding_dedup, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality)}
 ORACLE = {"op1_url_filter": OP1_SQL}

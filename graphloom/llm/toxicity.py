@@ -16,7 +16,6 @@ decide; an empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from graphloom.llm import _sample
 from graphloom.llm._linear import Rows, adam, sigmoid
 
 #: Rows of each label that the fit takes at most, about.
-PER_CLASS = 6000
+PER_CLASS = 2500
 #: Words that the classifier knows at most.
 VOCABULARY = 8_000
 MINED_VOTERS, MINED_UNITS = 16, 256
@@ -71,16 +70,14 @@ def votes(text: str | None, units: set[str], lexicons: list[frozenset]) -> list[
     return out + [len(lexicons) + i for i, p in enumerate(_PATTERNS) if text and p.search(text)]
 
 
-def mine(units: list[set[str]], y: np.ndarray) -> list[frozenset]:
-    """Lexicons of the words and stems that most raise the odds of label 1; dealt in turn to the voters."""
-    pos, neg = Counter(), Counter()
-    for w, label in zip(units, y):
-        (pos if label else neg).update(w)
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    score = {w: np.log((k + 0.1) / (n1 + 0.2)) - np.log((neg[w] + 0.1) / (n0 + 0.2)) for w, k in pos.items() if k >= 4}
+def mine(names: list[str], pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> list[frozenset]:
+    """Lexicons of the words and stems that most raise the odds of label 1; dealt in turn to the
+    voters. ``pos`` and ``neg`` count the texts of either label that have each unit."""
+    score = np.log((pos + 0.1) / (n1 + 0.2)) - np.log((neg + 0.1) / (n0 + 0.2))
     # a unit counts if it is a sign by itself: odds of ten to one, and more often seen in toxic texts than chance allows
-    best = sorted((w for w, s in score.items() if s > 2.3 and pos[w] >= 4 + 3 * neg[w] * n1 / n0), key=lambda w: (-score[w] * np.sqrt(pos[w]), w))[:MINED_UNITS]
-    return [frozenset(best[i::MINED_VOTERS]) for i in range(MINED_VOTERS)]
+    some = np.flatnonzero((score > 2.3) & (pos >= 4 + 3 * neg * n1 / max(1, n0)))
+    best = sorted(some.tolist(), key=lambda i: (-score[i] * np.sqrt(pos[i]), names[i]))[:MINED_UNITS]
+    return [frozenset(names[i] for i in best[k::MINED_VOTERS]) for k in range(MINED_VOTERS)]
 
 
 def mined_share(units: set[str], mined: frozenset) -> float:
@@ -111,39 +108,65 @@ def label_model(x: np.ndarray, y: np.ndarray, rounds: int = 10, trust: float = 0
 
 def fit(sample: pd.DataFrame, counts: dict) -> dict:
     """Model from a frame (text, label) that was drawn out of ``counts`` rows of each label, which
-    correct the bias for the sample's shares. Keys: lexicons, words, known, votes, bias."""
-    words = [units_of(words_of(t)) for t in sample["text"]]
-    y = sample["label"].to_numpy(float)
-    lexicons = [frozenset(v.split()) for v in LEXICONS.values()] + (mine(words, y) if len(y) else [])
-    width = len(lexicons) + len(_PATTERNS)
-    x = np.zeros((len(words), width))
-    for i, (t, w) in enumerate(zip(sample["text"], words)):
-        x[i, votes(t, w, lexicons)] = 1
-    if not len(y) or y.min() == y.max():
-        return {"lexicons": lexicons, "words": {}, "known": frozenset(), "votes": [3.0] * len(lexicons) + [0.0] * len(_PATTERNS), "mined": frozenset(), "share": 0.0, "bias": -2.0}
+    weigh the sampled rows. Keys: lexicons, words, known, votes, bias."""
+    number: dict[str, int] = {}
+    docs, fired = [], []
+    for t in sample["text"]:
+        # sorted: the numbers do not depend on how a set is laid out
+        docs.append(np.array([number.setdefault(u, len(number)) for u in sorted(units_of(words_of(t)))], np.int32))
+        fired.append([i for i, p in enumerate(_PATTERNS) if t and p.search(t)])
+    names, y, n = list(number), sample["label"].to_numpy(float), len(docs)
+    fixed = [frozenset(v.split()) for v in LEXICONS.values()]
+    if not n or y.min() == y.max():
+        return {"lexicons": fixed, "words": {}, "known": frozenset(), "votes": [3.0] * len(fixed) + [0.0] * len(_PATTERNS), "mined": frozenset(), "share": 0.0, "bias": -2.0}
+    sizes = np.array([len(d) for d in docs])
+    row, col = np.repeat(np.arange(n), sizes), np.concatenate(docs)
+    df, hits = np.bincount(col, minlength=len(names)), np.bincount(col, y[row], len(names))
+    lexicons = fixed + mine(names, hits, df - hits, int(y.sum()), int(n - y.sum()))
+    x = np.zeros((n, len(lexicons) + len(_PATTERNS)))
+    mined_row = np.zeros(n)
+    for i, words in enumerate(lexicons):
+        member = np.zeros(len(names), bool)
+        member[[number[w] for w in words if w in number]] = True
+        per = np.bincount(row, member[col], n)
+        x[:, i] = per > 0
+        if i >= len(LEXICONS):
+            mined_row += per
+    for i, p in enumerate(fired):
+        x[i, [len(lexicons) + j for j in p]] = 1
     target = label_model(x, y)
-    df, hits = Counter(w for ws in words for w in ws), Counter(w for ws, label in zip(words, y) if label for w in ws)
     rate = y.mean()
     # the units whose share of label 1 departs most from the sample's, in standard deviations
-    far = {w: abs(hits[w] - n * rate) / np.sqrt(n * rate * (1 - rate)) for w, n in df.items() if n >= 5}
-    vocabulary = {w: i for i, w in enumerate(sorted(far, key=lambda w: (-far[w], w))[:VOCABULARY])}
-    row, col = [], []
-    for i, ws in enumerate(words):
-        own = [vocabulary[w] for w in ws if w in vocabulary]
-        row += [i] * len(own)
-        col += own
-    v = len(vocabulary)
+    far = np.where(df >= 5, np.abs(hits - df * rate) / np.sqrt(np.maximum(df, 1) * rate * (1 - rate)), -1)
+    chosen = np.argsort(-far, kind="stable")[:VOCABULARY]
+    chosen = chosen[far[chosen] >= 0]
+    v, width = len(chosen), x.shape[1]
+    at = np.full(len(names), -1)
+    at[chosen] = np.arange(v)
+    keep = at[col] >= 0
+    row, col = row[keep], at[col[keep]]
     on = np.argwhere(x > 0)
     # word entries are damped by the text's length, votes are not; the share of mined units comes last
-    size = np.sqrt(np.maximum(1, np.bincount(row, minlength=len(words))))
-    mined = frozenset().union(*lexicons[len(LEXICONS) :])
-    share = np.array([mined_share(w, mined) for w in words])
-    n, at = len(words), np.arange(len(words))
-    rows = Rows(np.r_[np.array(row, int), on[:, 0], at, at], np.r_[np.array(col, int), v + on[:, 1], np.full(n, v + width), np.full(n, v + width + 1)], np.r_[1 / size[np.array(row, int)], np.ones(len(on)), share, np.ones(n)], n, v + width + 2)
+    size = np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))
+    share = mined_row / np.sqrt(np.maximum(20, sizes))
+    every = np.arange(n)
+    rows = Rows(np.r_[row, on[:, 0], every, every], np.r_[col, v + on[:, 1], np.full(n, v + width), np.full(n, v + width + 1)], np.r_[1 / size[row], np.ones(len(on)), share, np.ones(n)], n, v + width + 2)
     ridge = np.r_[np.full(v, 1e-3), np.full(width + 1, 3e-5), 0.0]
-    w = adam(lambda w: rows.back(sigmoid(rows.dot(w)) - target) / n + ridge * w, np.zeros(v + width + 2), 200, 0.15)
-    shift = np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())) if counts.get(1) and counts.get(0) else 0.0
-    return {"lexicons": lexicons, "words": {a: float(w[i]) for a, i in vocabulary.items() if abs(w[i]) > 1e-4}, "known": frozenset(vocabulary), "votes": w[v : v + width].tolist(), "mined": mined, "share": float(w[v + width]), "bias": float(w[-1] + shift)}
+    # each label weighs as much as it does among all labelled rows
+    share_of = np.array([counts.get(0, n - y.sum()) / (n - y.sum()), counts.get(1, y.sum()) / y.sum()])[y.astype(int)]
+    share_of /= share_of.mean()
+    w = adam(lambda w: rows.back(share_of * (sigmoid(rows.dot(w)) - target)) / n + ridge * w, np.zeros(v + width + 2), 200, 0.15)
+    vocabulary = {names[i]: k for k, i in enumerate(chosen.tolist())}
+    mined = frozenset().union(*lexicons[len(LEXICONS) :])
+    return {
+        "lexicons": lexicons,
+        "words": {a: float(w[i]) for a, i in vocabulary.items() if abs(w[i]) > 1e-4},
+        "known": frozenset(vocabulary),
+        "votes": w[v : v + width].tolist(),
+        "mined": mined,
+        "share": float(w[v + width]),
+        "bias": float(w[-1]),
+    }
 
 
 def score(text: str | None, model: dict) -> float:
@@ -154,8 +177,8 @@ def score(text: str | None, model: dict) -> float:
     return float(sigmoid(model["bias"] + total + sum(model["votes"][i] for i in votes(text, units, model["lexicons"]))))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held: int = 5, per_class: int = PER_CLASS) -> DataFrame:
-    """``key``, held_out, score, predicted for every whole text.
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held: int = 5, per_class: int = PER_CLASS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``carry``, held_out, score, predicted for every whole text.
 
     The fit reads the labels of rows whose crc32(key as text) modulo ``held`` is not 0.
     """
@@ -170,5 +193,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for texts in batches:
             yield pd.Series([score(t, m) for t in texts], dtype="float64")
 
-    d = docs.select(F.col(key), F.col(text).alias("t")).select(key, (_sample.remainder(F.col(key), held) == 0).alias("held_out"), scored("t").alias("score"))
+    d = docs.select(F.col(key), *carry, F.col(text).alias("text_")).select(key, *carry, (_sample.remainder(F.col(key), held) == 0).alias("held_out"), scored("text_").alias("score"))
     return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -27,7 +27,7 @@ from graphloom.llm import _sample
 from graphloom.llm._linear import Rows, adam, sigmoid
 from graphloom.llm.language import chunks
 
-PER_GRADE = 3000
+PER_GRADE = 1500
 BUCKETS = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,13 +87,15 @@ def fit(texts: list[str | None], grades: np.ndarray, counts: dict | None = None,
     levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
         return {"levels": [int(x) for x in levels] or [0], "w": np.zeros(BUCKETS, np.float32), "cut": np.zeros(0)}
-    parts = [features(texts[a:b]) for a, b in chunks(texts)]
-    offset = np.cumsum([0] + [b - a for a, b in chunks(texts)])
-    row, col, val = (np.concatenate([p[i] + (offset[j] if i == 0 else 0) for j, p in enumerate(parts)]) for i in range(3))
-    n = len(texts)
-    # equal entries of a row are added up; features scale by the root of their share
-    both, inverse = np.unique(row.astype(np.int64) * BUCKETS + col, return_inverse=True)
-    x = Rows(both // BUCKETS, both % BUCKETS, np.bincount(inverse, val), n, BUCKETS)
+    row, col, val, n = [], [], [], len(texts)
+    for a, b in chunks(texts):
+        r, c, x = features(texts[a:b])
+        # equal entries of a row are added up, chunk by chunk
+        both, inverse = np.unique(r.astype(np.int64) * BUCKETS + c, return_inverse=True)
+        row.append((both // BUCKETS + a).astype(np.int32))
+        col.append((both % BUCKETS).astype(np.int32))
+        val.append(np.bincount(inverse, x).astype(np.float32))
+    x = Rows(np.concatenate(row), np.concatenate(col), np.concatenate(val), n, BUCKETS)
     y = np.searchsorted(levels, grades)
     m = len(levels) - 1
     share = np.array([(counts or {}).get(g, (grades == g).sum()) / (grades == g).sum() for g in levels])
@@ -129,8 +131,13 @@ def tails(texts: list[str | None], model: dict) -> np.ndarray:
     return sigmoid(z[:, None] - model["cut"])
 
 
-def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "grade", held: int = 5, keep_from: int = 1, per_grade: int = PER_GRADE) -> DataFrame:
-    """``key``, held_out, expected_grade, tail (probability of ``keep_from`` or better) and keep
+def ratings_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Graded ratings out of binary labels: 0 poor, 1 good but toxic, 2 good."""
+    return labels.select(key, F.expr("quality * (2 - toxic)").alias("grade"))
+
+
+def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "grade", held: int = 5, keep_from: int = 1, per_grade: int = PER_GRADE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``carry``, held_out, expected_grade, tail (probability of ``keep_from`` or better) and keep
     (tail >= 0.5) for every whole text.
 
     The fit reads ratings of rows whose crc32(key as text) modulo ``held`` is not 0.
@@ -152,5 +159,5 @@ def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
             tail = np.ones(len(p)) if at == 0 else p[:, at - 1] if at <= p.shape[1] else np.zeros(len(p))
             yield pd.DataFrame({"expected": levels[0] + p @ np.diff(levels), "tail": tail})
 
-    d = docs.select(F.col(key), F.col(text).alias("t")).select(key, (_sample.remainder(F.col(key), held) == 0).alias("held_out"), graded("t").alias("r"))
-    return d.select(key, "held_out", F.col("r.expected").alias("expected_grade"), F.col("r.tail").alias("tail"), (F.col("r.tail") >= 0.5).alias("keep"))
+    d = docs.select(F.col(key), *carry, F.col(text).alias("text_")).select(key, *carry, (_sample.remainder(F.col(key), held) == 0).alias("held_out"), graded("text_").alias("r_"))
+    return d.select(key, *carry, "held_out", F.col("r_.expected").alias("expected_grade"), F.col("r_.tail").alias("tail"), (F.col("r_.tail") >= 0.5).alias("keep"))

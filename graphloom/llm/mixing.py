@@ -31,6 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
 #: numpy draws hypergeometric numbers from populations below 1e9.
 MAX_BLOCKS = 500_000_000
+PART_ROWS = 2_000
 
 
 def words(text: Column) -> Column:
@@ -140,7 +141,7 @@ def mix_plan(
 
 def mix(docs: DataFrame, text: str = "text", **parameters) -> DataFrame:
     """The mixed corpus itself, a row for each slice: the document's columns with the slice's text, and
-    shard, place (order in the shard). Rows of a shard are together and shuffled.
+    shard, part, place (order in the part). Rows of a shard's part are together and shuffled.
 
     A slice is whole words with the white space between them; the slices of a document taken once
     in one shard are its whole text.
@@ -150,7 +151,10 @@ def mix(docs: DataFrame, text: str = "text", **parameters) -> DataFrame:
     d = mix_plan(docs.select(key, *own), carry=tuple(own), text=text, **parameters).select(key, *own, "size", F.explode("slices").alias("x"))
     d = d.withColumn(text, F.when(F.col("x.words") >= F.col("size"), F.col(text)).otherwise(cut_words(F.col(text), F.col("x.start"), F.col("x.words"))))
     d = d.select(key, *own, F.col("x.shard").alias("shard"), F.xxhash64(F.lit(seed + 1), F.col(key), F.col("x.pass"), F.col("x.start"), F.col(text)).alias("place"))
-    return d.repartition(parameters.get("shards", 16), "shard").sortWithinPartitions("shard", "place")
+    # a shard is dealt by hash to as many parts as keep a part near PART_ROWS rows
+    shards = parameters.get("shards", 16)
+    parts = max(1, math.ceil(docs.count() * 1.5 / shards / PART_ROWS))
+    return d.withColumn("part", F.pmod(F.shiftright("place", 40), F.lit(parts)).cast("int")).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "place")
 
 
 def cut_words(text: Column, start: Column, n: Column) -> Column:

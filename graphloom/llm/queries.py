@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, token_counts, toxicity, url_filter
+import corpus_pipeline
+from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, segmentation, token_counts, toxicity, url_filter
 from graphloom.session import shared_dir, table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
@@ -54,6 +55,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text: their sizes, scores and digests."""
+    return segmentation.segment(table(spark, sf_dir, "documents"), k=2, emit_ids=False)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -88,14 +94,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("n_spans", F.size("spans")).withColumn("n_langs", F.expr("size(array_distinct(transform(spans, x -> x.lang)))")).drop("spans")
 
 
-def ratings(labels: DataFrame) -> DataFrame:
-    """Graded ratings out of the labels: 0 poor, 1 good but toxic, 2 good."""
-    return labels.select("doc_id", F.expr("quality * (2 - toxic)").alias("grade"))
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.grade(table(spark, sf_dir, "documents"), ratings(table(spark, sf_dir, "labels")))
+    return quality.grade(table(spark, sf_dir, "documents"), quality.ratings_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"op1_url_filter": OP1_SQL}

@@ -37,7 +37,9 @@ from graphloom.session import materialize
 
 TREES, DEPTH = 3, 3
 #: Documents that a node may hold to be compared exhaustively.
-NODE = 256
+NODE = 1024
+#: Shingles of up to so many of a node's documents are counted pair by pair.
+RARE = 16
 PIVOTS = 8
 ROUNDS = 6
 #: Members of nodes (16 bytes each) that are broadcast at most; more are joined by a shuffle.
@@ -83,24 +85,37 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections (a node's documents are few)."""
+    """Sizes of all pairwise intersections (a node's documents are few).
+
+    Shingles of a few documents are counted pair by pair, the others by a matrix product."""
     n = len(sets)
     if n == 2:
         k = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([[len(sets[0]), k], [k, len(sets[1])]], float)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
-    shared = np.bincount(column) > 1
-    keep = shared[column]
-    column, row = (np.cumsum(shared) - 1)[column[keep]], row[keep]
-    out = np.diag([float(len(s)) for s in sets]) * 0
-    width = max(1, (1 << 21) // n)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
+    out = np.zeros(n * n)
+    rare = (count > 1) & (count <= RARE)
+    some = np.flatnonzero(rare[column])
+    some = some[np.argsort(column[some] * n + row[some])]
+    c, r = column[some], row[some]
+    for d in range(1, RARE):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        out += np.bincount(r[same] * n + r[same + d], minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    often = count > RARE
+    place = np.cumsum(often) - 1
+    some = np.flatnonzero(often[column])
+    some = some[np.argsort(column[some])]
+    c, r = place[column[some]], row[some]
+    width = max(64, (1 << 20) // n)
+    for lo in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(c, [lo, lo + width])
         x = np.zeros((n, width), np.float32)
-        x[row[a:b], column[a:b] - lo] = 1
+        x[r[a:b], c[a:b] - lo] = 1
         out += x @ x.T
     np.fill_diagonal(out, [len(s) for s in sets])
     return out
@@ -176,7 +191,7 @@ def _with_text(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return texts.join(F.broadcast(members) if n <= BROADCAST_ROWS else members, "doc")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, node: int = NODE, rounds: int = ROUNDS) -> DataFrame:
     """``key``, n_shingles, component_id, kept for every row: documents are linked whose 5-word
     shingle sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
@@ -194,16 +209,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         found.append(out.where("root <> doc").select(F.col("root").alias("a"), F.col("doc").alias("b")))
         return out
 
-    for step in range(ROUNDS):
+    for step in range(rounds):
         nodes = materialize(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("doc"), 20)).alias("sum"), F.min("doc").alias("low")).where("n > 1"), "nodes")
         # nodes that hold the same documents are compared once
-        small = nodes.where(f"n <= {NODE}").groupBy("n", "sum", "low").agg(F.min("node").alias("node")).select("node")
+        small = nodes.where(f"n <= {node}").groupBy("n", "sum", "low").agg(F.min("node").alias("node")).select("node")
         compare(members.join(small, "node").select(F.col("node").cast("string").alias("node"), "doc"))
-        large = nodes.where(f"n > {NODE}")
+        large = nodes.where(f"n > {node}")
         large = large.groupBy("n", "sum", "low").agg(F.min("node").alias("node"))
         if large.isEmpty():
             break
-        held = materialize(members.join(large, "node").withColumn("chunks", F.ceil(F.col("n") / (NODE // 2)).cast("int")).select("node", "doc", "n", "low", "chunks"), "large")
+        held = materialize(members.join(large, "node").withColumn("chunks", F.ceil(F.col("n") / (node // 2)).cast("int")).select("node", "doc", "n", "low", "chunks"), "large")
         spread = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("chunks")).cast("int")
         pivot = (F.col("doc") == F.col("low")) | (F.pmod(F.xxhash64("doc", "node"), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n"))
         name = F.concat_ws(":", "node", "chunk")
@@ -215,12 +230,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         if loose.isEmpty():
             break
         left = held.join(open_, "node")
-        if step + 1 < ROUNDS:
+        if step + 1 < rounds:
             own = materialize(left.groupBy("doc").agg(F.collect_list("node").alias("nodes")), "open")
             members = materialize(_with_text(own, texts, own.count()).select("doc", "text", "nodes").mapInArrow(_deeper, "doc long, node long"), "deeper").distinct()
             continue
         # exact: the node's unconnected documents, in blocks, against all of the node, in blocks
-        half = NODE // 2
+        half = node // 2
         many = loose.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks"))
         left = left.join(many, "node").withColumn("chunk", spread)
         ours = F.pmod(F.xxhash64("doc", F.lit(-1)), F.col("blocks")).cast("int")

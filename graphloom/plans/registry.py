@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: list[str] = []
+MODULES = ["graphloom.plans.q_relational"]
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLE: dict[str, str] = {}

@@ -18,16 +18,19 @@ from graphloom.session import materialize, table
 BROADCAST_IDS = 2_000_000
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_): the document as one struct, so its columns cannot clash with an operator's."""
+    return docs.select("doc_id", F.struct("*").alias("row_"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier does not call toxic."""
-    own = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=own).where("predicted = 0").select(*docs.columns)
+    return toxicity.toxicity(packed(docs), table(spark, sf_dir, "labels"), text="row_.text", carry=("row_",)).where("predicted = 0").select("row_.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is of grade 1 or better with a probability of at least a half."""
-    own = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.grade(docs, quality.ratings_of(table(spark, sf_dir, "labels")), carry=own).where("keep").select(*docs.columns)
+    return quality.grade(packed(docs), quality.ratings_of(table(spark, sf_dir, "labels")), text="row_.text", carry=("row_",)).where("keep").select("row_.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

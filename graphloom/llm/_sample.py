@@ -20,7 +20,7 @@ def spread(key: Column, seed: int = 0) -> Column:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, cls: str, per_class: int, seed: int = 0) -> tuple[DataFrame, dict]:
-    """(key, text, cls) of about ``per_class`` rows of each class at most, chosen by key, and the number of rows of each class.
+    """(key, text, cls), the second named ``text`` whatever the column is, of about ``per_class`` rows of each class at most, chosen by key, and the number of rows of each class.
 
     ``labels`` has ``key`` and ``cls`` and is counted first, so the ids that are joined to the
     texts are bounded by per_class times the number of classes, and are broadcast.
@@ -28,7 +28,7 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, cls: str, p
     labels = labels.select(key, cls).where(F.col(cls).isNotNull() & F.col(key).isNotNull())
     counts = {r[0]: r[1] for r in labels.groupBy(cls).count().orderBy(F.desc("count")).limit(256).collect()}
     if not counts:
-        return docs.select(F.col(key), F.col(text), F.lit(None).cast(labels.schema[cls].dataType).alias(cls)).limit(0), counts
+        return docs.select(F.col(key), F.col(text).alias("text"), F.lit(None).cast(labels.schema[cls].dataType).alias(cls)).limit(0), counts
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_class / n))])
     ids = labels.where(spread(F.col(key), seed) < F.try_element_at(share, F.col(cls))).dropDuplicates([key])
-    return docs.select(key, text).where(F.length(text) <= SAMPLE_CHARS).join(F.broadcast(ids), key).select(key, text, cls), counts
+    return docs.select(F.col(key), F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), key).select(key, "text", cls), counts

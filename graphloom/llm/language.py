@@ -180,8 +180,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     spark = docs.sparkSession
     learn = docs.where(_sample.remainder(F.col(key), held[0]) != held[1])
-    sample, _ = _sample.sampled(docs.select(key, text), learn.select(key, lang), key, text, lang, per_language)
-    model = spark.sparkContext.broadcast(fit(sample, text, lang))
+    sample, _ = _sample.sampled(docs, learn.select(key, lang), key, text, lang, per_language)
+    model = spark.sparkContext.broadcast(fit(sample, "text", lang))
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>")
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -141,20 +141,24 @@ def mix_plan(
 
 def mix(docs: DataFrame, text: str = "text", **parameters) -> DataFrame:
     """The mixed corpus itself, a row for each slice: the document's columns with the slice's text, and
-    shard, part, place (order in the part). Rows of a shard's part are together and shuffled.
+    shard_, part_, place_ (order in the part). Rows of a shard's part are together and shuffled.
 
     A slice is whole words with the white space between them; the slices of a document taken once
     in one shard are its whole text.
     """
-    key, seed = parameters.get("key", "doc_id"), parameters.get("seed", 17)
-    own = [c for c in docs.columns if c != key]
-    d = mix_plan(docs.select(key, *own), carry=tuple(own), text=text, **parameters).select(key, *own, "size", F.explode("slices").alias("x"))
-    d = d.withColumn(text, F.when(F.col("x.words") >= F.col("size"), F.col(text)).otherwise(cut_words(F.col(text), F.col("x.start"), F.col("x.words"))))
-    d = d.select(key, *own, F.col("x.shard").alias("shard"), F.xxhash64(F.lit(seed + 1), F.col(key), F.col("x.pass"), F.col("x.start"), F.col(text)).alias("place"))
+    key, seed, source = parameters.pop("key", "doc_id"), parameters.get("seed", 17), parameters.pop("source", "source")
+    # the document travels as one struct, so its columns cannot clash with the plan's
+    d = docs.select(F.col(key).alias("key_"), F.struct("*").alias("row_"))
+    d = mix_plan(d, key="key_", carry=("row_",), text=f"row_.{text}", source=f"row_.{source}", **parameters).select("key_", "row_", F.col("size").alias("n_"), F.explode("slices").alias("x_"))
+    whole = F.col(f"row_.{text}")
+    cut = F.when(F.col("x_.words") >= F.col("n_"), whole).otherwise(cut_words(whole, F.col("x_.start"), F.col("x_.words")))
+    d = d.withColumn("cut_", cut)
+    place = F.xxhash64(F.lit(seed + 1), F.col("key_"), F.col("x_.pass"), F.col("x_.start"), F.col("cut_"))
+    d = d.select(*[F.col("cut_").alias(c) if c == text else F.col(f"row_.`{c}`").alias(c) for c in docs.columns], F.col("x_.shard").alias("shard_"), place.alias("place_"))
     # a shard is dealt by hash to as many parts as keep a part near PART_ROWS rows
     shards = parameters.get("shards", 16)
     parts = max(1, math.ceil(docs.count() * 1.5 / shards / PART_ROWS))
-    return d.withColumn("part", F.pmod(F.shiftright("place", 40), F.lit(parts)).cast("int")).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "place")
+    return d.withColumn("part_", F.pmod(F.shiftright("place_", 40), F.lit(parts)).cast("int")).repartition(shards * parts, "shard_", "part_").sortWithinPartitions("shard_", "part_", "place_")
 
 
 def cut_words(text: Column, start: Column, n: Column) -> Column:

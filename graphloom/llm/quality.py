@@ -146,7 +146,7 @@ def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
     learn = ratings.select(F.col(key), F.col(rating).cast("int").alias("grade")).where(_sample.remainder(F.col(key), held) != 0)
     sample, counts = _sample.sampled(docs, learn, key, text, "grade", per_grade)
     got = sample.toPandas().sort_values(key, kind="stable")
-    model = spark.sparkContext.broadcast(fit(got[text].tolist(), got["grade"].to_numpy(int), counts))
+    model = spark.sparkContext.broadcast(fit(got["text"].tolist(), got["grade"].to_numpy(int), counts))
 
     @F.pandas_udf("expected double, tail double")
     def graded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -94,13 +94,17 @@ def label_model(x: np.ndarray, y: np.ndarray, rounds: int = 10, trust: float = 0
     known = ~np.isnan(y)
     sign = np.where(known, np.where(y == 1, 1, -1) * np.log(trust / (1 - trust)), 0.0)
     q = np.where(known, np.where(y == 1, trust, 1 - trust), np.clip(0.05 + 0.3 * x.sum(1), 0, 0.95))
-    for _ in range(rounds):
-        n1 = q.sum() + 1
-        n0 = (1 - q).sum() + 1
-        m1, m0 = (q @ x + 0.05) / n1, ((1 - q) @ x + 0.01) / n0
+    anchored = (y == 1).any() and (y == 0).any()
+    for r in range(rounds):
+        # known labels start the estimate; rows without one refine it, at a lower weight
+        weight = np.where(known, 1.0, 0.0 if r == 0 else 0.3) if anchored else np.ones(len(x))
+        a, b = weight * q, weight * (1 - q)
+        n1, n0 = a.sum() + 1, b.sum() + 1
+        m1, m0 = (a @ x + 0.05) / n1, (b @ x + 0.01) / n0
         d1, d0 = x - m1, x - m0
-        cov = (d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0
-        cov = cov / len(x) + np.diag(0.01 + 0.1 * np.diag(cov) / len(x))
+        total = weight.sum()
+        cov = ((d1 * a[:, None]).T @ d1 + (d0 * b[:, None]).T @ d0) / total
+        cov += np.diag(0.01 + 0.1 * np.diag(cov) / total)
         w = np.linalg.solve(cov, m1 - m0)
         q = sigmoid((x - (m1 + m0) / 2) @ w + np.log(n1 / n0) + sign)
     return q
@@ -185,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     spark = docs.sparkSession
     learn = labels.select(F.col(key), F.col(label).alias("label")).where(_sample.remainder(F.col(key), held) != 0)
     sample, counts = _sample.sampled(docs, learn, key, text, "label", per_class)
-    model = spark.sparkContext.broadcast(fit(sample.withColumnRenamed(text, "text").toPandas().sort_values(key, kind="stable"), counts))
+    model = spark.sparkContext.broadcast(fit(sample.toPandas().sort_values(key, kind="stable"), counts))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -39,12 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialize`` has written in this process; results that read them must have been taken."""
+    n = 0
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: the lineage is cut, and a lost
     executor costs only a reread of the file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

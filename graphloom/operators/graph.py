@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import ordering
+
 
 class Graph:
     """A directed graph. Nodes default to the endpoints of the edges."""
@@ -55,9 +57,8 @@ class Graph:
         """(id, row_start, row_end, targets): compressed rows in node order, targets sorted."""
         rows = self.edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("targets"))
         d = self.nodes.join(rows, "id", "left").withColumn("targets", F.coalesce("targets", F.array().cast(rows.schema["targets"].dataType)))
-        w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-        end = F.sum(F.size("targets")).over(w)
-        return d.select("id", (end - F.size("targets")).alias("row_start"), end.alias("row_end"), "targets")
+        d = ordering.running(d, ["id"], F.size("targets"), "row_end")
+        return d.select("id", (F.col("row_end") - F.size("targets")).alias("row_start"), "row_end", "targets")
 
     def dot(self, name: str = "g") -> DataFrame:
         """Lines of a DOT file (line_no, line)."""
@@ -68,7 +69,7 @@ class Graph:
         none = F.lit(None).cast(kind)
         one = self.nodes.sparkSession.range(1)
         parts = parts.unionAll(one.select(F.lit(0), F.lit(f"digraph {name} {{"), none, none)).unionAll(one.select(F.lit(3), F.lit("}"), none, none))
-        return parts.select((F.row_number().over(Window.orderBy("part", "a", "b")) - 1).alias("line_no"), "line")
+        return ordering.running(parts, ["part", "a", "b"], out="n").select((F.col("n") - 1).cast("int").alias("line_no"), "line")
 
     def edge_set(self) -> DataFrame:
         return self.edges.select("src", "dst").distinct()

@@ -577,9 +577,12 @@ def is_bipartite(s, d):
     return I.is_bipartite(g.edges, g.nodes)
 
 
+_MST = TALL.replace("with ", "with recursive ", 1) + """, u as (select least(src, dst) a, greatest(src, dst) b, min(weight) w from trade_all group by 1, 2), o as materialized (select a, b, w, row_number() over (order by w, a, b) i from u), both_ as materialized (select a x, b y, i from o union all select b, a, i from o),
+r(e, node) as (select i, a from o union select e, y from r join both_ on x = node where i < e) select a src, b dst, w weight from o where not exists (select 1 from r where e = i and node = b)"""
+
 for _n in ("mst_kruskal", "mst_prim"):
 
-    @query(_n)
+    @query(_n, _MST)
     def mst(s, d):
         g = G.Graph(S.trade_all(s, d))
         return I.minimum_spanning_forest(g.edges, g.nodes)
@@ -607,7 +610,7 @@ def label_propagation(s, d):
     return I.label_propagation(g.edges, g.nodes, 4)
 
 
-@query("maximal_cliques")
+@query("maximal_cliques", RTRADE + ", e as (select src a, dst b from trade union select dst, src from trade), n as (select distinct a id from e), c(clique, last) as (select [id], id from n union all select list_append(clique, id), id from c, n where id > last and not exists (select 1 from unnest(clique) u(x) where (x, id) not in (select (a, b) from e))) select array_to_string(clique, ',') clique from c where not exists (select 1 from n where not list_contains(clique, id) and (select bool_and((x, id) in (select (a, b) from e)) from unnest(clique) u(x)))")
 def maximal_cliques(s, d):
     g = trade(s, d)
     return I.maximal_cliques(g.edges, g.nodes).select(text(F.col("clique")).alias("clique"))
@@ -654,17 +657,17 @@ def dfs_edge_classes(s, d):
     return _frame(s, L.edge_classes(L.collect(S.trade(s, d))), "src long, dst long, class string")
 
 
-@query("bridges")
+@query("bridges", RSUP + ", e as materialized (select src a, dst b, row_number() over (order by src, dst) i from (select src, dst from supply where edge_type in ('HAS_NATION', 'HAS_SUPPLIER'))), both_ as materialized (select a x, b y, i from e union all select b, a, i from e), r(c, node) as (select i, a from e union select c, y from r join both_ on x = node and i <> c) select least(a, b) src, greatest(a, b) dst from e where not exists (select 1 from r where c = i and node = b)")
 def bridges(s, d):
     return _frame(s, L.low_links(L.collect(S.supply(s, d).where("edge_type in ('HAS_NATION', 'HAS_SUPPLIER')")))[0], "src string, dst string")
 
 
-@query("articulation_points")
+@query("articulation_points", RSUP + ", e as materialized (select src a, dst b from supply where edge_type in ('HAS_NATION', 'HAS_SUPPLIER')), both_ as materialized (select a x, b y from e union select b, a from e), r(cut, node) as (select x, min(y) from both_ group by 1 union select cut, y from r join both_ on x = node and y <> cut) select distinct x id from both_ where (x, y) not in (select (cut, node) from r)")
 def articulation_points(s, d):
     return _frame(s, [(x,) for x in L.low_links(L.collect(S.supply(s, d).where("edge_type in ('HAS_NATION', 'HAS_SUPPLIER')")))[1]], "id string")
 
 
-@query("dominators")
+@query("dominators", RTRADE + ", n as (select src id from trade union select dst from trade), r(cut, node) as (select id, 0::bigint from n where id <> 0 union select cut, dst from r join trade on src = node where dst <> cut), v as (select node id from r where cut = -1 union select id from n), reached as (select 0::bigint id union select dst from trade where src in (select node from r) or src = 0), dom as materialized (select cut d, id v from n x(cut), n where cut <> id and id <> 0 and id in (select id from reached) and (cut = 0 or (cut, id) not in (select (cut, node) from r)) and cut in (select id from reached)), k as (select v, count(*) k from dom group by 1) select dom.v id, arg_max(d, coalesce(k.k, 0)) idom from dom left join k on k.v = dom.d group by 1")
 def dominators(s, d):
     return _frame(s, L.dominators(L.collect(S.trade(s, d)), 0), "id long, idom long")
 
@@ -701,7 +704,7 @@ def negative_cycle(s, d):
     return _frame(s, [(i, n) for i, n in enumerate(L.negative_cycle(L.collect(e, "weight")))], "place int, id long")
 
 
-@query("greedy_matching")
+@query("greedy_matching", TALL.replace("with ", "with recursive ", 1) + ", u as (select least(src, dst) a, greatest(src, dst) b, max(weight) w from trade_all group by 1, 2), o as materialized (select a, b, w, row_number() over (order by w desc, a, b) i from u), m(i, used, src, dst, weight) as (select 0::bigint, []::bigint[], null::bigint, null::bigint, null::bigint union all select * from (select o.i, list_concat(used, [a, b]), a, b, w from m join o on o.i > m.i and not list_contains(used, a) and not list_contains(used, b) order by o.i limit 1)) select src, dst, weight from m where src is not null")
 def greedy_matching(s, d):
     return I.greedy_matching(S.trade_all(s, d))
 
@@ -710,7 +713,7 @@ def _rounded(rows):
     return [(n, round(x, 6)) for n, x in rows]
 
 
-@query("betweenness")
+@query("betweenness", RTRADE + ", n as (select src id from trade union select dst from trade), w(o, v, k, c) as (select id, id, 0, 1.0::double from n union all select o, dst, k + 1, sum(c) from w join trade on src = v where k < 24 group by o, dst, k + 1), p as materialized (select o, v, min(k) d, arg_min(c, k) c from w group by 1, 2) select id, round(coalesce(sum(x.c * y.c / z.c), 0), 6) score from n left join p x on x.v = id and x.o <> id left join p y on y.o = id and y.v <> id and y.v <> x.o left join p z on z.o = x.o and z.v = y.v and z.d = x.d + y.d group by 1")
 def betweenness(s, d):
     return _frame(s, _rounded(L.betweenness(L.collect(S.trade(s, d)))), "id long, score double")
 

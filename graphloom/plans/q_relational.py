@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import knowledge as K
+from graphloom.operators import ordering
 from graphloom.operators import predicates as P
 from graphloom.plans.registry import query
 from graphloom.session import table
@@ -214,11 +215,8 @@ def tier_assignment(s, d):
 
 @query("segment_assign", "select vec_id id, (row_number() over (order by vec_id) - 1) // 100 as segment from embeddings")
 def segment_assign(s, d):
-    """Ids in order, 100 to a segment. Ranks come from range buckets: counts before the bucket plus the place inside it."""
-    v = S.vectors(s, d).select("id").withColumn("b", F.floor(F.col("id") / 4096))
-    per = v.groupBy("b").count().withColumn("ahead", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("ahead") + F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1
-    return v.join(per.select("b", "ahead"), "b").select("id", F.floor(place / 100).alias("segment"))
+    """Ids in order, 100 to a segment."""
+    return ordering.running(S.vectors(s, d).select("id"), ["id"], out="n").select("id", F.floor((F.col("n") - 1) / 100).alias("segment"))
 
 
 @query("segment_stats", "with x as (select (row_number() over (order by vec_id) - 1) // 100 as segment from embeddings), n as (select segment, count(*) n from x group by 1) select cast(sum(n) as bigint) total, count(*) segments, count(*) filter (where n < 100) appendable from n")

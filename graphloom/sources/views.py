@@ -12,7 +12,7 @@ NOW_MS = 1711843200000
 #: Event type -> log level.
 LEVELS = {"error": "error", "signup": "warn", "purchase": "info", "click": "log", "view": "debug"}
 #: Log sources in order.
-LOG_SOURCES = ["Storage", "Indexing", "Query", "Weaver", "Scheduler", "GrpcServer", "HttpApi", "Models", "Frontend"]
+LOG_SOURCES = ["Storage", "Indexing", "Query", "Enrichment", "Scheduler", "GrpcServer", "HttpApi", "Models", "Frontend"]
 
 
 def millis(ts) -> Column:
@@ -128,7 +128,7 @@ SQL = {
     "messages": """messages as (select 'm:' || conv_id || ':' || turn id, conv_id chat_id, turn, role sender, text text_content, 1704067200000 + conv_id * 3600000 + turn * 60000 as "timestamp" from conversations)""",
     "logs": """logs as (select event_id id, (epoch_us(ts) // 1000) as "timestamp", case event_type when 'error' then 'error' when 'signup' then 'warn' when 'purchase' then 'info' when 'click' then 'log' when 'view' then 'debug' end as level,
         'user_' || user_id context, 'event ' || event_type message,
-        ['Storage', 'Indexing', 'Query', 'Weaver', 'Scheduler', 'GrpcServer', 'HttpApi', 'Models', 'Frontend'][user_id % 9 + 1] source, props as data from events)""",
+        ['Storage', 'Indexing', 'Query', 'Enrichment', 'Scheduler', 'GrpcServer', 'HttpApi', 'Models', 'Frontend'][user_id % 9 + 1] source, props as data from events)""",
     "vectors": """vectors as (select vec_id id, embedding::double[] vector, label from embeddings)""",
     "sim": """sim as (select src, dst, sim from (select a.id src, b.id dst, round(list_cosine_similarity(a.vector, b.vector), 6) sim, row_number() over (partition by a.id order by round(list_cosine_similarity(a.vector, b.vector), 6) desc, b.id) rn
         from vectors a join vectors b on a.id <> b.id) where rn <= 3)""",

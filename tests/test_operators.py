@@ -223,3 +223,16 @@ def test_batches_and_generators(spark):
     assert pairs(graph.random(spark, 10, 0.3, 1)) == pairs(graph.random(spark, 10, 0.3, 1))
     g = graph.Graph(graph.path(spark, 3))
     assert [r["line"] for r in g.dot("g").orderBy("line_no").collect()] == ["digraph g {", '  "0";', '  "1";', '  "2";', '  "0" -> "1";', '  "1" -> "2";', "}"]
+
+
+def test_running_totals_over_ranges(spark, monkeypatch):
+    from graphloom.operators import ordering
+
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 7)
+    rows = [(f"k{i:03d}", i % 5) for i in range(50)]
+    random.Random(1).shuffle(rows)
+    got = {r["k"]: (r["n"], r["t"]) for r in ordering.running(ordering.running(spark.createDataFrame(rows, "k string, v long"), ["k"], out="n"), ["k"], F.col("v"), "t").collect()}
+    total = 0
+    for i, (k, v) in enumerate(sorted(rows)):
+        total += v
+        assert got[k] == (i + 1, total)

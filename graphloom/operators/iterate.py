@@ -210,6 +210,7 @@ def minimum_spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(id, rank): fixed rounds; the mass of nodes without outgoing edges is not handed on (ranks need not sum to 1).
     The edges carry their source's share and are laid out once; the plan is cut every few rounds."""
+    nodes = materialize(nodes.select("id"), "nodes")
     n = nodes.count()
     e = edges.select("src", "dst")
     e = materialize(e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"), "ranked")
@@ -225,7 +226,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
 def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, label): each round every node takes the commonest label of its neighbours (both directions), ties to the smallest."""
     both = materialize(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "both")
-    label = nodes.select("id", F.col("id").alias("label"))
+    label = materialize(nodes.select("id", F.col("id").alias("label")), "label")
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "label").count()
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("label").alias("new"))).alias("x"))

@@ -13,7 +13,7 @@ from graphloom.operators import local as L
 from graphloom.operators import predicates as P
 from graphloom.operators import vectors as V
 from graphloom.plans.registry import query
-from graphloom.session import table
+from graphloom.session import materialize, table
 from graphloom.sources import views as S
 from graphloom.sources.views import with_views
 from graphloom.streaming import enrich as E
@@ -24,8 +24,17 @@ SIM = with_views("sim", recursive=True)
 DAY = 86_400_000
 
 
+def trade_edges(s, d):
+    """The trade edges, derived once: loops read their edges in every round."""
+    return materialize(S.trade(s, d), "trade")
+
+
+def supply_edges(s, d):
+    return materialize(S.supply(s, d), "supply")
+
+
 def trade(s, d):
-    return G.Graph(S.trade(s, d))
+    return G.Graph(trade_edges(s, d))
 
 
 def vector0(s, d, i=0):
@@ -34,7 +43,7 @@ def vector0(s, d, i=0):
 
 def sim_edges(s, d):
     v = S.vectors(s, d)
-    return V.knn_join(v, v, 3, self_join=True).select("src", "dst", "sim")
+    return materialize(V.knn_join(v, v, 3, self_join=True).select("src", "dst", "sim"), "sim")
 
 
 def text(path):
@@ -384,38 +393,38 @@ _IN = "select src, depth + 1 from reach join supply on dst = id where depth < {n
 
 @query("bfs_levels", RSUP + ", reach(id, depth) as (select 'n:1', 0 union " + _OUT.format(n=3) + ") select id, min(depth) as depth from reach group by 1")
 def bfs_levels(s, d):
-    return I.bfs(S.supply(s, d), "n:1", 3)
+    return I.bfs(supply_edges(s, d), "n:1", 3)
 
 
 @query("graph_filter_out", RSUP + ", reach(id, depth) as (select 'c:1', 0 union " + _OUT.format(n=2) + ") select distinct id from reach")
 def graph_filter_out(s, d):
-    return I.graph_filter(S.supply(s, d), "c:1", 2)
+    return I.graph_filter(supply_edges(s, d), "c:1", 2)
 
 
 @query("graph_filter_in", RSUP + ", reach(id, depth) as (select 'p:1', 0 union " + _IN.format(n=2) + ") select distinct id from reach")
 def graph_filter_in(s, d):
-    return I.graph_filter(S.supply(s, d), "p:1", 2, "in")
+    return I.graph_filter(supply_edges(s, d), "p:1", 2, "in")
 
 
 @query("graph_filter_both", RSUP + ", both_ as (select src, dst from supply union all select dst, src from supply), reach(id, depth) as (select 'c:1', 0 union select dst, depth + 1 from reach join both_ on src = id where depth < 2) select distinct id from reach")
 def graph_filter_both(s, d):
-    return I.graph_filter(S.supply(s, d), "c:1", 2, "both")
+    return I.graph_filter(supply_edges(s, d), "c:1", 2, "both")
 
 
 @query("graph_filter_typed", RSUP + ", reach(id, depth) as (select 'n:1', 0 union " + _OUT.format(n=2) + " and edge_type in ('HAS_CUSTOMER')) select distinct id from reach")
 def graph_filter_typed(s, d):
-    return I.graph_filter(S.supply(s, d), "n:1", 2, edge_type="HAS_CUSTOMER")
+    return I.graph_filter(supply_edges(s, d), "n:1", 2, edge_type="HAS_CUSTOMER")
 
 
 @query("graph_filter_exclusive", RSUP + ", reach(id, depth) as (select 'c:1', 0 union " + _OUT.format(n=1) + ") select distinct id from reach")
 def graph_filter_exclusive(s, d):
     """The last ring is left out: an expansion by two rounds keeps the expanded nodes."""
-    return I.graph_filter(S.supply(s, d), "c:1", 2, inclusive=False)
+    return I.graph_filter(supply_edges(s, d), "c:1", 2, inclusive=False)
 
 
 @query("reachable", RTRADE + ", reach(id) as (select 0::bigint union select dst from reach join trade on src = id) select id from reach")
 def reachable(s, d):
-    return I.bfs(S.trade(s, d), 0).select("id")
+    return I.bfs(trade_edges(s, d), 0).select("id")
 
 
 _PATHS = RTRADE + ", p(pos, path, cost) as (select {a}::bigint, [{a}::bigint], 0.0::double union all select dst, list_append(path, dst), cost + weight from p join trade on src = pos where not list_contains(path, dst) and pos <> {b} and len(path) < {n})"
@@ -423,7 +432,7 @@ _DIST = RTRADE + ", r0 as (select src, dst, min({w}) w from trade group by 1, 2)
 
 
 def _weighted(s, d):
-    return S.trade(s, d).withColumn("weight", F.col("weight").cast("double"))
+    return trade_edges(s, d).withColumn("weight", F.col("weight").cast("double"))
 
 
 #: Trade weights are close to each other, so the cheapest paths have few edges; the SQL looks at paths of up to nine nodes.
@@ -438,7 +447,7 @@ def sssp_path(s, d):
 
 @query("shortest_path_bfs", _DIST.format(w="1") + " select cost, array_to_string(path, ',') as path from p where pos = 9 order by cost, path limit 1")
 def shortest_path_bfs(s, d):
-    return I.least_path(S.trade(s, d).withColumn("weight", F.lit(1.0)), 0, 9).select("cost", text(F.col("path")).alias("path"))
+    return I.least_path(trade_edges(s, d).withColumn("weight", F.lit(1.0)), 0, 9).select("cost", text(F.col("path")).alias("path"))
 
 
 @query("nearest_goal", _DIST.format(w="weight") + " select pos id, min(cost) cost from p where pos in (4, 9, 14) group by 1 order by cost, id limit 1")
@@ -454,23 +463,23 @@ for _n in ("apsp", "johnson"):
 @query("all_simple_paths", _PATHS.format(a=0, b=9, n=5) + " select array_to_string(path, ',') as path, cost from p where pos = 9")
 def all_simple_paths(s, d):
     """Up to five nodes."""
-    return I.simple_paths(S.trade(s, d), 0, 9, 5).select(text(F.col("path")).alias("path"), "cost")
+    return I.simple_paths(trade_edges(s, d), 0, 9, 5).select(text(F.col("path")).alias("path"), "cost")
 
 
 @query("find_all_paths", _PATHS.format(a=0, b=9, n=6) + " select array_to_string(path, ',') as path from p where pos = 9")
 def find_all_paths(s, d):
     """Up to five edges."""
-    return I.simple_paths(S.trade(s, d), 0, 9, 6).select(text(F.col("path")).alias("path"))
+    return I.simple_paths(trade_edges(s, d), 0, 9, 6).select(text(F.col("path")).alias("path"))
 
 
 @query("k_shortest_paths", _PATHS.format(a=0, b=9, n=6) + " select cast(row_number() over (order by cost, path) as integer) as \"rank\", cost, array_to_string(path, ',') as path from p where pos = 9 order by cost, p.path limit 5")
 def k_shortest_paths(s, d):
-    return I.k_shortest(S.trade(s, d), 0, 9, 5, 6).select("rank", "cost", text(F.col("path")).alias("path"))
+    return I.k_shortest(trade_edges(s, d), 0, 9, 5, 6).select("rank", "cost", text(F.col("path")).alias("path"))
 
 
 @query("simple_cycles", RTRADE + ", p(f, pos, path) as (select src, dst, [src, dst] from trade where dst > src union all select f, dst, list_append(path, dst) from p join trade on src = pos where dst > f and not list_contains(path, dst) and len(path) < 4) select array_to_string(path, ',') as path from p join trade on src = pos and dst = f")
 def simple_cycles(s, d):
-    return I.simple_cycles(S.trade(s, d), 4).select(text(F.col("path")).alias("path"))
+    return I.simple_cycles(trade_edges(s, d), 4).select(text(F.col("path")).alias("path"))
 
 
 @query("two_hop_pattern", SUP + " select a.src customer, count(distinct b.dst) parts from supply a join supply b on a.dst = b.src where a.edge_type = 'PLACED' and b.edge_type = 'CONTAINS' group by 1")
@@ -486,7 +495,7 @@ _CLOSE = RTRADE + ", c(src, dst) as (select src, dst from trade union select c.s
 
 @query("transitive_closure", _CLOSE + " select src, dst from c where src <> dst")
 def transitive_closure(s, d):
-    return I.closure(S.trade(s, d)).where("src <> dst")
+    return I.closure(trade_edges(s, d)).where("src <> dst")
 
 
 _DAG = "dag as (select src, dst from supply where edge_type in ('HAS_NATION', 'HAS_SUPPLIER') union all select 'r:' || r_regionkey, 's:' || s_suppkey from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey)"
@@ -500,7 +509,7 @@ def _dag(s, d):
 
 @query("transitive_reduction", SUP + f", {_DAG} select distinct src, dst from dag e where not exists (select 1 from dag a join dag b on a.dst = b.src where a.src = e.src and b.dst = e.dst)")
 def transitive_reduction(s, d):
-    return I.reduction(_dag(s, d))
+    return I.reduction(materialize(_dag(s, d), "dag"))
 
 
 _LEVELS = RSUP + ", n as (select src id from supply union select dst from supply), l(id, level) as (select id, 0 from n where id not in (select dst from supply) union select dst, level + 1 from l join supply on src = id) select id, max(level) as level from l group by 1"
@@ -508,7 +517,7 @@ _LEVELS = RSUP + ", n as (select src id from supply union select dst from supply
 
 @query("topo_levels", _LEVELS)
 def topo_levels(s, d):
-    g = G.Graph(S.supply(s, d).select("src", "dst"))
+    g = G.Graph(supply_edges(s, d).select("src", "dst"))
     return I.topo_levels(g.edges, g.nodes)
 
 
@@ -527,14 +536,14 @@ def _topo_order(s, d):
 @query("dag_cycle_check", SUP + " select false as has_cycle")
 def dag_cycle_check(s, d):
     """Nodes that no round of peeling takes are on or behind a cycle; the supply graph has none."""
-    g = G.Graph(S.supply(s, d).select("src", "dst"))
+    g = G.Graph(supply_edges(s, d).select("src", "dst"))
     left = g.nodes.join(I.topo_levels(g.edges, g.nodes), "id", "left_anti")
     return left.agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
 
 
 @query("is_cyclic_directed", _CLOSE + " select count(*) > 0 cyclic from c where src = dst")
 def is_cyclic_directed(s, d):
-    return I.closure(S.trade(s, d)).where("src = dst").agg((F.count(F.lit(1)) > 0).alias("cyclic"))
+    return I.closure(trade_edges(s, d)).where("src = dst").agg((F.count(F.lit(1)) > 0).alias("cyclic"))
 
 
 @query("is_cyclic_undirected", TRADE + ", u as (select distinct least(src, dst) a, greatest(src, dst) b from trade), n as (select a id from u union select b from u) select (select count(*) from u) > (select count(*) from n) - 1 cyclic")
@@ -551,7 +560,7 @@ _CC = "with recursive e as (select 'u' || user_id a, 't' || event_type || (user_
 
 def _user_graph(s, d):
     e = table(s, d, "events").where("user_id % 11 > 4").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("t"), F.col("event_type"), (F.col("user_id") % 7).cast("string")).alias("dst")).distinct()
-    return G.Graph(e)
+    return G.Graph(materialize(e, "users"))
 
 
 @query("connected_components", _CC + " select id, min(root) component from r group by 1")
@@ -637,7 +646,7 @@ for _n, _sql, _f in (
     ("radius", "select min(ecc) radius from e", lambda e: e.agg(F.min("eccentricity").alias("radius"))),
     ("center", "select id from e where ecc = (select min(ecc) from e)", lambda e: e.crossJoin(F.broadcast(e.agg(F.min("eccentricity").alias("low")))).where("eccentricity = low").select("id")),
 ):
-    query(_n, _ECC + " " + _sql)(lambda s, d, f=_f: f(I.eccentricity(S.trade(s, d))))
+    query(_n, _ECC + " " + _sql)(lambda s, d, f=_f: f(I.eccentricity(trade_edges(s, d))))
 
 
 # local algorithms ---------------------------------------------------------------------------------
@@ -706,7 +715,7 @@ def negative_cycle(s, d):
 
 @query("greedy_matching", TALL.replace("with ", "with recursive ", 1) + ", u as (select least(src, dst) a, greatest(src, dst) b, max(weight) w from trade_all group by 1, 2), o as materialized (select a, b, w, row_number() over (order by w desc, a, b) i from u), m(i, used, src, dst, weight) as (select 0::bigint, []::bigint[], null::bigint, null::bigint, null::bigint union all select * from (select o.i, list_concat(used, [a, b]), a, b, w from m join o on o.i > m.i and not list_contains(used, a) and not list_contains(used, b) order by o.i limit 1)) select src, dst, weight from m where src is not null")
 def greedy_matching(s, d):
-    return I.greedy_matching(S.trade_all(s, d))
+    return I.greedy_matching(materialize(S.trade_all(s, d), "trade"))
 
 
 def _rounded(rows):

@@ -9,7 +9,7 @@ from graphloom.operators import knowledge as K
 from graphloom.operators import ordering
 from graphloom.operators import predicates as P
 from graphloom.plans.registry import query
-from graphloom.session import table
+from graphloom.session import materialize, table
 from graphloom.sources import views as S
 from graphloom.sources.views import with_views
 
@@ -510,10 +510,11 @@ select id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1
 
 @query("bm25_topk", "with " + BM25)
 def bm25_topk(s, d):
-    """BM25 (k1 = 1.2, b = 0.75) of three terms: lengths and terms are counted inside each row, so no word is shuffled."""
+    """BM25 (k1 = 1.2, b = 0.75) of three terms: lengths and terms are counted inside each row, once, so no word is shuffled."""
     terms = ["then", "tion", "worthless"]
-    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    t = docs(s, d).select("id", w.alias("w")).select("id", F.size("w").alias("n"), *[F.size(F.filter("w", lambda x: x == F.lit(k))).alias(k) for k in terms]).where("n > 0")
+    w = F.lower("text")
+    t = docs(s, d).select("id", F.regexp_count(w, F.lit("[a-z]+")).alias("n"), *[F.regexp_count(w, F.lit(f"(?<![a-z]){k}(?![a-z])")).alias(k) for k in terms]).where("n > 0")
+    t = materialize(t, "terms")
     st = t.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(k) > 0).alias("df_" + k) for k in terms])
     part = lambda k: F.when(F.col(k) > 0, F.log(1 + (F.col("docs") - F.col("df_" + k) + 0.5) / (F.col("df_" + k) + 0.5)) * F.col(k) * 2.2 / (F.col(k) + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))).otherwise(F.lit(0.0))
     score = part(terms[0]) + part(terms[1]) + part(terms[2])

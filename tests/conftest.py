@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from graphloom.session import get_spark
 
-    s = get_spark("tests", "local[4]", 4)
+    s = get_spark("tests", "local[8]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

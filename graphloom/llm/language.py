@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _sample
+from graphloom.llm._memory import trim
 
 PER_LANGUAGE = 3000
 BUCKETS = 1 << 16
 #: Cost of a change of language between two words, in units of log odds.
 SWITCH = 12.0
 #: Characters that are worked on at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: First code points of script ranges (Latin, Greek, Cyrillic, Armenian, Hebrew,
 #: Arabic, Indic, Thai to Georgian, Hangul Jamo, other, kana, Han, Hangul, Latin again).
 SCRIPT_STARTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0x1100, 0x1200, 0x3040, 0x3100, 0xAC00, 0xD800])
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             for a, b in chunks(texts):
                 out += label(texts[a:b], model.value, penalty)
             yield pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "spans": [[{"start": s, "words": n, "lang": v} for s, n, v in x[2]] for x in out]})
+            trim()
 
     d = docs.select(F.col(key), F.col(text).alias("t")).select(key, (_sample.remainder(F.col(key), held[0]) == held[1]).alias("held_out"), labelled("t").alias("r"))
     return d.select(key, "held_out", "r.lang_pred", "r.score", "r.spans")

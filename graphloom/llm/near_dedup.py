@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm._components import components
+from graphloom.llm._memory import slices
 from graphloom.llm._shingles import minwise, mixed, shingle_sets
 from graphloom.llm.language import chunks
 from graphloom.session import materialize
@@ -42,8 +43,8 @@ NODE = 1024
 RARE = 16
 PIVOTS = 8
 ROUNDS = 6
-#: Members of nodes (16 bytes each) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Members of nodes (about 100 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _LEVELS = [2 ** (d + 1) for d in range(DEPTH)]
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, TREES * sum(_LEVELS), dtype=np.uint64)
@@ -66,8 +67,7 @@ def paths(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+    for ids, texts in slices(batches):
         for lo, hi in chunks(texts):
             sets = shingle_sets(texts[lo:hi])
             full = [s for s in sets if len(s)]
@@ -151,8 +151,8 @@ def _compare(percent: int):
             return [(node, a, r) for a, r in zip(keys, connected(keys, sets, percent))]
 
         out: list = []
-        for b in batches:
-            for n, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for nodes, docs, own in slices(batches):
+            for n, i, t in zip(nodes, docs, own):
                 if n != node:
                     out += done()
                     node, ids, texts = n, [], []
@@ -170,8 +170,7 @@ def _compare(percent: int):
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, text, nodes) to (doc, node): each node three branchings on, by tokens that the node selects."""
-    for b in batches:
-        ids, texts, nodes = (b.column(i).to_pylist() for i in range(3))
+    for ids, texts, nodes in slices(batches):
         doc, node = [], []
         for lo, hi in chunks(texts):
             for i, s, own in zip(ids[lo:hi], shingle_sets(texts[lo:hi]), nodes[lo:hi]):

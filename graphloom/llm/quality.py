@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _sample
 from graphloom.llm._linear import Rows, adam, sigmoid
+from graphloom.llm._memory import trim
 from graphloom.llm.language import chunks
 
 PER_GRADE = 1500
@@ -158,6 +159,7 @@ def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
             at = int(np.searchsorted(levels, keep_from))
             tail = np.ones(len(p)) if at == 0 else p[:, at - 1] if at <= p.shape[1] else np.zeros(len(p))
             yield pd.DataFrame({"expected": levels[0] + p @ np.diff(levels), "tail": tail})
+            trim()
 
     d = docs.select(F.col(key), *carry, F.col(text).alias("text_")).select(key, *carry, (_sample.remainder(F.col(key), held) == 0).alias("held_out"), graded("text_").alias("r_"))
     return d.select(key, *carry, "held_out", F.col("r_.expected").alias("expected_grade"), F.col("r_.tail").alias("tail"), (F.col("r_.tail") >= 0.5).alias("keep"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _sample
 from graphloom.llm._linear import Rows, adam, sigmoid
+from graphloom.llm._memory import trim
 
 #: Rows of each label that the fit takes at most, about.
 PER_CLASS = 2500
@@ -196,6 +197,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         m = model.value
         for texts in batches:
             yield pd.Series([score(t, m) for t in texts], dtype="float64")
+            trim()
 
     d = docs.select(F.col(key), *carry, F.col(text).alias("text_")).select(key, *carry, (_sample.remainder(F.col(key), held) == 0).alias("held_out"), scored("text_").alias("score"))
     return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -415,6 +415,24 @@ def test_near_duplicates(spark, node, rounds):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in r)
 
 
+def test_beyond_the_broadcast_bounds(spark, monkeypatch):
+    """What is larger than a broadcast may be is joined by a shuffle, to the same rows."""
+    import corpus_pipeline as cp
+
+    texts = near_copies(60)
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
+    see = lambda: sorted(map(tuple, near_dedup.near_duplicates(d, node=12).collect()))
+    kept = lambda: sorted(r["doc_id"] for r in cp.drop_near_copies(spark, d, "").collect())
+    pages = spark.createDataFrame([(i, f"http://h.net/{i % 9}") for i in range(40)], "page_id long, url string")
+    listed = spark.createDataFrame([("h.net/3",), ("h.net/5",)], "canonical string")
+    urls = lambda: sorted(map(str, url_filter.filter_urls(pages, listed, []).collect()))
+    want = see(), kept(), urls()
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(cp, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    assert (see(), kept(), urls()) == want
+
+
 def test_overlaps_by_both_ways():
     rng = random.Random(4)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 50))], np.uint64)) for _ in range(40)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import ml
@@ -10,6 +12,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import iterate as I
 from graphloom.operators import knowledge as K
 from graphloom.operators import local as L
+from graphloom.operators import ordering
 from graphloom.operators import predicates as P
 from graphloom.operators import vectors as V
 from graphloom.plans.registry import query
@@ -95,7 +98,7 @@ _ranked("semantic_search", _C, 20)
 _ranked("semantic_threshold", _C, 500, threshold=0.1)
 _ranked("semantic_filtered", _C, 10, "label in (1, 2, 3)", "label in (1, 2, 3)")
 _ranked("segment_topk", _C, 7)
-_ranked("recommend", _C, 10, "id % 2 = 1", "v.id % 2 = 1")
+_ranked("recommend", _C, 10, "label >= 5", "label >= 5")
 
 _METRICS = {
     "dist_cosine": ("cosine", "1 - list_cosine_similarity(v.vector, q.vector)"),
@@ -122,12 +125,12 @@ def associative_links(s, d):
     return E.associate(V.knn_join(v, v, 6, self_join=True), 0.3, 3)
 
 
-@query("pairwise_similarity", VEC + " select a.id a, b.id b, round(list_cosine_similarity(a.vector, b.vector), 6) + 0.0 sim from vectors a join vectors b on a.id < b.id where a.id < 40 and b.id < 40")
+@query("pairwise_similarity", VEC + " select a.id a, b.id b, round(list_cosine_similarity(a.vector, b.vector), 6) + 0.0 sim from vectors a join vectors b on a.id < b.id and a.label = b.label")
 def pairwise_similarity(s, d):
-    """The similarity matrix of one small set: all pairs are what is asked for."""
-    v = S.vectors(s, d).where("id < 40")
-    a, b = v.select(F.col("id").alias("a"), F.col("vector").alias("x")), v.select(F.col("id").alias("b"), F.col("vector").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("sim"))
+    """The similarity matrix of each class: all pairs are what is asked for."""
+    v = S.vectors(s, d)
+    a, b = v.select("label", F.col("id").alias("a"), F.col("vector").alias("x")), v.select("label", F.col("id").alias("b"), F.col("vector").alias("y"))
+    return a.join(b, "label").where("a < b").select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("sim"))
 
 
 @query("vector_dims", VEC + " select id, len(vector) dims from vectors")
@@ -303,9 +306,9 @@ def has_edge(s, d):
     return trade(s, d).has_edge(1, 2)
 
 
-@query("subgraph_nodes", TALL + " select src, dst, weight from trade_all where src % 2 = 0 and dst % 2 = 0")
+@query("subgraph_nodes", TALL + " select src, dst, weight from trade_all where src >= 10 and dst >= 10")
 def subgraph_nodes(s, d):
-    return G.Graph(S.trade_all(s, d)).where_nodes(F.col("id") % 2 == 0).edges
+    return G.Graph(S.trade_all(s, d)).where_nodes(F.col("id") >= 10).edges
 
 
 @query("subgraph_edges", SUP + " select src, dst from supply where edge_type = 'PLACED'")
@@ -521,16 +524,13 @@ def topo_levels(s, d):
     return I.topo_levels(g.edges, g.nodes)
 
 
-query("topo_order", _LEVELS.replace("select id, max(level) as level from l group by 1", "select id, row_number() over (order by max(level), id) place from l where id not like 'o:%' and id not like 'p:%' and id not like 'c:%' group by 1"))(
+query("topo_order", _LEVELS.replace("select id, max(level) as level from l group by 1", "select id, row_number() over (order by max(level), id) place from l group by 1"))(
     lambda s, d: _topo_order(s, d)
 )
 
 
 def _topo_order(s, d):
-    from pyspark.sql import Window
-
-    few = topo_levels(s, d).where(~F.col("id").rlike("^[opc]:"))
-    return few.select("id", F.row_number().over(Window.orderBy("level", "id")).cast("long").alias("place"))
+    return ordering.running(topo_levels(s, d), ["level", "id"], out="place").select("id", F.col("place").cast("long").alias("place"))
 
 
 @query("dag_cycle_check", SUP + " select false as has_cycle")
@@ -555,21 +555,21 @@ def is_cyclic_undirected(s, d):
     return c.agg((F.lit(e) > F.count(F.lit(1)) - F.count_distinct("component")).alias("cyclic"))
 
 
-_CC = "with recursive e as (select 'u' || user_id a, 't' || event_type || (user_id % 7) b from events where user_id % 11 > 4), both_ as (select a src, b dst from e union select b, a from e), r(id, root) as (select src, src from both_ union select dst, root from r join both_ on src = id)"
+_CC = RSUP + ", e as (select src a, dst b from supply where edge_type in ('HAS_CUSTOMER', 'HAS_SUPPLIER')), both_ as (select a src, b dst from e union select b, a from e), r(id, root) as (select src, src from both_ where starts_with(src, 'n:') union select dst, root from r join both_ on src = id), l as (select root, min(id) component from r group by 1)"
 
 
-def _user_graph(s, d):
-    e = table(s, d, "events").where("user_id % 11 > 4").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("t"), F.col("event_type"), (F.col("user_id") % 7).cast("string")).alias("dst")).distinct()
-    return G.Graph(materialize(e, "users"))
+def _nation_graph(s, d):
+    """Nations with their customers and suppliers: a component for each nation."""
+    return G.Graph(materialize(S.supply(s, d).where("edge_type in ('HAS_CUSTOMER', 'HAS_SUPPLIER')").select("src", "dst"), "nations"))
 
 
-@query("connected_components", _CC + " select id, min(root) component from r group by 1")
+@query("connected_components", _CC + " select id, component from r join l using (root)")
 def connected_components(s, d):
-    g = _user_graph(s, d)
+    g = _nation_graph(s, d)
     return I.connected_components(g.edges, g.nodes)
 
 
-@query("cc_count", _CC + " select count(distinct c) n from (select id, min(root) c from r group by 1)")
+@query("cc_count", _CC + " select count(*) n from l")
 def cc_count(s, d):
     return connected_components(s, d).agg(F.count_distinct("component").alias("n"))
 
@@ -730,7 +730,7 @@ def betweenness(s, d):
 @query("betweenness_sampled")
 def betweenness_sampled(s, d):
     e = L.collect(S.trade(s, d))
-    return _frame(s, _rounded(L.betweenness(e, [n for n in L.nodes_of(e) if n % 3 == 0])), "id long, score double")
+    return _frame(s, _rounded(L.betweenness(e, [n for n in L.nodes_of(e) if crc32(str(n).encode()) % 3 == 0])), "id long, score double")
 
 
 # knowledge graph ----------------------------------------------------------------------------------
@@ -783,15 +783,15 @@ def kg_infer(s, d):
     return K.infer(relations(s, d))
 
 
-@query("kg_fk_violations", _REL + " select src, dst, rel, confidence from rel where src not in (select n_nationkey from nation where n_nationkey % 5 <> 0) or dst not in (select n_nationkey from nation where n_nationkey % 5 <> 0)")
+@query("kg_fk_violations", _REL + " select src, dst, rel, confidence from rel where src not in (select n_nationkey from nation where n_regionkey <> 0) or dst not in (select n_nationkey from nation where n_regionkey <> 0)")
 def kg_fk_violations(s, d):
-    known = table(s, d, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").cast("long").alias("id"))
+    known = table(s, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").cast("long").alias("id"))
     return K.missing_ends(relations(s, d), known)
 
 
-@query("kg_cascade_delete", _REL + " select src, dst, rel, confidence from rel where src % 5 <> 0 and dst % 5 <> 0")
+@query("kg_cascade_delete", _REL + " select src, dst, rel, confidence from rel where src not in (select n_nationkey from nation where n_regionkey = 0) and dst not in (select n_nationkey from nation where n_regionkey = 0)")
 def kg_cascade_delete(s, d):
-    gone = table(s, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("long").alias("id"))
+    gone = table(s, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("id"))
     return K.cascade_delete(relations(s, d), gone)
 
 
@@ -879,19 +879,19 @@ def summary_trigger(s, d):
     return E.summary_due(S.messages(s, d), 3)
 
 
-_TEMP = LOG + ", t as (select context id, count(*) accesses, 1706659200000 - max(\"timestamp\") idle_ms from logs where context <> 'user_3' group by 1), h as (select *, case when idle_ms < 3600000 or accesses > 10 then 'hot' when idle_ms < 86400000 then 'warm' else 'cold' end temperature from t)"
+_TEMP = LOG + ", t as (select context id, count(*) accesses, 1706659200000 - max(\"timestamp\") idle_ms from logs group by 1), h as (select *, case when idle_ms < 3600000 or accesses > 10 then 'hot' when idle_ms < 86400000 then 'warm' else 'cold' end temperature from t)"
 
 
 def _temperatures(s, d):
-    return E.temperature(S.logs(s, d).where("context <> 'user_3'").select(F.col("context").alias("id"), "timestamp"), 1706659200000)
+    return E.temperature(S.logs(s, d).select(F.col("context").alias("id"), "timestamp"), 1706659200000)
 
 
 query("temperature", _TEMP + " select id, accesses, idle_ms, temperature from h")(_temperatures)
 
 
-@query("tier_moves", LOG + ", t as (select id % 997 id, count(*) accesses, 1706659200000 - max(\"timestamp\") idle_ms from logs where level = 'warn' group by 1), h as (select *, case when idle_ms < 3600000 or accesses > 10 then 'hot' when idle_ms < 86400000 then 'warm' else 'cold' end temperature from t) select id, temperature, case when temperature = 'warm' and accesses > 20 then 'promote' when temperature = 'warm' and idle_ms > 172800000 then 'demote' when temperature = 'cold' and accesses > 5 then 'promote' else 'stay' end as move from h")
+@query("tier_moves", LOG + ", t as (select context id, count(*) accesses, 1706659200000 - max(\"timestamp\") idle_ms from logs where level = 'warn' group by 1), h as (select *, case when idle_ms < 3600000 or accesses > 10 then 'hot' when idle_ms < 86400000 then 'warm' else 'cold' end temperature from t) select id, temperature, case when temperature = 'warm' and accesses > 20 then 'promote' when temperature = 'warm' and idle_ms > 172800000 then 'demote' when temperature = 'cold' and accesses > 5 then 'promote' else 'stay' end as move from h")
 def tier_moves(s, d):
-    a = S.logs(s, d).where("level = 'warn'").select((F.col("id") % 997).alias("id"), "timestamp")
+    a = S.logs(s, d).where("level = 'warn'").select(F.col("context").alias("id"), "timestamp")
     return E.tier_moves(E.temperature(a, 1706659200000)).select("id", "temperature", "move")
 
 
@@ -922,10 +922,11 @@ def route_counts(s, d):
     return E.route(bus(s, d)).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("index_new_nodes")
+@query("index_new_nodes", "select doc_id id, 384 dims from documents where trim(text) <> '' and doc_id not in (select vec_id from embeddings)")
 def index_new_nodes(s, d):
-    n = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("ScrapedPage").alias("node_type"), "text")
-    return E.index_new(n, S.vectors(s, d).where("id >= 10")).select("id", F.size("vector").alias("dims"), F.round(F.array_max("vector"), 6).alias("most"))
+    """Documents without an embedding get one."""
+    n = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("ScrapedPage").alias("node_type"), "text")
+    return E.index_new(n, S.vectors(s, d)).select("id", F.size("vector").alias("dims"))
 
 
 @query("tumbling_counts", "select time_bucket(interval 6 hours, ts) as start, event_type, count(*) n from events group by 1, 2")

@@ -367,13 +367,13 @@ def quarter_bucket(s, d):
     return table(s, d, "orders").groupBy(K.quarter(S.millis("o_orderdate")).alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
 
 
-COPIES = "copies as (select o_orderkey id, 'active' tier, o_totalprice v from orders where o_orderkey % 3 = 0 union all select o_orderkey, 'recent', o_totalprice + 1 from orders where o_orderkey % 2 = 0 union all select o_orderkey, 'archive', o_totalprice + 2 from orders)"
+COPIES = "copies as (select o_orderkey id, 'active' tier, o_totalprice v from orders where o_orderstatus = 'O' union all select o_orderkey, 'recent', o_totalprice + 1 from orders where o_orderpriority in ('1-URGENT', '2-HIGH') union all select o_orderkey, 'archive', o_totalprice + 2 from orders)"
 
 
 def _copies(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("p"))
-    part = lambda df, t, k: df.select("id", F.lit(t).alias("tier"), (F.col("p") + k).alias("v"))
-    return part(o.where("id % 3 = 0"), "active", 0).unionAll(part(o.where("id % 2 = 0"), "recent", 1)).unionAll(part(o, "archive", 2))
+    o = table(s, d, "orders")
+    part = lambda df, t, k: df.select(F.col("o_orderkey").alias("id"), F.lit(t).alias("tier"), (F.col("o_totalprice") + k).alias("v"))
+    return part(o.where("o_orderstatus = 'O'"), "active", 0).unionAll(part(o.where("o_orderpriority in ('1-URGENT', '2-HIGH')"), "recent", 1)).unionAll(part(o, "archive", 2))
 
 
 @query("tier_precedence", f"with {COPIES} select id, tier, round(v, 6) v from copies qualify row_number() over (partition by id order by case tier when 'active' then 0 when 'recent' then 1 else 2 end) = 1")

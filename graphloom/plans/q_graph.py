@@ -245,28 +245,40 @@ def softmax_rank(s, d):
     return ml.softmax(sc, "label").select("id", "label", "p")
 
 
-@query("embed_text")
+def _embedded_sql(rows: str, asked: str | None = None) -> str:
+    """SQL: v(id, k, s) of rows (id, text), not yet scaled, n(id, n) the squared lengths; q and qn of the asked text."""
+    part = lambda name, src: f"{name}_b as (select id, regexp_extract_all(hex(encode(text)), '..') b from ({src})), {name} as (select id, i % 384 k, sum(cast('0x' || x as integer) / 255.0::double) s from (select id, unnest(b) x, generate_subscripts(b, 1) - 1 i from {name}_b) group by 1, 2), {name}n as (select id, sum(s * s) n from {name} group by 1)"
+    return "with " + part("v", rows) + (", " + part("q", f"select 0 id, '{asked}' as text") if asked else "")
+
+
+_ASKED = "thing tion and the"
+_SCORED = " select v.id, round(sum(v.s * q.s) / sqrt(any_value(vn.n) * any_value(qn.n)), 6) {name} from v join q using (k) join vn on vn.id = v.id, qn group by 1"
+
+
+@query("embed_text", _embedded_sql("select item_id id, text from benchmark") + " select v.id, cast(k as integer) as place, round(s / sqrt(n), 6) as value from v join vn using (id) where s > 0")
 def embed_text(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("id"), text(F.transform(ml.embedder()("text"), lambda x: F.round(x, 6))).alias("vector"))
+    """The components that are not 0."""
+    v = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.posexplode(ml.embedder()("text")).alias("place", "value"))
+    return v.where("value > 0").select("id", "place", F.round("value", 6).alias("value"))
 
 
-@query("text_similarity")
+@query("text_similarity", _embedded_sql("select item_id id, text from benchmark", "the and of") + _SCORED.format(name="sim"))
 def text_similarity(s, d):
     b = table(s, d, "benchmark").select(F.col("item_id").alias("id"), ml.embedder()("text").alias("vector"))
     return b.select("id", F.round(V.cosine(F.col("vector"), V.literal(ml.byte_embedding("the and of"))), 6).alias("sim"))
 
 
-@query("semantic_search_text")
+@query("semantic_search_text", _embedded_sql("select doc_id id, text from documents", _ASKED) + _SCORED.format(name="score") + " order by 2 desc, 1 limit 10")
 def semantic_search_text(s, d):
     b = table(s, d, "documents").select(F.col("doc_id").alias("id"), ml.embedder()("text").alias("vector"))
-    return V.search(b, ml.byte_embedding("thing tion and the"), 10).select("id", "score")
+    return V.search(b, ml.byte_embedding(_ASKED), 10).select("id", "score")
 
 
-@query("rag_query")
+@query("rag_query", _embedded_sql("select doc_id id, text from documents where lang = 'en'", _ASKED) + _SCORED.format(name="score") + " order by 2 desc, 1 limit 5")
 def rag_query(s, d):
     """Filter, embed, rank: five passages for a question."""
     b = table(s, d, "documents").where(P.structural("lang", "Equals", "en")).select(F.col("doc_id").alias("id"), ml.embedder()("text").alias("vector"))
-    return V.search(b, ml.byte_embedding("thing tion and the"), 5).select("id", "score")
+    return V.search(b, ml.byte_embedding(_ASKED), 5).select("id", "score")
 
 
 @query("rerank_topn", "with q as (select ['the', 'and', 'of', 'thing'] w), t as (select doc_id id, list_distinct(regexp_split_to_array(lower(text), '\\s+')) ws from documents) select id, round(len(list_intersect(ws, w)) / 4.0, 6) score from t, q order by score desc, id limit 5")

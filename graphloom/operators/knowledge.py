@@ -94,9 +94,9 @@ def first_tier(copies: DataFrame, order: list[str]) -> DataFrame:
 
 
 def quarter(ts_ms: Column) -> Column:
-    """UTC quarter, YYYY-Qn."""
-    t = F.timestamp_millis(ts_ms)
-    return F.concat(F.year(t).cast("string"), F.lit("-Q"), F.quarter(t).cast("string"))
+    """UTC quarter, YYYY-Qn, whatever the session's time zone is."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts_ms / 86_400_000).cast("int"))
+    return F.concat(F.year(day).cast("string"), F.lit("-Q"), F.quarter(day).cast("string"))
 
 
 def recent_messages(messages: DataFrame, n: int, scope: Column | None = None) -> DataFrame:

@@ -119,3 +119,22 @@ def file_stream(spark: SparkSession, path: str, schema: str, files: int = 1) ->
 def running_trigger(messages: DataFrame, every: int = SUMMARY_EVERY) -> Column:
     """True where a message completes another ``every`` of its chat (batch)."""
     return F.row_number().over(Window.partitionBy("chat_id").orderBy("timestamp", "id")) % every == 0
+
+
+def due_stream(messages: DataFrame, every: int = SUMMARY_EVERY) -> DataFrame:
+    """(chat_id, summary_no, n): on a stream of messages, a row whenever a chat has reached another ``every`` messages.
+
+    The state of a chat is one number, its messages so far; a micro-batch hands it an iterator of frames, so no chat is held
+    in memory. A batch that is run again starts from the state before it, so a summary is not due twice.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def count(key, frames, state: GroupState):
+        before = state.get[0] if state.exists else 0
+        now = before + sum(len(f) for f in frames)
+        state.update((now,))
+        done = range(before // every + 1, now // every + 1)
+        yield pd.DataFrame({"chat_id": [key[0]] * len(done), "summary_no": list(done), "n": [k * every for k in done]}).astype({"chat_id": "int64", "summary_no": "int64", "n": "int64"})
+
+    return messages.groupBy("chat_id").applyInPandasWithState(count, "chat_id long, summary_no long, n long", "n long", "append", GroupStateTimeout.NoTimeout)

@@ -44,3 +44,17 @@ def test_chat_rules(spark):
     a = spark.createDataFrame([("x", 0)] * 12 + [("y", 100)], "id string, timestamp long")
     t = {r["id"]: r["temperature"] for r in enrich.temperature(a, 90_000_000).collect()}
     assert t == {"x": "hot", "y": "cold"}
+
+
+def test_summaries_come_due_once(spark, tmp_path):
+    for part in range(4):
+        spark.range(part * 20, part * 20 + 20).select((F.col("id") % 3).alias("chat_id"), F.col("id").alias("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    stream = enrich.file_stream(spark, str(tmp_path / "m"), "chat_id long, timestamp long")
+    q = enrich.due_stream(stream, 5).writeStream.format("memory").queryName("due").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        got = sorted(map(tuple, spark.table("due").collect()))
+    finally:
+        q.stop()
+    batch = enrich.summary_due(spark.read.parquet(str(tmp_path / "m")), 5).collect()
+    assert got == sorted((r["chat_id"], k, 5 * k) for r in batch for k in range(1, r["summaries"] + 1))

@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each row's text, as piece ids."""
-    return segmentation.segment(docs, k=2)
+    """Two sampled segmentations of each row's text, as piece ids. Small chunks: the stages before have filled the executors' heaps."""
+    return segmentation.segment(docs, k=2, chunk_chars=400_000)
 
 
 STAGES = [

@@ -6,15 +6,19 @@ its coordinates, and a document goes to the child that its minwise token there n
 branchings a node of up to ``NODE`` documents is compared exhaustively on full shingle sets.
 
 Larger nodes are cut into chunks of that size, each together with a few pivots of the node, and
-compared; a node whose documents all turn out to be connected is done, the others branch on, by three more
-tokens a round. What has not been separated after ``ROUNDS`` rounds is compared block by block, its
-unconnected documents against all of the node: so no limit loses a document.
+compared; a node whose documents all turn out to be connected is done. Of the others, a node is compared block by
+block, its unconnected documents against all of the node, unless three more branchings would save at least half
+of that (documents of similarity s stay together on a path with s^3, which the chunks show). A node that branches on
+has a tree of 8 paths of its own, one that stands for several nodes with the same documents as many
+trees, three at most. After ``ROUNDS`` rounds all that is left is compared block by block.
 
 A node gives a link from each document to the smallest of those it is connected with there, not all
 pairs. Components come from alternating stars.
 
 Recall: two documents of similarity s meet in one of three trees with probability
-1 - (1 - q)^3, q the chance of surviving three branchings in two; at s = 0.85 that is 0.99997.
+1 - (1 - q)^3, q the chance of surviving three branchings in two; at s = 0.85 that is 0.99997, at 0.8 0.9998.
+As trees go on branching in two, q falls no lower than (2 s - 1) / s^2, 0.969 and 0.938, at any depth; a merged
+node keeps a pair in a round with that chance of three trees.
 
 Defined results for odd input: null and empty texts and texts without words have an empty set, link with nothing
 and are kept; a null key links with nothing and is kept; rows that share a key are one document;
@@ -50,14 +54,14 @@ _LEVELS = [2 ** (d + 1) for d in range(DEPTH)]
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, TREES * sum(_LEVELS), dtype=np.uint64)
 
 
-def paths(sets: list[np.ndarray]) -> np.ndarray:
-    """Nodes of the third level that each non-empty set goes to: 8 in each tree."""
-    m = minwise(sets, _SEEDS)
+def paths(sets: list[np.ndarray], seeds: np.ndarray = _SEEDS, root: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """Nodes that each non-empty set goes to by three branchings from ``root``: 8 in each tree."""
+    m = minwise(sets, seeds)
     out = []
-    for t in range(TREES):
+    for t in range(len(seeds) // sum(_LEVELS)):
         base = t * sum(_LEVELS)
         for leaf in range(_LEVELS[-1]):
-            h = np.full(len(sets), np.uint64(t * 64 + leaf))
+            h = np.full(len(sets), np.uint64(t * 64 + leaf)) + root
             at = base
             for d, width in enumerate(_LEVELS):
                 h = mixed(h * np.uint64(31) + m[:, at + (leaf >> (DEPTH - 1 - d))])
@@ -121,23 +125,26 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def connected(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each document the smallest id that it is connected with by links among these documents."""
+def connected(ids: list[int], sets: list[np.ndarray], percent: int, likeness: bool = False) -> tuple[list[int], float | None]:
+    """For each document the smallest id that it is connected with by links among these documents;
+    if asked for, the mean third power of the similarity of two of them."""
     n, size = len(ids), np.array([len(s) for s in sets], float)
     inter = overlaps(sets)
-    link = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
+    union = size[:, None] + size[None, :] - inter
+    cubes = (((inter / union) ** 3).sum() - n) / (n * (n - 1)) if likeness else None
+    link = 100 * inter >= percent * union
     root = np.array(ids)
     while True:
         best = np.where(link, root[None, :], np.iinfo(np.int64).max).min(1)
         best = np.minimum(best, root)
         if (best == root).all():
-            return root.tolist()
+            return root.tolist(), cubes
         root = best
 
 
-def _compare(percent: int):
+def _compare(percent: int, likeness: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (node, doc, text), sorted by node, to (node, doc, root)."""
+        """Rows (node, doc, text), sorted by node, to (node, doc, root, cubes)."""
         node, ids, texts = None, [], []
 
         def done():
@@ -147,8 +154,12 @@ def _compare(percent: int):
             if len(uniq) < 2:
                 return []
             keys = [k[0] for k in uniq]
-            sets = shingle_sets([k[1] for k in uniq])
-            return [(node, a, r) for a, r in zip(keys, connected(keys, sets, percent))]
+            roots, cubes = connected(keys, shingle_sets([k[1] for k in uniq]), percent, likeness)
+            return [(node, a, r, cubes) for a, r in zip(keys, roots)]
+
+        def batch(out):
+            n, d, r, c = zip(*out)
+            return pa.RecordBatch.from_pydict({"node": pa.array(n, pa.string()), "doc": pa.array(d, pa.int64()), "root": pa.array(r, pa.int64()), "cubes": pa.array(c, pa.float64())})
 
         out: list = []
         for nodes, docs, own in slices(batches):
@@ -159,29 +170,26 @@ def _compare(percent: int):
                 ids.append(i)
                 texts.append(t)
             if out:
-                yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in out], pa.string()), "doc": pa.array([x[1] for x in out], pa.int64()), "root": pa.array([x[2] for x in out], pa.int64())})
+                yield batch(out)
                 out = []
         out = done()
         if out:
-            yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in out], pa.string()), "doc": pa.array([x[1] for x in out], pa.int64()), "root": pa.array([x[2] for x in out], pa.int64())})
+            yield batch(out)
 
     return run
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, nodes) to (doc, node): each node three branchings on, by tokens that the node selects."""
+    """Rows (doc, text, nodes (node, trees)) to (doc, node): each node three branchings on in trees of its own, by tokens that the node selects."""
     for ids, texts, nodes in slices(batches):
         doc, node = [], []
         for lo, hi in chunks(texts):
             for i, s, own in zip(ids[lo:hi], shingle_sets(texts[lo:hi]), nodes[lo:hi]):
                 for p in own:
-                    p64 = np.array([p], np.int64).view(np.uint64)
-                    seeds = np.concatenate([mixed(p64 + np.uint64(d + 1)) for d in range(DEPTH)])
-                    h = p64
-                    for v in minwise([s], seeds)[0]:
-                        h = mixed(h * np.uint64(31) + v)
-                    doc.append(i)
-                    node.append(int(h.view(np.int64)[0]))
+                    root = np.array(p["node"], np.int64).view(np.uint64)
+                    found = paths([s], mixed(root + np.arange(1, p["trees"] * sum(_LEVELS) + 1, dtype=np.uint64)), root)[0]
+                    doc += [i] * len(found)
+                    node += found.tolist()
         yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "node": pa.array(node, pa.int64())})
 
 
@@ -198,13 +206,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = materialize(features.where("n_shingles > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
     members = features.join(classes.withColumnRenamed("rep", "doc"), ["doc", "s1", "s2"]).select("doc", F.explode("paths").alias("node"))
     found: list[DataFrame] = []
-    run = _compare(percent)
 
-    def compare(chunked: DataFrame) -> DataFrame:
+    def compare(chunked: DataFrame, likeness: bool = False) -> DataFrame:
         """Links of the documents (node string, doc) of each node."""
         chunked = materialize(chunked, "members")
         rows = _with_text(chunked, texts, chunked.count()).select("node", "doc", "text").repartition("node").sortWithinPartitions("node")
-        out = materialize(rows.mapInArrow(run, "node string, doc long, root long"), "links")
+        out = materialize(rows.mapInArrow(_compare(percent, likeness), "node string, doc long, root long, cubes double"), "links")
         found.append(out.where("root <> doc").select(F.col("root").alias("a"), F.col("doc").alias("b")))
         return out
 
@@ -214,34 +221,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         small = nodes.where(f"n <= {node}").groupBy("n", "sum", "low").agg(F.min("node").alias("node")).select("node")
         compare(members.join(small, "node").select(F.col("node").cast("string").alias("node"), "doc"))
         large = nodes.where(f"n > {node}")
-        large = large.groupBy("n", "sum", "low").agg(F.min("node").alias("node"))
+        # so are large ones, which branch on in as many trees as they stand for
+        large = large.groupBy("n", "sum", "low").agg(F.min("node").alias("node"), F.least(F.count(F.lit(1)), F.lit(TREES)).cast("int").alias("trees"))
         if large.isEmpty():
             break
-        held = materialize(members.join(large, "node").withColumn("chunks", F.ceil(F.col("n") / (node // 2)).cast("int")).select("node", "doc", "n", "low", "chunks"), "large")
+        held = materialize(members.join(large, "node").withColumn("chunks", F.ceil(F.col("n") / (node // 2)).cast("int")).select("node", "doc", "n", "low", "trees", "chunks"), "large")
         spread = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("chunks")).cast("int")
         pivot = (F.col("doc") == F.col("low")) | (F.pmod(F.xxhash64("doc", "node"), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n"))
         name = F.concat_ws(":", "node", "chunk")
         cut = held.withColumn("chunk", spread).select(name.alias("node"), "doc").unionAll(held.where(pivot).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(name.alias("node"), "doc")).distinct()
-        roots = compare(cut).withColumn("node", F.split("node", ":")[0].cast("long"))
+        roots = compare(cut, True).withColumn("node", F.split("node", ":")[0].cast("long"))
+        likeness = roots.groupBy("node").agg(F.avg("cubes").alias("cubes"))
         loose = roots.join(large.select("node", "low"), "node").where("root <> low").select("node", "doc").distinct()
         loose = materialize(loose, "loose")
-        open_ = loose.select("node").distinct()
         if loose.isEmpty():
             break
-        left = held.join(open_, "node")
-        if step + 1 < rounds:
-            own = materialize(left.groupBy("doc").agg(F.collect_list("node").alias("nodes")), "open")
-            members = materialize(_with_text(own, texts, own.count()).select("doc", "text", "nodes").mapInArrow(_deeper, "doc long, node long"), "deeper").distinct()
-            continue
-        # exact: the node's unconnected documents, in blocks, against all of the node, in blocks
+        # comparisons for each document: of paths (a path itself costs about as much as node / 8), of blocks
+        sizes = large.select("node", "n", "trees").join(loose.groupBy("node").agg(F.count(F.lit(1)).alias("loose")), "node").join(likeness, "node")
+        saves = F.expr(f"{_LEVELS[-1]} * trees * (n * cubes + {node / 8}) < loose / 2")
+        sizes = materialize(sizes.withColumn("branch", saves & F.lit(step + 1 < rounds)), "open")
         half = node // 2
-        many = loose.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks"))
-        left = left.join(many, "node").withColumn("chunk", spread)
-        ours = F.pmod(F.xxhash64("doc", F.lit(-1)), F.col("blocks")).cast("int")
-        name = F.concat_ws(":", "node", "chunk", "block")
-        a = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(name.alias("node"), "doc")
-        b = left.join(loose, ["node", "doc"], "left_semi").withColumn("block", ours).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(name.alias("node"), "doc")
-        compare(a.unionAll(b).distinct())
+        many = sizes.where("not branch").select("node", F.ceil(F.col("loose") / half).cast("int").alias("blocks"))
+        if not many.isEmpty():
+            # exact: the node's unconnected documents, in blocks, against all of the node, in blocks
+            left = held.join(many, "node").withColumn("chunk", spread)
+            ours = F.pmod(F.xxhash64("doc", F.lit(-1)), F.col("blocks")).cast("int")
+            name = F.concat_ws(":", "node", "chunk", "block")
+            a = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(name.alias("node"), "doc")
+            b = left.join(loose, ["node", "doc"], "left_semi").withColumn("block", ours).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(name.alias("node"), "doc")
+            compare(a.unionAll(b).distinct())
+        own = materialize(held.join(sizes.where("branch").select("node"), "node").groupBy("doc").agg(F.collect_list(F.struct("node", "trees")).alias("nodes")), "branching")
+        if own.isEmpty():
+            break
+        members = materialize(_with_text(own, texts, own.count()).select("doc", "text", "nodes").mapInArrow(_deeper, "doc long, node long").distinct(), "deeper")
     links = found[0]
     for f in found[1:]:
         links = links.unionAll(f)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _components, embedding_dedup, fingerprint, language, mixing, near_dedup, quality, segmentation, token_counts, toxicity, url_filter
 from graphloom.llm._shingles import shingle_sets
+from graphloom.session import materialize
 
 DATA = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -415,6 +416,57 @@ def test_near_duplicates(spark, node, rounds):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in r)
 
 
+def template_family(shared, own, edits, apart, n=150, seed=9):
+    """Texts of a template whose passages of own words keep them below the threshold, each with a twin just above it."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template = [word() for _ in range(shared)]
+    texts = {}
+    for i in range(0, 2 * n, 2):
+        t = list(template)
+        for _ in range(edits):
+            t[rng.randrange(len(t))] = word()
+        t += [word() for _ in range(own)]
+        twin = list(t)
+        for at in range(apart):
+            twin[(at + 1) * len(t) // (apart + 1)] = word()
+        texts[i], texts[i + 1] = " ".join(t), " ".join(twin)
+    return texts
+
+
+@pytest.mark.parametrize("shared, own, edits, apart, branches", [(300, 0, 4, 4, False), (60, 80, 0, 2, True)])
+def test_twins_of_a_template_family(spark, monkeypatch, shared, own, edits, apart, branches):
+    texts = template_family(shared, own, edits, apart)
+    sets = sets_of(texts)
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    far = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(0, len(texts), 2) for j in range(0, i, 2)]
+    assert sorted(far)[int(0.99 * len(far))] < 0.85 <= min(near) and min(near) < 0.88
+    written = []
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, tag: written.append(tag) or materialize(df, tag))
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
+    r = near_dedup.near_duplicates(d, percent=85, node=12).collect()
+    assert {x["doc_id"]: x["component_id"] for x in r} == brute(sets, 85)
+    assert branches == ("deeper" in written)
+
+
+@pytest.mark.parametrize("trees, least", [(1, 0.93), (3, 0.995)])
+def test_branching_on_keeps_pairs_together(trees, least):
+    """Twins just above the threshold that share one node still share one after three rounds more."""
+    import pyarrow as pa
+
+    texts = list(template_family(130, 0, 3, 2).values())
+    own = [[{"node": 7, "trees": trees}] for _ in texts]
+    for _ in range(3):
+        batch = pa.RecordBatch.from_pydict({"doc": range(len(texts)), "text": texts, "nodes": own})
+        found = defaultdict(set)
+        for b in near_dedup._deeper(iter([batch])):
+            for i, n in zip(b.column("doc").to_pylist(), b.column("node").to_pylist()):
+                found[i].add(n)
+        # only nodes that the twins share matter further
+        own = [[{"node": n, "trees": 1} for n in sorted(found[i] & found[i ^ 1])[:40]] for i in range(len(texts))]
+    assert sum(1 for x in own[::2] if x) >= least * len(texts) / 2
+
+
 def test_beyond_the_broadcast_bounds(spark, monkeypatch):
     """What is larger than a broadcast may be is joined by a shuffle, to the same rows."""
     import corpus_pipeline as cp

@@ -141,6 +141,48 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, self_join: bool = Fal
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def pairwise(vectors: DataFrame, digits: int = 6, block: int = 1024) -> DataFrame:
+    """(a, b, sim): the cosine of all pairs of vectors with ids a < b, as ``cosine`` gives it; null where a vector
+    is null or holds a null, or the lengths differ.
+
+    Vectors are packed into blocks; a task multiplies one block by another, each two blocks once.
+    """
+    n = max(1, -(-vectors.count() // block))
+    packed = vectors.where("id is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("p")).agg(F.collect_list(F.struct("id", "vector")).alias("ps"))
+
+    def rows(items):
+        """The ids, and for each length the places and the scaled vectors."""
+        by: dict = {}
+        for i, x in enumerate(items):
+            if x["vector"] is not None and None not in x["vector"]:
+                by.setdefault(len(x["vector"]), []).append(i)
+        out = {}
+        for size, at in by.items():
+            v = np.array([items[i]["vector"] for i in at], np.float64).reshape(len(at), size)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            out[size] = np.array(at), np.divide(v, length, out=np.zeros_like(v), where=length != 0)
+        return np.array([x["id"] for x in items], np.int64), out
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (p, ps), (q, qs) = (batch.column(c)[k].as_py() for c in ("p", "ps")), (batch.column(c)[k].as_py() for c in ("q", "qs"))
+                (pi, px), (qi, qx) = rows(ps), rows(qs)
+                sim, known = np.zeros((len(pi), len(qi))), np.zeros((len(pi), len(qi)), bool)
+                for size in px.keys() & qx.keys():
+                    (at, v), (to, w) = px[size], qx[size]
+                    sim[np.ix_(at, to)] = np.round(np.clip(v @ w.T, -1, 1), digits) + 0.0 if size else 1.0
+                    known[np.ix_(at, to)] = True
+                for lo in range(0, len(pi), 64):
+                    # two rows of one id are no pair; they are in one block
+                    a, b = np.broadcast_arrays(pi[lo : lo + 64, None], qi[None, :])
+                    keep = a < b if p == q else np.ones(a.shape, bool)
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[keep]), "b": pa.array(np.maximum(a, b)[keep]), "sim": pa.array(sim[lo : lo + 64][keep], mask=~known[lo : lo + 64][keep])})
+
+    pairs = packed.crossJoin(packed.withColumnsRenamed({"p": "q", "ps": "qs"})).where("p <= q")
+    return pairs.repartition(min(4096, n * (n + 1) // 2)).mapInArrow(multiply, "a long, b long, sim double")
+
+
 def two_stage(vectors: DataFrame, query: list[float], recall: int, k: int, short: int) -> DataFrame:
     """Recall by the first ``short`` components, then rerank by the whole vector."""
     first = search(vectors.withColumn("whole", F.col("vector")).withColumn("vector", F.slice("vector", 1, short)), query[:short], recall)

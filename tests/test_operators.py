@@ -60,6 +60,33 @@ def test_search_and_knn(spark):
     assert pairs(blocks) == pairs(vectors.knn_join(v, v, 2, self_join=True))
 
 
+def test_pairwise_gives_every_pair(spark):
+    rng = random.Random(4)
+    own = {i * 3 - 40: [rng.uniform(-1, 1) for _ in range(5)] for i in range(40)}
+    odd = {200: [0.0] * 5, 201: None, 202: [], 203: [], 204: [1.0, 2.0], 205: [1.0, None, 0.0, 0.0, 0.0]}
+    rows = [*own.items(), *odd.items(), (None, [1.0] * 5), (200, [0.0] * 5)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+
+    def cosine(x, y):
+        if x is None or y is None or None in x + y or len(x) != len(y):
+            return None
+        norm = math.sqrt(sum(c * c for c in x) * sum(c * c for c in y))
+        return round(sum(c * d for c, d in zip(x, y)) / norm, 5) + 0.0 if norm else 0.0 if x else 1.0
+
+    want = [(i, j, cosine(x, y)) for i, x in rows for j, y in rows if i is not None and j is not None and i < j]
+    for block in (1024, 7):
+        got = vectors.pairwise(v, digits=5, block=block).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_pairwise_query_crosses_labels(spark, tmp_path):
+    from graphloom.plans.registry import queries
+
+    spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(6)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries()["pairwise_all"](spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(i, j) for j in range(6) for i in range(j)} and len(got) == 15
+
+
 def test_payloads(spark):
     d = spark.createDataFrame([("v1", "A", 0.8, 1), ("v2", "B", 0.9, 2)], "id string, category string, score double, n long")
     d = d.select("id", F.create_map(F.lit("category"), predicates.string(F.col("category")), F.lit("score"), predicates.number(F.col("score")), F.lit("n"), predicates.integer(F.col("n"))).alias("fields"))

@@ -312,36 +312,70 @@ def all_segmentations(text, v, pieces):
     return {ids: lp - z for ids, lp in out}
 
 
-def test_samples_follow_the_lattice(vocabulary):
+def rows_of(lat, f, n):
+    ids, ends = segmentation.ids_of(lat, f["path"], n)
+    return {r: tuple(ids[([0] + ends.tolist())[r] : ends[r]].tolist()) for r in f["rows"].tolist()}
+
+
+def test_the_whole_vocabulary_is_used(vocabulary):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=segmentation.MODEL)
+    known = set(vocabulary["ids"].tolist())
+    assert known == {i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    assert any(sp.id_to_piece(i).startswith("▁▁") for i in known)
+
+
+@pytest.mark.parametrize("text", ["the", "a é∑", "hat\nx", "a   of", "  b", "c  ", " \n  "])
+def test_samples_follow_the_lattice(vocabulary, text):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=segmentation.MODEL)
     known = set(vocabulary["ids"].tolist())
     pieces = {sp.id_to_piece(i).replace("▁", " "): i for i in known}
-    n = 6000
-    for text in ("the", "a é∑", "hat\nx"):
-        want = all_segmentations(text, vocabulary, pieces)
-        k = 3
-        lat, found, limit = segmentation.sample([text] * n, np.arange(n), k, vocabulary, 9)
-        seen = [[] for _ in range(n)]
-        for f in found:
-            ids, row = segmentation.ids_of(lat, f["path"], vocabulary)
-            lo, hi = np.searchsorted(row, f["rows"]), np.searchsorted(row, f["rows"], side="right")
-            for r, a, b, lp in zip(f["rows"], lo, hi, f["logp"]):
-                got = tuple(ids[a:b].tolist())
-                assert lp == pytest.approx(want[got], abs=2e-3)
-                seen[r].append(got)
-        assert all(len(set(s)) == len(s) == min(k, len(want)) for s in seen)
-        first = Counter(s[0] for s in seen)
+    n, k = 6000, 3
+    want = all_segmentations(text, vocabulary, pieces)
+    lat = segmentation.Units(vocabulary)
+    found, limit = segmentation.sample([text] * n, np.arange(n), k, lat, 9)
+    seen = [[] for _ in range(n)]
+    for f in found:
+        rows = rows_of(lat, f, n)
+        for r, lp in zip(f["rows"].tolist(), f["logp"].tolist()):
+            assert lp == pytest.approx(want[rows[r]], abs=2e-3)
+            seen[r].append(rows[r])
+    assert all(len(set(s)) == len(s) == min(k, len(want)) for s in seen)
+    first = Counter(s[0] for s in seen)
+    for ids, lp in want.items():
+        p = math.exp(lp)
+        assert abs(first[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+    if len(want) > 1:
+        second = Counter(s[1] for s in seen)
         for ids, lp in want.items():
-            p = math.exp(lp)
-            assert abs(first[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
-        if len(want) > 1:
-            second = Counter(s[1] for s in seen)
-            for ids, lp in want.items():
-                p = sum(math.exp(o) * math.exp(lp) / sum(math.exp(z) for y, z in want.items() if y != x) for x, o in want.items() if x != ids)
-                assert abs(second[ids] / n - p) < 5 * math.sqrt(max(p * (1 - p), 0) / n) + 2e-3
-        assert np.isfinite(limit).all() == (len(want) > k)
+            p = sum(math.exp(o) * math.exp(lp) / sum(math.exp(z) for y, z in want.items() if y != x) for x, o in want.items() if x != ids)
+            assert abs(second[ids] / n - p) < 5 * math.sqrt(max(p * (1 - p), 0) / n) + 2e-3
+    assert np.isfinite(limit).all() == (len(want) > k)
+
+
+def test_samples_do_not_depend_on_chunks(vocabulary, monkeypatch):
+    """Equal numbers whatever the chunk and the kept units are, also where units are dropped all the time or all hashes are equal."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the ", "of ", "Haus", "é", "  ", "\n", "x" * rng.randrange(1, 30), "▁", "ing", "∑"]) for _ in range(rng.randrange(60))) for _ in range(120)]
+    keys = np.arange(120)
+
+    def run(size, limit):
+        lat, out = segmentation.Units(vocabulary, limit), []
+        for at in range(0, 120, size):
+            part = texts[at : at + size]
+            found, left = segmentation.sample(part, keys[at : at + size], 2, lat, 4)
+            for r, f in enumerate(found):
+                ids = rows_of(lat, f, len(part))
+                out += [(at + i, r, s, lp, ids[i], left[i]) for i, s, lp in zip(f["rows"].tolist(), f["score"].tolist(), f["logp"].tolist())]
+        return sorted(out)
+
+    want = run(120, 10**9)
+    assert run(7, 200) == want and run(1, 0) == want
+    monkeypatch.setattr(segmentation, "unit_hashes", lambda c, begin, lengths: lengths.astype(np.uint64) % np.uint64(3))
+    assert run(20, 10**9) == want
 
 
 def test_segment_and_decode(spark):

@@ -1,6 +1,6 @@
 """Document fingerprints (native): an invertible Bloom lookup sketch of a text's paragraphs.
 
-A text is cut at line breaks and sentence ends; each distinct piece gives a key: 40 bits of hash
+A text is cut at line breaks and sentence ends (long pieces further, at places that their words choose); each distinct piece gives a key: 40 bits of hash
 and 24 check bits of that hash. A block has 4 subtables of 4 cells; a key is xor-ed into one cell of each
 subtable. Sketches of two versions subtract cell by cell (xor), shared keys cancel, and peeling
 recovers the keys that only one of them has: a cell whose check bits fit holds a single key, which
@@ -10,7 +10,9 @@ pair is then sketched again with twice the blocks, until it peels.
 Likeness = shared pieces / all pieces (Jaccard), from the piece counts and the recovered difference.
 
 Defined results for odd input: a null text is an empty text; two empty texts are alike (1.0); pieces
-count once however often they repeat; equal texts have equal sketches; extra columns are left out.
+count once however often they repeat; equal texts have equal sketches; rows with a null doc_id come last and rows of one
+doc_id follow each other by the hash of their texts, repeated rows each by the next; a very long text is one row and one
+task's memory, its pieces are numbers; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import materialize
+
 #: Cells of a block: four subtables of four.
 CELLS = 16
 #: Bits of a key: 0-23 check the rest; 24-31 choose the cells, 32 and up the block.
@@ -26,6 +30,10 @@ CHECK_BITS, SLOT_SHIFT, BLOCK_SHIFT = 24, 24, 32
 LOAD = 4
 ROUNDS = 10
 RETRIES = 4
+#: Characters of a piece that is not cut further.
+LONG = 400
+#: Rows of a range of keys, about, and ranges at most (their bounds, 24 bytes each, are on the driver and in the plan).
+RANGE_ROWS, MAX_RANGES = 2_000, 50_000
 
 
 def _check(key: str) -> str:
@@ -33,9 +41,23 @@ def _check(key: str) -> str:
     return f"(xxhash64(shiftright({key}, {CHECK_BITS})) & {(1 << CHECK_BITS) - 1}L)"
 
 
+def _cut_by_hash(items: Column, one_in: int, between: str) -> Column:
+    """The items joined again, and cut behind those that their hash chooses: the same places wherever a run of them occurs."""
+    end = lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(one_in)) == 0, "\n").otherwise(between)
+    return F.split(F.array_join(F.transform(items, lambda w: F.concat(w, end(w))), ""), "\n")
+
+
+def _shorter(cut: Column, longest: int, parts) -> Column:
+    """``cut`` with ``parts`` of those pieces that are longer than ``longest``."""
+    return F.flatten(F.transform(cut, lambda s: F.when(F.length(s) > longest, parts(s)).otherwise(F.array(s))))
+
+
 def pieces(text: Column) -> Column:
-    """Distinct keys of a text's paragraphs, cut further at sentence ends."""
+    """Distinct keys of a text's paragraphs, cut further at sentence ends. What stays longer than ``LONG`` is cut behind
+    words that their hash chooses, and what stays longer than four times that behind such characters."""
     cut = F.split(F.coalesce(text, F.lit("")), r"\n+|(?<=[.!?])[ \t]+")
+    cut = _shorter(cut, LONG, lambda s: _cut_by_hash(F.split(s, r"\s+"), 8, " "))
+    cut = _shorter(cut, 4 * LONG, lambda s: _cut_by_hash(F.split(s, ""), 32, ""))
     high = F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s).bitwiseAND(F.lit(-(1 << CHECK_BITS)))))
     high = F.array_except(high, F.array(F.xxhash64(F.lit("")).bitwiseAND(F.lit(-(1 << CHECK_BITS)))))
     return F.transform(high, lambda k: k + F.xxhash64(F.shiftright(k, CHECK_BITS)).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)))
@@ -108,33 +130,47 @@ def likeness(a: str, b: str, d: str) -> Column:
     return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, (size({a}) + size({b}) - {d}) / cast(size({a}) + size({b}) + {d} as double))")
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = 256) -> DataFrame:
-    """(doc_id, text, next_text): the text of the row with the next smaller key, and for the last
-    row the first row's. Null keys come last; equal keys follow each other by text.
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = RANGE_ROWS, ranges: int = MAX_RANGES) -> DataFrame:
+    """(doc_id, text, next_text, copies): the text of the row with the next smaller key, and for the last
+    row the first row's. Null keys come last; equal keys follow each other by their texts' hashes. ``copies`` rows are equal.
 
-    Keys are dealt to buckets of consecutive keys, so a window holds ``bucket`` keys at most. The
-    last row of a bucket needs the first row of the next bucket that has rows: those rows (one for
-    each bucket) are added to the bucket above as ghosts. Their order is found among buckets of
-    buckets in the same way.
+    Rows are dealt to ranges of (key, hash of the text), whose bounds come from a range partitioning of these
+    numbers alone, so neither sparse keys nor many rows of one key make a range large. A window works
+    inside a range only. A range's last row needs the first row of the range that follows: that one is added to it as a
+    ghost. Equal rows that are more than a range holds (at most ``ranges`` such groups) are counted, and go on as
+    two: one in its place, and one that stands for the others, each followed by its equal.
     """
-    d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("b", F.floor(F.coalesce(F.col("k"), F.lit(-(1 << 62))) / bucket))
-    d = d.withColumn("t", F.coalesce("t", F.lit("")))
-    heads = d.groupBy("b").agg(F.max("k").alias("k"))
-    top = F.floor(F.col("b") / 4096)
-    tops = heads.groupBy(top.alias("s")).agg(F.min("b").alias("low"))
-    # the bucket above: within a bucket of buckets by a window, across them by a window over their lowest buckets
-    w = Window.partitionBy("s").orderBy("b")
-    w_all = Window.orderBy("s")
-    inner = heads.withColumn("s", top).withColumn("above", F.lead("b").over(w))
-    edges = tops.withColumn("next_low", F.lead("low").over(w_all)).withColumn("first_low", F.min("low").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    linked = inner.join(edges, "s").select("k", F.col("b").alias("own"), F.coalesce("above", "next_low", "first_low").alias("b"))
-    count = heads.count()
-    linked = F.broadcast(linked) if count * 64 <= (32 << 20) else linked
-    first_text = d.join(linked.withColumnRenamed("b", "goes"), (d["b"] == F.col("own")) & d["k"].eqNullSafe(linked["k"])).groupBy("goes").agg(F.min("t").alias("t"))
-    ghosts = first_text.select(F.lit(None).cast("long").alias("k"), "t", F.col("goes").alias("b"), F.lit(1).alias("ghost"))
-    every = d.withColumn("ghost", F.lit(0)).unionByName(ghosts)
-    order = Window.partitionBy("b").orderBy("ghost", F.col("k").desc_nulls_last(), "t")
-    return every.withColumn("next_text", F.lead("t").over(order)).where("ghost = 0").select(F.col("k").alias(key), F.col("t").alias(text), "next_text")
+    spark = docs.sparkSession
+    d = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # in ascending order: no key, then ~key (which is -key - 1 and cannot overflow), then the hash
+    place = ["n", "d", "h"]
+    d = d.select("k", "t", F.col("k").isNull().alias("n"), F.bitwise_not(F.coalesce("k", F.lit(0).cast("long"))).alias("d"), F.xxhash64("t").alias("h"))
+    light = materialize(d.select(*place), "places")
+    total = light.count()
+    rows = max(rows, -(-total // ranges))
+    d = d.withColumn("copies", F.lit(1).cast("long"))
+    hot = materialize(light.groupBy(*place).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows).drop("c"), "hot")
+    if not hot.isEmpty():
+        many = d.join(F.broadcast(hot), place, "left_semi").groupBy("k", "t", *place).agg(F.sum("copies").alias("c"))
+        many = materialize(many, "many")
+        light = light.join(F.broadcast(hot), place, "left_anti").unionAll(hot)
+        d = d.join(F.broadcast(hot), place, "left_anti").select("k", "t", *place, "copies").unionAll(many.select("k", "t", *place, F.lit(1).cast("long")))
+    ranged = light.repartitionByRange(max(1, -(-total // rows)), *place).groupBy(F.spark_partition_id().alias("r")).agg(F.min(F.struct(*place)).alias("head"))
+    heads = sorted((r["head"]["n"], r["head"]["d"], r["head"]["h"]) for r in ranged.collect())
+    if not heads:
+        return d.select(F.col("k").alias(key), F.col("t").alias(text), F.lit(None).cast("string").alias("next_text"), "copies")
+    # a row's range is the last one whose first row is not behind it: found by halving, among bounds that are one constant
+    bounds = "from_json('[" + ",".join(f'{{"n":{str(n).lower()},"d":{x},"h":{h}}}' for n, x, h in heads) + "]', 'array<struct<n:boolean,d:bigint,h:bigint>>')"
+    steps = ", ".join(str(1 << i) for i in reversed(range(len(heads).bit_length())))
+    d = d.withColumn("b", F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(get({bounds}, p + s) <= struct(n, d, h), p + s, p))"))
+    first = spark.createDataFrame([(*x, (i - 1) % len(heads)) for i, x in enumerate(heads)], "n boolean, d long, h long, goes int")
+    ghosts = d.join(F.broadcast(first), place).groupBy("goes").agg(F.min("t").alias("t"))
+    ghosts = ghosts.select(F.lit(None).cast("long").alias("k"), "t", F.lit(None).cast("boolean").alias("n"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("h"), F.lit(0).cast("long").alias("copies"), F.col("goes").alias("b"), F.lit(1).alias("ghost"))
+    every = d.select("k", "t", *place, "copies", "b", F.lit(0).alias("ghost")).unionAll(ghosts)
+    out = every.withColumn("x", F.lead("t").over(Window.partitionBy("b").orderBy("ghost", *place, "t"))).where("ghost = 0").select("k", "t", "x", "copies")
+    if not hot.isEmpty():
+        out = out.unionAll(many.where("c > 1").select("k", "t", F.col("t").alias("x"), (F.col("c") - 1).alias("copies")))
+    return out.select(F.col("k").alias(key), F.col("t").alias(text), F.col("x").alias("next_text"), "copies")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -147,14 +183,16 @@ def edited(text: Column, next_text: Column) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
     the sizes of the recovered differences, for every whole text."""
-    d = with_next(docs, key, text).select(F.col(key), F.col(text).alias("t"), F.col("next_text").alias("x"))
+    d = with_next(docs, key, text).select(F.col(key), F.col(text).alias("t"), F.col("next_text").alias("x"), F.col("copies").alias("copies_"))
     d = d.withColumn("e", edited(F.col("t"), F.col("x")))
-    d = d.select(key, F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), pieces(F.col("t")).alias("a"), pieces(F.col("e")).alias("b"), pieces(F.col("x")).alias("c"))
+    d = d.select(key, "copies_", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), pieces(F.col("t")).alias("a"), pieces(F.col("e")).alias("b"), pieces(F.col("x")).alias("c"))
     for v in "abc":
         d = d.withColumn(f"s{v}", F.expr(_cells(v)))
     d = with_difference(d, "a", "b", "sa", "sb", "de")
     d = with_difference(d, "a", "c", "sa", "sc", "dn")
-    return d.select(
+    # rows that stand for several equal ones
+    once = F.when(F.col("copies_") > 1, F.sequence(F.lit(1).cast("long"), F.col("copies_"))).otherwise(F.array(F.lit(1).cast("long")))
+    return d.withColumn("copy_", F.explode(once)).select(
         key,
         "n_chars",
         "edited_sha256",

@@ -99,40 +99,84 @@ def test_bloom_filter_passes_all_listed_and_few_others(spark):
 # op2 ----------------------------------------------------------------------------------------------
 
 
+def xx(t):
+    """The engine's 64-bit hash of a string, signed."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).view(np.int64))
+
+
+def cut_by_hash(items, one_in, between):
+    return "".join(w + ("\n" if xx(w) % one_in == 0 else between) for w in items).split("\n")
+
+
 def pieces(t):
-    return {p for p in re.split(r"\n+|(?<=[.!?])[ \t]+", t or "") if p}
+    out = []
+    for p in re.split(r"\n+|(?<=[.!?])[ \t]+", t or ""):
+        for q in cut_by_hash(re.split(r"[ \t\n\x0b\f\r]+", p), 8, " ") if len(p) > 400 else [p]:
+            out += cut_by_hash(q, 32, "") if len(q) > 1600 else [q]
+    return {p for p in out if p}
+
+
+def in_order(rows):
+    """Rows (key, text) as the fingerprints follow each other."""
+    return sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), xx(r[1]), r[1]))
+
+
+def brute_fingerprints(rows):
+    """(key, n_chars, edited_sha256, near_edited, near_next, edited_difference) of every row."""
+    rows, out = in_order(rows), []
+    near = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for i, (k, t) in enumerate(rows):
+        n = rows[(i + 1) % len(rows)][1]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        out.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(near(pieces(t), pieces(e)), 9), round(near(pieces(t), pieces(n)), 9), len(pieces(t) ^ pieces(e))))
+    return sorted(out, key=str)
+
+
+def see_fingerprints(d):
+    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9), r["edited_difference"]) for r in fingerprint.fingerprints(d).collect()), key=str)
 
 
 def test_fingerprints(spark):
     rng = random.Random(2)
     texts = ["\n".join(f"line {rng.randrange(400)} of it." for _ in range(rng.choice([0, 1, 3, 40, 300]))) for _ in range(60)]
+    texts += [" ".join(f"word{rng.randrange(40)}" for _ in range(rng.randrange(400))) for _ in range(10)] + ["ab" * 3000, "The " * 500, "".join(rng.choice("日月火水木金土曜") for _ in range(3000))]
     d = spark.createDataFrame([(i * 37, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert see_fingerprints(d) == brute_fingerprints([(i * 37, t) for i, t in enumerate(texts)])
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(d).collect()}
-    order = sorted(range(60), key=lambda i: -i)
+    order = sorted(range(len(texts)), key=lambda i: -i)
     for at, i in enumerate(order):
-        t, n = texts[i], texts[order[(at + 1) % 60]]
-        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        r, near = got[i * 37], lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(near(pieces(t), pieces(e))) and r["near_next"] == pytest.approx(near(pieces(t), pieces(n)))
-        assert r["edited_difference"] == len(pieces(t) ^ pieces(e))
+        t, n = texts[i], texts[order[(at + 1) % len(texts)]]
+        r, e = got[i * 37], t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (pieces(t) == pieces(e))
+    assert all(0 < got[i * 37]["near_edited"] < 1 for i in range(60, 70) if len(texts[i]) > 1000)
 
 
 def test_fingerprints_of_odd_input(spark):
     r = fingerprint.fingerprints(odd(spark)).collect()
     assert len(r) == 10 and {x["n_chars"] for x in r if x["doc_id"] == 2} == {0}
     assert len({x["fingerprint"] for x in r if x["doc_id"] == 1}) == 1
+    assert see_fingerprints(odd(spark)) == brute_fingerprints([(r["doc_id"], r["text"]) for r in odd(spark).collect()])
     assert fingerprint.fingerprints(empty(spark)).count() == 0
     assert fingerprint.fingerprints(odd(spark).where("doc_id = 8")).first()["near_next"] == 1.0
 
 
-def test_next_across_buckets(spark):
-    ids = random.Random(1).sample(range(-5000, 50000), 300)
-    d = spark.createDataFrame([(i, f"t{i}", "en", "a", 0) for i in ids], SCHEMA)
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(d, bucket=8).collect()}
-    s = sorted(ids, reverse=True)
-    assert got == {a: f"t{b}" for a, b in zip(s, s[1:] + s[:1])}
+@pytest.mark.parametrize("kind", ["dense", "hashed", "hot", "copies"])
+def test_next_in_small_ranges(spark, kind):
+    """Sparse (hashed) keys, and many rows of a null or repeated key, with different texts or equal ones."""
+    rng = random.Random(1)
+    ids = {"dense": lambda: rng.randrange(-150, 150), "hashed": lambda: rng.randrange(-(1 << 63), 1 << 63)}.get(kind, lambda: rng.choice([None, None, 7, rng.randrange(40)]))
+    rows = [(ids(), "same" if kind == "copies" and i % 2 else f"t{i}") for i in range(300)]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = fingerprint.with_next(d, rows=8)
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and all("], [b#" in line for line in windows)
+    seen = Counter()
+    for r in got.collect():
+        seen[r["doc_id"], r["text"], r["next_text"]] += r["copies"]
+    s = in_order(rows)
+    assert seen == Counter((*a, b[1]) for a, b in zip(s, s[1:] + s[:1]))
 
 
 # op3 ----------------------------------------------------------------------------------------------

@@ -2,12 +2,13 @@
 character trigrams and whole words, and Viterbi with a switching penalty labels the spans of a text
 that mixes languages.
 
-Fitted on a bounded sample: about ``PER_LANGUAGE`` documents of each language at most.
+Fitted on a bounded sample: about ``PER_LANGUAGE`` documents of each language at most; more languages than
+``_sample.MAX_CLASSES`` are refused.
 
-Defined results for odd input: a text that is null or has no letter is ``und`` with score 0 and no
-spans; ties go to the language that comes first by code point; without any training row every text
-is ``und``; repeated rows get equal results; an empty table gives an empty result; extra columns
-are left out.
+Defined results for odd input: a text that is null or has no letter (numerals such as one half or a circled one are none) is
+``und`` with score 0 and no spans; ties go to the language that comes first by code point; without any training row every text
+is ``und``; repeated rows get equal results; rows with a null language are not learned from, whatever rows share their key; very long
+texts are worked on whole, in a chunk of their own; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -33,10 +34,16 @@ CHUNK_CHARS = 1_000_000
 #: First code points of script ranges (Latin, Greek, Cyrillic, Armenian, Hebrew,
 #: Arabic, Indic, Thai to Georgian, Hangul Jamo, other, kana, Han, Hangul, Latin again).
 SCRIPT_STARTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0x1100, 0x1200, 0x3040, 0x3100, 0xAC00, 0xD800])
+#: Runs of letters, and of numerals that are neither digits nor letters: those without a letter are no words.
 _WORD = re.compile(r"[^\W\d_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+def lettered(words: list[str]) -> np.ndarray:
+    """Whether each word has a letter."""
+    return np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all character trigrams (with word ends) of the words, where each word's begin, and
     the bucket of each whole word."""
@@ -66,9 +73,9 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarra
     order = np.argsort(-lengths, kind="stable")
     begin = (np.cumsum(lengths) - lengths)[order]
     active = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), side="right")
-    back, path = np.zeros(score.shape, np.int8), np.zeros(len(score), np.int8)
+    back, path = np.zeros(score.shape, np.int16), np.zeros(len(score), np.int16)
     now = np.zeros((len(lengths), score.shape[1]))
-    own = np.arange(score.shape[1], dtype=np.int8)
+    own = np.arange(score.shape[1], dtype=np.int16)
     for t, k in enumerate(active):
         at = begin[:k] + t
         if t:
@@ -94,9 +101,15 @@ def label(texts: list[str | None], model: dict, penalty: float = SWITCH) -> list
     found = [_WORD.findall(t.lower()) if t and langs else [] for t in texts]
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     out: list[tuple[str, float, list]] = [("und", 0.0, [])] * len(texts)
-    if not lengths.sum():
-        return out
     codes, distinct = pd.factorize(np.array([w for ws in found for w in ws], dtype=object))
+    rows = np.repeat(np.arange(len(texts)), lengths)
+    keep = lettered(distinct)
+    if not keep.all():
+        at = keep[codes]
+        codes, rows = (np.cumsum(keep) - 1)[codes[at]], rows[at]
+        distinct, lengths = distinct[keep], np.bincount(rows, minlength=len(texts))
+    if not len(codes):
+        return out
     distinct = list(distinct)
     g, starts, whole = grams(distinct)
     s = np.add.reduceat(model["gram"][g], starts, axis=0) + model["word"][whole]
@@ -104,7 +117,6 @@ def label(texts: list[str | None], model: dict, penalty: float = SWITCH) -> list
     s = np.where(allowed | ~allowed.any(1)[:, None], s, -1e4)
     letters = np.fromiter(map(len, distinct), np.int64, len(distinct))[codes]
     path = viterbi(s[codes], lengths, penalty)
-    rows = np.repeat(np.arange(len(texts)), lengths)
     share = np.bincount(rows * len(langs) + path, letters, len(texts) * len(langs)).reshape(len(texts), -1)
     total = share.sum(1)
     best = share.argmax(1)
@@ -121,12 +133,12 @@ def label(texts: list[str | None], model: dict, penalty: float = SWITCH) -> list
     return out
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about CHUNK_CHARS characters."""
+def chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``chars`` characters."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t) if t else 0
-        if size >= CHUNK_CHARS:
+        if size >= chars:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -145,6 +157,7 @@ def fit(sample: DataFrame, text: str, lang: str) -> dict:
         for b in batches:
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = _WORD.findall(t.lower()) if t else []
+                words = [w for w, ok in zip(words, lettered(words).tolist()) if ok]
                 if words:
                     g, _, whole = grams(words)
                     x = sums.setdefault(name, np.zeros((2, BUCKETS)))
@@ -180,15 +193,16 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     of the text's letters in spans of the predicted language.
     """
     spark = docs.sparkSession
-    learn = docs.where(_sample.remainder(F.col(key), held[0]) != held[1])
-    sample, _ = _sample.sampled(docs, learn.select(key, lang), key, text, lang, per_language)
+    sample, _ = _sample.sampled_rows(docs.where(_sample.remainder(F.col(key), held[0]) != held[1]), key, text, lang, per_language)
     model = spark.sparkContext.broadcast(fit(sample, "text", lang))
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>")
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # a word has a number for each language
+        chars = CHUNK_CHARS * 8 // max(8, len(model.value["langs"]))
         for series in batches:
             texts, out = series.tolist(), []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, chars):
                 out += label(texts[a:b], model.value, penalty)
             yield pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "spans": [[{"start": s, "words": n, "lang": v} for s, n, v in x[2]] for x in out]})
             trim()

@@ -9,9 +9,9 @@ P(grade >= keep_from) come from the fitted model.
 Fitted on a bounded sample: about ``PER_GRADE`` rated documents of each grade at most.
 
 Defined results for odd input: null and empty texts have no features and get the grade that the
-thresholds alone give; ratings that are null do not count; with one grade or none that grade (0) is
-certain; repeated rows get equal results; an empty table gives an empty result; extra columns are
-left out.
+thresholds alone give; ratings that are null do not count, of several ratings of a document the highest does; with one grade
+or none that grade (0) is certain; a tail of exactly 0.5 is kept; repeated rows get equal results; very long texts are scored whole,
+in a chunk of their own, and are left out of the sample; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations

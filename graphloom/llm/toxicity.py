@@ -3,14 +3,16 @@
 Many voters look at a text: fixed lexicons, lexicons mined from the training labels, and patterns.
 A generative label model takes the votes as noisy signs of a hidden class: class-conditional means
 (the voters' accuracies) and a shared covariance (their correlations), estimated by EM, with the
-labels that are known as one more, nearly reliable, sign. A linear classifier over words and votes is then
-trained on the model's posterior labels, and scores every whole text.
+labels that are known as one more, nearly reliable, sign; rows without a label take part in the estimate. A linear
+classifier over words and votes is then trained on the model's posterior labels, and scores every whole text.
 
-Fitted on a bounded sample: about ``PER_CLASS`` rows of each label at most, none of them held out.
+Fitted on a bounded sample: about ``PER_CLASS`` documents of each label and ``UNLABELLED`` without one at most, none of them held out.
 
 Defined results for odd input: null and empty texts have no words and no votes and get the
-classifier's base score; repeated rows get equal scores; without any labels the lexicons alone
-decide; an empty table gives an empty result; extra columns are left out.
+classifier's base score; repeated rows get equal scores, also if their key is null or occurs with other texts; a very long
+text is scored whole (it is one row of one task) and is left out of the sample; of two labels of one document the higher
+counts; without any labels the lexicons alone decide; a score of exactly 0.5 is predicted toxic; an empty table gives an
+empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from graphloom.llm._memory import trim
 
 #: Rows of each label that the fit takes at most, about.
 PER_CLASS = 2500
+#: Rows without a label that the fit takes at most, about, and what one counts against a labelled one.
+UNLABELLED, UNLABELLED_WEIGHT = 2500, 0.3
 #: Words that the classifier knows at most.
 VOCABULARY = 8_000
 MINED_VOTERS, MINED_UNITS = 16, 256
@@ -98,7 +102,7 @@ def label_model(x: np.ndarray, y: np.ndarray, rounds: int = 10, trust: float = 0
     anchored = (y == 1).any() and (y == 0).any()
     for r in range(rounds):
         # known labels start the estimate; rows without one refine it, at a lower weight
-        weight = np.where(known, 1.0, 0.0 if r == 0 else 0.3) if anchored else np.ones(len(x))
+        weight = np.where(known, 1.0, 0.0 if r == 0 else UNLABELLED_WEIGHT) if anchored else np.ones(len(x))
         a, b = weight * q, weight * (1 - q)
         n1, n0 = a.sum() + 1, b.sum() + 1
         m1, m0 = (a @ x + 0.05) / n1, (b @ x + 0.01) / n0
@@ -112,8 +116,8 @@ def label_model(x: np.ndarray, y: np.ndarray, rounds: int = 10, trust: float = 0
 
 
 def fit(sample: pd.DataFrame, counts: dict) -> dict:
-    """Model from a frame (text, label) that was drawn out of ``counts`` rows of each label, which
-    weigh the sampled rows. Keys: lexicons, words, known, votes, bias."""
+    """Model from a frame (text, label; nan where there is none) that was drawn out of ``counts`` rows of each label, which
+    weigh the sampled rows. Keys: lexicons, words, known, votes, mined, share, bias."""
     number: dict[str, int] = {}
     docs, fired = [], []
     for t in sample["text"]:
@@ -122,12 +126,16 @@ def fit(sample: pd.DataFrame, counts: dict) -> dict:
         fired.append([i for i, p in enumerate(_PATTERNS) if t and p.search(t)])
     names, y, n = list(number), sample["label"].to_numpy(float), len(docs)
     fixed = [frozenset(v.split()) for v in LEXICONS.values()]
-    if not n or y.min() == y.max():
+    labelled = ~np.isnan(y)
+    ones, zeros = int((y == 1).sum()), int((y == 0).sum())
+    if not ones or not zeros:
         return {"lexicons": fixed, "words": {}, "known": frozenset(), "votes": [3.0] * len(fixed) + [0.0] * len(_PATTERNS), "mined": frozenset(), "share": 0.0, "bias": -2.0}
     sizes = np.array([len(d) for d in docs])
     row, col = np.repeat(np.arange(n), sizes), np.concatenate(docs)
-    df, hits = np.bincount(col, minlength=len(names)), np.bincount(col, y[row], len(names))
-    lexicons = fixed + mine(names, hits, df - hits, int(y.sum()), int(n - y.sum()))
+    # words count by the labelled rows alone
+    told = labelled[row]
+    df, hits = np.bincount(col[told], minlength=len(names)), np.bincount(col[told], y[row[told]], len(names))
+    lexicons = fixed + mine(names, hits, df - hits, ones, zeros)
     x = np.zeros((n, len(lexicons) + len(_PATTERNS)))
     mined_row = np.zeros(n)
     for i, words in enumerate(lexicons):
@@ -140,7 +148,7 @@ def fit(sample: pd.DataFrame, counts: dict) -> dict:
     for i, p in enumerate(fired):
         x[i, [len(lexicons) + j for j in p]] = 1
     target = label_model(x, y)
-    rate = y.mean()
+    rate = ones / (ones + zeros)
     # the units whose share of label 1 departs most from the sample's, in standard deviations
     far = np.where(df >= 5, np.abs(hits - df * rate) / np.sqrt(np.maximum(df, 1) * rate * (1 - rate)), -1)
     chosen = np.argsort(-far, kind="stable")[:VOCABULARY]
@@ -158,7 +166,8 @@ def fit(sample: pd.DataFrame, counts: dict) -> dict:
     rows = Rows(np.r_[row, on[:, 0], every, every], np.r_[col, v + on[:, 1], np.full(n, v + width), np.full(n, v + width + 1)], np.r_[1 / size[row], np.ones(len(on)), share, np.ones(n)], n, v + width + 2)
     ridge = np.r_[np.full(v, 1e-3), np.full(width + 1, 3e-5), 0.0]
     # each label weighs as much as it does among all labelled rows
-    share_of = np.array([counts.get(0, n - y.sum()) / (n - y.sum()), counts.get(1, y.sum()) / y.sum()])[y.astype(int)]
+    share_of = np.where(y == 1, counts.get(1, ones) / ones, counts.get(0, zeros) / zeros)
+    share_of = np.where(labelled, share_of / share_of[labelled].mean(), UNLABELLED_WEIGHT)
     share_of /= share_of.mean()
     w = adam(lambda w: rows.back(share_of * (sigmoid(rows.dot(w)) - target)) / n + ridge * w, np.zeros(v + width + 2), 200, 0.15)
     vocabulary = {names[i]: k for k, i in enumerate(chosen.tolist())}
@@ -182,14 +191,14 @@ def score(text: str | None, model: dict) -> float:
     return float(sigmoid(model["bias"] + total + sum(model["votes"][i] for i in votes(text, units, model["lexicons"]))))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held: int = 5, per_class: int = PER_CLASS, carry: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held: int = 5, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED, carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``carry``, held_out, score, predicted for every whole text.
 
-    The fit reads the labels of rows whose crc32(key as text) modulo ``held`` is not 0.
+    The fit reads rows whose crc32(key as text) modulo ``held`` is not 0, with their labels or without.
     """
     spark = docs.sparkSession
     learn = labels.select(F.col(key), F.col(label).alias("label")).where(_sample.remainder(F.col(key), held) != 0)
-    sample, counts = _sample.sampled(docs, learn, key, text, "label", per_class)
+    sample, counts = _sample.sampled(docs, learn, key, text, "label", per_class, unlabelled=unlabelled, where=_sample.remainder(F.col(key), held) != 0)
     model = spark.sparkContext.broadcast(fit(sample.toPandas().sort_values(key, kind="stable"), counts))
 
     @F.pandas_udf("double")

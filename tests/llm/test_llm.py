@@ -325,6 +325,155 @@ def test_classifiers_on_odd_input(spark, run):
             assert x["lang_pred"] == "und" and x["score"] == 0
 
 
+def test_toxicity_scores_by_hand(spark):
+    """The score of every text from the fitted weights, word by word."""
+    d, labels = corpus(spark, 300)
+    rows = {r["doc_id"]: r for r in labels.collect()}
+    frame = d.toPandas()
+    frame["label"] = [float(rows[i]["toxic"]) if i % 4 else float("nan") for i in frame["doc_id"]]
+    m = toxicity.fit(frame, {0: 200, 1: 50})
+    for t in frame["text"].tolist() + ["", None, "You are such scum!!! 12"]:
+        words = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        units = set(words)
+        for w in words:
+            units |= {w[:n] + "~" for n in (3, 4, 5, 6, 7) if n < len(w)}
+        seen = [u for u in units if u in m["known"]]
+        z = m["bias"] + sum(m["words"].get(u, 0.0) for u in seen) / math.sqrt(max(1, len(seen)))
+        z += m["share"] * len([u for u in units if u in m["mined"]]) / math.sqrt(max(20, len(units)))
+        z += sum(w for w, lexicon in zip(m["votes"], m["lexicons"]) if any(u in units for u in lexicon))
+        z += sum(w for w, p in zip(m["votes"][len(m["lexicons"]) :], toxicity.PATTERNS.values()) if re.search(p, t or ""))
+        assert toxicity.score(t, m) == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_toxicity_learns_from_rows_without_labels(spark):
+    d, labels = corpus(spark, 400)
+    known = labels.where("doc_id < 60")
+    sample, counts = toxicity._sample.sampled(d, known.withColumnRenamed("toxic", "label"), "doc_id", "text", "label", 1000, unlabelled=1000, where=F.col("doc_id") % 2 == 0)
+    got = sample.collect()
+    assert {r["doc_id"] for r in got if r["label"] is not None} == set(range(60)) and {r["doc_id"] for r in got if r["label"] is None} == set(range(60, 400, 2))
+    r = toxicity.toxicity(d, known).join(labels, "doc_id").where("doc_id >= 60").collect()
+    assert sum(x["predicted"] == x["toxic"] for x in r) / len(r) > 0.95
+
+
+def test_language_scores_by_hand(spark):
+    """Spans and score from the fitted tables, by plain numbers and all paths of short texts."""
+    import itertools
+
+    d, _ = corpus(spark, 60)
+    m = language.fit(d, "text", "lang")
+    full = (1 << 64) - 1
+    m1, m2, m3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+    def bucket(x):
+        return ((x * m1) & full) >> 48
+
+    def score(w):
+        padded, total = "\x02" + w + "\x02", 0.0
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            h = (ord(a) * m1 & full) ^ (ord(b) * m2 & full) ^ (ord(c) * m3 & full)
+            total = total + m["gram"][bucket(h ^ (h >> 29))].astype(float)
+        h = sum(((ord(c) + 7) * m3 & full) ^ ((i + 1) * m2 & full) for i, c in enumerate(w)) & full
+        h = h * m1 & full
+        return total + m["word"][bucket(h ^ (h >> 31))].astype(float)
+
+    for t in ("the river under", "der hauses läuft stone", "Fluss 12 green, froh_under", "happy"):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        s = [score(w) for w in words]
+        value = lambda p: sum(s[i][x] for i, x in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+        path = max(itertools.product(range(2), repeat=len(words)), key=value)
+        letters = Counter()
+        for w, x in zip(words, path):
+            letters[x] += len(w)
+        best = max(letters, key=lambda x: (letters[x], -x))
+        lang, sc, spans = language.label([t], m)[0]
+        assert lang == m["langs"][best] and sc == pytest.approx(letters[best] / sum(letters.values()))
+        assert [x for _, n, x in spans for _ in range(n)] == [m["langs"][x] for x in path]
+
+
+def test_many_languages(spark):
+    """More than a byte can number, none left out; too many are refused."""
+    rng = random.Random(3)
+    words = {i: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for i in range(300)}
+    rows = [(i, " ".join(rng.choice(words[i % 300]) for _ in range(30)), f"l{i % 300:03}", "a", 0) for i in range(1500)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    r = language.identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x["lang_pred"] == x["lang"] for x in r) / len(r) > 0.95 and len({x["lang_pred"] for x in r}) > 200
+    with pytest.raises(ValueError, match="classes"):
+        language.identify(spark.range(1500).selectExpr("id as doc_id", "'a' as text", "cast(id as string) as lang"))
+
+
+def test_letterless_numerals_have_no_language(spark):
+    d, _ = corpus(spark, 60)
+    odd_ones = spark.createDataFrame([(900 + i, t, None, "a", 0) for i, t in enumerate(["½", "x²", "①②", "½ the", "٣", "_", "Ⅷ"])], SCHEMA)
+    got = {r["doc_id"]: r for r in language.identify(d.unionByName(odd_ones)).where("doc_id >= 900").collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(900, 907)] == [True, False, True, False, True, True, True]
+    assert all(r["score"] == 0 and r["spans"] == [] for r in got.values() if r["lang_pred"] == "und")
+
+
+def test_rows_without_a_language_teach_nothing(spark):
+    d, _ = corpus(spark, 80)
+    same = d.withColumn("lang", F.lit(None).cast("string")).withColumn("text", F.lit("zzz qqq xxx"))
+    sample, counts = language._sample.sampled_rows(d.unionByName(same), "doc_id", "text", "lang", 1000)
+    assert {r["text"] for r in sample.collect()}.isdisjoint({"zzz qqq xxx"}) and sum(counts.values()) == 80
+
+
+def test_samples_are_bounded_by_keys(spark):
+    """A key that very many rows share gives one row; more classes than a map of a few are all taken."""
+    d = spark.range(20_000).selectExpr("if(id < 15000, 7, id) as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 300 as int) as label")
+    sample, counts = toxicity._sample.sampled(d, labels, "doc_id", "text", "label", 10)
+    got = sample.collect()
+    assert len(counts) == 300 and len(got) < 300 * 30 and sum(r["doc_id"] == 7 for r in got) <= 1
+    hot = d.where("doc_id = 7").withColumn("text", F.lit("same"))
+    sample, _ = language._sample.sampled_rows(hot, "doc_id", "text", "lang", 100_000)
+    assert sample.count() == 1
+    with pytest.raises(ValueError, match="classes"):
+        toxicity._sample.sampled(d, labels.withColumn("label", F.col("doc_id")), "doc_id", "text", "label", 10)
+
+
+def test_quality_by_hand(spark):
+    """Tail probabilities and grades from the fitted weights, token by token."""
+    texts = ["aaa Bbb, 12 ccc ccc"] * 3 + ["The HOUSE!! is the house... é日 x-1", "", None, " \n\t "] + ["good words here"] * 10 + ["BAD!! $$ 99"] * 10
+    grades = np.array([1, 1, 1, 2, 0, 0, 0] + [2] * 10 + [0] * 10)
+    m = quality.fit(texts, grades)
+    full, p, q = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def kind(ch):
+        c = ord(ch)
+        if c >= 0x3000:
+            c, ch = 0x2FFF, chr(0x2FFF)
+        return 0 if ch.isspace() else 3 if ch.isdigit() else 2 if ch.isupper() else 1 if ch.isalpha() else c if c < 128 else 4
+
+    def hashed(x, salt):
+        return ((x + salt) * p & full) >> (64 - 17)
+
+    def z_of(t):
+        tokens = "".join(ch if kind(ch) else " " for ch in t or "").split()
+        total, last_shape, last_word = 0.0, 0, None
+        for w in tokens:
+            shape, word, runs, before = 0, 0, 0, None
+            for at, ch in enumerate(w):
+                if kind(ch) != before:
+                    x = (kind(ch) + 1) * p * (runs * 2 + 3) & full
+                    shape = shape + (x ^ (x >> 33)) & full
+                    runs, before = runs + 1, kind(ch)
+                low = ord(ch) + 32 if "A" <= ch <= "Z" else ord(ch)
+                x = (low + 11) * q * (at * 2 + 3) & full
+                word = word + (x ^ (x >> 31)) & full
+            pair = (shape * q + last_shape * p + 5) & full
+            total += (m["w"][hashed(shape, 1)] + m["w"][hashed(pair, 2)] + 0.1 * m["w"][hashed(word, 3)] + (m["w"][1] if word == last_word else 0)) / len(tokens)
+            last_shape, last_word = shape, word
+        return total
+
+    got = quality.tails(texts, m)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx([1 / (1 + math.exp(-(z_of(t) - c))) for c in m["cut"]], abs=1e-5)
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    ratings = spark.createDataFrame([(i, int(g)) for i, g in enumerate(grades)], "doc_id long, grade int")
+    for r in quality.grade(d, ratings).collect():
+        assert 0 <= r["tail"] <= 1 and r["keep"] == (r["tail"] >= 0.5) and r["tail"] <= r["expected_grade"] <= 2 * r["tail"] + 1e-9
+
+
 # op5 ----------------------------------------------------------------------------------------------
 
 

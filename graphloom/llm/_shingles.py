@@ -50,10 +50,35 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(raw))
 
 
-def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
+def _parts(text: str, chars: int) -> list[str]:
+    """The text, cut at blanks into parts of about ``chars`` characters (a single longer word stays whole)."""
+    out, at = [], 0
+    while len(text) - at > chars:
+        cut = min((i for i in (text.find(b, at + chars) for b in " \n\t\r\x0b\x0c") if i >= 0), default=len(text))
+        out.append(text[at:cut])
+        at = cut
+    return out + [text[at:]]
+
+
+def shingle_sets(texts: list[str | None], size: int = SIZE, chars: int = 1_000_000) -> list[np.ndarray]:
     """For each text its sorted distinct shingles of ``size`` words; with fewer words, the whole
-    sequence as one; without words none."""
-    h, counts = word_hashes(texts)
+    sequence as one; without words none. Words are hashed about ``chars`` characters at a time (each takes some 40 bytes)."""
+    whole, out, held, n = [t or "" for t in texts], [], [], 0
+    for t in whole:
+        if held and n + len(t) > chars:
+            out += _sets(*word_hashes(held), size)
+            held, n = [], 0
+        if len(t) > chars:
+            h, _ = zip(*(word_hashes([p]) for p in _parts(t, chars)))
+            out += _sets(np.concatenate(h), np.array([sum(map(len, h))]), size)
+        else:
+            held.append(t)
+            n += len(t)
+    return out + _sets(*word_hashes(held), size) if held else out
+
+
+def _sets(h: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Shingles of texts whose word hashes follow each other."""
     step = _STEP if size == SIZE else _constants(size, 2)
     n = len(h) - size + 1
     every = np.zeros(max(0, n), np.uint64)

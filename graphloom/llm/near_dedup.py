@@ -1,9 +1,10 @@
 """MinHash near-duplicates: a chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets form a class, found by a 128-bit sum of the set; only one document of each class goes on.
+Documents with equal shingle sets form a class, found by a 128-bit sum of the set; only one text of each class goes on
+(told apart by its key and hash, so many rows of one key are many texts, and many equal rows are one).
 Independent trees branch the documents by selected minwise tokens: a node of a tree chooses two of
 its coordinates, and a document goes to the child that its minwise token there names. After three
-branchings a node of up to ``NODE`` documents is compared exhaustively on full shingle sets.
+branchings a node of up to ``NODE`` documents and ``SHINGLES`` shingles is compared exhaustively on full shingle sets.
 
 Larger nodes are cut into chunks of that size, each together with a few pivots of the node, and
 compared; a node whose documents all turn out to be connected is done. Of the others, a node is compared block by
@@ -21,7 +22,9 @@ As trees go on branching in two, q falls no lower than (2 s - 1) / s^2, 0.969 an
 node keeps a pair in a round with that chance of three trees.
 
 Defined results for odd input: null and empty texts and texts without words have an empty set, link with nothing
-and are kept; a null key links with nothing and is kept; rows that share a key are one document;
+and are kept; a null key links with nothing and is kept; rows that share a key are one document (if any of its texts links
+with another document, all its rows with words have that component); a text with fewer than five words has one shingle; very long
+texts are compared whole: a node is bounded by its shingles too, and two texts that meet are one task's memory;
 an empty table gives an empty result; extra columns are left out.
 """
 
@@ -43,6 +46,8 @@ from graphloom.session import materialize
 TREES, DEPTH = 3, 3
 #: Documents that a node may hold to be compared exhaustively.
 NODE = 1024
+#: Shingles (8 bytes each, and their texts) that a node of more than two documents may hold to be compared exhaustively.
+SHINGLES = 4_000_000
 #: Shingles of up to so many of a node's documents are counted pair by pair.
 RARE = 16
 PIVOTS = 8
@@ -71,7 +76,7 @@ def paths(sets: list[np.ndarray], seeds: np.ndarray = _SEEDS, root: np.uint64 =
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in slices(batches):
+    for ids, hashes, texts in slices(batches):
         for lo, hi in chunks(texts):
             sets = shingle_sets(texts[lo:hi])
             full = [s for s in sets if len(s)]
@@ -79,7 +84,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(len(s), int(mixed(s).sum(dtype=np.uint64).view(np.int64)), int(mixed(s ^ np.uint64(0x5555)).sum(dtype=np.uint64).view(np.int64)), next(found)) if len(s) else (0, None, None, np.zeros(0, np.int64)) for s in sets]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc": pa.array(ids[lo:hi], pa.int64()),
+                    "key": pa.array(ids[lo:hi], pa.int64()),
+                    "hash": pa.array(hashes[lo:hi], pa.int64()),
                     "n_shingles": pa.array([r[0] for r in rows], pa.int64()),
                     "s1": pa.array([r[1] for r in rows], pa.int64()),
                     "s2": pa.array([r[2] for r in rows], pa.int64()),
@@ -125,17 +131,17 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def connected(ids: list[int], sets: list[np.ndarray], percent: int, likeness: bool = False) -> tuple[list[int], float | None]:
-    """For each document the smallest id that it is connected with by links among these documents;
+def connected(sets: list[np.ndarray], percent: int, likeness: bool = False) -> tuple[list[int], float | None]:
+    """For each of some documents the first that it is connected with by links among them;
     if asked for, the mean third power of the similarity of two of them."""
-    n, size = len(ids), np.array([len(s) for s in sets], float)
+    n, size = len(sets), np.array([len(s) for s in sets], float)
     inter = overlaps(sets)
     union = size[:, None] + size[None, :] - inter
     cubes = (((inter / union) ** 3).sum() - n) / (n * (n - 1)) if likeness else None
     link = 100 * inter >= percent * union
-    root = np.array(ids)
+    root = np.arange(n)
     while True:
-        best = np.where(link, root[None, :], np.iinfo(np.int64).max).min(1)
+        best = np.where(link, root[None, :], n).min(1)
         best = np.minimum(best, root)
         if (best == root).all():
             return root.tolist(), cubes
@@ -144,31 +150,27 @@ def connected(ids: list[int], sets: list[np.ndarray], percent: int, likeness: bo
 
 def _compare(percent: int, likeness: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (node, doc, text), sorted by node, to (node, doc, root, cubes)."""
-        node, ids, texts = None, [], []
+        """Rows (node, key, hash, text), sorted by node, to (node, key, hash, the key and hash of the root, cubes)."""
+        node, uniq = None, {}
 
         def done():
-            uniq: dict = {}
-            for i, t in zip(ids, texts):
-                uniq.setdefault((i, t), None)
             if len(uniq) < 2:
                 return []
-            keys = [k[0] for k in uniq]
-            roots, cubes = connected(keys, shingle_sets([k[1] for k in uniq]), percent, likeness)
-            return [(node, a, r, cubes) for a, r in zip(keys, roots)]
+            found = sorted(uniq)
+            roots, cubes = connected(shingle_sets([uniq[x] for x in found]), percent, likeness)
+            return [(node, *x, *found[r], cubes) for x, r in zip(found, roots)]
 
         def batch(out):
-            n, d, r, c = zip(*out)
-            return pa.RecordBatch.from_pydict({"node": pa.array(n, pa.string()), "doc": pa.array(d, pa.int64()), "root": pa.array(r, pa.int64()), "cubes": pa.array(c, pa.float64())})
+            kinds = {"node": pa.string(), "key": pa.int64(), "hash": pa.int64(), "root_key": pa.int64(), "root_hash": pa.int64(), "cubes": pa.float64()}
+            return pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, t), x in zip(kinds.items(), zip(*out))})
 
         out: list = []
-        for nodes, docs, own in slices(batches):
-            for n, i, t in zip(nodes, docs, own):
+        for rows in slices(batches):
+            for n, i, h, t in zip(*rows):
                 if n != node:
                     out += done()
-                    node, ids, texts = n, [], []
-                ids.append(i)
-                texts.append(t)
+                    node, uniq = n, {}
+                uniq.setdefault((i, h), t)
             if out:
                 yield batch(out)
                 out = []
@@ -180,17 +182,17 @@ def _compare(percent: int, likeness: bool):
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, nodes (node, trees)) to (doc, node): each node three branchings on in trees of its own, by tokens that the node selects."""
-    for ids, texts, nodes in slices(batches):
-        doc, node = [], []
+    """Rows (key, hash, text, nodes (node, trees)) to (key, hash, size, node): each node three branchings on in trees of its own, by tokens that the node selects."""
+    for ids, hashes, texts, nodes in slices(batches):
+        out: list[list] = [[], [], [], []]
         for lo, hi in chunks(texts):
-            for i, s, own in zip(ids[lo:hi], shingle_sets(texts[lo:hi]), nodes[lo:hi]):
+            for i, h, s, own in zip(ids[lo:hi], hashes[lo:hi], shingle_sets(texts[lo:hi]), nodes[lo:hi]):
                 for p in own:
                     root = np.array(p["node"], np.int64).view(np.uint64)
                     found = paths([s], mixed(root + np.arange(1, p["trees"] * sum(_LEVELS) + 1, dtype=np.uint64)), root)[0]
-                    doc += [i] * len(found)
-                    node += found.tolist()
-        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "node": pa.array(node, pa.int64())})
+                    for c, x in zip(out, ([i] * len(found), [h] * len(found), [len(s)] * len(found), found.tolist())):
+                        c += x
+        yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("key", "hash", "size", "node"), out)})
 
 
 def _with_text(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -198,34 +200,62 @@ def _with_text(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return texts.join(F.broadcast(members) if n <= BROADCAST_ROWS else members, "doc")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, node: int = NODE, rounds: int = ROUNDS) -> DataFrame:
+def _doc(key: str = "key", hash_: str = "hash"):
+    """A text's name: its key and hash as one struct."""
+    return F.struct(F.col(key).alias("key"), F.col(hash_).alias("hash")).alias("doc")
+
+
+def _once(texts: DataFrame, features: DataFrame, classes: DataFrame) -> DataFrame:
+    """``texts`` with one row for each of a class's chosen texts that occurs in several rows."""
+    again = features.where("n_shingles > 0").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc")
+    again = materialize(again, "repeated")
+    n = again.count()
+    if not n:
+        return texts
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    # combined before the shuffle: a task gives one row for each
+    one = materialize(texts.join(again, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "once")
+    return texts.join(again, "doc", "left_anti").select("doc", "text").unionAll(one)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, node: int = NODE, rounds: int = ROUNDS, shingles: int = SHINGLES) -> DataFrame:
     """``key``, n_shingles, component_id, kept for every row: documents are linked whose 5-word
     shingle sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    features = materialize(texts.mapInArrow(_features, "doc long, n_shingles long, s1 long, s2 long, paths array<long>"), "features")
-    classes = materialize(features.where("n_shingles > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
-    members = features.join(classes.withColumnRenamed("rep", "doc"), ["doc", "s1", "s2"]).select("doc", F.explode("paths").alias("node"))
+    d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    d = d.select("key", F.xxhash64("text").alias("hash"), "text")
+    features = d.mapInArrow(_features, "key long, hash long, n_shingles long, s1 long, s2 long, paths array<long>")
+    features = materialize(features.select(_doc(), "n_shingles", "s1", "s2", "paths"), "features")
+    texts = d.where("key is not null").select(_doc(), "text")
+    named = features.where("n_shingles > 0 and doc.key is not null")
+    classes = materialize(named.groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
+    every = _once(texts, named, classes)
+    reps = features.join(classes.withColumnRenamed("rep", "doc"), ["doc", "s1", "s2"])
+    if every is not texts:
+        texts, reps = every, reps.dropDuplicates(["doc"])
+    members = reps.select("doc", F.col("n_shingles").alias("size"), F.explode("paths").alias("node"))
     found: list[DataFrame] = []
 
     def compare(chunked: DataFrame, likeness: bool = False) -> DataFrame:
         """Links of the documents (node string, doc) of each node."""
         chunked = materialize(chunked, "members")
-        rows = _with_text(chunked, texts, chunked.count()).select("node", "doc", "text").repartition("node").sortWithinPartitions("node")
-        out = materialize(rows.mapInArrow(_compare(percent, likeness), "node string, doc long, root long, cubes double"), "links")
-        found.append(out.where("root <> doc").select(F.col("root").alias("a"), F.col("doc").alias("b")))
+        rows = _with_text(chunked, texts, chunked.count()).select("node", "doc.key", "doc.hash", "text").repartition("node").sortWithinPartitions("node")
+        out = rows.mapInArrow(_compare(percent, likeness), "node string, key long, hash long, root_key long, root_hash long, cubes double")
+        out = materialize(out.select("node", _doc(), _doc("root_key", "root_hash").alias("root"), "cubes"), "links")
+        found.append(out.where("root.key <> doc.key").select(F.col("root.key").alias("a"), F.col("doc.key").alias("b")))
         return out
 
     for step in range(rounds):
-        nodes = materialize(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("doc"), 20)).alias("sum"), F.min("doc").alias("low")).where("n > 1"), "nodes")
+        nodes = materialize(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.sum(F.shiftright(F.xxhash64("doc"), 20)).alias("sum"), F.min("doc").alias("low")).where("n > 1"), "nodes")
+        fits = f"(n <= {node} and (shingles <= {shingles} or n = 2))"
         # nodes that hold the same documents are compared once
-        small = nodes.where(f"n <= {node}").groupBy("n", "sum", "low").agg(F.min("node").alias("node")).select("node")
+        small = nodes.where(fits).groupBy("n", "sum", "low").agg(F.min("node").alias("node")).select("node")
         compare(members.join(small, "node").select(F.col("node").cast("string").alias("node"), "doc"))
-        large = nodes.where(f"n > {node}")
+        large = nodes.where(f"not {fits}")
         # so are large ones, which branch on in as many trees as they stand for
-        large = large.groupBy("n", "sum", "low").agg(F.min("node").alias("node"), F.least(F.count(F.lit(1)), F.lit(TREES)).cast("int").alias("trees"))
+        large = large.groupBy("n", "shingles", "sum", "low").agg(F.min("node").alias("node"), F.least(F.count(F.lit(1)), F.lit(TREES)).cast("int").alias("trees"))
         if large.isEmpty():
             break
-        held = materialize(members.join(large, "node").withColumn("chunks", F.ceil(F.col("n") / (node // 2)).cast("int")).select("node", "doc", "n", "low", "trees", "chunks"), "large")
+        held = materialize(members.join(large, "node").withColumn("chunks", F.greatest(F.ceil(F.col("n") / (node // 2)), F.ceil(F.col("shingles") / (shingles // 2))).cast("int")).select("node", "doc", "n", "low", "trees", "chunks"), "large")
         spread = F.pmod(F.xxhash64("doc", F.lit(step)), F.col("chunks")).cast("int")
         pivot = (F.col("doc") == F.col("low")) | (F.pmod(F.xxhash64("doc", "node"), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n"))
         name = F.concat_ws(":", "node", "chunk")
@@ -237,11 +267,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         if loose.isEmpty():
             break
         # comparisons for each document: of paths (a path itself costs about as much as node / 8), of blocks
-        sizes = large.select("node", "n", "trees").join(loose.groupBy("node").agg(F.count(F.lit(1)).alias("loose")), "node").join(likeness, "node")
+        sizes = large.select("node", "n", "shingles", "trees").join(loose.groupBy("node").agg(F.count(F.lit(1)).alias("loose")), "node").join(likeness, "node")
         saves = F.expr(f"{_LEVELS[-1]} * trees * (n * cubes + {node / 8}) < loose / 2")
         sizes = materialize(sizes.withColumn("branch", saves & F.lit(step + 1 < rounds)), "open")
         half = node // 2
-        many = sizes.where("not branch").select("node", F.ceil(F.col("loose") / half).cast("int").alias("blocks"))
+        many = sizes.where("not branch").select("node", F.ceil(F.greatest(F.col("loose") / half, F.col("shingles") / (shingles // 2) * F.col("loose") / F.col("n"))).cast("int").alias("blocks"))
         if not many.isEmpty():
             # exact: the node's unconnected documents, in blocks, against all of the node, in blocks
             left = held.join(many, "node").withColumn("chunk", spread)
@@ -253,11 +283,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         own = materialize(held.join(sizes.where("branch").select("node"), "node").groupBy("doc").agg(F.collect_list(F.struct("node", "trees")).alias("nodes")), "branching")
         if own.isEmpty():
             break
-        members = materialize(_with_text(own, texts, own.count()).select("doc", "text", "nodes").mapInArrow(_deeper, "doc long, node long").distinct(), "deeper")
-    links = found[0]
-    for f in found[1:]:
+        deeper = _with_text(own, texts, own.count()).select("doc.key", "doc.hash", "text", "nodes").mapInArrow(_deeper, "key long, hash long, size long, node long")
+        members = materialize(deeper.select(_doc(), "size", "node").distinct(), "deeper")
+    # a key with several classes is one document: each class is linked with it
+    several = named.groupBy("doc.key").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).where("a <> b").select("key")
+    own = named.select("doc.key", "s1", "s2").join(several, "key", "left_semi").distinct().join(classes, ["s1", "s2"])
+    links = own.where("rep.key <> key").select(F.col("rep.key").alias("a"), F.col("key").alias("b"))
+    for f in found:
         links = links.unionAll(f)
-    tops = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = features.select("doc", "n_shingles", "s1", "s2").join(tops, ["s1", "s2"], "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    return out.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    tops = classes.select("s1", "s2", F.col("rep.key").alias("rep")).join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    out = features.select("doc.key", "n_shingles", "s1", "s2").join(tops, ["s1", "s2"], "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))

@@ -684,10 +684,10 @@ def test_branching_on_keeps_pairs_together(trees, least):
     texts = list(template_family(130, 0, 3, 2).values())
     own = [[{"node": 7, "trees": trees}] for _ in texts]
     for _ in range(3):
-        batch = pa.RecordBatch.from_pydict({"doc": range(len(texts)), "text": texts, "nodes": own})
+        batch = pa.RecordBatch.from_pydict({"key": range(len(texts)), "hash": range(len(texts)), "text": texts, "nodes": own})
         found = defaultdict(set)
         for b in near_dedup._deeper(iter([batch])):
-            for i, n in zip(b.column("doc").to_pylist(), b.column("node").to_pylist()):
+            for i, n in zip(b.column("key").to_pylist(), b.column("node").to_pylist()):
                 found[i].add(n)
         # only nodes that the twins share matter further
         own = [[{"node": n, "trees": 1} for n in sorted(found[i] & found[i ^ 1])[:40]] for i in range(len(texts))]
@@ -719,6 +719,49 @@ def test_overlaps_by_both_ways():
     assert all(got[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(40) for b in range(40))
 
 
+def brute_rows(rows, percent):
+    """The component of each key by brute force over rows (key, text), keys of several texts included."""
+    sets = sets_of(dict(enumerate(t for _, t in rows)))
+    root = {k: k for k, _ in rows if k is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (ka, _) in enumerate(rows):
+        for b in range(a):
+            kb = rows[b][0]
+            if ka is not None and kb is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(ka), find(kb)))
+                root[y] = x
+    return [k if k is None or not sets[i] else find(k) for i, (k, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("node, shingles", [(1024, 4_000_000), (12, 4_000_000), (1024, 900)])
+def test_near_duplicates_of_repeated_keys(spark, monkeypatch, node, shingles):
+    """Keys with several texts, rows that repeat, a key that holds a third of all rows; nodes bounded by documents or by shingles."""
+    rng = random.Random(5)
+    rows = [(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "h i j k l m n"), (9, "a b c d e f g"), (5, ""), (None, "a b c d e f g")]
+    texts = list(near_copies(90).values())
+    for t in texts:
+        rows += [(rng.choice([7, rng.randrange(100, 160), rng.randrange(100, 160)]), t)] * rng.choice([1, 1, 1, 4])
+    rows += [(200, texts[1])] * 40
+    d = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in rows], SCHEMA)
+    want = sorted(zip([k for k, _ in rows], brute_rows(rows, 85)), key=str)
+    see = lambda: sorted(((x["doc_id"], x["component_id"]) for x in near_dedup.near_duplicates(d, node=node, shingles=shingles).collect()), key=str)
+    assert see() == want
+    assert {c for k, c in want if k in (3, 5, 9)} == {3, 5} and [c for k, c in want if k == 9] == [3]
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert see() == want
+
+
+def test_shingles_of_a_text_in_parts():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab", "c", " ", "\n", "\t", "é"]) for _ in range(rng.randrange(200))) for _ in range(40)] + ["", None, "x" * 90]
+    assert all((a == b).all() for a, b in zip(shingle_sets(texts), shingle_sets(texts, chars=17)))
+
+
 def test_near_duplicates_odd_input(spark):
     r = near_dedup.near_duplicates(odd(spark)).collect()
     by = {x["doc_id"]: x for x in r}

@@ -813,23 +813,86 @@ def test_rollups(spark, tmp_path):
 # op8 ----------------------------------------------------------------------------------------------
 
 
-def test_embeddings(spark):
-    rng = np.random.default_rng(6)
-    base = rng.normal(size=(60, 24))
-    x = np.concatenate([base, base[:20] + 0.12 * rng.normal(size=(20, 24)), base[:10] * 3, np.repeat(base[:1], 30, 0), base[1] + 0.2 * rng.normal(size=(40, 24))])
-    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(900, None, ""), (901, [0.0] * 24, ""), (902, [float("nan")] + [1.0] * 23, ""), (903, [None] + [1.0] * 23, ""), (904, [], ""), (905, [1.0, 2.0], ""), (None, x[0].tolist(), "")]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_embeddings(d).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    want = sum(got[i]["n_links"] == link[i].sum() for i in range(len(x)))
-    assert want / len(x) > 0.97
-    root = np.arange(len(x))
-    for _ in range(len(x)):
-        root = np.minimum(root, np.where(link, root[None, :], 10**6).min(1))
-    assert sum(got[i]["component_id"] == root[i] for i in range(len(x))) / len(x) > 0.97
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] and got[i]["component_id"] == i for i in range(900, 906))
-    assert embedding_dedup.near_embeddings(d.limit(0)).count() == 0 and embedding_dedup.near_embeddings(d.where("vec_id = 901")).count() == 1
+def brute_embeddings(rows, cosine=0.95):
+    """(id, n_links, component) of rows (id, vector) by all pairs of equal length."""
+    good = [i for i, (k, v) in enumerate(rows) if k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in good}
+    links, root = Counter(), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in good:
+        for b in good:
+            if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine:
+                links[a] += 1
+                links[b] += 1
+                root[find(b)] = find(a)
+    low = {}
+    for i in good:
+        low[find(i)] = min(low.get(find(i), 1 << 60), rows[i][0])
+    return [(k, links[i], low[find(i)] if i in unit else k) for i, (k, _) in enumerate(rows)]
+
+
+def vectors_of(seed=6, dims=24):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(60, dims))
+    return np.concatenate([base, base[:20] + 0.12 * rng.normal(size=(20, dims)), base[:10] * 3, np.repeat(base[:1], 30, 0), base[1] + 0.2 * rng.normal(size=(40, dims))])
+
+
+def see_embeddings(d, **parameters):
+    r = embedding_dedup.near_embeddings(d, **parameters).collect()
+    assert all(x["kept"] == (x["component_id"] == x["vec_id"]) or x["vec_id"] is None for x in r)
+    return sorted(((x["vec_id"], x["n_links"], x["component_id"]) for x in r), key=str)
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+@pytest.mark.parametrize("block, coded", [(1024, 16), (7, 16), (16, 0)])
+def test_embeddings(spark, monkeypatch, kind, block, coded):
+    """Exact on small tables: several vectors of one id, lengths of few vectors, zero and broken vectors, crowded cells in small blocks."""
+    monkeypatch.setattr(embedding_dedup, "CODED", coded)
+    monkeypatch.setattr(embedding_dedup, "CODED_ROWS", 30)
+    x, y = vectors_of(), vectors_of(7, 5)[:25]
+    rows = [(i, v) for i, v in enumerate(np.float32(x).astype(float).tolist())]
+    rows += [(900, None), (901, [0.0] * 24), (902, [float("nan")] + [1.0] * 23), (903, [None] + [1.0] * 23), (904, []), (905, [1.0, 2.0]), (None, rows[0][1]), (906, [float("inf")] + [1.0] * 23)]
+    # lengths of few vectors; one id for many vectors of both lengths
+    rows += [(300 + i, v) for i, v in enumerate(np.float32(y).astype(float).tolist())] + [(700, [1.0, 2.0, 3.0]), (701, [1.0, 2.0, 3.0]), (699, [1.0, 2.0, 3.01])]
+    rows += [(50, v) for _, v in rows[62:75]] + [(50, [3.0, 1.0, 1.0]), (50, [1e-30, 1e-30]), (800, [2e-30, 2e-30])]
+    d = spark.createDataFrame([(i, v, "clash") for i, v in rows], f"vec_id long, embedding array<{kind}>, id string")
+    assert see_embeddings(d, recall=1.0, block=block) == sorted(brute_embeddings(rows), key=str)
+
+
+def test_embeddings_of_one_sided_pairs(spark, monkeypatch):
+    """With few visits a pair that only one side finds counts at both its ends."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(80, 16))
+    x = np.concatenate([base + 0.16 * rng.normal(size=base.shape) for _ in range(5)])
+    models = []
+    fit = embedding_dedup.fit
+    monkeypatch.setattr(embedding_dedup, "fit", lambda *a: models.append({**fit(*a), "visits": 2}) or models[-1])
+    monkeypatch.setattr(embedding_dedup, "CELL", 4)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {i: n for i, n, _ in see_embeddings(d)}
+    u = embedding_dedup.unit(x)
+    cells = embedding_dedup.cells_of(u, models[0])
+    reach = (cells[:, :, None] == cells[None, :, 0][:, None, :]).any(1)
+    link = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert (link & (reach != reach.T)).sum() > 10
+    assert [got[i] for i in range(len(u))] == (link & (reach | reach.T)).sum(1).tolist()
+
+
+def test_embeddings_reach_the_recall(spark):
+    x = np.random.default_rng(3).normal(size=(600, 32))
+    noise = np.random.default_rng(5).normal(size=x.shape)
+    near = x + 0.3 * noise
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = see_embeddings(d), sorted(brute_embeddings(rows), key=str)
+    assert sum(n for _, n, _ in got) >= 0.98 * sum(n for _, n, _ in want) > 400
+    assert embedding_dedup.near_embeddings(d.limit(0)).count() == 0
+    assert see_embeddings(d.where("vec_id = 1")) == [(1, 0, 1)]
 
 
 def test_traversal_visits_the_nearest_cells():

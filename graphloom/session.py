@@ -26,14 +26,16 @@ def get_spark(app: str = "graphloom", master: str = "local[*]", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session, as in tests) a folder of this machine is set as
-    the checkpoint folder and returned.
+    Where the setting is absent the context's checkpoint folder is taken; in a local session (as in tests) without
+    one, a folder of this machine is set. On a cluster that would be a folder which executors do not see: it is refused.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -42,8 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    _written.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def release(spark: SparkSession) -> int:
-    """Deletes the tables that ``materialize`` has written in this process; results that read them must have been taken."""
+    """Deletes what ``materialize`` and users of ``scratch`` have written in this process; results that read it must have been taken."""
     n = 0
     while _written:
         p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -55,9 +63,8 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: the lineage is cut, and a lost
     executor costs only a reread of the file."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

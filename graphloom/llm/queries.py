@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, segmentation, token_counts, toxicity, url_filter
-from graphloom.session import shared_dir, table
+from graphloom.session import scratch, table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -74,7 +72,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents; poor ones (quality 0) revised to single spaces;
     toxic ones deleted. The second batch is sent twice and counts once."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels")
-    store = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    store = token_counts.TokenRollup(spark, scratch(spark, "rollup"))
     store.commit("load", token_counts.insert(docs))
     poor = having(docs, labels.where("quality = 0 and toxic = 0"))
     revised = token_counts.delete(poor).unionByName(token_counts.insert(poor.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))))

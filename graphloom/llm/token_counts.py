@@ -7,20 +7,24 @@ written to ``deltas/batch=<id>``; the write's success marker is the commit. A ba
 already is skipped, one that was cut off is written anew, so every batch counts exactly once, however often
 it is sent and wherever its first run was lost.
 
-Totals are the sum of the committed deltas; ``compact`` replaces many batches by one, under the
-list of the batches it stands for.
+Totals are the sum of the committed deltas; ``compact`` replaces many batches by one folder, whose file
+``_BATCHES`` lists the batches it stands for and is its commit.
 
 Tokenizer versions: ``words@1`` (white-space words, native) and files of public byte-pair
 tokenizers, by path.
 
 Defined results for odd input: null and empty texts count as a document of 0 tokens; null sources and
-languages are groups of their own; totals that return to no document and no token leave no row; repeated
-rows count as often as they are sent; empty batches commit; extra columns are left out.
+languages are groups of their own; totals that return to no document and no token leave no row (negative ones stay); repeated
+rows count as often as they are sent; very long texts are counted whole, a row at a time; sums do not depend on order, so there are
+no ties; batch ids may be long (from 100 bytes on their folder is named by their SHA-256); empty batches commit; an empty store has
+no totals; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,16 +75,33 @@ class TokenRollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    @staticmethod
+    def _name(batch: str) -> str:
+        """What a batch is called in folder names and lists."""
+        return batch if len(batch.encode()) < 100 else "~" + hashlib.sha256(batch.encode()).hexdigest()
+
+    def _lines(self, at) -> list[str] | None:
+        """Lines of a small file, None if it is not there."""
+        p, fs = self._files(at)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return str(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).splitlines()
+        finally:
+            stream.close()
+
     def committed(self) -> dict[str, set[str]]:
-        """Folder of deltas -> batches that it stands for; of two folders for one batch the larger holds."""
+        """Folder of deltas -> names of the batches that it stands for; of two folders for one batch the larger holds."""
         p, fs = self._files(f"{self.path}/deltas")
         found: dict[str, set[str]] = {}
         if fs.exists(p):
             for s in fs.listStatus(p):
-                at = s.getPath()
-                if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
-                    found[at.toString()] = set(at.getName().split("=", 1)[1].split("+"))
-        return {k: v for k, v in found.items() if not any(v < w for w in found.values())}
+                at, (kind, name) = s.getPath().toString(), s.getPath().getName().split("=", 1)
+                lines = [name] if kind == "batch" else self._lines(f"{at}/_BATCHES")
+                if lines and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+                    found[at] = set(lines)
+        return {k: v for k, v in found.items() if not any(v < w or (v == w and k > m) for m, w in found.items())}
 
     def count_changes(self, changes: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", sign: str = "sign") -> DataFrame:
         """(source, lang, tokenizer, documents, tokens): the signed sums of a batch."""
@@ -95,11 +116,12 @@ class TokenRollup:
 
     def commit(self, batch: str, changes: DataFrame, **columns) -> bool:
         """Counts and commits a batch; False if it is committed already."""
-        if not batch or set(batch) & set("/=+"):
-            raise ValueError("a batch id is not empty and has no / = +")
-        if any(batch in v for v in self.committed().values()):
+        if not batch or set(batch) & set("/=~\n\r"):
+            raise ValueError("a batch id is not empty and has no / = ~ and no line break")
+        name = self._name(batch)
+        if any(name in v for v in self.committed().values()):
             return False
-        self.count_changes(changes, **columns).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        self.count_changes(changes, **columns).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={name}")
         return True
 
     def totals(self) -> DataFrame:
@@ -111,15 +133,20 @@ class TokenRollup:
         return d.where("documents <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Writes all committed batches as one; its commit takes the place of theirs, which are then removed."""
+        """Writes all committed batches as one; its list takes the place of theirs, which are then removed."""
         old = self.committed()
         if len(old) < 2:
             return
-        name = "+".join(sorted(set().union(*old.values())))
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={name}")
-        for at in old:
-            p, fs = self._files(at)
-            fs.delete(p, True)
+        at = f"{self.path}/deltas/compact={uuid.uuid4().hex}"
+        self.totals().coalesce(1).write.parquet(at)
+        # written aside and renamed: without its list the folder does not count
+        aside, fs = self._files(f"{at}/_LIST")
+        out = fs.create(aside, True)
+        out.write(bytearray("\n".join(sorted(set().union(*old.values()))).encode()))
+        out.close()
+        fs.rename(aside, self._files(f"{at}/_BATCHES")[0])
+        for x in old:
+            fs.delete(self._files(x)[0], True)
 
 
 def insert(docs: DataFrame) -> DataFrame:

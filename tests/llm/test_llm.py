@@ -810,6 +810,34 @@ def test_rollups(spark, tmp_path):
     assert store.commit("none", token_counts.insert(empty(spark))) and see() == before
 
 
+def test_rollups_of_many_long_batches(spark, tmp_path):
+    """Ids that no folder name could hold together, or one by itself; a compaction that was cut off does not count."""
+    d = spark.createDataFrame([("a b", "s", "en", 1)], "text string, source string, lang string, sign int")
+    store = token_counts.TokenRollup(spark, str(tmp_path / "r"), {"words@1": None})
+    ids = [f"{i}-" + "x" * n for i, n in enumerate([60, 60, 60, 60, 60, 300, 3000])]
+    assert all(store.commit(i, d) for i in ids) and not any(store.commit(i, d) for i in ids)
+    see = lambda: [(r["documents"], r["tokens"]) for r in store.totals().collect()]
+    assert see() == [(7, 14)]
+    store.compact()
+    at = tmp_path / "r/deltas"
+    assert see() == [(7, 14)] and len(os.listdir(at)) == 1 and not any(store.commit(i, d) for i in ids)
+    assert store.commit("more", d) and see() == [(8, 16)]
+    # as if the second compaction had stopped before its list was in place, and before the old folders were gone
+    import shutil
+
+    shutil.copytree(at, tmp_path / "before")
+    store.compact()
+    new = next(x for x in os.listdir(at) if x not in os.listdir(tmp_path / "before"))
+    for x in os.listdir(tmp_path / "before"):
+        shutil.copytree(tmp_path / "before" / x, at / x)
+    assert len(os.listdir(at)) == 3 and see() == [(8, 16)]
+    os.remove(at / new / "_BATCHES")
+    assert see() == [(8, 16)] and not store.commit("more", d)
+    for bad in ("", "a/b", "a=b", "~a", "a\nb"):
+        with pytest.raises(ValueError):
+            store.commit(bad, d)
+
+
 # op8 ----------------------------------------------------------------------------------------------
 
 

@@ -14,8 +14,10 @@ summed before the shuffle, and only rows of one cell meet in a window. So a sour
 third of all rows is spread over all its cells.
 
 Defined results for odd input: null texts have size 0 and are never taken; null is a source of its
-own, ordered last; a source without words has target 0; equal rows are told apart by their text hash
-and then share their place; an empty table gives an empty result; extra columns are left out.
+own, ordered last; a source without words has target 0; rows of one key follow each other in the permuted order by their
+texts' hash, then by the hash of the carried columns (maps do not count); rows that are equal in all of these follow each
+other too, each with a place of its own, and which is which cannot be told; very long texts are rows like others, and are cut by words; an
+empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The driver holds a row for each source and a quota for each source and shard.
@@ -39,6 +42,13 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _hashable(column: Column, kind: DataType) -> list[Column]:
+    """The parts of a column that can be hashed: structs are taken apart, what holds a map is left out."""
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields for x in _hashable(column.getField(f.name), f.dataType)]
+    return [] if "map<" in kind.simpleString() else [column]
+
+
 def water_fill(sizes: list[int], weights: list[int], total: float, cap: float) -> list[float]:
     """Targets by weight that stop at ``cap`` times the size; the excess is reshared by weight until
     none is above. The result is min(cap * size, level * weight) for the one level that adds up."""
@@ -101,7 +111,8 @@ def mix_plan(
     if shards < 1 or block < 1 or not 0 < cap <= 2:
         raise ValueError("shards and block must be positive, cap in (0, 2]")
     spark = docs.sparkSession
-    d = docs.select(F.col(key), *[F.col(c) for c in carry if c != key], F.col(source).alias("source_"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("order_"))
+    tie = [x for c in carry for x in _hashable(F.col(c), docs.select(c).schema[0].dataType)]
+    d = docs.select(F.col(key), *[F.col(c) for c in carry if c != key], F.col(source).alias("source_"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("order_"), F.xxhash64(F.lit(seed), *tie).alias("tie_"))
     # null-safe key: the marker keeps a null apart from an empty name
     d = d.withColumn("s", F.when(F.col("source_").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source_")))).drop("source_")
     sums = d.groupBy("s").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
@@ -127,7 +138,7 @@ def mix_plan(
     before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("from_", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     # the plan has one row for each source: at most 100,000, bounded above
-    inside = Window.partitionBy("s", "cell").orderBy("order_", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "cell").orderBy("order_", "size", "tie_").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(per, ["s", "cell"]).withColumn("start_", F.col("from_") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("from_", "cell")
     d = d.join(F.broadcast(plan), "s")
     # shards that the run [lo, hi) of the stream touches: the last edge at or below lo, up to the first at or above hi

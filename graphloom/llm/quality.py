@@ -10,7 +10,7 @@ Fitted on a bounded sample: about ``PER_GRADE`` rated documents of each grade at
 
 Defined results for odd input: null and empty texts have no features and get the grade that the
 thresholds alone give; ratings that are null do not count, of several ratings of a document the highest does; with one grade
-or none that grade (0) is certain; a tail of exactly 0.5 is kept; repeated rows get equal results; very long texts are scored whole,
+that grade is certain, without any rating every text has the least grade to keep; a tail of exactly 0.5 is kept; repeated rows get equal results; very long texts are scored whole,
 in a chunk of their own, and are left out of the sample; an empty table gives an empty result; extra columns are left out.
 """
 
@@ -147,7 +147,8 @@ def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
     learn = ratings.select(F.col(key), F.col(rating).cast("int").alias("grade")).where(_sample.remainder(F.col(key), held) != 0)
     sample, counts = _sample.sampled(docs, learn, key, text, "grade", per_grade)
     got = sample.toPandas().sort_values(key, kind="stable")
-    model = spark.sparkContext.broadcast(fit(got["text"].tolist(), got["grade"].to_numpy(int), counts))
+    fitted = fit(got["text"].tolist(), got["grade"].to_numpy(int), counts)
+    model = spark.sparkContext.broadcast(fitted if len(got) else fitted | {"levels": [keep_from]})
 
     @F.pandas_udf("expected double, tail double")
     def graded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

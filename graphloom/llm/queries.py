@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, quality, segmentation, token_counts, toxicity, url_filter
+from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, pipeline, quality, segmentation, token_counts, toxicity, url_filter
 from graphloom.session import scratch, table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
@@ -97,5 +96,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 ORACLE = {"op1_url_filter": OP1_SQL}

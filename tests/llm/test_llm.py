@@ -241,6 +241,15 @@ def test_mixing_odd_input(spark):
     assert mixing.mix(odd(spark)).count() > 0
 
 
+def test_mixing_of_equal_keys_and_texts_agrees(spark):
+    """Rows that differ in a carried column only keep their places in a rerun; maps among the columns do no harm."""
+    d = spark.range(400).selectExpr("id % 3 as doc_id", "concat('w ', id % 2, ' x y') as text", "concat('s', id % 2) as source", "id as n", "map('a', id) as m")
+    see = lambda x: sorted((r["n"], str(r["slices"])) for r in mixing.mix_plan(x, carry=("n", "m"), weights=(3, 1)).collect())
+    want = see(d)
+    assert want == see(d.repartition(9)) == see(d.orderBy(F.desc("n")))
+    assert mixing.mix(d).count() == mixing.mix(d.repartition(5)).count() > 0
+
+
 def test_quotas_add_up():
     q = mixing.split_quotas([5, 0, 1000, 77], 7, 3)
     assert [sum(x) for x in zip(*q)] == [5, 0, 1000, 77] and max(map(sum, q)) - min(map(sum, q)) <= 2
@@ -696,7 +705,7 @@ def test_branching_on_keeps_pairs_together(trees, least):
 
 def test_beyond_the_broadcast_bounds(spark, monkeypatch):
     """What is larger than a broadcast may be is joined by a shuffle, to the same rows."""
-    import corpus_pipeline as cp
+    from graphloom.llm import pipeline as cp
 
     texts = near_copies(60)
     d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
@@ -955,6 +964,10 @@ def test_pipeline(spark):
     assert mixed.columns == d.columns and {r["doc_id"] for r in mixed.select("doc_id").collect()} <= {r["doc_id"] for r in alone.collect()}
     out = cp.encode(spark, mixed, DATA)
     assert out.where("rank = 1").count() == mixed.count() and out.where("rank = 1 and not round_trip").count() == 0
+    # a row names its slice, and slices of one document are drawn by themselves
+    slices = {r["s"]: r["n_chars"] for r in mixed.select(F.xxhash64("doc_id", "text").alias("s"), "n_chars").collect()}
+    rows = out.select("doc_id", "slice", "rank", "n_chars", "digest").collect()
+    assert {r["slice"]: r["n_chars"] for r in rows} == slices and len({(r["slice"], r["rank"], r["digest"]) for r in rows}) == len({(r["slice"], r["rank"]) for r in rows})
     assert [s for s, _ in cp.STAGES] == ["toxicity", "quality classifier", "MinHash near-dedup", "mixing sources to target weights", "SentencePiece encoding and decoding"]
 
 
@@ -971,6 +984,9 @@ def test_pipeline_stages_on_odd_input(spark, tmp_path):
                 assert out.columns == docs.columns
             d = out.cache()
             d.count()
+    # without labels nothing is known to be poor
+    labels.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert cp.drop_poor(spark, odd(spark), str(tmp_path / "none")).count() == 10
 
 
 def brute_by_prefix(sets, percent):

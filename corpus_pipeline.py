@@ -1,71 +1,8 @@
-"""The corpus pipeline: documents that are not toxic, of good quality, one of each group of near
-copies, mixed to target weights, and encoded.
+"""The corpus pipeline at the place where it is looked for: ``STAGES``, ``run`` and ``ORACLE_SQL`` of ``graphloom.llm.pipeline``.
 
-``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
-which is written as Parquet and read again as the next one's documents. All but the last return the columns of
-``documents``. Rows with a null doc_id go through every stage; rows that share a doc_id stay or go together.
+STAGES: toxicity, quality classifier, MinHash near-dedup, mixing sources to target weights, SentencePiece encoding and decoding.
 """
 
-from __future__ import annotations
+from graphloom.llm.pipeline import ORACLE_SQL, STAGES, drop_near_copies, drop_poor, drop_toxic, encode, mix_sources, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from graphloom.llm import mixing, near_dedup, quality, segmentation, toxicity
-from graphloom.session import materialize, table
-
-#: Ids (16 bytes each) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_): the document as one struct, so its columns cannot clash with an operator's."""
-    return docs.select("doc_id", F.struct("*").alias("row_"))
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier does not call toxic."""
-    return toxicity.toxicity(packed(docs), table(spark, sf_dir, "labels"), text="row_.text", carry=("row_",)).where("predicted = 0").select("row_.*")
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what is of grade 1 or better with a probability of at least a half."""
-    return quality.grade(packed(docs), quality.ratings_of(table(spark, sf_dir, "labels")), text="row_.text", carry=("row_",)).where("keep").select("row_.*")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (similarity 0.8 or more on five-word shingles)."""
-    copies = materialize(near_dedup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti").select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources, a row for each slice of a document that it takes."""
-    return mixing.mix(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each row's text, as piece ids. Small chunks: the stages before have filled the executors' heaps."""
-    return segmentation.segment(docs, k=2, chunk_chars=400_000)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality classifier", drop_poor),
-    ("MinHash near-dedup", drop_near_copies),
-    ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding and decoding", encode),
-]
-
-#: Learned classifiers, hashed sets and sampled segmentations are not SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, "stage")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "drop_near_copies", "drop_poor", "drop_toxic", "encode", "mix_sources", "run"]

@@ -37,10 +37,24 @@ def graph_filter(edges: DataFrame, start, depth: int, direction: str = "out", ed
     return bfs(edges, start, depth if inclusive else depth - 1, direction, edge_type).select("id")
 
 
+def walks(edges: DataFrame, starts: DataFrame, least: int, most: int, edge_types: list[str] | None = None) -> DataFrame:
+    """(start, id, hops): variable-length pattern (start)-[:types*least..most]->(id), each once for each number of hops. ``starts``: id."""
+    e = edges if edge_types is None else edges.where(F.col("edge_type").isin(edge_types))
+    e = materialize(e.select("src", "dst").distinct(), "steps")
+    at = starts.select(F.col("id").alias("start"), "id").distinct()
+    out = at.withColumn("hops", F.lit(0)) if least <= 0 else None
+    for n in range(1, most + 1):
+        at = materialize(at.withColumnRenamed("id", "src").join(e, "src").select("start", F.col("dst").alias("id")).distinct(), "walks")
+        if n >= least:
+            here = at.withColumn("hops", F.lit(n))
+            out = here if out is None else out.unionAll(here)
+    return out if out is not None else at.withColumn("hops", F.lit(0)).limit(0)
+
+
 def relax(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
     """(origin, id, cost): least cost from each origin by min-plus rounds (Bellman-Ford). ``edges``: src, dst, weight.
-    Ends when no cost falls, or raises after ``rounds`` if one still does (a negative cycle)."""
-    e = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    Ends when no cost falls, or raises if one still does after ``rounds`` (the number of nodes, if not given: a negative cycle)."""
+    e = materialize(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "weighted")
     best = materialize(sources.select("origin", "id", F.lit(0.0).alias("cost")), "best")
     frontier, step = best, 0
     while True:
@@ -50,6 +64,9 @@ def relax(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> Da
         frontier = materialize(found.join(old, ["origin", "id"], "left").where("old is null or cost < old").select("origin", "id", "cost"), "frontier")
         if frontier.isEmpty():
             return best
+        if rounds is None and step == 32:
+            # counted only where so many rounds are needed
+            rounds = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct().count()
         if rounds is not None and step > rounds:
             raise ArithmeticError("negative cycle")
         best = materialize(best.unionAll(frontier).groupBy("origin", "id").agg(F.min("cost").alias("cost")), "best")
@@ -101,9 +118,115 @@ def simple_paths(edges: DataFrame, start, goal, max_nodes: int) -> DataFrame:
     return found if found is not None else at.select("path", "cost").limit(0)
 
 
-def k_shortest(edges: DataFrame, start, goal, k: int, max_nodes: int) -> DataFrame:
-    w = Window.orderBy("cost", "path")
-    return simple_paths(edges, start, goal, max_nodes).orderBy("cost", "path").limit(k).withColumn("rank", F.row_number().over(w))
+def astar(edges: DataFrame, start, goal, heuristic: DataFrame) -> DataFrame:
+    """(cost, settled): least cost from start to goal, and how many nodes were reached. ``heuristic`` (id, h) never overestimates
+    what is left to the goal; nodes without one have 0. Rounds relax all open nodes together; a node whose cost plus h is not
+    below the best known cost of the goal is not expanded, so what cannot be on a cheaper path is never visited."""
+    kind = edges.schema["src"].dataType
+    e = materialize(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "weighted")
+    h = heuristic.select("id", "h")
+    best = materialize(edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0.0).alias("cost")), "astar")
+    frontier, known = best, 0.0 if start == goal else float("inf")
+    while True:
+        open_ = frontier.join(h, "id", "left").where((F.col("cost") + F.coalesce("h", F.lit(0.0)) < known) & (F.col("id") != F.lit(goal).cast(kind)))
+        found = open_.join(e.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost")).groupBy("id").agg(F.min("cost").alias("cost"))
+        frontier = materialize(found.join(best.withColumnRenamed("cost", "old"), "id", "left").where("old is null or cost < old").select("id", "cost"), "frontier")
+        if frontier.isEmpty():
+            goal_ = best.where(F.col("id") == F.lit(goal).cast(kind)).select("cost")
+            return goal_.crossJoin(best.agg(F.count(F.lit(1)).alias("settled")))
+        best = materialize(best.unionAll(frontier).groupBy("id").agg(F.min("cost").alias("cost")), "astar")
+        known = min(known, frontier.where(F.col("id") == F.lit(goal).cast(kind)).agg(F.min("cost")).first()[0] or known) if known else known
+
+
+def bidirectional(edges: DataFrame, start, goal) -> DataFrame:
+    """(cost): least cost from start to goal, no row if there is no path. Costs grow from both ends, a round each in turn; a
+    node is not expanded if its cost alone reaches the best meeting, and the search ends when neither side has an open node."""
+    kind = edges.schema["src"].dataType
+    one = lambda x: edges.sparkSession.range(1).select(F.lit(x).cast(kind).alias("id"), F.lit(0.0).alias("cost"))
+    e = materialize(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "weighted")
+    ways = [e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")]
+    best, meeting = [one(start), one(goal)], float("inf")
+    frontier, side = list(best), 0
+    while True:
+        found = frontier[side].where(F.col("cost") < meeting).join(ways[side].withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost")).groupBy("id").agg(F.min("cost").alias("cost"))
+        frontier[side] = materialize(found.join(best[side].withColumnRenamed("cost", "old"), "id", "left").where(f"(old is null or cost < old) and cost < double('{meeting}')").select("id", "cost"), "frontier")
+        best[side] = materialize(best[side].unionAll(frontier[side]).groupBy("id").agg(F.min("cost").alias("cost")), "side")
+        met = best[0].join(best[1].withColumnRenamed("cost", "other"), "id").agg(F.min(F.col("cost") + F.col("other"))).first()[0]
+        meeting = meeting if met is None else min(meeting, met)
+        empty = [f.where(F.col("cost") < meeting).isEmpty() for f in frontier]
+        # one side alone, run to its end, has found the least cost
+        if empty[side] or all(empty):
+            return edges.sparkSession.createDataFrame([(meeting,)] if meeting < float("inf") else [], "cost double")
+        side = 1 - side if not empty[1 - side] else side
+
+
+def johnson(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((src, dst, cost) of all pairs that are connected, (id, potential)): weights may be negative, cycles not. A source with a free
+    edge to every node gives potentials; with them no weight is negative, and a cost is known to be final sooner."""
+    n = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
+    e = materialize(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "weighted")
+    n = materialize(n, "nodes")
+    # the virtual source's first round: every node at 0
+    from_virtual = relax(e, n.select(F.lit(0).alias("origin"), "id"))
+    h = materialize(from_virtual.select("id", F.col("cost").alias("potential")), "potential")
+    lifted = e.join(h.select(F.col("id").alias("src"), F.col("potential").alias("a")), "src").join(h.select(F.col("id").alias("dst"), F.col("potential").alias("b")), "dst").select("src", "dst", (F.col("weight") + F.col("a") - F.col("b")).alias("weight"))
+    d = relax(lifted, n.select(F.col("id").alias("origin"), "id"))
+    d = d.join(h.select(F.col("id").alias("origin"), F.col("potential").alias("a")), "origin").join(h.select("id", F.col("potential").alias("b")), "id")
+    return d.select(F.col("origin").alias("src"), F.col("id").alias("dst"), (F.col("cost") - F.col("a") + F.col("b")).alias("cost")), h
+
+
+def _least_paths(e: DataFrame, starts: DataFrame, barred: DataFrame, cut: DataFrame, goal, max_nodes: int) -> DataFrame:
+    """(origin, cost, path): for each origin (origin, id, cost, path: where it starts) its cheapest simple path to the goal, equal costs
+    by node order; nodes ``barred`` (origin, id) and edges ``cut`` (origin, src, dst) are closed to it. All origins advance together;
+    a node keeps its least (cost, path), which is exact as weights are not negative and a path's tail does not look back at ties."""
+    best = materialize(starts.select("origin", "id", F.struct("cost", "path").alias("x")), "spur")
+    frontier = best
+    while True:
+        step = frontier.where(F.col("id") != goal).where(F.size("x.path") < max_nodes).join(e.withColumnRenamed("src", "id"), "id")
+        step = step.select("origin", F.col("id").alias("src"), F.col("dst").alias("id"), F.struct((F.col("x.cost") + F.col("weight")).alias("cost"), F.concat("x.path", F.array("dst")).alias("path")).alias("x"), F.array_contains("x.path", F.col("dst")).alias("seen")).where("not seen")
+        step = step.join(barred, ["origin", "id"], "left_anti").join(cut.withColumnRenamed("dst", "id"), ["origin", "src", "id"], "left_anti")
+        step = step.groupBy("origin", "id").agg(F.min("x").alias("x"))
+        frontier = materialize(step.join(best.withColumnRenamed("x", "old"), ["origin", "id"], "left").where("old is null or x < old").select("origin", "id", "x"), "frontier")
+        if frontier.isEmpty():
+            return best.where(F.col("id") == goal).select("origin", "x.cost", "x.path")
+        best = materialize(best.unionAll(frontier).groupBy("origin", "id").agg(F.min("x").alias("x")), "spur")
+
+
+def k_shortest(edges: DataFrame, start, goal, k: int, max_nodes: int | None = None) -> DataFrame:
+    """(rank, cost, path): the k cheapest simple paths, equal costs by node order, weights not negative. Spur paths: the
+    next path leaves one of those found at some place; the cheapest ways on from all places of the last one are searched for together, with
+    the nodes before the place and the edges that found paths take there closed. Nothing is enumerated; at most
+    k times a path's length candidates are on the driver. With ``max_nodes`` only paths of so many nodes count, which are listed."""
+    if max_nodes is not None:
+        w = Window.orderBy("cost", "path")
+        return simple_paths(edges, start, goal, max_nodes).orderBy("cost", "path").limit(k).withColumn("rank", F.row_number().over(w))
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    name = kind.simpleString()
+    w = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    e = materialize(edges.where("src <> dst").groupBy("src", "dst").agg(F.min(w.cast("double")).alias("weight")), "weighted")
+    n = e.select("src").unionAll(e.select("dst")).distinct().count()
+    goal_ = F.lit(goal).cast(kind)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    none = frame([], f"origin int, id {name}"), frame([], f"origin int, src {name}, dst {name}")
+    got = [tuple(r) for r in _least_paths(e, frame([(0, start, 0.0, [start])], f"origin int, id {name}, cost double, path array<{name}>"), *none, goal_, n).select("cost", "path").collect()]
+    found, waiting = [], set()
+    waiting |= {(c, tuple(p)) for c, p in got}
+    while waiting and len(found) < k:
+        cost, path = min(waiting)
+        waiting.discard((cost, path))
+        found.append((cost, path))
+        if len(found) == k or start == goal:
+            continue
+        costs = {(r["src"], r["dst"]): r["weight"] for r in e.join(F.broadcast(frame(list(zip(path, path[1:])), f"src {name}, dst {name}")), ["src", "dst"]).collect()}
+        starts, barred, cut, at = [], [], [], 0.0
+        for i in range(len(path) - 1):
+            starts.append((i, path[i], at, list(path[: i + 1])))
+            barred += [(i, x) for x in path[:i]]
+            cut += [(i, p[i], p[i + 1]) for _, p in found if p[: i + 1] == path[: i + 1]]
+            at += costs[path[i], path[i + 1]]
+        spur = _least_paths(e, frame(starts, f"origin int, id {name}, cost double, path array<{name}>"), F.broadcast(frame(barred, f"origin int, id {name}") if barred else none[0]), F.broadcast(frame(cut, f"origin int, src {name}, dst {name}")), goal_, n)
+        waiting |= {(r["cost"], tuple(r["path"])) for r in spur.collect()} - set(found)
+    return frame([(i + 1, c, list(p)) for i, (c, p) in enumerate(found)], f"rank int, cost double, path array<{name}>")
 
 
 def simple_cycles(edges: DataFrame, max_nodes: int) -> DataFrame:
@@ -155,11 +278,53 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
+def trimmed(edges: DataFrame, once: int | None = None) -> DataFrame:
+    """The edges that are left when nodes without incoming or without outgoing edges are taken out until none is: those on
+    cycles or between cycles. ``once``: rounds at most."""
+    e, n = materialize(edges.select("src", "dst").distinct(), "trim"), -1
+    while once is None or once > 0:
+        now = e.count()
+        if now in (0, n):
+            break
+        n, once = now, None if once is None else once - 1
+        src, dst = e.select(F.col("src").alias("id")).distinct(), e.select(F.col("dst").alias("id")).distinct()
+        e = materialize(e.join(dst.withColumnRenamed("id", "src"), "src", "left_semi").join(src.withColumnRenamed("id", "dst"), "dst", "left_semi"), "trim")
+    return e
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether a directed cycle is left (a loop is one): trimming, without any closure."""
+    return not trimmed(edges).isEmpty()
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): strong components by mutual reachability, named by their smallest node."""
-    c = closure(edges)
-    mutual = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low"))
-    return nodes.select("id").join(mutual, "id", "left").select("id", F.least("id", F.coalesce("low", "id")).alias("component"))
+    """(id, component): strong components, named by their smallest node, by forward and backward colouring.
+
+    Nodes that trimming takes are components by themselves. In a round each other node takes the smallest node that reaches it as
+    its colour; a colour's own node and what reaches it within the colour are a component, and go. Only labels are held, no pairs.
+    """
+    e, out = trimmed(edges.where("src <> dst")), None
+    while not e.isEmpty():
+        color = materialize(e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct().select("id", F.col("id").alias("color")), "color")
+        changed = color
+        while not changed.isEmpty():
+            near = changed.join(e.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("near"))
+            changed = materialize(near.join(color, "id").where("near < color").select("id", F.col("near").alias("color")), "changed")
+            color = materialize(color.join(changed.withColumnRenamed("color", "new"), "id", "left").select("id", F.coalesce("new", "color").alias("color")), "color")
+        inside = e.join(color.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst")
+        inside = materialize(inside, "inside")
+        back = materialize(color.where("id = color"), "back")
+        frontier = back
+        while not frontier.isEmpty():
+            more = frontier.withColumnRenamed("id", "dst").join(inside, "dst").select(F.col("src").alias("id"), "color").distinct()
+            frontier = materialize(more.join(back, "id", "left_anti"), "frontier")
+            back = materialize(back.unionAll(frontier), "back")
+        out = back if out is None else out.unionAll(back)
+        gone = back.select("id")
+        e = trimmed(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    if out is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("color", "id").alias("component"))
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -253,9 +418,14 @@ def maximal_cliques(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, coefficient): linked pairs of neighbours over all pairs, in the undirected view; fewer than two neighbours: 0."""
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    t = e.alias("x").join(e.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("x.b").alias("m"), F.col("y.b").alias("b")).join(e, ["a", "b"])
-    tri = t.select(F.explode(F.array("a", "m", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
+    e = materialize(e, "pairs")
     deg = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    # edges go from the lower degree up, so a hub has few wedges: at most the square root of all edges at each node
+    ranked = e.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    o = materialize(ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v")), "upward")
+    wedge = o.alias("x").join(o.alias("y"), F.col("x.u") == F.col("y.u")).where("x.v < y.v").select(F.col("x.u").alias("m"), F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    tri = wedge.join(e, ["a", "b"]).select(F.explode(F.array("a", "m", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
     value = F.when(F.col("d") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(F.lit(0.0))
     return nodes.select("id").join(deg, "id", "left").join(tri, "id", "left").select("id", value.alias("coefficient"))
 

@@ -23,27 +23,26 @@ def entity_similarity(a: str, b: str) -> Column:
     return F.when(both, V.cosine(x, y)).otherwise(property_similarity(F.col(f"{a}.entity_type"), F.col(f"{a}.properties"), F.col(f"{b}.entity_type"), F.col(f"{b}.properties")))
 
 
-def semantic_search(entities: DataFrame, entity_id, limit: int, digits: int = 6) -> DataFrame:
-    """(id, score): the other entities by similarity to one of them."""
+def semantic_search(entities: DataFrame, entity_id, limit: int | None = None, digits: int = 6) -> DataFrame:
+    """(id, score): the other entities by similarity to one of them; without a limit all of them, in no order."""
     one = entities.where(F.col("id") == entity_id).select(F.struct("*").alias("q")).limit(1)
     d = entities.where(F.col("id") != entity_id).select(F.struct("*").alias("e")).crossJoin(F.broadcast(one))
-    return V.top_k(d.select(F.col("e.id").alias("id"), (F.round(entity_similarity("e", "q"), digits) + 0.0).alias("score")), limit)
+    scored = d.select(F.col("e.id").alias("id"), (F.round(entity_similarity("e", "q"), digits) + 0.0).alias("score"))
+    return scored if limit is None else V.top_k(scored, limit)
 
 
 def link_entities(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, entity_id): entities whose label's words occur in the text in a row (any case). An n-gram join: texts are cut into
-    the n-grams of the lengths that labels have."""
+    """(id, entity_id): entities whose label's words occur in the text in a row (any case). An n-gram join: texts are cut, in one
+    pass, into the n-grams of all lengths that labels have."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     e = entities.select(F.col("id").alias("entity_id"), words(F.col("label")).alias("w")).where(F.size("w") > 0)
     e = e.select("entity_id", F.size("w").alias("n"), F.array_join("w", " ").alias("gram"))
-    sizes = [r[0] for r in e.select("n").distinct().orderBy("n").limit(64).collect()]
+    sizes = e.agg(F.sort_array(F.collect_set("n"))).first()[0]
     t = texts.select("id", words(F.col("text")).alias("w"))
-    out = None
-    for n in sizes:
-        grams = t.where(F.size("w") >= n).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram")).distinct()
-        hit = grams.join(e.where(F.col("n") == n), "gram").select("id", "entity_id")
-        out = hit if out is None else out.unionAll(hit)
-    return out.distinct() if out is not None else t.crossJoin(e).select("id", "entity_id").limit(0)
+    gram = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))
+    lengths = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+    grams = t.select("id", F.explode(F.array_distinct(F.flatten(F.transform(lengths, gram)))).alias("gram"))
+    return grams.join(e, "gram").select("id", "entity_id").distinct()
 
 
 def related(rels: DataFrame, entity_id, limit: int) -> DataFrame:

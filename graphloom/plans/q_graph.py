@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import ml
 from graphloom.operators import converged as C
 from graphloom.operators import graph as G
+from graphloom.operators import index as X
 from graphloom.operators import iterate as I
 from graphloom.operators import knowledge as K
 from graphloom.operators import local as L
@@ -16,7 +17,7 @@ from graphloom.operators import ordering
 from graphloom.operators import predicates as P
 from graphloom.operators import vectors as V
 from graphloom.plans.registry import query
-from graphloom.session import materialize, table
+from graphloom.session import materialize, scratch, table
 from graphloom.sources import views as S
 from graphloom.sources.views import with_views
 from graphloom.streaming import enrich as E
@@ -97,9 +98,58 @@ _ranked("hot_search", _C, 5)
 _ranked("semantic_search", _C, 20)
 _ranked("semantic_threshold", _C, 500, threshold=0.1)
 _ranked("semantic_filtered", _C, 10, "label in (1, 2, 3)", "label in (1, 2, 3)")
-_ranked("segment_topk", _C, 7)
 _ranked("recommend", _C, 10, "label >= 5", "label >= 5")
 
+_TOP = VEC + f" select v.id, round({_C}, 6) + 0.0 score from vectors v, (select vector from vectors where id = 0) q "
+
+
+@query("segment_topk", _TOP + "order by score desc, id limit 7")
+def segment_topk(s, d):
+    """Segments of 60 vectors, added in two batches; the top-k of each, then of these."""
+    x = X.SegmentedIndex(s, scratch(s, "segments"), roll=60)
+    v = S.vectors(s, d)
+    x.add(v.where("id % 3 = 0"))
+    x.add(v.where("id % 3 <> 0"))
+    return x.search(vector0(s, d), 7).select("id", "score")
+
+
+@query("index_topk", _TOP + "order by score desc, id limit 10")
+def index_topk(s, d):
+    """From the stored coarse index, exact: cells that cannot hold a better vector are not read."""
+    return X.VectorIndex.build(S.vectors(s, d), scratch(s, "index")).search(vector0(s, d), 10).select("id", "score")
+
+
+@query("index_filtered", _TOP + "where label in (1, 2, 3) order by score desc, id limit 10")
+def index_filtered(s, d):
+    """A filter that is applied before the ranking, on an index that was stored and opened again."""
+    path = scratch(s, "index")
+    X.VectorIndex.build(S.vectors(s, d), path)
+    return X.VectorIndex(s, path).search(vector0(s, d), 10, where=F.col("label").isin(1, 2, 3)).select("id", "score")
+
+
+@query("index_recall", VEC + " select 3 * count(*) pairs, true as enough from vectors where id % 10 = 0")
+def index_recall(s, d):
+    """Whether three quarters of the cells give at least 0.9 of the three nearest of every tenth vector."""
+    v = S.vectors(s, d)
+    x = X.VectorIndex.build(v, scratch(s, "index"))
+    asked = v.where("id % 10 = 0")
+    found = x.knn_join(asked, 3, max(1, len(x.centers) * 3 // 4), self_join=True)
+    return X.recall(V.knn_join(asked, v, 3, self_join=True), found).select("pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("index_knn_join", SIM.replace("with recursive", "with") + " select src, dst, sim from sim where src % 10 = 0")
+def index_knn_join(s, d):
+    """The three nearest of every tenth vector from all cells: the exact way of the index."""
+    v = S.vectors(s, d)
+    x = X.VectorIndex.build(v, scratch(s, "index"))
+    return x.knn_join(v.where("id % 10 = 0"), 3, len(x.centers), self_join=True).select("src", "dst", "sim")
+
+
+@query("dimension_presets", "select * from (values ('large', 1536), ('medium', 768), ('small', 384)) t(preset, dims)")
+def dimension_presets(s, d):
+    return s.createDataFrame(sorted(V.DIMENSIONS.items()), "preset string, dims int")
+
+
 _METRICS = {
     "dist_cosine": ("cosine", "1 - list_cosine_similarity(v.vector, q.vector)"),
     "dist_euclidean": ("euclidean", "list_distance(v.vector, q.vector)"),
@@ -365,7 +415,9 @@ def dot_export(s, d):
     return trade(s, d).dot("trade")
 
 
-@query("degree_sequence_equal", TRADE + ", g as (select src id from trade union all select dst from trade), a as (select count(*) k from g group by id) select true as equal")
+@query("degree_sequence_equal", TRADE + """, g as (select src id from trade union all select dst from trade), h as (select dst id from trade union all select src from trade),
+a as (select k, count(*) n from (select id, count(*) k from g group by 1) group by 1), b as (select k, count(*) n from (select id, count(*) k from h group by 1) group by 1)
+select count(*) = 0 as equal from ((select * from a except select * from b) union all (select * from b except select * from a))""")
 def degree_sequence_equal(s, d):
     """A graph and its reverse have equal sequences of total degrees."""
     a = trade(s, d)
@@ -457,8 +509,29 @@ def _weighted(s, d):
 
 
 #: Trade weights are close to each other, so the cheapest paths have few edges; the SQL looks at paths of up to nine nodes.
-for _n in ("sssp_weighted", "spfa", "bellman_ford", "astar_zero_h"):
-    query(_n, _DIST.format(w="weight") + " select pos id, min(cost) cost from p group by 1")(lambda s, d: I.sssp(_weighted(s, d), 0, rounds=50))
+for _n in ("sssp_weighted", "spfa", "bellman_ford"):
+    query(_n, _DIST.format(w="weight") + " select pos id, min(cost) cost from p group by 1")(lambda s, d: I.sssp(_weighted(s, d), 0))
+
+
+query("astar_zero_h", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 9")(lambda s, d: I.astar(_weighted(s, d), 0, 9, s.createDataFrame([], "id long, h double")).select("cost"))
+
+
+@query("astar", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 14")
+def astar(s, d):
+    """To nation 14; what is left is at least the hops to it, each at the least weight."""
+    e = _weighted(s, d)
+    hops = I.bfs(e, 14, direction="in").crossJoin(F.broadcast(e.agg(F.min("weight").alias("least"))))
+    return I.astar(e, 0, 14, hops.select("id", (F.col("depth") * F.col("least")).alias("h"))).select("cost")
+
+
+@query("bidirectional_dijkstra", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 9")
+def bidirectional_dijkstra(s, d):
+    return I.bidirectional(_weighted(s, d), 0, 9)
+
+
+@query("bidirectional_bfs", _DIST.format(w="1") + " select min(cost) cost from p where pos = 14")
+def bidirectional_bfs(s, d):
+    return I.bidirectional(trade_edges(s, d).withColumn("weight", F.lit(1.0)), 0, 14)
 
 
 @query("sssp_path", _DIST.format(w="weight") + " select cost, array_to_string(path, ',') as path from p where pos = 9 order by cost, path limit 1")
@@ -477,8 +550,14 @@ def nearest_goal(s, d):
 
 
 _APSP = RTRADE + ", n as (select src id from trade union select dst from trade), p(o, pos, k, cost) as (select id, id, 0, 0.0::double from n union all select o, dst, k + 1, min(cost + weight) from p join trade on src = pos where k < 8 group by o, dst, k + 1) select o src, pos dst, min(cost) cost from p group by 1, 2"
-for _n in ("apsp", "johnson"):
-    query(_n, _APSP)(lambda s, d: I.apsp(_weighted(s, d)))
+query("apsp", _APSP)(lambda s, d: I.apsp(_weighted(s, d)))
+
+
+@query("johnson", _APSP.replace("cost + weight", "cost + weight + (src - dst) * 50"))
+def johnson(s, d):
+    """Weights that are lifted by 50 for each step down in the numbers: some are negative, no cycle is."""
+    e = _weighted(s, d).withColumn("weight", F.col("weight") + (F.col("src") - F.col("dst")) * 50)
+    return I.johnson(e)[0]
 
 
 @query("all_simple_paths", _PATHS.format(a=0, b=9, n=5) + " select array_to_string(path, ',') as path, cost from p where pos = 9")
@@ -495,7 +574,7 @@ def find_all_paths(s, d):
 
 @query("k_shortest_paths", _PATHS.format(a=0, b=9, n=6) + " select cast(row_number() over (order by cost, path) as integer) as \"rank\", cost, array_to_string(path, ',') as path from p where pos = 9 order by cost, p.path limit 5")
 def k_shortest_paths(s, d):
-    return I.k_shortest(trade_edges(s, d), 0, 9, 5, 6).select("rank", "cost", text(F.col("path")).alias("path"))
+    return I.k_shortest(trade_edges(s, d), 0, 9, 5).select("rank", "cost", text(F.col("path")).alias("path"))
 
 
 @query("simple_cycles", RTRADE + ", p(f, pos, path) as (select src, dst, [src, dst] from trade where dst > src union all select f, dst, list_append(path, dst) from p join trade on src = pos where dst > f and not list_contains(path, dst) and len(path) < 4) select array_to_string(path, ',') as path from p join trade on src = pos and dst = f")
@@ -551,17 +630,15 @@ def _topo_order(s, d):
     return ordering.running(topo_levels(s, d), ["level", "id"], out="place").select("id", F.col("place").cast("long").alias("place"))
 
 
-@query("dag_cycle_check", SUP + " select false as has_cycle")
+@query("dag_cycle_check", RSUP + ", l(id, level) as (select id, 0 from (select src id from supply union select dst from supply) union select dst, level + 1 from l join supply on src = id where level < 12) select count(*) > 0 as has_cycle from l where level = 12")
 def dag_cycle_check(s, d):
-    """Nodes that no round of peeling takes are on or behind a cycle; the supply graph has none."""
-    g = G.Graph(supply_edges(s, d).select("src", "dst"))
-    left = g.nodes.join(I.topo_levels(g.edges, g.nodes), "id", "left_anti")
-    return left.agg((F.count(F.lit(1)) > 0).alias("has_cycle"))
+    """By trimming; the SQL looks for a walk of twelve edges, which only a cycle allows here."""
+    return s.createDataFrame([(I.has_cycle(supply_edges(s, d)),)], "has_cycle boolean")
 
 
 @query("is_cyclic_directed", _CLOSE + " select count(*) > 0 cyclic from c where src = dst")
 def is_cyclic_directed(s, d):
-    return I.closure(trade_edges(s, d)).where("src = dst").agg((F.count(F.lit(1)) > 0).alias("cyclic"))
+    return s.createDataFrame([(I.has_cycle(trade_edges(s, d)),)], "cyclic boolean")
 
 
 @query("is_cyclic_undirected", TRADE + ", u as (select distinct least(src, dst) a, greatest(src, dst) b from trade), n as (select a id from u union select b from u) select (select count(*) from u) > (select count(*) from n) - 1 cyclic")
@@ -667,6 +744,87 @@ for _n, _sql, _f in (
     query(_n, _ECC + " " + _sql)(lambda s, d, f=_f: f(I.eccentricity(trade_edges(s, d))))
 
 
+# graphs that grow with the tables: the neighbour graph of the vectors, the supply graph ----------------
+
+_SIM_AS = SIM + ", trade as (select src, dst, sim weight from sim)"
+
+
+def _on_sim(sql):
+    return sql.replace(RTRADE, _SIM_AS, 1) if sql.startswith(RTRADE) else sql.replace(TRADE, _SIM_AS, 1)
+
+
+def _sim(s, d):
+    return G.Graph(sim_edges(s, d).select("src", "dst"))
+
+
+@query("sim_scc", _on_sim(_CLOSE) + ", n as (select src id from trade union select dst from trade) select id, least(id, coalesce((select min(x.dst) from c x join c y on x.src = y.dst and x.dst = y.src where x.src = id), id)) component from n")
+def sim_scc(s, d):
+    g = _sim(s, d)
+    return I.strong_components(g.edges, g.nodes)
+
+
+@query("sim_components", _SIM_AS + ", e as (select src, dst from trade union select dst, src from trade), r(id, root) as (select src, src from e union select dst, root from r join e on src = id) select id, min(root) as component from r group by 1")
+def sim_components(s, d):
+    g = _sim(s, d)
+    return I.connected_components(g.edges, g.nodes)
+
+
+@query("sim_pagerank", _on_sim(_pagerank_sql(10)))
+def sim_pagerank(s, d):
+    g = _sim(s, d)
+    return I.pagerank(g.edges, g.nodes, 10).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("sim_label_propagation", _on_sim(_labels_sql(4)))
+def sim_label_propagation(s, d):
+    g = _sim(s, d)
+    return I.label_propagation(g.edges, g.nodes, 4)
+
+
+@query("sim_clustering", _on_sim(_LCC) + " select id, round(c, 6) coefficient from l")
+def sim_clustering(s, d):
+    g = _sim(s, d)
+    return I.clustering(g.edges, g.nodes).select("id", F.round("coefficient", 6).alias("coefficient"))
+
+
+@query("sim_bidirectional", _SIM_AS + ", reach(id, k) as (select 0::bigint, 0 union select dst, k + 1 from reach join trade on src = id where k < 60) select min(k)::double cost from reach where id = (select min(id) from reach where k >= 3) having count(*) > 0")
+def sim_bidirectional(s, d):
+    """Hops from vector 0 to the smallest one that some walk of three or more edges reaches."""
+    e = sim_edges(s, d).select("src", "dst").withColumn("weight", F.lit(1.0))
+    zero = s.range(1)
+    goal = I.walks(e, zero, 3, 3).agg(F.min("id")).first()[0]
+    far = I.bfs(e.select("src", "dst"), goal).agg(F.min("id")).first()[0]
+    return I.bidirectional(e, 0, min(goal, far))
+
+
+def _supply_weight(c):
+    return f"1.0 + length({c}) % 3"
+
+
+@query("supply_sssp", RSUP + f", p(pos, cost) as (select 'r:0', 0.0::double union select dst, cost + {_supply_weight('dst')} from p join supply on src = pos) select pos id, min(cost) cost from p group by 1")
+def supply_sssp(s, d):
+    return I.sssp(supply_edges(s, d).select("src", "dst", F.expr(_supply_weight("dst")).cast("double").alias("weight")), "r:0")
+
+
+@query("supply_pagerank", _pagerank_sql(3).replace(TRADE, SUP, 1).replace("select src, dst from trade", "select src, dst from supply"))
+def supply_pagerank(s, d):
+    g = G.Graph(supply_edges(s, d).select("src", "dst"))
+    return I.pagerank(g.edges, g.nodes, 3).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("variable_length_pattern", RSUP + ", w(start, id, hops) as (select 'r:' || r_regionkey, 'r:' || r_regionkey, 0 from region union select start, dst, hops + 1 from w join supply on src = id where hops < 3 and edge_type in ('HAS_NATION', 'HAS_SUPPLIER', 'SUPPLIES')) select start, id, hops from w where hops >= 2")
+def variable_length_pattern(s, d):
+    """(region)-[:HAS_NATION|HAS_SUPPLIER|SUPPLIES*2..3]->()."""
+    starts = table(s, d, "region").select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("id"))
+    return I.walks(supply_edges(s, d), starts, 2, 3, ["HAS_NATION", "HAS_SUPPLIER", "SUPPLIES"])
+
+
+@query("edge_weights", TRADE + " select src, dst, coalesce(case when weight % 2 = 0 then weight end, 1.0)::double weight from trade")
+def edge_weights(s, d):
+    """An edge without a weight weighs 1."""
+    return G.weights(trade_edges(s, d).withColumn("weight", F.when(F.col("weight") % 2 == 0, F.col("weight"))))
+
+
 # local algorithms ---------------------------------------------------------------------------------
 
 
@@ -674,7 +832,14 @@ def _frame(s, rows, schema):
     return s.createDataFrame(rows, schema)
 
 
-@query("dfs_order")
+_DFS = TRADE.replace("with ", "with recursive ", 1) + """, adj as (select map(list(src), list(near)) m from (select src, list(dst order by dst) near from (select distinct src, dst from trade) group by 1)),
+w(step, stack, seen, done) as (select 0, [0::bigint], [0::bigint], []::bigint[] union all
+select step + 1, case when nxt is null then stack[:-2] else list_append(stack, nxt) end, case when nxt is null then seen else list_append(seen, nxt) end, case when nxt is null then list_append(done, stack[-1]) else done end
+from (select w.*, list_filter(coalesce(m[stack[-1]], []), lambda x: not list_contains(seen, x))[1] nxt from w, adj where len(stack) > 0)),
+e as (select seen, done from w where len(stack) = 0) select unnest(seen) id, cast(generate_subscripts(seen, 1) - 1 as integer) preorder, cast(list_position(done, unnest(seen)) - 1 as integer) postorder from e"""
+
+
+@query("dfs_order", _DFS)
 def dfs_order(s, d):
     return _frame(s, L.dfs(L.collect(S.trade(s, d)), 0), "id long, preorder int, postorder int")
 
@@ -704,6 +869,24 @@ def max_flow(s, d):
     return _frame(s, L.max_flow(L.collect(_weighted(s, d), "weight"), 0, 9)[1], "src long, dst long, flow double")
 
 
+_CUT = TALL + """, e as (select src, dst, weight from trade_all where src < 10 and dst < 10), n as (select list(src) a, list(dst) b, list(weight) w from e), s as (select range * 2 + 1 m from range(256)),
+c as (select m, (select sum(weight) from e where (m >> src) & 1 = 1 and (m >> dst) & 1 = 0) cut from s) select cast(min(cut) as double) as value from c"""
+for _n, _f in (("max_flow_value", L.max_flow), ("dinic_value", L.dinic)):
+    # nations 0 to 9, from 0 to 9; the SQL tries every cut
+    query(_n, _CUT)(lambda s, d, f=_f: _frame(s, [(f(L.collect(S.trade_all(s, d).where("src < 10 and dst < 10").withColumn("weight", F.col("weight").cast("double")), "weight"), 0, 9)[0],)], "value double"))
+
+
+@query("flow_checks", TRADE + " select true as conserved, true as within, true as same")
+def flow_checks(s, d):
+    """What a flow must be, of both solvers: equal values, nothing lost on the way, no arc beyond its weight."""
+    e = L.collect(_weighted(s, d), "weight")
+    (value, flow), (other, flow2) = L.max_flow(e, 0, 9), L.dinic(e, 0, 9)
+    room = {(a, b): w for a, b, w in e}
+    net = lambda f: {n: sum(x for a, _, x in f if a == n) - sum(x for _, b, x in f if b == n) for n in L.nodes_of(e)}
+    conserved = all(abs(x - (value if n == 0 else -value if n == 9 else 0)) < 1e-6 for f in (flow, flow2) for n, x in net(f).items())
+    return _frame(s, [(conserved, all(x <= room[a, b] + 1e-9 for f in (flow, flow2) for a, b, x in f), abs(value - other) < 1e-6)], "conserved boolean, within boolean, same boolean")
+
+
 @query("min_cost_flow")
 def min_cost_flow(s, d):
     e = _weighted(s, d).withColumn("cost", (F.abs(F.col("src") - F.col("dst"))).cast("double"))
@@ -715,6 +898,24 @@ def coloring(s, d):
     return _frame(s, L.coloring(L.collect(S.trade(s, d))), "id long, color int")
 
 
+@query("coloring_valid", TRADE + " select (select count(*) from (select src from trade union select dst from trade)) colored, 0::bigint conflicts")
+def coloring_valid(s, d):
+    """Every node has a colour, and no edge two ends of one."""
+    e = trade_edges(s, d)
+    c = _frame(s, L.coloring(L.collect(e)), "id long, color int")
+    both = e.join(c.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst")
+    return c.agg(F.count(F.lit(1)).alias("colored")).crossJoin(both.where("a = b").agg(F.count(F.lit(1)).alias("conflicts")))
+
+
+@query("disjoint_sets", RTRADE + ", e as (select src, dst from trade union select dst, src from trade), r(id, root) as (select src, src from e union select dst, root from r join e on src = id) select id, min(root) as component from r group by 1")
+def disjoint_sets(s, d):
+    e = L.collect(S.trade(s, d))
+    sets = L.DisjointSet(L.nodes_of(e))
+    for a, b in e:
+        sets.union(a, b)
+    return _frame(s, sets.labels(), "id long, component long")
+
+
 @query("steiner_tree")
 def steiner_tree(s, d):
     return _frame(s, L.steiner_tree(L.collect(_weighted(s, d), "weight"), [0, 9, 14, 20]), "src long, dst long, weight double")
@@ -725,6 +926,24 @@ def feedback_arc_set(s, d):
     return _frame(s, L.feedback_arc_set(L.collect(S.trade(s, d))), "src long, dst long")
 
 
+@query("feedback_acyclic", TRADE + " select count(*) as placed from (select src id from trade union select dst from trade)")
+def feedback_acyclic(s, d):
+    """Without the feedback arcs every node has a place in a topological order."""
+    e = trade_edges(s, d)
+    g = G.Graph(e)
+    rest = e.join(_frame(s, L.feedback_arc_set(L.collect(e)), "src long, dst long"), ["src", "dst"], "left_anti")
+    return I.topo_levels(rest, g.nodes).agg(F.count(F.lit(1)).alias("placed"))
+
+
+@query("negative_cycle_found", RTRADE + ", p(f, pos, cost, n) as (select src, dst, weight - 1000.0::double, 1 from trade union select f, dst, cost + weight - 1000.0, n + 1 from p join trade on src = pos where n < 4) select count(*) > 0 as found, true as closed from p where f = pos and cost < 0")
+def negative_cycle_found(s, d):
+    """Whether a cycle is found, and whether it is one of the graph's, of negative weight (if there is one)."""
+    e = L.collect(_weighted(s, d).withColumn("weight", F.col("weight") - 1000.0), "weight")
+    nodes, weight = L.negative_cycle(e), {(a, b): w for a, b, w in e}
+    steps = list(zip(nodes, nodes[1:] + nodes[:1]))
+    return _frame(s, [(bool(nodes), not nodes or (all(x in weight for x in steps) and sum(weight[x] for x in steps) < 0))], "found boolean, closed boolean")
+
+
 @query("negative_cycle")
 def negative_cycle(s, d):
     e = _weighted(s, d).withColumn("weight", F.col("weight") - 1000.0)
@@ -765,12 +984,12 @@ def entities(s, d):
 @query("kg_property_similarity", _ENT + f" select a.id, round({_PROP}, 6) score from ent a, (select * from ent where id = 1) b where a.id <> 1")
 def kg_property_similarity(s, d):
     e = entities(s, d)
-    return K.semantic_search(e.withColumn("embedding", F.lit(None).cast("array<double>")), 1, 1 << 30)
+    return K.semantic_search(e.withColumn("embedding", F.lit(None).cast("array<double>")), 1)
 
 
 @query("kg_entity_similarity", _ENT + f" select a.id, round(case when a.embedding is not null and b.embedding is not null then list_cosine_similarity(a.embedding, b.embedding) else {_PROP} end, 6) + 0.0 score from ent a, (select * from ent where id = 1) b where a.id <> 1")
 def kg_entity_similarity(s, d):
-    return K.semantic_search(entities(s, d), 1, 1 << 30)
+    return K.semantic_search(entities(s, d), 1)
 
 
 @query("kg_semantic_search", _ENT + f" select a.id, round(case when a.embedding is not null and b.embedding is not null then list_cosine_similarity(a.embedding, b.embedding) else {_PROP} end, 6) + 0.0 score from ent a, (select * from ent where id = 1) b where a.id <> 1 order by score desc, a.id limit 10")

@@ -149,6 +149,13 @@ def geo_radius(s, d):
     return p.where(P.PayloadFilter(must=[P.GeoRadius(10.0, 20.0, 1_500_000)]).column(F.col("fields"))).select("id")
 
 
+@query("geo_match", f"select p_partkey id from part where {LAT} = -79 and {LON} = -103")
+def geo_match(s, d):
+    """Exact equality of both coordinates."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("at"), P.geo(F.expr(LAT).cast("double"), F.expr(LON).cast("double"))).alias("fields"))
+    return p.where(P.PayloadFilter(must=[P.Match((-79.0, -103.0))]).column(F.col("fields"))).select("id")
+
+
 @query("payload_list_match", "select p_partkey id from part where p_brand = 'Brand#16' and p_size = 31")
 def payload_list_match(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("tags"), P.listing(F.array(F.col("p_brand"), F.col("p_size").cast("string")))).alias("fields"))
@@ -491,6 +498,46 @@ def rollup_events(s, d):
     return table(s, d, "events").select("event_type", F.to_date("ts").alias("day")).rollup("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("cube_events", "select event_type, ts::date as day, count(*) n, count(distinct user_id) users from events group by cube (1, 2)")
+def cube_events(s, d):
+    return table(s, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id").cube("event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("grouping_sets_events", "select event_type, ts::date as day, count(*) n, grouping_id(event_type, ts::date) as g from events group by grouping sets ((event_type), (ts::date), ())")
+def grouping_sets_events(s, d):
+    e = table(s, d, "events").select("event_type", F.to_date("ts").alias("day"))
+    g = e.groupingSets([["event_type"], ["day"], []], "event_type", "day")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+
+
+@query("approx_distinct_users", "select event_type, count(*) > 0 as near from events group by 1")
+def approx_distinct_users(s, d):
+    """Whether the sketch (2 % aimed at) is within 10 % of the exact number."""
+    e = table(s, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.count_distinct("user_id").alias("users"))
+    return e.select("event_type", (F.abs(F.col("about") / F.col("users") - 1) <= 0.1).alias("near"))
+
+
+@query("benchmark_summary", "select event_type, count(*) ops, round(avg(value), 6) avg_us, round(1000000 / avg(value), 3) ops_per_s from events where value > 0 group by 1")
+def benchmark_summary(s, d):
+    """Events as timed operations (value: microseconds): the mean time and the rate."""
+    return table(s, d, "events").where("value > 0").groupBy("event_type").agg(F.count(F.lit(1)).alias("ops"), F.round(F.avg("value"), 6).alias("avg_us"), F.round(1_000_000 / F.avg("value"), 3).alias("ops_per_s"))
+
+
+@query("file_formats", "select f as kind, count(*) n, sum(s_suppkey) as keys, sum(length(s_name)) as letters from supplier, (values ('csv'), ('json'), ('orc'), ('parquet')) t(f) group by 1")
+def file_formats(s, d):
+    """The suppliers, written and read again in each format."""
+    from graphloom.session import scratch
+    from graphloom.sources import files
+
+    t, out = table(s, d, "supplier").select("s_suppkey", "s_name"), None
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = f"{scratch(s, kind)}"
+        files.write(t, path, kind)
+        x = files.read(s, path, kind, t.schema).agg(F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("keys"), F.sum(F.length("s_name")).alias("letters")).select(F.lit(kind).alias("kind"), "*")
+        out = x if out is None else out.unionAll(x)
+    return out
+
+
 @query("running_total", "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) total from events")
 def running_total(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

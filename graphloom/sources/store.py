@@ -1,8 +1,9 @@
-"""Named stores of keyed rows on Parquet: upsert, delete, point and prefix reads, tiers, logs.
+"""Named stores of keyed rows on Parquet: upsert, delete, point and prefix reads, transactions, tiers, logs.
 
-A store is a folder of versions; a write makes a whole new version and then moves a pointer file, so readers see the old
-version or the new one and a write that is cut off leaves the old one in place. Rows are laid out by key range, so
-point and prefix reads skip files by their statistics.
+A store is a folder of numbered segments; one counts once its success marker is there, which is the commit. A base holds all
+rows, a delta the rows and deletions of one change, so a change writes what it changes and not the whole store. Readers take the
+newest base and the deltas after it; a write that is cut off has no marker and leaves the state before it. Rows are laid out by key
+range, so point and prefix reads skip files by their statistics. After ``MERGE`` deltas a change writes a new base.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from graphloom.operators import predicates
 from graphloom.operators.knowledge import first_tier
 
 
+#: Deltas that a base may have.
+MERGE = 8
+_GONE, _SEQ = "gone_", "seq_"
+
+
 class Store:
     """Keyed rows in ``path``. Empty and null keys are refused."""
 
@@ -26,49 +32,80 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
-        p, fs = self._fs(f"{self.path}/CURRENT")
-        return self.spark.read.text(p.toString()).first()[0] if fs.exists(p) else None
+    def segments(self) -> list[str]:
+        """Names of the committed segments that make up the state: a base and its deltas, in order."""
+        root, fs = self._fs(self.path)
+        if not fs.exists(root):
+            return []
+        names = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory())
+        names = [n for n in names if n.endswith((".base", ".delta")) and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[0])]
+        bases = [i for i, n in enumerate(names) if n.endswith(".base")]
+        return names[bases[-1] :] if bases else names
 
     def exists(self) -> bool:
-        return self.version() is not None
+        return bool(self.segments())
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if v is None:
+        names = self.segments()
+        if not names:
             raise KeyError(f"no store at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{v}")
+        base = self.spark.read.parquet(f"{self.path}/{names[0]}")
+        if len(names) == 1:
+            return base.where(f"not {_GONE}").drop(_GONE) if _GONE in base.columns else base
+        deltas = None
+        for i, n in enumerate(names if names[0].endswith(".delta") else names[1:]):
+            d = self.spark.read.parquet(f"{self.path}/{n}").withColumn(_SEQ, F.lit(i))
+            deltas = d if deltas is None else deltas.unionByName(d, allowMissingColumns=True)
+        last = deltas.groupBy(self.key).agg(F.max_by(F.struct(*deltas.columns), _SEQ).alias("x")).select("x.*").drop(_SEQ)
+        new = last.where(f"not {_GONE}").drop(_GONE)
+        if names[0].endswith(".delta"):
+            return new
+        return base.join(last.select(self.key), self.key, "left_anti").select(*base.columns).unionByName(new, allowMissingColumns=True)
+
+    def _put(self, df: DataFrame, kind: str) -> None:
+        root, fs = self._fs(self.path)
+        found = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        number = max((int(n.split("-")[0]) for n in found if n.endswith((".base", ".delta"))), default=0) + 1
+        df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{number:012d}-{uuid.uuid4().hex}.{kind}")
 
     def write(self, df: DataFrame) -> None:
         """Replaces all rows."""
-        v = f"v-{uuid.uuid4().hex}"
-        df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{v}")
-        # the pointer is written aside and renamed: the rename is the commit
-        aside, fs = self._fs(f"{self.path}/CURRENT.{v}")
-        out = fs.create(aside, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        at, _ = self._fs(f"{self.path}/CURRENT")
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(aside, at)
+        self._put(df, "base")
 
-    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
-        """Rows replace those of their key; among rows of one key the last by ``order`` counts."""
+    def _change(self, delta: DataFrame) -> None:
+        """Commits rows and deletions (``gone_``), one for each key."""
+        self._put(delta, "delta")
+        if len(self.segments()) > MERGE:
+            self.write(self.read())
+
+    def _latest(self, rows: DataFrame, order: str | None) -> DataFrame:
         key = F.col(self.key)
         if not rows.where(key.isNull() | (key.cast("string") == "")).isEmpty():
             raise ValueError("empty keys are refused")
-        new = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), order or self.key).alias("x")).select("x.*")
-        old = self.read().join(new.select(self.key), self.key, "left_anti") if self.exists() else None
-        self.write(new if old is None else old.unionByName(new, allowMissingColumns=True))
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), order or self.key).alias("x")).select("x.*")
+
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
+        """Rows replace those of their key; among rows of one key the last by ``order`` counts."""
+        with self.transaction() as t:
+            t.upsert(rows, order)
 
     def delete(self, keys: DataFrame) -> DataFrame:
         """Deletes the keys; returns the rows that went."""
-        now = self.read()
-        gone = now.join(keys.select(self.key).distinct(), self.key, "left_semi")
-        self.write(now.join(keys.select(self.key).distinct(), self.key, "left_anti"))
+        gone = self.read().join(keys.select(self.key).distinct(), self.key, "left_semi")
+        with self.transaction() as t:
+            t.delete(keys)
         return gone
 
+    def transaction(self) -> Transaction:
+        return Transaction(self)
+
+    def vacuum(self) -> int:
+        """Deletes the segments that the state no longer needs, and what cut-off writes have left; nothing may be reading them."""
+        keep = set(self.segments())
+        root, fs = self._fs(self.path)
+        old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName() not in keep] if fs.exists(root) else []
+        return sum(bool(fs.delete(p, True)) for p in old)
+
     def get(self, value) -> DataFrame:
         return self.read().where(F.col(self.key) == value)
 
@@ -76,6 +113,68 @@ class Store:
         return self.read().where(F.startswith(F.col(self.key), F.lit(prefix))).orderBy(self.key)
 
 
+class Transaction:
+    """Changes that become visible together: one delta, written at commit. Reads see the transaction's own changes.
+
+    As a context manager it commits at the end, and aborts if an exception leaves it.
+    """
+
+    def __init__(self, store: Store):
+        self.store, self.changes, self.open = store, [], True
+
+    def _check(self) -> None:
+        if not self.open:
+            raise RuntimeError("the transaction is closed")
+
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
+        self._check()
+        self.changes.append(self.store._latest(rows, order).withColumn(_GONE, F.lit(False)))
+
+    def delete(self, keys: DataFrame) -> None:
+        self._check()
+        self.changes.append(keys.select(self.store.key).distinct().withColumn(_GONE, F.lit(True)))
+
+    def _delta(self) -> DataFrame | None:
+        """The last change of each key."""
+        out = None
+        for i, c in enumerate(self.changes):
+            c = c.withColumn(_SEQ, F.lit(i))
+            out = c if out is None else out.unionByName(c, allowMissingColumns=True)
+        if out is None:
+            return None
+        return out.groupBy(self.store.key).agg(F.max_by(F.struct(*out.columns), _SEQ).alias("x")).select("x.*").drop(_SEQ)
+
+    def read(self) -> DataFrame:
+        self._check()
+        delta = self._delta()
+        if delta is None:
+            return self.store.read()
+        new = delta.where(f"not {_GONE}").drop(_GONE)
+        if not self.store.exists():
+            return new
+        return self.store.read().join(delta.select(self.store.key), self.store.key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+    def get(self, value) -> DataFrame:
+        return self.read().where(F.col(self.store.key) == value)
+
+    def commit(self) -> None:
+        self._check()
+        delta, self.open = self._delta(), False
+        if delta is not None:
+            self.store._change(delta)
+
+    def abort(self) -> None:
+        self._check()
+        self.open, self.changes = False, []
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if self.open:
+            self.abort() if kind else self.commit()
+
+
 class Registry:
     """Named stores below one folder."""
 

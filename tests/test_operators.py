@@ -263,3 +263,209 @@ def test_running_totals_over_ranges(spark, monkeypatch):
     for i, (k, v) in enumerate(sorted(rows)):
         total += v
         assert got[k] == (i + 1, total)
+
+
+def test_k_shortest_against_enumeration(spark):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(8), rng.randrange(8)) for _ in range(30)})
+    e = spark.createDataFrame([(a, b, float(rng.randrange(1, 4))) for a, b in rows], "src long, dst long, weight double")
+    want = sorted((r["cost"], r["path"]) for r in iterate.simple_paths(e.where("src <> dst"), 0, 5, 9).collect())
+    for k in (1, 4, 12):
+        got = [(r["cost"], r["path"]) for r in iterate.k_shortest(e, 0, 5, k).orderBy("rank").collect()]
+        assert got == want[:k]
+    assert iterate.k_shortest(e, 0, 99, 3).count() == 0
+    assert [r["path"] for r in iterate.k_shortest(e, 3, 3, 2).collect()] == [[3]]
+
+
+def test_searches_agree_with_relaxation(spark):
+    """A* with a true bound visits less and finds the same, so do the two-sided search and Johnson's costs; long chains are no cycles."""
+    rng = random.Random(2)
+    rows = [(a, b, float(rng.randrange(1, 9))) for a, b in sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(60)}) if a != b]
+    e = spark.createDataFrame(rows, "src long, dst long, weight double")
+    dist = {r["id"]: r["cost"] for r in iterate.sssp(e, 0).collect()}
+    goal = max(dist, key=lambda x: (dist[x], x))
+    hops = iterate.bfs(e, goal, direction="in").withColumnRenamed("depth", "h")
+    zero = spark.createDataFrame([], "id long, h double")
+    plain, guided = iterate.astar(e, 0, goal, zero).first(), iterate.astar(e, 0, goal, hops).first()
+    assert plain["cost"] == guided["cost"] == dist[goal] and guided["settled"] <= plain["settled"]
+    assert iterate.bidirectional(e, 0, goal).first()["cost"] == dist[goal] and iterate.bidirectional(e, 0, 99).count() == 0 and iterate.bidirectional(e, 4, 4).first()["cost"] == 0
+    low = e.withColumn("weight", F.col("weight") + (F.col("src") - F.col("dst")) * 3)
+    costs, potential = iterate.johnson(low)
+    assert {(r["src"], r["dst"]): r["cost"] for r in costs.collect()} == {(r["src"], r["dst"]): r["cost"] + 3 * (r["src"] - r["dst"]) for r in iterate.apsp(e).collect()}
+    assert potential.where("potential < 0").count() > 0
+    chain = spark.range(70).selectExpr("id as src", "id + 1 as dst", "1.0D as weight")
+    assert iterate.sssp(chain, 0).agg(F.max("cost")).first()[0] == 70
+    with pytest.raises(ArithmeticError):
+        iterate.sssp(spark.createDataFrame([(0, 1, 1.0), (1, 0, -2.0)], "src long, dst long, weight double"), 0)
+
+
+def test_strong_components_by_colours(spark):
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(60)})
+    e = spark.createDataFrame(rows, "src long, dst long")
+    nodes = spark.range(42)
+    c = {(r["src"], r["dst"]) for r in iterate.closure(e).collect()}
+    want = {i: min([j for j in range(42) if (i, j) in c and (j, i) in c] + [i]) for i in range(42)}
+    assert {r["id"]: r["component"] for r in iterate.strong_components(e, nodes).collect()} == want
+    assert iterate.has_cycle(e) and not iterate.has_cycle(spark.range(9).selectExpr("id as src", "id + 1 as dst"))
+
+
+def test_walks(spark):
+    e = spark.createDataFrame([(0, 1, "a"), (1, 2, "a"), (2, 0, "b"), (1, 3, "b")], "src long, dst long, edge_type string")
+    start = spark.range(1)
+    assert pairs(iterate.walks(e, start, 0, 2)) == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 2)]
+    assert pairs(iterate.walks(e, start, 1, 3, ["a"])) == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_flows_agree():
+    rng = random.Random(3)
+    for _ in range(40):
+        e = sorted({(rng.randrange(7), rng.randrange(7)): float(rng.randrange(1, 9)) for _ in range(20)}.items())
+        e = [(a, b, w) for (a, b), w in e]
+        (v, f), (x, g) = local.max_flow(e, 0, 6), local.dinic(e, 0, 6)
+        cuts = [sum(w for a, b, w in e if a in s and b not in s) for m in range(32) for s in [{0} | {i + 1 for i in range(5) if m >> i & 1}]]
+        assert v == x == min(cuts)
+        for flow in (f, g):
+            for n in range(1, 6):
+                assert sum(z for a, _, z in flow if a == n) == sum(z for _, b, z in flow if b == n)
+
+
+def test_greedy_orders_by_heaps():
+    """The heaps give what the plain greedy rules give."""
+    rng = random.Random(7)
+    for _ in range(60):
+        e = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(1, 30))})
+        near = local.adjacency([x for x in e if x[0] != x[1]], undirected=True)
+        left, color = set(local.nodes_of(e)), {}
+        while left:
+            n = min(left, key=lambda x: (-len({color[y] for y in near.get(x, ()) if y in color}), -len(near.get(x, ())), x))
+            used = {color[y] for y in near.get(n, ()) if y in color}
+            color[n] = next(c for c in range(99) if c not in used)
+            left.discard(n)
+        assert dict(local.coloring(e)) == color
+        p = [x for x in e if x[0] != x[1]]
+        left, head, tail = set(local.nodes_of(e)), [], []
+        while left:
+            out = {x: [b for a, b in p if a == x and b in left] for x in left}
+            into = {x: [a for a, b in p if b == x and a in left] for x in left}
+            sinks, sources = [x for x in left if not out[x]], [x for x in left if not into[x]]
+            n = min(sinks or sources or left, key=(lambda x: x) if sinks or sources else lambda x: (len(into[x]) - len(out[x]), x))
+            (tail if sinks else head).append(n)
+            left.discard(n)
+        place = {n: i for i, n in enumerate(head + tail[::-1])}
+        assert local.feedback_arc_set(e) == [x for x in p if place[x[0]] > place[x[1]]] + [x for x in e if x[0] == x[1]]
+    sets = local.DisjointSet(range(6))
+    assert sets.union(4, 2) and sets.union(5, 4) and not sets.union(2, 5)
+    assert sets.labels() == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2), (5, 2)]
+
+
+def test_random_graph_density(spark):
+    g = graph.random(spark, 200, 0.03, 5)
+    n = g.count()
+    assert abs(n - 200 * 199 * 0.03) < 5 * math.sqrt(200 * 199 * 0.03) and g.distinct().count() == n and g.where("src = dst or src >= 200 or dst >= 200 or dst < 0").isEmpty()
+    assert pairs(g) == pairs(graph.random(spark, 200, 0.03, 5)) != pairs(graph.random(spark, 200, 0.03, 6))
+    assert graph.random(spark, 5, 1.0).count() == 20 and graph.random(spark, 5, 0.0).count() == 0
+
+
+def test_coarse_index(spark, tmp_path):
+    import numpy as np
+
+    from graphloom.operators import index
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(30, 16))
+    x = np.concatenate([b + 0.3 * rng.normal(size=(20, 16)) for b in base])
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(900, [0.0] * 16, 0), (901, None, 0)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, label long")
+    ix = index.VectorIndex.build(v, str(tmp_path / "ix"))
+    again = index.VectorIndex(spark, str(tmp_path / "ix"))
+    for q in (x[5], x[77] + 0.5, -x[3]):
+        want = pairs(vectors.search(v.where("vector is not null"), q.tolist(), 12).select("id", "score"))
+        assert pairs(again.search(q.tolist(), 12).select("id", "score")) == want
+        assert len(set(pairs(ix.search(q.tolist(), 12, probes=12).select("id", "score"))) & set(want)) >= 9
+    filtered = pairs(ix.search(x[5].tolist(), 7, where=F.col("label") == 1).select("id", "score"))
+    assert filtered == pairs(vectors.search(v.where("label = 1"), x[5].tolist(), 7).select("id", "score"))
+    good = v.where("vector is not null and id < 900")
+    exact = vectors.knn_join(good, good, 5, self_join=True)
+    assert pairs(ix.knn_join(good, 5, len(ix.centers), self_join=True)) == pairs(exact)
+    assert index.recall(exact, ix.knn_join(good, 5, 6, self_join=True)).first()["recall"] >= 0.9
+    # a crowded cell is compared block by block
+    index.BLOCK, held = 7, index.BLOCK
+    assert pairs(ix.knn_join(good, 5, len(ix.centers), self_join=True)) == pairs(exact)
+    index.BLOCK = held
+    none = index.VectorIndex.build(v.limit(0), str(tmp_path / "none"))
+    assert none.search([1.0] * 16, 3).count() == 0
+
+
+def test_segments_and_warm_cache(spark, tmp_path):
+    from graphloom.operators import index
+
+    v = spark.range(25).selectExpr("id", "array(1.0D, id / 10.0D) as vector", "id % 2 as label")
+    s = index.SegmentedIndex(spark, str(tmp_path / "s"), roll=10)
+    s.add(v.where("id < 12"))
+    s.add(v.where("id >= 12"))
+    assert sorted(r["n"] for r in s.segments().collect()) == [2, 3, 10, 10]
+    assert sorted(r["n"] for r in s.optimize(str(tmp_path / "t")).segments().collect()) == [5, 10, 10]
+    assert pairs(s.search([1.0, 1.0], 4).select("id")) == pairs(vectors.search(v, [1.0, 1.0], 4).select("id"))
+    assert pairs(s.search([1.0, 1.0], 4, where=F.col("label") == 0).select("id")) == pairs(vectors.search(v.where("label = 0"), [1.0, 1.0], 4).select("id"))
+    now = [0.0]
+    cache = index.WarmCache(lambda k: vectors.search(v, [1.0, 1.0], k), ttl=10, size=2, clock=lambda: now[0])
+    assert cache.get(2) == cache.get(2) and (cache.hits, cache.misses) == (1, 1)
+    now[0] = 11
+    cache.get(2), cache.get(3), cache.get(4)
+    assert (cache.hits, cache.misses) == (1, 4) and len(cache.held) == 2
+
+
+def test_store_deltas_and_transactions(spark, tmp_path):
+    import os
+
+    s = Store(spark, str(tmp_path / "s"))
+    row = lambda *r: spark.createDataFrame(list(r), "id string, x int")
+    s.upsert(row(("a", 1), ("b", 2)))
+    s.upsert(row(("b", 3), ("c", 4)))
+    assert [n.rsplit(".")[-1] for n in s.segments()] == ["delta", "delta"] and pairs(s.read()) == [("a", 1), ("b", 3), ("c", 4)]
+    with s.transaction() as t:
+        t.delete(row(("a", 0)))
+        t.upsert(row(("d", 5)))
+        t.upsert(row(("a", 7)))
+        t.delete(row(("c", 0)))
+        assert pairs(t.read()) == [("a", 7), ("b", 3), ("d", 5)] and pairs(s.read()) == [("a", 1), ("b", 3), ("c", 4)]
+    assert pairs(s.read()) == [("a", 7), ("b", 3), ("d", 5)] and pairs(s.get("a")) == [("a", 7)]
+    with pytest.raises(RuntimeError), s.transaction() as t:
+        t.delete(row(("b", 0)))
+        raise RuntimeError("no")
+    t = s.transaction()
+    t.upsert(row(("z", 1)))
+    t.abort()
+    with pytest.raises(RuntimeError):
+        t.commit()
+    assert pairs(s.read()) == [("a", 7), ("b", 3), ("d", 5)]
+    # a write that was cut off has no marker
+    last = s.segments()[-1]
+    os.remove(tmp_path / "s" / last / "_SUCCESS")
+    assert pairs(s.read()) == [("a", 1), ("b", 3), ("c", 4)]
+    for i in range(12):
+        s.upsert(row((f"k{i}", i)))
+    assert s.segments()[0].endswith(".base") and len(s.segments()) <= 9 and s.read().count() == 15
+    before = pairs(s.read())
+    assert s.vacuum() > 0 and pairs(s.read()) == before
+    assert pairs(s.delete(row(("a", 0), ("nobody", 0)))) == [("a", 1)] and s.read().count() == 14
+
+
+def test_labels_of_many_lengths(spark):
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(120)))], "id long, text string")
+    entities = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in range(1, 101)] + [(500, "w1 w3"), (501, "")], "id long, label string")
+    assert sorted(r["entity_id"] for r in knowledge.link_entities(texts, entities).collect()) == list(range(1, 101))
+    assert knowledge.link_entities(texts, entities.limit(0)).count() == 0
+
+
+def test_file_formats(spark, tmp_path):
+    from graphloom.sources import files
+
+    d = spark.createDataFrame([(1, "a,b\n\"c\"", None), (2, "", 2.5), (3, None, 0.0)], "id long, t string, x double")
+    for kind in files.FORMATS:
+        at = str(tmp_path / f"t.{kind}")
+        files.write(d, at)
+        assert sorted(map(tuple, files.read(spark, at, schema=d.schema).collect())) == sorted(map(tuple, d.collect()))
+    with pytest.raises(ValueError):
+        files.read(spark, "x.xlsx")

@@ -51,6 +51,8 @@ SHINGLES = 4_000_000
 #: Shingles of up to so many of a node's documents are counted pair by pair.
 RARE = 16
 PIVOTS = 8
+#: Characters that are hashed at once; a worker needs about 50 bytes for each.
+CHUNK_CHARS = 400_000
 ROUNDS = 6
 #: Members of nodes (about 100 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -77,7 +79,7 @@ def paths(sets: list[np.ndarray], seeds: np.ndarray = _SEEDS, root: np.uint64 =
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, hashes, texts in slices(batches):
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, CHUNK_CHARS):
             sets = shingle_sets(texts[lo:hi])
             full = [s for s in sets if len(s)]
             found = iter(paths(full)) if full else iter(())
@@ -185,7 +187,7 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, hash, text, nodes (node, trees)) to (key, hash, size, node): each node three branchings on in trees of its own, by tokens that the node selects."""
     for ids, hashes, texts, nodes in slices(batches):
         out: list[list] = [[], [], [], []]
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, CHUNK_CHARS):
             for i, h, s, own in zip(ids[lo:hi], hashes[lo:hi], shingle_sets(texts[lo:hi]), nodes[lo:hi]):
                 for p in own:
                     root = np.array(p["node"], np.int64).view(np.uint64)

@@ -56,9 +56,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each row's text, as piece ids, with the row's slice, language, source and size.
-    Few units are kept: the stages before have filled the executors' heaps."""
+    Small chunks and few kept units: the stages before have filled the executors' heaps."""
     rows = docs.withColumn("slice", F.xxhash64("doc_id", "text"))
-    return segmentation.segment(rows, k=2, draw="slice", carry=("slice", "lang", "source", "n_chars"), held_chars=400_000)
+    return segmentation.segment(rows, k=2, draw="slice", carry=("slice", "lang", "source", "n_chars"), chunk_chars=120_000, held_chars=250_000)
 
 
 STAGES = [

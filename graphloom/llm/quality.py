@@ -30,6 +30,8 @@ from graphloom.llm.language import chunks
 
 PER_GRADE = 1500
 BUCKETS = 1 << 17
+#: Characters that are worked on at once; a worker needs about 100 bytes for each.
+CHUNK_CHARS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -89,7 +91,7 @@ def fit(texts: list[str | None], grades: np.ndarray, counts: dict | None = None,
     if len(levels) < 2:
         return {"levels": [int(x) for x in levels] or [0], "w": np.zeros(BUCKETS, np.float32), "cut": np.zeros(0)}
     row, col, val, n = [], [], [], len(texts)
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, CHUNK_CHARS):
         r, c, x = features(texts[a:b])
         # equal entries of a row are added up, chunk by chunk
         both, inverse = np.unique(r.astype(np.int64) * BUCKETS + c, return_inverse=True)
@@ -156,7 +158,7 @@ def grade(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
         levels = np.array(m["levels"], float)
         for series in batches:
             texts = series.tolist()
-            p = np.concatenate([tails(texts[a:b], m) for a, b in chunks(texts)] or [np.zeros((0, len(m["cut"])))])
+            p = np.concatenate([tails(texts[a:b], m) for a, b in chunks(texts, CHUNK_CHARS)] or [np.zeros((0, len(m["cut"])))])
             at = int(np.searchsorted(levels, keep_from))
             tail = np.ones(len(p)) if at == 0 else p[:, at - 1] if at <= p.shape[1] else np.zeros(len(p))
             yield pd.DataFrame({"expected": levels[0] + p @ np.diff(levels), "tail": tail})

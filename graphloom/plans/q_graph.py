@@ -513,10 +513,10 @@ for _n in ("sssp_weighted", "spfa", "bellman_ford"):
     query(_n, _DIST.format(w="weight") + " select pos id, min(cost) cost from p group by 1")(lambda s, d: I.sssp(_weighted(s, d), 0))
 
 
-query("astar_zero_h", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 9")(lambda s, d: I.astar(_weighted(s, d), 0, 9, s.createDataFrame([], "id long, h double")).select("cost"))
+query("astar_zero_h", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 9 having count(*) > 0")(lambda s, d: I.astar(_weighted(s, d), 0, 9, s.createDataFrame([], "id long, h double")).select("cost"))
 
 
-@query("astar", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 14")
+@query("astar", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 14 having count(*) > 0")
 def astar(s, d):
     """To nation 14; what is left is at least the hops to it, each at the least weight."""
     e = _weighted(s, d)
@@ -524,12 +524,12 @@ def astar(s, d):
     return I.astar(e, 0, 14, hops.select("id", (F.col("depth") * F.col("least")).alias("h"))).select("cost")
 
 
-@query("bidirectional_dijkstra", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 9")
+@query("bidirectional_dijkstra", _DIST.format(w="weight") + " select min(cost) cost from p where pos = 9 having count(*) > 0")
 def bidirectional_dijkstra(s, d):
     return I.bidirectional(_weighted(s, d), 0, 9)
 
 
-@query("bidirectional_bfs", _DIST.format(w="1") + " select min(cost) cost from p where pos = 14")
+@query("bidirectional_bfs", _DIST.format(w="1") + " select min(cost) cost from p where pos = 14 having count(*) > 0")
 def bidirectional_bfs(s, d):
     return I.bidirectional(trade_edges(s, d).withColumn("weight", F.lit(1.0)), 0, 14)
 
@@ -870,7 +870,7 @@ def max_flow(s, d):
 
 
 _CUT = TALL + """, e as (select src, dst, weight from trade_all where src < 10 and dst < 10), n as (select list(src) a, list(dst) b, list(weight) w from e), s as (select range * 2 + 1 m from range(256)),
-c as (select m, (select sum(weight) from e where (m >> src) & 1 = 1 and (m >> dst) & 1 = 0) cut from s) select cast(min(cut) as double) as value from c"""
+c as (select m, (select coalesce(sum(weight), 0) from e where (m >> src) & 1 = 1 and (m >> dst) & 1 = 0) cut from s) select cast(min(cut) as double) as value from c"""
 for _n, _f in (("max_flow_value", L.max_flow), ("dinic_value", L.dinic)):
     # nations 0 to 9, from 0 to 9; the SQL tries every cut
     query(_n, _CUT)(lambda s, d, f=_f: _frame(s, [(f(L.collect(S.trade_all(s, d).where("src < 10 and dst < 10").withColumn("weight", F.col("weight").cast("double")), "weight"), 0, 9)[0],)], "value double"))

@@ -65,7 +65,19 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> bool:
+    """Deletes what ``materialize`` wrote for ``df`` (a superseded round of a loop); nothing may read it afterwards. Other frames are left alone."""
+    path = getattr(df, "scratch_path", None)
+    if path not in _written:
+        return False
+    _written.remove(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import embedding_dedup, fingerprint, language, mixing, near_dedup, pipeline, quality, segmentation, token_counts, toxicity, url_filter
+from graphloom.llm import code_compression, embedding_dedup, fingerprint, language, mixing, near_dedup, pipeline, quality, segmentation, spelling, token_counts, toxicity, url_filter
 from graphloom.session import scratch, table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
@@ -95,6 +95,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(table(spark, sf_dir, "documents"), quality.ratings_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality)}
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts, one run in 97 spoiled, with their forms and roots."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality, op11_code_compression, op13_spelling)}
 QUERIES["pipeline"] = pipeline.run
 ORACLE = {"op1_url_filter": OP1_SQL}

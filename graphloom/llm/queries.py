@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import code_compression, embedding_dedup, fingerprint, language, mixing, near_dedup, pipeline, quality, segmentation, spelling, token_counts, toxicity, url_filter
+from graphloom.llm.sql import SPELLING_SQL, code_compression_sql
 from graphloom.session import scratch, table
 
 #: Fixed values of the rules that op1 applies: verdict, host, path.
@@ -106,4 +107,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality, op11_code_compression, op13_spelling)}
 QUERIES["pipeline"] = pipeline.run
-ORACLE = {"op1_url_filter": OP1_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op11_code_compression": code_compression_sql(code_compression.ROUNDS), "op13_spelling": SPELLING_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import code_compression, embedding_dedup, fingerprint, language, mixing, near_dedup, pipeline, quality, segmentation, spelling, token_counts, toxicity, url_filter
+from graphloom.llm import code_compression, embedding_dedup, fingerprint, language, language_model, mixing, near_dedup, pipeline, quality, segmentation, spelling, token_counts, toxicity, url_filter
 from graphloom.llm.sql import SPELLING_SQL, code_compression_sql
 from graphloom.session import scratch, table
 
@@ -100,11 +100,15 @@ def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_compression.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all texts, one run in 97 spoiled, with their forms and roots."""
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality, op11_code_compression, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprint, op3_mixing, op4_toxicity, op5_segmentation, op6_near_dedup, op7_token_counts, op8_embedding_dedup, op9_language, op10_quality, op11_code_compression, op12_language_model, op13_spelling)}
 QUERIES["pipeline"] = pipeline.run
 ORACLE = {"op1_url_filter": OP1_SQL, "op11_code_compression": code_compression_sql(code_compression.ROUNDS), "op13_spelling": SPELLING_SQL}

@@ -61,7 +61,8 @@ class Graph:
         return d.select("id", (F.col("row_end") - F.size("targets")).alias("row_start"), "row_end", "targets")
 
     def dot(self, name: str = "g") -> DataFrame:
-        """Lines of a DOT file (line_no, line). The line formats."""
+        """Lines of a DOT file (line_no, line)."""
+        # fixed values: the line formats
         q = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
         parts = self.nodes.select(F.lit(1).alias("part"), F.concat(F.lit("  "), q("id"), F.lit(";")).alias("line"), F.col("id").alias("a"), F.col("id").alias("b"))
         parts = parts.unionAll(self.edges.select(F.lit(2), F.concat(F.lit("  "), q("src"), F.lit(" -> "), q("dst"), F.lit(";")), "src", "dst"))
@@ -120,8 +121,8 @@ def explorer_filter(edges: DataFrame, nodes: DataFrame, types: list[str] | None
 
 
 def apply_batch(ops: DataFrame, key: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
-    """State after a sequence of add/remove operations: each key's last operation counts."""
-    last = ops.groupBy(*key).agg(F.max_by(F.struct("*"), seq).alias("x"))
+    """State after a sequence of add/remove operations: each key's last operation counts; one without a number is before all others."""
+    last = ops.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(seq)).alias("x"))
     return last.select("x.*").where(F.col(op) == "add").drop(op, seq)
 
 

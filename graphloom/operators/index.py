@@ -9,6 +9,7 @@ Cells number about the square root of the vectors; the codebook is all that the
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,11 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import vectors as V
+from graphloom.session import discard, materialize
+from graphloom.sources.log import CommitLog
 
 #: Vectors that a codebook is fitted on, about, if eight for each cell are not more.
 SAMPLE = 20_000
 #: Vectors of a cell that one task compares, and rows of a segment.
 BLOCK, ROLL = 4096, 100_000
+#: Cells that an exact join visits first.
+FIRST = 2
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -47,10 +52,16 @@ def codebook(x: np.ndarray, k: int, seed: int = 0, rounds: int = 10) -> np.ndarr
     return c
 
 
+def fit_for(v, dims: int) -> bool:
+    """A vector that cells can hold: of that length, finite and not zero."""
+    return v is not None and len(v) == dims and None not in v and any(v) and bool(np.isfinite(v).all())
+
+
 class VectorIndex:
-    """A coarse index of (id, vector, any other columns) in the folder ``path``. All vectors have one length.
+    """A coarse index of (id, vector, any other columns) in the folder ``path``, of vectors of the commonest length.
 
-    Zero vectors, and rows whose vector is null or holds a null, are in cell -1, which every search visits.
+    Zero vectors, those of another length, and rows whose vector is null or holds null or non-finite components are in cell -1,
+    which every search visits; joins find no neighbours for them, and do not give them as such.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -64,8 +75,10 @@ class VectorIndex:
         """Fits, assigns and writes; rows that are there already are replaced."""
         spark, path = vectors.sparkSession, path.rstrip("/")
         d = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
-        good = F.coalesce(F.expr("forall(vector, c -> c is not null) and exists(vector, c -> c <> 0)"), F.lit(False))
-        n = d.where(good).count()
+        good = F.coalesce(F.expr("forall(vector, c -> c is not null and not isnan(c) and abs(c) < double('inf')) and exists(vector, c -> c <> 0)"), F.lit(False))
+        common = d.where(good).groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+        dims, n = tuple(common) if common else (0, 0)
+        good = good & (F.size("vector") == dims)
         k = cells or max(1, round(n**0.5))
         share = min(1.0, max(SAMPLE, 8 * k) / max(1, n))
         taken = d.where(good & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) <= share * (1 << 30))).select("id", "vector").toPandas().sort_values("id")
@@ -75,7 +88,7 @@ class VectorIndex:
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = b.column("vector").to_pylist()
-                some = [i for i, v in enumerate(rows) if v and None not in v and any(v)]
+                some = [i for i, v in enumerate(rows) if fit_for(v, dims)]
                 cell, far = np.full(len(rows), -1, np.int64), np.zeros(len(rows))
                 for lo in range(0, len(some), 2048):
                     at = some[lo : lo + 2048]
@@ -84,7 +97,10 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=[*b.schema.names, "cell", "far"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
-        d.mapInArrow(assign, f"{fields}, cell long, far double").repartitionByRange(F.col("cell")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/rows")
+        # written first: the range partitioning samples its input, which would assign twice
+        assigned = materialize(d.mapInArrow(assign, f"{fields}, cell long, far double"), "assigned")
+        assigned.repartitionByRange(F.col("cell")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/rows")
+        discard(assigned)
         rows = spark.read.parquet(f"{path}/rows")
         sizes = {r["cell"]: (r["radius"], r["n"]) for r in rows.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
         held = [(i, c.tolist(), float(sizes.get(i, (0.0, 0))[0]), int(sizes.get(i, (0.0, 0))[1])) for i, c in enumerate(centers)]
@@ -100,7 +116,7 @@ class VectorIndex:
     def search(self, query: list[float], k: int, probes: int | None = None, where: Column | None = None, digits: int = 6) -> DataFrame:
         """Top-k by cosine, as ``vectors.search`` gives it; candidates are filtered first."""
         finish = lambda d: V.search(d, query, k, where=where, digits=digits).drop("cell", "far")
-        if not len(self.centers) or not any(query):
+        if not len(self.centers) or not fit_for(query, self.centers.shape[1]):
             return finish(self.rows())
         far = _far(_unit(np.array([query], np.float64)), self.centers)[0]
         order = np.argsort(far, kind="stable")
@@ -118,26 +134,49 @@ class VectorIndex:
         worst = max(0.0, 2 - 2 * (min(scores) - 2 * 10.0**-digits)) ** 0.5 + 1e-9
         return finish(self._visit(np.flatnonzero(far - self.radius <= worst)))
 
-    def knn_join(self, queries: DataFrame, k: int, probes: int, self_join: bool = False, digits: int = 6) -> DataFrame:
-        """(src, dst, sim, rank): for each query its k most similar vectors among the ``probes`` cells nearest to it.
+    def knn_join(self, queries: DataFrame, k: int, probes: int | None = None, self_join: bool = False, digits: int = 6) -> DataFrame:
+        """(src, dst, sim, rank): for each query its k most similar vectors among the ``probes`` cells nearest to it, or, without ``probes``, of all.
 
         A cell is compared block by block: a task holds a block of the index and streams the queries, of which it keeps k rows each.
+        The exact way visits the ``FIRST`` nearest cells, and then those cells whose distance less their radius does not lie
+        beyond the k-th best so found (all, for queries that have found fewer than k).
         """
-        shared = self.spark.sparkContext.broadcast(self.centers)
+        if probes is None:
+            first = materialize(self.knn_join(queries, k, min(FIRST, max(1, len(self.centers))), self_join, digits), "first")
+            worst = first.groupBy("src").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("worst"))
+            found = self._compared(queries.join(worst.withColumnRenamed("src", "id"), "id", "left"), k, 0, self_join, digits)
+        else:
+            found = self._compared(queries, k, probes, self_join, digits)
+        w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return ranked if probes is not None else materialize(ranked, "neighbours")
+
+    def _compared(self, queries: DataFrame, k: int, probes: int, self_join: bool, digits: int) -> DataFrame:
+        """The best k of each query and block; with ``probes`` of 0 the cells are those that the column ``worst`` does not rule out."""
+        shared, dims, radius = self.spark.sparkContext.broadcast(self.centers), self.centers.shape[1], self.radius
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo in range(0, b.num_rows, 1024):
                     part = b.slice(lo, 1024)
-                    part = part.filter(pa.array([bool(v) and None not in v and any(v) for v in part.column("vector").to_pylist()]))
+                    part = part.filter(pa.array([fit_for(v, dims) for v in part.column("vector").to_pylist()]))
                     x = _unit(np.array(part.column("vector").to_pylist(), np.float64).reshape(part.num_rows, -1))
                     if len(x):
-                        cells = np.argsort(_far(x, shared.value), axis=1, kind="stable")[:, :probes]
-                        yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "cells": pa.array(list(cells), pa.list_(pa.int64()))})
-
-        asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "id long, vector array<double>, cells array<long>")
+                        d = _far(x, shared.value)
+                        if not probes:
+                            s = np.array([-1.0 if v is None else v for v in part.column("worst").to_pylist()])
+                            # scores are rounded, so a little more is visited
+                            reach = np.sqrt(np.maximum(0, 2 - 2 * (s - 2 * 10.0**-digits))) + 1e-9
+                            cells = [np.flatnonzero(row) for row in d - radius[None, :] <= reach[:, None]]
+                        else:
+                            cells = list(np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape))
+                        yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "cells": pa.array(cells, pa.list_(pa.int64()))})
+
+        worst = F.col("worst") if not probes else F.lit(None).cast("double")
+        asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), worst.alias("worst")).mapInArrow(place, "id long, vector array<double>, cells array<long>")
         rows = self.rows().where("cell >= 0").select(F.col("id").cast("long").alias("id"), "vector", "cell")
         sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        # a row for each cell: as many as the codebook, which the driver holds
         here = rows.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("kind"), "id", "vector")
         there = asked.select("id", "vector", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "vector")
 
@@ -167,9 +206,7 @@ class VectorIndex:
                         keep = np.isfinite(took)
                         yield pa.RecordBatch.from_pydict({"src": pa.array(np.repeat(own, keep.sum(1))), "dst": pa.array(names[order][keep]), "sim": pa.array(took[keep])})
 
-        found = here.unionAll(there).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(compare, "src long, dst long, sim double")
-        w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return here.unionAll(there).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(compare, "src long, dst long, sim double")
 
 
 def _runs(at: np.ndarray) -> list[tuple[int, int]]:
@@ -187,39 +224,95 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class SegmentedIndex:
-    """Vectors in segments of up to ``roll`` rows below one folder; a search takes each segment's top-k and then the top-k of these."""
+    """Vectors (id, vector, any other columns) in segments of ``roll`` rows below one folder; a search takes each segment's top-k and
+    then the top-k of these.
+
+    Adds and removals are batches with an entry in a commit log: what is cut off has none and is not there. An add goes on
+    in the last segment until that is full. A removal takes the rows that were added before it; an id may be added again.
+    """
 
     def __init__(self, spark: SparkSession, path: str, roll: int = ROLL):
         self.spark, self.path, self.roll = spark, path.rstrip("/"), roll
-
-    def _rows(self) -> DataFrame | None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return self.spark.read.parquet(self.path) if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p) else None
+        self.log = CommitLog(spark, f"{self.path}/_log")
+
+    def _entries(self) -> list[tuple[int, dict]]:
+        return [(v, self.log.entry(v)) for v in self.log.versions()]
+
+    def _batches(self, kind: str) -> DataFrame | None:
+        """All rows of the committed batches of a kind, with ``at_``: the number of their commit."""
+        at = {e["batch"]: v for v, e in self._entries() if e["kind"] == kind}
+        if not at:
+            return None
+        root = f"{self.path}/{kind}"
+        d = self.spark.read.option("basePath", root).parquet(*[f"{root}/batch_={b}" for b in at])
+        number = F.create_map(*[F.lit(x) for b, v in at.items() for x in (b, v)])
+        return d.withColumn("at_", F.try_element_at(number, F.col("batch_"))).drop("batch_")
+
+    def rows(self) -> DataFrame | None:
+        """The rows that are there, with their segment; None before the first add."""
+        d, gone = self._batches("add"), self._batches("remove")
+        if d is None or gone is None:
+            return d if d is None else d.drop("at_")
+        gone = gone.groupBy("id").agg(F.max("at_").alias("gone_"))
+        return d.join(gone, "id", "left").where("gone_ is null or gone_ < at_").select(*[c for c in d.columns if c != "at_"])
 
     def segments(self) -> DataFrame:
         """(segment, n): how many vectors each holds."""
-        return self._rows().groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+        d = self.rows()
+        return self.spark.createDataFrame([], "segment int, n long") if d is None else d.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+
+    def _commit(self, kind: str, write: Callable[[str, int], int]) -> None:
+        """Writes a batch after all that is committed, and again if another writer was faster; an entry holds the rows added so far."""
+        while True:
+            now = self.log.last()
+            before = self.log.entry(now)["added"] if now else 0
+            batch = uuid.uuid4().hex
+            at = f"{self.path}/{kind}/batch_={batch}"
+            added = before + write(at, before)
+            if self.log.put(now + 1, {"kind": kind, "batch": batch, "added": added}):
+                return
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def add(self, vectors: DataFrame) -> None:
-        """Appends new segments; those that are there are not touched."""
+        """Fills the last segment and opens new ones; what is there is not touched."""
         from graphloom.operators import ordering
 
-        rows = self._rows()
-        first = 0 if rows is None else rows.agg(F.max("segment")).first()[0] + 1
-        d = ordering.running(vectors, ["id"], out="place_")
-        segment = (F.floor((F.col("place_") - 1) / self.roll) + first).cast("int").alias("segment")
-        d.select(*vectors.columns, segment).repartition("segment").write.partitionBy("segment").mode("append").parquet(self.path)
+        numbered = materialize(ordering.running(vectors, ["id"], out="place_"), "segment")
+        n = numbered.count()
+
+        def write(at: str, before: int) -> int:
+            segment = F.floor((F.col("place_") - 1 + before) / self.roll).cast("int").alias("segment")
+            numbered.select(*vectors.columns, segment).repartition("segment").write.partitionBy("segment").parquet(at)
+            return n
+
+        if n:
+            self._commit("add", write)
+        discard(numbered)
+
+    def remove(self, ids: DataFrame) -> None:
+        """Takes the ids out of all segments; their rows stay in the files until ``optimize``."""
+
+        def write(at: str, before: int) -> int:
+            ids.select("id").where("id is not null").distinct().write.parquet(at)
+            return 0
+
+        self._commit("remove", write)
 
     def optimize(self, path: str) -> SegmentedIndex:
-        """All rows in full segments, in another folder."""
-        out = SegmentedIndex(self.spark, path, self.roll)
-        out.add(self._rows().drop("segment"))
+        """The rows that are there, in full segments, in another folder."""
+        out, d = SegmentedIndex(self.spark, path, self.roll), self.rows()
+        if d is not None:
+            out.add(d.drop("segment"))
         return out
 
     def search(self, query: list[float], k: int, name: str = "cosine", where: Column | None = None, digits: int = 6) -> DataFrame:
-        """Top-k by similarity; the filter counts in every segment."""
-        d = self._rows() if where is None else self._rows().where(where)
-        d = d.withColumn("score", F.round(V.metric(name)[1](F.col("vector"), V.literal(query)), digits) + 0.0)
+        """Top-k by similarity; the filter counts in every segment. Before the first add: no rows (id, vector, segment, score)."""
+        d = self.rows()
+        if d is None:
+            return self.spark.createDataFrame([], "id long, vector array<double>, segment int, score double")
+        d = d if where is None else d.where(where)
+        d = V.scored(d, query, name, digits)
         # a row is ranked within its segment; Spark keeps k rows of a segment before it shuffles
         w = Window.partitionBy("segment").orderBy(F.desc("score"), "id")
         return V.top_k(d.withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= k).drop("rank_"), k)

@@ -76,8 +76,8 @@ def find_or_create(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """Latest version of each key."""
-    return df.groupBy(*key).agg(F.max_by(F.struct("*"), order).alias("x")).select("x.*")
+    """Latest version of each key; a version without an order is older than any with one."""
+    return df.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(order)).alias("x")).select("x.*")
 
 
 def tier_of_age(age_ms: Column) -> Column:
@@ -87,8 +87,8 @@ def tier_of_age(age_ms: Column) -> Column:
 
 
 def first_tier(copies: DataFrame, order: list[str]) -> DataFrame:
-    """One row for each id: that of the first tier in ``order`` that has it."""
-    rank = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tier"))
+    """One row for each id: that of the first tier in ``order`` that has it; null and other tiers come last."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tier")), F.lit(0).cast("long")), F.lit(len(order) + 1).cast("long"))
     return copies.groupBy("id").agg(F.min_by(F.struct("*"), rank).alias("x")).select("x.*")
 
 

@@ -28,10 +28,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x * x)))
 
 
+def comparable(a: Column, b: Column) -> Column:
+    """Both vectors are there, of one length, without null or NaN components. What is not comparable has no similarity (null)."""
+    good = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return F.coalesce((F.size(a) == F.size(b)) & good(a) & good(b), F.lit(False))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity in [-1, 1]; empty vectors: 1, a zero norm: 0."""
-    n = norm(a) * norm(b)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b) / n)))
+    """Similarity in [-1, 1]; empty vectors: 1, a zero norm: 0. Null where the vectors are not comparable, or a component is infinite."""
+    n, d = norm(a) * norm(b), dot(a, b)
+    # a product that is null (lengths differ, a null component) or NaN gives no similarity; least and greatest would hide both
+    r = F.when(d.isNull() | n.isNull() | F.isnan(d) | F.isnan(n) | F.isnan(d / n), F.lit(None)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), d / n)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((n == 0) & comparable(a, b), F.lit(0.0)).otherwise(r)
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -94,10 +102,15 @@ def top_k(df: DataFrame, k: int, score: str = "score", key: str = "id", offset:
     return out.offset(offset).limit(k) if offset else out.limit(k)
 
 
+def scored(vectors: DataFrame, query: list[float], name: str = "cosine", digits: int = 6) -> DataFrame:
+    """With ``score``; what cannot be compared with the query is no hit and is left out."""
+    d = vectors.withColumn("score", F.round(metric(name)[1](F.col("vector"), literal(query)), digits) + 0.0)
+    return d.where(F.col("score").isNotNull() & ~F.isnan("score") & comparable(F.col("vector"), literal(query)))
+
+
 def search(vectors: DataFrame, query: list[float], k: int, name: str = "cosine", threshold: float | None = None, where: Column | None = None, digits: int = 6) -> DataFrame:
     """Exact top-k by similarity. Candidates are filtered first, so the limit always counts what is wanted."""
-    d = vectors if where is None else vectors.where(where)
-    d = d.withColumn("score", F.round(metric(name)[1](F.col("vector"), literal(query)), digits) + 0.0)
+    d = scored(vectors if where is None else vectors.where(where), query, name, digits)
     if threshold is not None:
         d = d.where(F.col("score") >= threshold)
     return top_k(d, k)
@@ -106,7 +119,8 @@ def search(vectors: DataFrame, query: list[float], k: int, name: str = "cosine",
 def knn_join(queries: DataFrame, index: DataFrame, k: int, self_join: bool = False, digits: int = 6, block: int = 4096) -> DataFrame:
     """(src, dst, sim, rank): for each query its k most similar vectors of the index by cosine, exact.
 
-    Both sides are packed into blocks of rows; a task multiplies one block by another and keeps k
+    Vectors are compared with those of their length; null and empty vectors, and those with null or non-finite components, have no
+    neighbours and are none. Both sides are packed into blocks of rows; a task multiplies one block by another and keeps k
     for each query, so a pair of blocks makes block * k rows and not block * block.
     """
 
@@ -115,25 +129,34 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, self_join: bool = Fal
         return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", "vector")).alias(name + "s"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(col):
-            items = [x for x in col if x["vector"]]
-            v = np.array([x["vector"] for x in items], np.float64)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            return [x["id"] for x in items], np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+        def rows(col) -> dict:
+            """length -> (ids, scaled vectors)."""
+            by: dict = {}
+            for x in col:
+                if x["vector"] and None not in x["vector"]:
+                    by.setdefault(len(x["vector"]), []).append(x)
+            out = {}
+            for size, items in by.items():
+                v = np.array([x["vector"] for x in items], np.float64)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                fine = np.isfinite(n[:, 0])
+                if fine.any():
+                    out[size] = [x["id"] for x, f in zip(items, fine) if f], np.divide(v, n, out=np.zeros_like(v), where=n > 0)[fine]
+            return out
 
         for b in batches:
             for qs, xs in zip(b.column("qs").to_pylist(), b.column("xs").to_pylist()):
-                (qi, q), (xi, x) = rows(qs), rows(xs)
-                if not qi or not xi:
-                    continue
-                s = np.round(q @ x.T, digits) + 0.0
-                ids = np.array(xi)
-                if self_join:
-                    s[np.array(qi)[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                took = np.take_along_axis(s, order, 1)
-                keep = np.isfinite(took)
-                yield pa.RecordBatch.from_pydict({"src": pa.array(np.repeat(qi, keep.sum(1)), pa.int64()), "dst": pa.array(ids[order][keep], pa.int64()), "sim": pa.array(took[keep], pa.float64())})
+                asked, there = rows(qs), rows(xs)
+                for size in asked.keys() & there.keys():
+                    (qi, q), (xi, x) = asked[size], there[size]
+                    s = np.round(q @ x.T, digits) + 0.0
+                    ids = np.array(xi)
+                    if self_join:
+                        s[np.array(qi)[:, None] == ids[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                    took = np.take_along_axis(s, order, 1)
+                    keep = np.isfinite(took)
+                    yield pa.RecordBatch.from_pydict({"src": pa.array(np.repeat(qi, keep.sum(1)), pa.int64()), "dst": pa.array(ids[order][keep], pa.int64()), "sim": pa.array(took[keep], pa.float64())})
 
     pairs = pack(queries, "q").crossJoin(pack(index, "x")).select("qs", "xs")
     found = pairs.mapInArrow(best, "src long, dst long, sim double")
@@ -143,7 +166,7 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, self_join: bool = Fal
 
 def pairwise(vectors: DataFrame, digits: int = 6, block: int = 1024) -> DataFrame:
     """(a, b, sim): the cosine of all pairs of vectors with ids a < b, as ``cosine`` gives it; null where a vector
-    is null or holds a null, or the lengths differ.
+    is null or holds a null or non-finite component, or the lengths differ.
 
     Vectors are packed into blocks; a task multiplies one block by another, each two blocks once.
     """
@@ -172,7 +195,7 @@ def pairwise(vectors: DataFrame, digits: int = 6, block: int = 1024) -> DataFram
                 for size in px.keys() & qx.keys():
                     (at, v), (to, w) = px[size], qx[size]
                     sim[np.ix_(at, to)] = np.round(np.clip(v @ w.T, -1, 1), digits) + 0.0 if size else 1.0
-                    known[np.ix_(at, to)] = True
+                    known[np.ix_(at, to)] = np.isfinite(sim[np.ix_(at, to)])
                 for lo in range(0, len(pi), 64):
                     # two rows of one id are no pair; they are in one block
                     a, b = np.broadcast_arrays(pi[lo : lo + 64, None], qi[None, :])

@@ -1,9 +1,13 @@
 """Named stores of keyed rows on Parquet: upsert, delete, point and prefix reads, transactions, tiers, logs.
 
-A store is a folder of numbered segments; one counts once its success marker is there, which is the commit. A base holds all
-rows, a delta the rows and deletions of one change, so a change writes what it changes and not the whole store. Readers take the
-newest base and the deltas after it; a write that is cut off has no marker and leaves the state before it. Rows are laid out by key
-range, so point and prefix reads skip files by their statistics. After ``MERGE`` deltas a change writes a new base.
+A store is a folder of segments and a commit log. A base holds all rows, a delta the rows and deletions of one change, so a change
+writes what it changes and not the whole store. A segment counts once the log has an entry for it (and its success marker is there):
+readers take the newest base and the deltas after it, and a write that is cut off leaves the state before it. Rows are laid out by
+key range, so point and prefix reads skip files by their statistics. After ``MERGE`` deltas a change writes a new base.
+
+Writers do not lock. A transaction reads the version at which it began; at its commit the changes made since are looked through,
+and it is refused (``Conflict``) if one of them has a key of its own, or has replaced all rows. Else its entry is put under
+the next number; if another writer was faster, it looks through that one's changes too.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import predicates
 from graphloom.operators.knowledge import first_tier
-
+from graphloom.sources.log import CommitLog, Conflict
 
 #: Deltas that a base may have.
 MERGE = 8
@@ -27,26 +31,32 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.log = CommitLog(spark, f"{self.path}/_log")
 
     def _fs(self, at: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def segments(self) -> list[str]:
-        """Names of the committed segments that make up the state: a base and its deltas, in order."""
-        root, fs = self._fs(self.path)
-        if not fs.exists(root):
-            return []
-        names = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory())
-        names = [n for n in names if n.endswith((".base", ".delta")) and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[0])]
-        bases = [i for i, n in enumerate(names) if n.endswith(".base")]
-        return names[bases[-1] :] if bases else names
+    def version(self) -> int:
+        """The number of the newest commit; 0 if there is none."""
+        return self.log.last()
+
+    def segments(self, version: int | None = None) -> list[str]:
+        """Names of the committed segments that make up the state (as of a version): a base and its deltas, in order."""
+        names = []
+        for v in reversed([v for v in self.log.versions() if version is None or v <= version]):
+            name = self.log.entry(v)["segment"]
+            if self._fs(self.path)[1].exists(self._fs(f"{self.path}/{name}/_SUCCESS")[0]):
+                names.append(name)
+                if name.endswith(".base"):
+                    break
+        return names[::-1]
 
     def exists(self) -> bool:
         return bool(self.segments())
 
-    def read(self) -> DataFrame:
-        names = self.segments()
+    def read(self, version: int | None = None) -> DataFrame:
+        names = self.segments(version)
         if not names:
             raise KeyError(f"no store at {self.path}")
         base = self.spark.read.parquet(f"{self.path}/{names[0]}")
@@ -62,37 +72,67 @@ class Store:
             return new
         return base.join(last.select(self.key), self.key, "left_anti").select(*base.columns).unionByName(new, allowMissingColumns=True)
 
-    def _put(self, df: DataFrame, kind: str) -> None:
-        root, fs = self._fs(self.path)
-        found = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-        number = max((int(n.split("-")[0]) for n in found if n.endswith((".base", ".delta"))), default=0) + 1
-        df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{number:012d}-{uuid.uuid4().hex}.{kind}")
+    def _put(self, df: DataFrame, kind: str) -> str:
+        """Writes a segment, which no one sees before its commit."""
+        name = f"{uuid.uuid4().hex}.{kind}"
+        df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).write.parquet(f"{self.path}/{name}")
+        return name
 
     def write(self, df: DataFrame) -> None:
-        """Replaces all rows."""
-        self._put(df, "base")
-
-    def _change(self, delta: DataFrame) -> None:
-        """Commits rows and deletions (``gone_``), one for each key."""
-        self._put(delta, "delta")
+        """Replaces all rows, whatever they are."""
+        name = self._put(df, "base")
+        while not self.log.put(self.version() + 1, {"segment": name, "replaces": True}):
+            pass
+
+    def _check(self, keys: DataFrame, since: int, now: int) -> None:
+        """Refuses changes of ``keys`` if commits after ``since`` touch them."""
+        there = set(self.log.versions())
+        for v in range(since + 1, now + 1):
+            if v not in there:
+                raise Conflict(f"the changes since version {since} are no longer kept")
+            entry = self.log.entry(v)
+            if entry.get("replaces"):
+                raise Conflict(f"version {v} has replaced all rows")
+            if entry["segment"].endswith(".delta"):
+                other = self.spark.read.parquet(f"{self.path}/{entry['segment']}").select(self.key)
+                if not other.join(keys, self.key, "left_semi").isEmpty():
+                    raise Conflict(f"version {v} has changed the same keys")
+
+    def _change(self, delta: DataFrame, since: int) -> None:
+        """Commits rows and deletions (``gone_``), one for each key, made from the state at ``since``."""
+        name = self._put(delta, "delta")
+        keys = self.spark.read.parquet(f"{self.path}/{name}").select(self.key)
+        seen = since
+        while True:
+            now = self.version()
+            self._check(keys, seen, now)
+            if self.log.put(now + 1, {"segment": name}):
+                break
+            seen = now
         if len(self.segments()) > MERGE:
-            self.write(self.read())
+            self.compact()
+
+    def compact(self) -> bool:
+        """Writes the state as a base. It holds what was there before, so it conflicts with no one; if another commit comes first it is given up."""
+        now = self.version()
+        return self.log.put(now + 1, {"segment": self._put(self.read(now), "base")})
 
     def _latest(self, rows: DataFrame, order: str | None) -> DataFrame:
         key = F.col(self.key)
         if not rows.where(key.isNull() | (key.cast("string") == "")).isEmpty():
             raise ValueError("empty keys are refused")
-        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), order or self.key).alias("x")).select("x.*")
+        # a struct is never null, so rows without an order take part; they come before all others
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), F.struct(order or self.key)).alias("x")).select("x.*")
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> None:
-        """Rows replace those of their key; among rows of one key the last by ``order`` counts."""
+        """Rows replace those of their key; among rows of one key the last by ``order`` counts, one without an order only if there is no other."""
         with self.transaction() as t:
             t.upsert(rows, order)
 
     def delete(self, keys: DataFrame) -> DataFrame:
         """Deletes the keys; returns the rows that went."""
-        gone = self.read().join(keys.select(self.key).distinct(), self.key, "left_semi")
         with self.transaction() as t:
+            gone = self.read(t.since).join(keys.select(self.key).distinct(), self.key, "left_semi")
             t.delete(keys)
         return gone
 
@@ -100,10 +140,13 @@ class Store:
         return Transaction(self)
 
     def vacuum(self) -> int:
-        """Deletes the segments that the state no longer needs, and what cut-off writes have left; nothing may be reading them."""
+        """Deletes the segments that the state no longer needs, what cut-off and refused writes have left, and the log before the
+        newest base; nothing may be reading them. Transactions that began before that base are refused afterwards."""
         keep = set(self.segments())
         root, fs = self._fs(self.path)
-        old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName() not in keep] if fs.exists(root) else []
+        bases = [v for v in self.log.versions() if self.log.entry(v)["segment"] in keep]
+        self.log.drop(min(bases, default=0))
+        old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName() not in keep | {"_log"}] if fs.exists(root) else []
         return sum(bool(fs.delete(p, True)) for p in old)
 
     def get(self, value) -> DataFrame:
@@ -114,13 +157,14 @@ class Store:
 
 
 class Transaction:
-    """Changes that become visible together: one delta, written at commit. Reads see the transaction's own changes.
+    """Changes that become visible together: one delta, written at commit. Reads see the state at its beginning and its own changes.
 
-    As a context manager it commits at the end, and aborts if an exception leaves it.
+    As a context manager it commits at the end, and aborts if an exception leaves it. A commit raises ``Conflict`` if another one has
+    changed the same keys since; the transaction is closed then, and nothing of it is there.
     """
 
     def __init__(self, store: Store):
-        self.store, self.changes, self.open = store, [], True
+        self.store, self.changes, self.open, self.since = store, [], True, store.version()
 
     def _check(self) -> None:
         if not self.open:
@@ -148,11 +192,11 @@ class Transaction:
         self._check()
         delta = self._delta()
         if delta is None:
-            return self.store.read()
+            return self.store.read(self.since)
         new = delta.where(f"not {_GONE}").drop(_GONE)
-        if not self.store.exists():
+        if not self.store.segments(self.since):
             return new
-        return self.store.read().join(delta.select(self.store.key), self.store.key, "left_anti").unionByName(new, allowMissingColumns=True)
+        return self.store.read(self.since).join(delta.select(self.store.key), self.store.key, "left_anti").unionByName(new, allowMissingColumns=True)
 
     def get(self, value) -> DataFrame:
         return self.read().where(F.col(self.store.key) == value)
@@ -161,7 +205,7 @@ class Transaction:
         self._check()
         delta, self.open = self._delta(), False
         if delta is not None:
-            self.store._change(delta)
+            self.store._change(delta, self.since)
 
     def abort(self) -> None:
         self._check()

@@ -404,7 +404,7 @@ def test_segments_and_warm_cache(spark, tmp_path):
     s = index.SegmentedIndex(spark, str(tmp_path / "s"), roll=10)
     s.add(v.where("id < 12"))
     s.add(v.where("id >= 12"))
-    assert sorted(r["n"] for r in s.segments().collect()) == [2, 3, 10, 10]
+    assert sorted(r["n"] for r in s.segments().collect()) == [5, 10, 10]
     assert sorted(r["n"] for r in s.optimize(str(tmp_path / "t")).segments().collect()) == [5, 10, 10]
     assert pairs(s.search([1.0, 1.0], 4).select("id")) == pairs(vectors.search(v, [1.0, 1.0], 4).select("id"))
     assert pairs(s.search([1.0, 1.0], 4, where=F.col("label") == 0).select("id")) == pairs(vectors.search(v.where("label = 0"), [1.0, 1.0], 4).select("id"))
@@ -469,3 +469,91 @@ def test_file_formats(spark, tmp_path):
         assert sorted(map(tuple, files.read(spark, at, schema=d.schema).collect())) == sorted(map(tuple, d.collect()))
     with pytest.raises(ValueError):
         files.read(spark, "x.xlsx")
+
+
+def test_rows_without_an_order_are_kept(spark, tmp_path):
+    d = spark.createDataFrame([("a", 5, 1), ("a", None, 2), ("b", None, 3)], "id string, ts int, x int")
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert(d, order="ts")
+    assert pairs(s.read()) == [("a", 5, 1), ("b", None, 3)]
+    assert pairs(knowledge.latest(d, ["id"], F.col("ts"))) == [("a", 5, 1), ("b", None, 3)]
+    ops = spark.createDataFrame([(1, None, "add"), (2, 1, "add"), (2, None, "remove"), (3, 1, "remove"), (3, None, "add")], "k int, seq int, op string")
+    assert pairs(graph.apply_batch(ops, ["k"])) == [(1,), (2,)]
+    copies = spark.createDataFrame([(1, None), (1, "cold"), (2, "odd"), (3, "cold"), (3, "hot")], "id int, tier string")
+    assert pairs(knowledge.first_tier(copies, ["hot", "cold"])) == [(1, "cold"), (2, "odd"), (3, "hot")]
+
+
+def test_two_writers(spark, tmp_path):
+    from graphloom.sources.log import Conflict
+
+    s, row = Store(spark, str(tmp_path / "s")), lambda *r: spark.createDataFrame(list(r), "id string, x int")
+    s.upsert(row(("a", 1), ("b", 1)))
+    first, second, apart = s.transaction(), s.transaction(), s.transaction()
+    first.upsert(row(("a", 2)))
+    second.upsert(row(("a", 3), ("c", 3)))
+    apart.upsert(row(("d", 4)))
+    first.commit()
+    assert pairs(second.read()) == [("a", 3), ("b", 1), ("c", 3)] and pairs(apart.get("a")) == [("a", 1)]
+    with pytest.raises(Conflict):
+        second.commit()
+    apart.commit()  # other keys: goes through behind the first
+    assert pairs(s.read()) == [("a", 2), ("b", 1), ("d", 4)] and pairs(s.read(1)) == [("a", 1), ("b", 1)]
+    late, gone = s.transaction(), s.transaction()
+    for i in range(12):  # a new base of the same rows is no conflict
+        s.upsert(row(("x", i)))
+    late.upsert(row(("y", 1)))
+    late.commit()
+    s.vacuum()
+    gone.upsert(row(("z", 1)))
+    with pytest.raises(Conflict):
+        gone.commit()
+    t = s.transaction()
+    s.write(row(("only", 1)))
+    t.delete(row(("nobody", 0)))
+    with pytest.raises(Conflict):
+        t.commit()
+    assert pairs(s.read()) == [("only", 1)]
+
+
+def test_segments_fill_and_forget(spark, tmp_path):
+    import shutil
+
+    from graphloom.operators import index
+
+    s = index.SegmentedIndex(spark, str(tmp_path / "s"), roll=10)
+    assert s.search([1.0, 0.0], 3).count() == 0 and s.segments().count() == 0
+    v = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "array(1.0D, id / 10.0D) as vector")
+    for lo, hi in ((0, 3), (3, 6), (6, 9), (9, 10)):
+        s.add(v(lo, hi))
+    assert pairs(s.segments()) == [(0, 10)]
+    s.add(v(10, 12))
+    assert pairs(s.segments()) == [(0, 10), (1, 2)]
+    s.remove(spark.range(0, 4))
+    assert pairs(s.segments()) == [(0, 6), (1, 2)] and pairs(s.search([1.0, 0.0], 2).select("id")) == [(4,), (5,)]
+    s.add(v(1, 2))
+    assert pairs(s.search([1.0, 0.0], 2).select("id")) == [(1,), (4,)]
+    # a batch without an entry in the log was cut off
+    shutil.copytree(next((tmp_path / "s" / "add").iterdir()), tmp_path / "s" / "add" / "batch_=cut")
+    assert s.rows().count() == 9 and pairs(s.optimize(str(tmp_path / "t")).segments()) == [(0, 9)]
+
+
+def test_odd_vectors_agree(spark, tmp_path):
+    from graphloom.operators import index
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, i / 7, -i / 3]) for i in range(9)] + [(20, [nan, 1.0, 0.0]), (21, None), (22, [1.0, None, 0.0]), (23, [1.0, 0.0]), (24, [inf, 1.0, 0.0]), (25, [0.0, 0.0, 0.0]), (26, [])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    q, x = [1.0, 0.2, -0.4], index.VectorIndex.build(v, str(tmp_path / "x"), cells=3)
+    s = index.SegmentedIndex(spark, str(tmp_path / "s"), roll=4)
+    s.add(v)
+    want = pairs(vectors.search(v, q, 20).select("id", "score"))
+    assert [i for i, _ in want] == [*range(9), 25]
+    for got in (x.search(q, 20), x.search(q, 20, probes=3), s.search(q, 20)):
+        assert pairs(got.select("id", "score")) == want
+    score = {r["id"]: r["c"] for r in v.select("id", vectors.cosine(F.col("vector"), vectors.literal(q)).alias("c")).collect()}
+    assert all(score[i] is None for i in (20, 21, 22, 23, 24, 26)) and score[25] == 0.0
+    exact = pairs(vectors.knn_join(v.where("id < 20"), v, 3, self_join=True).where("dst <> 25"))
+    assert pairs(x.knn_join(v.where("id < 20"), 3, self_join=True)) == exact and len(exact) == 27
+    assert {r["src"] for r in vectors.knn_join(v, v, 3, self_join=True).collect()} == {*range(9), 23, 25} - {23}
+    lone = {(r["a"], r["b"]): r["sim"] for r in vectors.pairwise(v).collect()}
+    assert lone[(0, 20)] is None and lone[(0, 24)] is None and lone[(0, 23)] is None and lone[(0, 25)] == 0.0

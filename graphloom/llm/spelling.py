@@ -37,7 +37,7 @@ from graphloom.session import discard, materialize
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 LEAST_LENGTH, LEAST_COUNT, SPOILED = 5, 3, 97
 #: Words of a wavelet tree, and code points of its words, about.
-POINTS, POINT_CHARS = 40_000, 1_500_000
+POINTS, POINT_CHARS = 10_000, 400_000
 _HEAD, _TAIL = 0, 1
 _POINT, _QUERY = 0, 1
 

@@ -15,9 +15,10 @@ from graphloom.operators import knowledge as K
 from graphloom.operators import local as L
 from graphloom.operators import ordering
 from graphloom.operators import predicates as P
+from graphloom.operators import proximity as R
 from graphloom.operators import vectors as V
 from graphloom.plans.registry import query
-from graphloom.session import materialize, scratch, table
+from graphloom.session import held, materialize, scratch, table
 from graphloom.sources import views as S
 from graphloom.sources.views import with_views
 from graphloom.streaming import enrich as E
@@ -45,9 +46,13 @@ def vector0(s, d, i=0):
     return [float(x) for x in S.vectors(s, d).where(F.col("id") == i).first()["vector"]]
 
 
+def neighbours(s, d):
+    """The six nearest of every vector: stored once for a session and its tables, by the coarse index, exact."""
+    return held(s, ("neighbours", d), "neighbours", lambda path: R.NeighbourGraph.build(S.vectors(s, d), path, 6))
+
+
 def sim_edges(s, d):
-    v = S.vectors(s, d)
-    return materialize(V.knn_join(v, v, 3, self_join=True).select("src", "dst", "sim"), "sim")
+    return neighbours(s, d).edges(3).select("src", "dst", "sim")
 
 
 def text(path):
@@ -139,10 +144,10 @@ def index_recall(s, d):
 
 @query("index_knn_join", SIM.replace("with recursive", "with") + " select src, dst, sim from sim where src % 10 = 0")
 def index_knn_join(s, d):
-    """The three nearest of every tenth vector from all cells: the exact way of the index."""
+    """The three nearest of every tenth vector: the exact way of the index, which visits the cells that it cannot rule out."""
     v = S.vectors(s, d)
     x = X.VectorIndex.build(v, scratch(s, "index"))
-    return x.knn_join(v.where("id % 10 = 0"), 3, len(x.centers), self_join=True).select("src", "dst", "sim")
+    return x.knn_join(v.where("id % 10 = 0"), 3, self_join=True).select("src", "dst", "sim")
 
 
 @query("dimension_presets", "select * from (values ('large', 1536), ('medium', 768), ('small', 384)) t(preset, dims)")
@@ -166,13 +171,14 @@ for _n, (_m, _sql) in _METRICS.items():
 
 @query("knn_join", SIM.replace("with recursive", "with") + " select src, dst, sim from sim")
 def knn_join(s, d):
-    return sim_edges(s, d)
+    """All blocks against all: the way that needs no index."""
+    v = S.vectors(s, d)
+    return V.knn_join(v, v, 3, self_join=True).select("src", "dst", "sim")
 
 
 @query("associative_links", SIM.replace("with recursive", "with") + " select src, dst, 'IS_SEMANTICALLY_SIMILAR_TO' edge_type, sim score from sim where sim >= 0.3")
 def associative_links(s, d):
-    v = S.vectors(s, d)
-    return E.associate(V.knn_join(v, v, 6, self_join=True), 0.3, 3)
+    return E.associate(neighbours(s, d).edges(6), 0.3, 3)
 
 
 @query("pairwise_similarity", VEC + " select a.id a, b.id b, round(list_cosine_similarity(a.vector, b.vector), 6) + 0.0 sim from vectors a join vectors b on a.id < b.id and a.label = b.label")
@@ -279,7 +285,7 @@ def eval_recall_at_k(s, d):
 def eval_mrr(s, d):
     v = S.vectors(s, d)
     l = v.select("id", "label")  # noqa: E741
-    r = V.knn_join(v, v, 3, self_join=True).join(l.select(F.col("id").alias("src"), "label"), "src").join(l.select(F.col("id").alias("dst"), F.col("label").alias("other")), "dst")
+    r = neighbours(s, d).edges(3).join(l.select(F.col("id").alias("src"), "label"), "src").join(l.select(F.col("id").alias("dst"), F.col("label").alias("other")), "dst")
     best = r.where("label = other").groupBy("src").agg(F.max(1.0 / F.col("rank")).alias("x"))
     return l.join(best, F.col("id") == F.col("src"), "left").agg(F.round(F.avg(F.coalesce("x", F.lit(0.0))), 6).alias("mrr"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["graphloom.plans.q_relational", "graphloom.plans.q_graph"]
+MODULES = ["graphloom.plans.q_relational", "graphloom.plans.q_graph", "graphloom.plans.q_index"]
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLE: dict[str, str] = {}

@@ -80,5 +80,17 @@ def discard(df: DataFrame | None) -> bool:
     return bool(p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True))
 
 
+_held: dict[tuple, tuple[str, object]] = {}
+
+
+def held(spark: SparkSession, key: tuple, tag: str, build):
+    """``build(path)`` of a new path in the shared folder, once for a key and application; after ``release`` it is built again."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _held or _held[key][0] not in _written:
+        path = scratch(spark, tag)
+        _held[key] = path, build(path)
+    return _held[key][1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -64,8 +64,9 @@ def structural_all(filters: list[tuple[str, str, object]] | None) -> Column:
 
 def haversine(lat1: Column, lon1: Column, lat2, lon2) -> Column:
     """Great-circle distance in metres."""
-    p1, p2 = F.radians(lat1), F.radians(F.lit(lat2))
-    dp, dl = (p2 - p1) / 2, (F.radians(F.lit(lon2)) - F.radians(lon1)) / 2
+    whole = lambda v: v if isinstance(v, Column) else F.lit(v)
+    p1, p2 = F.radians(lat1), F.radians(whole(lat2))
+    dp, dl = (p2 - p1) / 2, (F.radians(whole(lon2)) - F.radians(lon1)) / 2
     a = F.pow(F.sin(dp), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl), 2)
     return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 

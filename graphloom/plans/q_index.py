@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import fulltext, index, product, proximity
+from graphloom.operators import fulltext, index, product, proximity, spatial
 from graphloom.plans.registry import query
 from graphloom.session import held, materialize, scratch, table
 from graphloom.sources import views as V
@@ -83,3 +83,38 @@ def product_topk(s, d):
     x = product.ProductIndex.build(v, scratch(s, "product"))
     q = [float(x) for x in v.where("id = 0").first()["vector"]]
     return x.search(q, 10).select("id", "score")
+
+
+# places -------------------------------------------------------------------------------------------
+
+#: Where a part and a supplier are.
+_PART = "select p_partkey id, cast((p_partkey * 31) % 181 - 90 as double) lat, cast((p_partkey * 7) % 361 - 180 as double) lon from part"
+_SUPPLIER = "select s_suppkey center, cast((s_suppkey * 37) % 181 - 90 as double) c_lat, cast((s_suppkey * 53) % 361 - 180 as double) c_lon from supplier"
+
+
+def _metres(lat, lon):
+    h = f"(pow(sin((radians({lat}) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians({lat})) * pow(sin((radians({lon}) - radians(lon)) / 2), 2))"
+    return f"2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h}))"
+
+
+def _places(s, d):
+    rows = table(s, d, "part").selectExpr("p_partkey as id", "cast((p_partkey * 31) % 181 - 90 as double) as lat", "cast((p_partkey * 7) % 361 - 180 as double) as lon")
+    return spatial.SpatialIndex(s, held(s, ("places", d), "places", lambda path: spatial.SpatialIndex.build(rows, path)).path)
+
+
+for _name, _at in (("spatial_inland", (47.0, 8.0, 2_000_000)), ("spatial_date_line", (-12.5, 179.5, 2_500_000)), ("spatial_pole", (88.0, -40.0, 900_000)), ("spatial_small", (10.0, 20.0, 400_000))):
+    query(_name, f"with g as ({_PART}) select id, round({_metres(_at[0], _at[1])}, 3) metres from g where {_metres(_at[0], _at[1])} <= {_at[2]}")(
+        lambda s, d, at=_at: _places(s, d).within(*at).select("id", F.round("metres", 3).alias("metres"))
+    )
+
+
+@query("spatial_nearest", f"with g as ({_PART}) select id, round({_metres(-3.0, -179.0)}, 3) metres from g order by {_metres(-3.0, -179.0)}, id limit 12")
+def spatial_nearest(s, d):
+    return _places(s, d).nearest(-3.0, -179.0, 12).select("id", F.round("metres", 3).alias("metres"))
+
+
+@query("spatial_join", f"with g as ({_PART}), c as ({_SUPPLIER}) select center, count(*) n, round(max({_metres('c_lat', 'c_lon')}), 3) farthest from g, c where {_metres('c_lat', 'c_lon')} <= 700000 group by 1")
+def spatial_join(s, d):
+    """The parts around each supplier, by a join of grid cells."""
+    c = table(s, d, "supplier").selectExpr("s_suppkey as center", "cast((s_suppkey * 37) % 181 - 90 as double) as lat", "cast((s_suppkey * 53) % 361 - 180 as double) as lon")
+    return _places(s, d).join(c, 700_000).groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("metres"), 3).alias("farthest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import fulltext, index, product, proximity, spatial
+from graphloom.operators import fulltext, graph, index, product, proximity, reach, spatial
 from graphloom.plans.registry import query
 from graphloom.session import held, materialize, scratch, table
 from graphloom.sources import views as V
@@ -118,3 +118,56 @@ def spatial_join(s, d):
     """The parts around each supplier, by a join of grid cells."""
     c = table(s, d, "supplier").selectExpr("s_suppkey as center", "cast((s_suppkey * 37) % 181 - 90 as double) as lat", "cast((s_suppkey * 53) % 361 - 180 as double) as lon")
     return _places(s, d).join(c, 700_000).groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("metres"), 3).alias("farthest"))
+
+
+# reachability and eccentricity --------------------------------------------------------------------
+
+_SUP_R = with_views("supply", recursive=True)
+_ASK = """ask as (select distinct 'c:' || o_custkey src, 'p:' || l_partkey dst from orders join lineitem on l_orderkey = o_orderkey where l_linenumber = 1
+    union select distinct 'c:' || (o_custkey + 1), 'p:' || l_partkey from orders join lineitem on l_orderkey = o_orderkey where l_linenumber = 1
+    union select distinct 'p:' || l_partkey, 's:' || l_suppkey from lineitem union select 'n:' || n_nationkey, 's:' || s_suppkey from nation, supplier union select 's:' || s_suppkey, 's:' || s_suppkey from supplier)"""
+
+
+@query("reachability_labels", _SUP_R + f""", {_ASK}, e as materialized (select distinct src, dst from supply), starts as materialized (select distinct src from ask where src in (select src from e union select dst from e)),
+reach(a, id) as (select src, src from starts union select a, dst from reach join e on src = id)
+select ask.src, ask.dst, r.id is not null as reaches from ask left join reach r on r.a = ask.src and r.id = ask.dst""")
+def reachability_labels(s, d):
+    """Whether customers reach parts, parts suppliers, nations suppliers: a join of stored labels, without a closure."""
+    e = V.supply(s, d).select("src", "dst")
+    g = graph.Graph(materialize(e, "supply"))
+    x = held(s, ("reach", d), "reach", lambda path: reach.ReachabilityIndex.build(g.edges, g.nodes, path))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    first = table(s, d, "orders").join(table(s, d, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    sup = table(s, d, "supplier")
+    asked = [first.select(name("c:", "o_custkey"), name("p:", "l_partkey")), first.select(name("c:", F.col("o_custkey") + 1), name("p:", "l_partkey")), table(s, d, "lineitem").select(name("p:", "l_partkey"), name("s:", "l_suppkey")), sup.select(name("s:", "s_suppkey"), name("s:", "s_suppkey"))]
+    # every nation with every supplier: 25 rows a supplier
+    asked.append(sup.select(F.explode(F.array(*[F.lit(r[0]) for r in table(s, d, "nation").select(name("n:", "n_nationkey")).collect()])), name("s:", "s_suppkey")))
+    q = asked[0]
+    for a in asked[1:]:
+        q = q.unionAll(a)
+    return x.reaches(q.toDF("src", "dst"))
+
+
+_HOPS = ", n as (select src id from e union select dst from e), p(o, pos, k) as (select id, id, 0 from n union select o, dst, k + 1 from p join e on src = pos where k < {k}), h as (select o, pos, min(k) k from p group by 1, 2), ecc as (select o id, max(k)::double ecc from h group by 1)"
+
+
+def _supply_ecc(s, d):
+    g = graph.Graph(materialize(V.supply(s, d).select("src", "dst"), "supply"))
+    return reach.eccentricities(g.edges, g.nodes)
+
+
+_SUP_ECC = _SUP_R + ", e as materialized (select distinct src, dst from supply)" + _HOPS.format(k=5)
+
+
+@query("supply_eccentricity", _SUP_ECC + " select id, ecc eccentricity from ecc")
+def supply_eccentricity(s, d):
+    """The longest hop distance of every node of the supply graph, by neighbourhood sketches."""
+    return _supply_ecc(s, d).select("id", "eccentricity")
+
+
+@query("supply_diameter", _SUP_ECC + " select max(ecc) diameter, min(ecc) filter (where ecc > 0) radius, count(*) filter (where ecc = (select min(ecc) from ecc where ecc > 0)) centers from ecc")
+def supply_diameter(s, d):
+    """Diameter, and radius and size of the center among nodes that reach any other."""
+    e = materialize(_supply_ecc(s, d), "ecc")
+    low = e.where("eccentricity > 0").agg(F.min("eccentricity").alias("radius"))
+    return e.crossJoin(F.broadcast(low)).agg(F.max("eccentricity").alias("diameter"), F.max("radius").alias("radius"), F.count_if(F.col("eccentricity") == F.col("radius")).alias("centers"))

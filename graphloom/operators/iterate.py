@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import materialize
+from graphloom.session import discard, materialize
 
 
 def bfs(edges: DataFrame, start, depth: int | None = None, direction: str = "out", edge_type: str | None = None) -> DataFrame:
@@ -69,7 +69,9 @@ def relax(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> Da
             rounds = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct().count()
         if rounds is not None and step > rounds:
             raise ArithmeticError("negative cycle")
-        best = materialize(best.unionAll(frontier).groupBy("origin", "id").agg(F.min("cost").alias("cost")), "best")
+        old, best = best, materialize(best.unionAll(frontier).groupBy("origin", "id").agg(F.min("cost").alias("cost")), "best")
+        if step > 1:
+            discard(old)
 
 
 def sssp(edges: DataFrame, start, rounds: int | None = None) -> DataFrame:
@@ -248,7 +250,8 @@ def closure(edges: DataFrame) -> DataFrame:
     n = reach.count()
     while True:
         step = reach.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach = materialize(reach.unionAll(step).distinct(), "closure")
+        old, reach = reach, materialize(reach.unionAll(step).distinct(), "closure")
+        discard(old)
         now = reach.count()
         if now == n:
             return reach
@@ -267,13 +270,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): weak components, named by their smallest node. Labels go to neighbours, and from labels to
     their own labels (pointer jumping), until none falls."""
     both = materialize(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "both")
-    label = materialize(nodes.select("id", F.col("id").alias("component")), "label")
+    label = held = materialize(nodes.select("id", F.col("id").alias("component")), "label")
     while True:
         near = both.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
         low = label.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = low.select(F.col("id").alias("component"), F.col("component").alias("jump"))
         new = materialize(low.join(jump, "component").select("id", "old", F.least("component", "jump").alias("component")), "label")
-        label = new.select("id", "component")
+        discard(held)
+        label, held = new.select("id", "component"), new
         if new.where("old <> component").isEmpty():
             return label
 
@@ -288,7 +292,8 @@ def trimmed(edges: DataFrame, once: int | None = None) -> DataFrame:
             break
         n, once = now, None if once is None else once - 1
         src, dst = e.select(F.col("src").alias("id")).distinct(), e.select(F.col("dst").alias("id")).distinct()
-        e = materialize(e.join(dst.withColumnRenamed("id", "src"), "src", "left_semi").join(src.withColumnRenamed("id", "dst"), "dst", "left_semi"), "trim")
+        old, e = e, materialize(e.join(dst.withColumnRenamed("id", "src"), "src", "left_semi").join(src.withColumnRenamed("id", "dst"), "dst", "left_semi"), "trim")
+        discard(old)
     return e
 
 
@@ -310,7 +315,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         while not changed.isEmpty():
             near = changed.join(e.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("near"))
             changed = materialize(near.join(color, "id").where("near < color").select("id", F.col("near").alias("color")), "changed")
-            color = materialize(color.join(changed.withColumnRenamed("color", "new"), "id", "left").select("id", F.coalesce("new", "color").alias("color")), "color")
+            old, color = color, materialize(color.join(changed.withColumnRenamed("color", "new"), "id", "left").select("id", F.coalesce("new", "color").alias("color")), "color")
+            if old is not changed:
+                discard(old)
         inside = e.join(color.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst")
         inside = materialize(inside, "inside")
         back = materialize(color.where("id = color"), "back")
@@ -376,15 +383,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
     """(id, rank): fixed rounds; the mass of nodes without outgoing edges is not handed on (ranks need not sum to 1).
     The edges carry their source's share and are laid out once; the plan is cut every few rounds."""
     nodes = materialize(nodes.select("id"), "nodes")
-    n = nodes.count()
+    n = max(1, nodes.count())
     e = edges.select("src", "dst")
     e = materialize(e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"), "ranked")
-    rank = nodes.select("id", F.lit(1.0 / max(1, n)).alias("rank"))
+    rank, held = nodes.select("id", F.lit(1.0 / n).alias("rank")), None
     for r in range(rounds):
         given = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         rank = nodes.select("id").join(given, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if r % every == every - 1:
-            rank = materialize(rank, "rank")
+            old, rank = held, materialize(rank, "rank")
+            held = rank
+            discard(old)
     return rank
 
 
@@ -395,26 +404,11 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> D
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "label").count()
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("label").alias("new"))).alias("x"))
-        label = materialize(label.join(best, "id", "left").select("id", F.coalesce("x.new", "label").alias("label")), "label")
+        old, label = label, materialize(label.join(best, "id", "left").select("id", F.coalesce("x.new", "label").alias("label")), "label")
+        discard(old)
     return label
 
 
-def maximal_cliques(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(clique): sorted arrays. Cliques grow by a larger common neighbour; those that have any common neighbour are not maximal."""
-    both = edges.where("src <> dst").select("src", "dst").unionAll(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    near = materialize(nodes.select(F.col("id").alias("src")).join(both.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("near")), "src", "left").select("src", F.coalesce("near", F.array().cast("array<" + nodes.schema["id"].dataType.simpleString() + ">")).alias("near")), "near")
-    grown = near.select(F.array("src").alias("clique"), F.col("near").alias("common"))
-    out = None
-    while True:
-        grown = materialize(grown, "clique")
-        if grown.isEmpty():
-            return out
-        done = grown.where(F.size("common") == 0).select("clique")
-        out = done if out is None else out.unionAll(done)
-        step = grown.select("clique", "common", F.explode("common").alias("src")).where(F.col("src") > F.element_at("clique", -1))
-        grown = step.join(near, "src").select(F.concat("clique", F.array("src")).alias("clique"), F.array_intersect("common", "near").alias("common"))
-
-
 def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, coefficient): linked pairs of neighbours over all pairs, in the undirected view; fewer than two neighbours: 0."""
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()

@@ -36,7 +36,8 @@ def two_hop_labels(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     ranked = nodes.select("id").distinct().join(degree, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
     from graphloom.operators import ordering
 
-    order = materialize(ordering.running(ranked.withColumn("m", -F.col("d")), ["m", "id"], out="place").select("id", "place"), "order")
+    # equal degrees in the order of a hash, so that the landmarks of a long path are spread over it
+    order = materialize(ordering.running(ranked.select("id", (-F.col("d")).alias("m"), F.xxhash64("id").alias("h")), ["m", "h", "id"], out="place").select("id", "place"), "order")
     n = order.count()
     kind = nodes.schema["id"].dataType.simpleString()
     none = nodes.sparkSession.createDataFrame([], f"node {kind}, mark {kind}")
@@ -60,7 +61,16 @@ def two_hop_labels(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
                 old, seen = seen, materialize(seen.unionAll(front), "seen")
                 discard(old)
             found.append(seen.select("node", "mark"))
-        old = out, into
+        # of the batch itself: what a landmark of an earlier place answers is taken out
+        ahead = order.where(F.col("place") <= done + size).select(F.col("id").alias("mark"), "place")
+        lists = [into.unionAll(found[0]), out.unionAll(found[1])]
+        for i in (0, 1):
+            mine, theirs = found[i].join(ahead, "mark"), lists[1 - i]
+            via = lists[i].join(ahead, "mark").select("node", F.col("mark").alias("by"), F.col("place").alias("first"))
+            met = theirs.select(F.col("node").alias("mark"), F.col("mark").alias("by"))
+            told = mine.join(via, "node").where("first < place").join(met, ["mark", "by"]).select("node", "mark").distinct()
+            lists[i] = found[i].join(told, ["node", "mark"], "left_anti").select("node", "mark")
+        old, found = (out, into), lists
         into, out = materialize(into.unionAll(found[0]), "into"), materialize(out.unionAll(found[1]), "out")
         for x in old:
             discard(x)

@@ -16,6 +16,7 @@ from graphloom.operators import local as L
 from graphloom.operators import ordering
 from graphloom.operators import predicates as P
 from graphloom.operators import proximity as R
+from graphloom.operators import structure as T
 from graphloom.operators import vectors as V
 from graphloom.plans.registry import query
 from graphloom.session import held, materialize, scratch, table
@@ -723,7 +724,7 @@ def label_propagation(s, d):
 @query("maximal_cliques", RTRADE + ", e as (select src a, dst b from trade union select dst, src from trade), n as (select distinct a id from e), c(clique, last) as (select [id], id from n union all select list_append(clique, id), id from c, n where id > last and not exists (select 1 from unnest(clique) u(x) where (x, id) not in (select (a, b) from e))) select array_to_string(clique, ',') clique from c where not exists (select 1 from n where not list_contains(clique, id) and (select bool_and((x, id) in (select (a, b) from e)) from unnest(clique) u(x)))")
 def maximal_cliques(s, d):
     g = trade(s, d)
-    return I.maximal_cliques(g.edges, g.nodes).select(text(F.col("clique")).alias("clique"))
+    return T.maximal_cliques(g.edges, g.nodes).select(text(F.col("clique")).alias("clique"))
 
 
 _LCC = TRADE + ", u as (select distinct least(src, dst) a, greatest(src, dst) b from trade), e as (select a src, b dst from u union all select b, a from u), n as (select distinct src id from e), g as (select src id, count(*) k from e group by 1), t as (select x.src id, count(*) k from e x join e y on x.src = y.src and x.dst < y.dst join u on a = x.dst and b = y.dst group by 1), l as (select g.id, case when g.k < 2 then 0.0 else 2.0 * coalesce(t.k, 0) / (g.k * (g.k - 1)) end c from g left join t on g.id = t.id)"

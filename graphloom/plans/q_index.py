@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import fulltext, graph, index, product, proximity, reach, spatial
+from graphloom.operators import fulltext, graph, index, product, proximity, reach, spatial, structure
 from graphloom.plans.registry import query
 from graphloom.session import held, materialize, scratch, table
 from graphloom.sources import views as V
@@ -171,3 +171,68 @@ def supply_diameter(s, d):
     e = materialize(_supply_ecc(s, d), "ecc")
     low = e.where("eccentricity > 0").agg(F.min("eccentricity").alias("radius"))
     return e.crossJoin(F.broadcast(low)).agg(F.max("eccentricity").alias("diameter"), F.max("radius").alias("radius"), F.count_if(F.col("eccentricity") == F.col("radius")).alias("centers"))
+
+
+# structure of the neighbour graph -----------------------------------------------------------------
+
+_SIM_R = with_views("sim", recursive=True)
+_PAIRS = ", e as materialized (select src, dst from sim), n as materialized (select src id from e union select dst from e)"
+
+
+def _sim(s, d):
+    from graphloom.plans import q_graph
+
+    return graph.Graph(q_graph.sim_edges(s, d).select("src", "dst"))
+
+
+@query("sim_communities")
+def sim_communities(s, d):
+    """Communities of large modularity of the neighbour graph."""
+    g = _sim(s, d)
+    return structure.communities(g.edges, g.nodes)
+
+
+@query("sim_modularity", _SIM_R + _PAIRS + """, label as (select id, id % 7 as label from n), a as (select src, dst from e union all select dst, src from e),
+    x as (select p.label l, count(*) total, count(*) filter (where p.label = q.label) inside from a join label p on src = p.id join label q on dst = q.id group by 1)
+    select round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 9) modularity from x""")
+def sim_modularity(s, d):
+    """The modularity of communities that are given: ids modulo seven."""
+    g = _sim(s, d)
+    q = structure.modularity(structure.symmetric(g.edges), g.nodes.select("id", F.pmod("id", F.lit(7)).alias("label")))
+    return s.createDataFrame([(round(q, 9),)], "modularity double")
+
+
+def _color_sql(rounds: int) -> str:
+    """Colour refinement with ranks of sorted lists instead of hashes."""
+    steps = "".join(
+        f""", i{r} as materialized (select n.id, c.color, (select list_sort(list(x.color)) from e join c{r - 1} x on x.id = e.dst where e.src = n.id) o, (select list_sort(list(x.color)) from e join c{r - 1} x on x.id = e.src where e.dst = n.id) i
+        from n join c{r - 1} c using (id)), c{r} as materialized (select id, dense_rank() over (order by color, o, i) color from i{r})"""
+        for r in range(1, rounds + 1)
+    )
+    return _SIM_R + _PAIRS + ", c0 as (select id, 0::bigint color from n)" + steps + f" select size, count(*) classes from (select color, count(*) size from c{rounds} group by 1) group by 1"
+
+
+@query("sim_color_classes", _color_sql(8))
+def sim_color_classes(s, d):
+    """How many classes of which size colour refinement leaves."""
+    g = _sim(s, d)
+    c = structure.color_classes(g.edges, g.nodes)
+    return c.groupBy("color").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("classes"))
+
+
+@query("isomorphic_copy", _SIM_R + _PAIRS + " select id a, -id b from n")
+def isomorphic_copy(s, d):
+    """The mapping of the neighbour graph onto a copy whose nodes have other names."""
+    g = _sim(s, d)
+    return structure.isomorphism(g.edges, g.edges.select((-F.col("src")).alias("src"), (-F.col("dst")).alias("dst")))
+
+
+@query("sim_cliques", _SIM_R + """, e as materialized (select src a, dst b from sim union select dst, src from sim), n as (select distinct a id from e),
+    c(clique, last) as (select [id], id from n union all select list_append(clique, b), b from c join e on e.a = last where b > last and (select count(*) from e f where f.b = e.b and list_contains(clique, f.a)) = len(clique)),
+    m as (select clique from c where not exists (select 1 from e f where f.a = clique[1] and not list_contains(clique, f.b) and (select count(*) from e g where g.b = f.b and list_contains(clique, g.a)) = len(clique)))
+    select len(clique) as size, count(*) cliques, sum(list_sum(clique))::bigint total from m group by 1""")
+def sim_cliques(s, d):
+    """How many maximal cliques of which size the neighbour graph has, with the sum of their ids."""
+    g = _sim(s, d)
+    c = structure.maximal_cliques(g.edges, g.nodes)
+    return c.groupBy(F.size("clique").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("cliques"), F.sum(F.aggregate("clique", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))

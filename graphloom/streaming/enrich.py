@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from graphloom.functions.ml import embedder
 from graphloom.operators import knowledge
 
-#: Node types that each module takes.
+#: Node types that each module takes.
 INDEXED = ["Message", "Summary", "Entity", "ScrapedPage", "WebSearch", "AudioTranscript"]
 LINKED = ["Message", "Summary", "ScrapedPage"]
-#: Event type -> modules that get it.
+#: Event type -> modules that get it.
 ROUTES = {"NodeCreated": ["semantic_indexer", "entity_linker", "associative_linker"], "NodeUpdated": ["semantic_indexer"], "ChatUpdated": ["summarizer"], "BatchMessagesAdded": [], "EdgeCreated": []}
 SUMMARY_EVERY = 20
 

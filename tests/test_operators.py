@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import converged, graph, iterate, knowledge, local, predicates, vectors
+from graphloom.operators import converged, graph, iterate, knowledge, local, predicates, structure, vectors
 from graphloom.sources.store import LogStore, Registry, Store, TieredStore
 
 
@@ -137,7 +137,7 @@ def test_structure(spark):
     assert pairs(iterate.connected_components(g.edges, g.nodes)) == [(n, "a") for n in "abcde"] + [("x", "x"), ("y", "x")]
     assert dict(pairs(iterate.strong_components(g.edges, g.nodes)))["c"] == "a"
     assert local.low_links(local.collect(e))[0] == [("c", "d"), ("d", "e"), ("x", "y")] and local.low_links(local.collect(e))[1] == ["c", "d"]
-    assert sorted(map(tuple, (r["clique"] for r in iterate.maximal_cliques(g.edges, g.nodes).collect()))) == [("a", "b", "c"), ("c", "d"), ("d", "e"), ("x", "y")]
+    assert sorted(map(tuple, (r["clique"] for r in structure.maximal_cliques(g.edges, g.nodes).collect()))) == [("a", "b", "c"), ("c", "d"), ("d", "e"), ("x", "y")]
     assert not iterate.is_bipartite(g.edges, g.nodes).first()[0]
     assert dict(pairs(iterate.clustering(g.edges, g.nodes)))["a"] == 1.0
     assert [r["path"] for r in iterate.simple_cycles(e, 4).collect()] == [["a", "b", "c"]]

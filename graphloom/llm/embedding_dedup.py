@@ -119,6 +119,21 @@ def fit(x: np.ndarray, n: int, cosine: float, recall: float, seed: int = 5) -> d
         model["visits"] = min(cells, model["visits"] + max(1, model["visits"] // 5))
 
 
+def reachable(x: np.ndarray, m: dict, cosine: float) -> list[np.ndarray]:
+    """All cells that may hold a vector linked to each unit vector, its own first: by the triangle inequality in each half, a cell is ruled out if the
+    halves' distances less the codewords' radii are together beyond the distance that the cosine allows."""
+    d = [np.maximum(0, np.sqrt(np.maximum(0, nearest(part, book))) - far[None, :] - 1e-6) ** 2 for part, book, far in zip((x[:, : m["half"]], x[:, m["half"] :]), m["books"], m["radii"])]
+    own = cells_of(x, m | {"visits": 1})[:, 0]
+    out = []
+    for i in range(len(x)):
+        first = np.flatnonzero(d[0][i] <= 2 - 2 * cosine + 1e-6)
+        both = d[0][i][first, None] + d[1][i][None, :]
+        a, b = np.nonzero(both <= 2 - 2 * cosine + 1e-6)
+        cells = first[a] * len(m["books"][1]) + b
+        out.append(np.r_[own[i], cells[cells != own[i]]])
+    return out
+
+
 def cells_of(x: np.ndarray, m: dict | None) -> np.ndarray:
     """The cells that unit vectors visit, their own first; without a model there is one cell."""
     if m is None:
@@ -139,6 +154,35 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), offsets - offsets[0]
 
 
+def _radii(classes: DataFrame, models: dict, item: str) -> None:
+    """Adds to each model the radius of every codeword of both halves: the largest distance of a vector's half from its nearest one, over all vectors."""
+    shared = classes.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far: dict = {}
+        for b in batches:
+            values, offsets = _lists(b.column("x"))
+            sizes = np.diff(offsets)
+            for width in np.unique(sizes).tolist():
+                m = shared.value.get(width)
+                at = np.flatnonzero(sizes == width)
+                for lo in range(0, len(at) if m is not None else 0, 512):
+                    x = unit(values[offsets[at[lo : lo + 512]][:, None] + np.arange(width)])
+                    for h, (part, book) in enumerate(zip((x[:, : m["half"]], x[:, m["half"] :]), m["books"])):
+                        d = np.sqrt(np.maximum(0, nearest(part, book)))
+                        held = far.setdefault((width, h), np.zeros(len(book)))
+                        np.maximum.at(held, d.argmin(1), d.min(1))
+        for (width, h), held in far.items():
+            n = len(held)
+            yield pa.RecordBatch.from_pydict({"width": pa.array([width] * n, pa.int32()), "half": pa.array([h] * n, pa.int32()), "code": pa.array(range(n), pa.int32()), "far": pa.array(held)})
+
+    for m in models.values():
+        m["radii"] = [np.zeros(len(b)) for b in m["books"]]
+    # a row for each codeword: as many as the codebooks, which are on the driver
+    for r in classes.select("x").mapInArrow(run, "width int, half int, code int, far double").groupBy("width", "half", "code").agg(F.max("far").alias("far")).collect():
+        models[r["width"]]["radii"][r["half"]][r["code"]] = r["far"]
+
+
 def links_of(q: dict, x: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links of queries ``q`` with the index vectors ``x`` of a cell: the number of rows that each of either is linked with (as far as it
     is counted here), and for each the least class of either that it is connected with (places in the sorted classes of both)."""
@@ -153,7 +197,7 @@ def links_of(q: dict, x: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, n
         i, j = np.nonzero(part)
         ours[lo : lo + 64] += part @ x["copies"]
         # the index vector's own visits do not reach the query's cell: the link counts here for it too
-        alone = ~(x["cells"][j] == q["own"][lo + i][:, None]).any(1)
+        alone = ~(x["cells"][j] == q["own"][lo + i][:, None]).any(1) if "cells" in x else np.zeros(len(i), bool)
         np.add.at(theirs, j[alone], q["copies"][lo + i[alone]])
     low_q, low_x, none = qi.copy(), xi.copy(), len(names)
     while True:
@@ -164,8 +208,11 @@ def links_of(q: dict, x: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, n
         low_q, low_x = new_q, new_x
 
 
-def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """``key``, n_links, component_id, kept for every row: vectors are linked whose cosine is at least ``cosine``."""
+def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, recall: float = RECALL, block: int = BLOCK, exact: bool = False) -> DataFrame:
+    """``key``, n_links, component_id, kept for every row: vectors are linked whose cosine is at least ``cosine``.
+
+    With ``exact`` a vector visits every cell that can hold a link, so no link is lost; how many these are depends on how far apart the data are.
+    """
     spark = vectors.sparkSession
     kind = vectors.schema[vector].dataType
     # single precision stays as it is until it is compared: half the bytes
@@ -185,6 +232,8 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         some = classes.where((F.col("width") == width) & (_sample.spread(F.col("h"), seed=3) < max(SAMPLE, 8 * codes(n)) / n))
         taken = some.select("h", "x").toPandas().sort_values("h")
         models[width] = fit(unit(np.stack(taken["x"].to_numpy())), n, cosine, recall)
+    if exact:
+        _radii(classes, models, item)
     shared = spark.sparkContext.broadcast(models)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +247,8 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 at = np.flatnonzero(sizes == width)
                 for lo in range(0, len(at), rows):
                     part = at[lo : lo + rows]
-                    for i, own in zip(part.tolist(), cells_of(unit(values[offsets[part][:, None] + np.arange(width)]), m)):
+                    x = unit(values[offsets[part][:, None] + np.arange(width)])
+                    for i, own in zip(part.tolist(), reachable(x, m, cosine) if exact and m is not None else cells_of(x, m)):
                         cells[i] = own
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*b.schema.names, "cells"])
 
@@ -211,7 +261,9 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     spread = lambda salt, n: F.pmod(F.xxhash64("rep", "tag", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # each (block, asker) of a cell is a task's unit: index rows go to all askers, query rows to all blocks
-    here = placed.withColumn("cell", F.col("own")).join(grid, cell).withColumn("block", spread(1, "blocks")).withColumn("asker", every("askers"))
+    # the exact way finds every link from both its ends, so the index side needs no cells
+    held = placed.withColumn("cells", F.lit(None).cast("array<long>")) if exact else placed
+    here = held.withColumn("cell", F.col("own")).join(grid, cell).withColumn("block", spread(1, "blocks")).withColumn("asker", every("askers"))
     there = placed.withColumn("cell", F.explode("cells")).join(grid, cell).withColumn("asker", spread(2, "askers")).withColumn("block", every("blocks")).withColumn("cells", F.lit(None).cast("array<long>"))
     names = ["width", "cell", "block", "asker", "kind", "rep", "tag", "copies", "own", "cells", "x"]
     rows = here.withColumn("kind", F.lit(0)).select(*names).unionAll(there.withColumn("kind", F.lit(1)).select(*names))
@@ -247,7 +299,7 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 named = np.empty(hi - lo, pair)
                 named["rep"], named["tag"] = col["rep"][lo:hi], col["tag"][lo:hi]
                 rows = {"class": named, "copies": col["copies"][lo:hi].copy(), "own": col["own"][lo:hi].copy(), "x": _lists(part.column("x"))[0].reshape(int(hi - lo), -1).copy()}
-                if not k:
+                if not k and not exact:
                     rows["cells"] = _lists(part.column("cells"))[0].reshape(int(hi - lo), -1).copy()
                 held[k].append(rows)
         yield from flush()

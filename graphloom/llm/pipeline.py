@@ -6,8 +6,9 @@ which is written as Parquet and read again as the next one's documents. All but
 ``documents``, whatever these are called: a document travels through an operator as one struct.
 
 The mix is dealt to shards and parts by its layout, as its columns are those of the documents: a shard's part is a run
-of rows of one partition, locally shuffled. A document may be taken in several slices; the last stage names the slice
-(``slice``: a hash of key and text, which also seeds the draw) beside the document.
+of rows of one partition, locally shuffled. A document may be taken in several slices, and in equal ones, as the mix goes over a
+source twice; the last stage names the slice (``slice``: a hash of key, text and the number of the slice among equal ones, which also
+seeds the draw) beside the document, so names differ and equal slices get draws of their own.
 
 Defined results for odd input: rows with a null doc_id go through every stage; rows that share a doc_id stay or go together in
 the near-copy stage and are judged by their own text elsewhere; null texts and texts without words pass the classifiers by
@@ -18,7 +19,7 @@ toxicity and no text is poor; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, near_dedup, quality, segmentation, toxicity
@@ -54,10 +55,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """With ``copy_``: the number from 0 of each row among those of equal doc_id and text.
+
+    Places and hashes are all that is sorted and shuffled: the rows are written once with their place, and those that are not the first of
+    their kind get their number by a join on it. Equal rows are alike, so it does not matter which has which number.
+    """
+    placed = materialize(docs.withColumn("place_", F.monotonically_increasing_id()), "placed")
+    names = placed.select("place_", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("h")).alias("name"))
+    # most rows have no equal: only those of the others are ranked
+    many = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("place_")) - 1
+    again = materialize(names.join(many.withColumnRenamed("name", "name_"), F.col("name").eqNullSafe(F.col("name_"))).select("place_", rank.alias("copy_")).where("copy_ > 0"), "again")
+    small = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    return placed.join(small, "place_", "left").select(*docs.columns, F.coalesce("copy_", F.lit(0)).alias("copy_"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each row's text, as piece ids, with the row's slice, language, source and size.
     Small chunks and few kept units: the stages before have filled the executors' heaps."""
-    rows = docs.withColumn("slice", F.xxhash64("doc_id", "text"))
+    name = F.when(F.col("copy_") == 0, F.xxhash64("doc_id", "text")).otherwise(F.xxhash64("doc_id", "text", "copy_"))
+    rows = numbered(docs).withColumn("slice", name).drop("copy_")
     return segmentation.segment(rows, k=2, draw="slice", carry=("slice", "lang", "source", "n_chars"), chunk_chars=120_000, held_chars=250_000)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import attention, code_compression, language_model, spelling
+from graphloom.llm import attention, code_compression, embedding_dedup, language_model, pipeline, spelling
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -276,3 +276,31 @@ def test_the_model_beats_the_words_on_held_out_texts(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     r = language_model.score(d).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
+
+
+# the exact way of the embedding join, and names of equal slices -------------------------------------
+
+
+def test_exact_embedding_links(spark, monkeypatch):
+    """Families just above the threshold, all links against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 6)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((250, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((250, 16))
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.9505 * base + (1 - 0.9505**2) ** 0.5 * noise, base[:40], rng.standard_normal((30, 7)) @ np.ones((7, 16)) + 0.01 * rng.standard_normal((30, 16))])
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(900, [1.0, 2.0]), (901, None), (902, [2.0, 4.0])], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    want = {i: int(n) - 1 for i, n in enumerate(link.sum(1))} | {900: 1, 901: 0, 902: 1}
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_embeddings(d, exact=True, block=64).collect()}
+    assert got == want
+
+
+def test_equal_slices_have_numbers(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (1, "c"), (2, "a b"), (None, None), (None, None), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit("clash")).repartition(3)
+    got = [tuple(r) for r in pipeline.numbered(d).select("doc_id", "text", "copy_").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b", 0), (1, "a b", 1), (1, "a b", 2), (1, "c", 0), (2, "a b", 0), (None, None, 0), (None, None, 1), (3, None, 0)], key=str)

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from graphloom.plans import registry  # noqa: E402
 from graphloom.session import get_spark  # noqa: E402
 
-NAMES = ["converged", "knn_join", "knn_topk", "bfs_levels", "pagerank", "connected_components", "log_stats_level", "log_stats_source", "log_stats_context", "payload_combo", "all_simple_paths", "transitive_closure", "tpch_q1_like", "bm25_topk", "mentions_edges"]
+NAMES = ["converged", "knn_join", "knn_topk", "bfs_levels", "pagerank", "connected_components", "log_stats_level", "log_stats_source", "log_stats_context", "payload_combo", "all_simple_paths", "transitive_closure", "tpch_q1_like", "bm25_topk", "mentions_edges", "proximity_neighbours", "proximity_topk", "index_knn_join", "spatial_join", "spatial_nearest", "supply_eccentricity"]
 
 
 def main() -> None:

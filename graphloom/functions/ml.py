@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 384
@@ -33,24 +33,20 @@ def embedder(model: Callable[[str], list[float]] = byte_embedding):
 
 
 def softmax(scores: DataFrame, key: str, score: str = "score", digits: int = 6) -> DataFrame:
-    """Adds p, the softmax of the scores of each key, and rank."""
-    w = Window.partitionBy(key)
-    top = F.max(score).over(w)
-    e = F.exp(F.col(score) - top)
-    d = scores.withColumn("e", e)
-    return d.withColumn("p", F.round(F.col("e") / F.sum("e").over(w), digits)).drop("e")
+    """Adds p, the softmax of the scores of each key (nulls are a key). Maxima and sums are made in tasks first and joined back, so a key of
+    many rows is never in one place."""
+    same = lambda d, other: d.join(other, F.col(key).eqNullSafe(F.col("key_")))
+    top = scores.groupBy(F.col(key).alias("key_")).agg(F.max(score).alias("top_"))
+    d = same(scores, top).withColumn("e_", F.exp(F.col(score) - F.col("top_"))).drop("key_", "top_")
+    total = d.groupBy(F.col(key).alias("key_")).agg(F.sum("e_").alias("total_"))
+    return same(d, total).withColumn("p", F.round(F.col("e_") / F.col("total_"), digits)).drop("e_", "key_", "total_")
 
 
 def overlap_score(query: str):
-    """Pandas UDF: the share of the query's words that a text has: a stand-in for a cross-encoder."""
-    asked = frozenset(query.lower().split())
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: len(asked & set((t or "").lower().split())) / max(1, len(asked)))
-
-    return score
+    """text -> the share of the query's words that it has: a stand-in for a cross-encoder, by built-in functions. Null texts have none."""
+    asked = sorted(set(query.lower().split()))
+    words = F.array(*[F.lit(w) for w in asked]).cast("array<string>")
+    return lambda text: F.size(F.array_intersect(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), words)) / F.lit(float(max(1, len(asked))))
 
 
 def rerank(candidates: DataFrame, scorer: Column, n: int = 5) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from graphloom.operators import vectors as V
 
 
+#: Incoming relationships of a hub that one part of an inference takes.
+HUB = 10_000
+
+
 def property_similarity(type_a: Column, props_a: Column, type_b: Column, props_b: Column) -> Column:
     """0.6 for an equal type + 0.4 * (shared keys with equal values / all keys); no keys: 0 for that part."""
     keys = F.array_union(F.map_keys(props_a), F.map_keys(props_b))
@@ -52,9 +56,21 @@ def related(rels: DataFrame, entity_id, limit: int) -> DataFrame:
 
 
 def infer(rels: DataFrame, digits: int = 6) -> DataFrame:
-    """(src, dst, rel, confidence): A-r->B-r->C gives A-r->C, with the best product of confidences, where it is not stated."""
-    two = rels.alias("x").join(rels.alias("y"), (F.col("x.dst") == F.col("y.src")) & (F.col("x.rel") == F.col("y.rel"))).where("x.src <> y.dst")
-    d = two.groupBy(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.col("x.rel").alias("rel")).agg(F.round(F.max(F.col("x.confidence") * F.col("y.confidence")), digits).alias("confidence"))
+    """(src, dst, rel, confidence): A-r->B-r->C gives A-r->C, with the best product of confidences, where it is not stated.
+
+    Parallel relationships count once (the greatest and the least confidence stand for all). A hub's incoming relationships are dealt to parts
+    of ``HUB``, and its outgoing ones go to each part, so no task gets all its pairs.
+    """
+    least, most = F.min("confidence").alias("least"), F.max("confidence").alias("most")
+    once = rels.groupBy("src", "dst", "rel").agg(least, most)
+    parts = once.groupBy(F.col("dst").alias("mid"), "rel").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
+    number = F.coalesce("parts", F.lit(1))
+    x = once.withColumnRenamed("dst", "mid").join(parts, ["mid", "rel"], "left").withColumn("part", F.pmod(F.xxhash64("src"), number).cast("int"))
+    y = once.withColumnRenamed("src", "mid").join(parts, ["mid", "rel"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
+    two = x.select("mid", "rel", "part", "src", "least", "most").alias("x").join(y.select("mid", "rel", "part", "dst", "least", "most").alias("y"), ["mid", "rel", "part"]).where("src <> dst")
+    # of confidences below zero the least make the greatest product
+    best = F.greatest(F.col("x.most") * F.col("y.most"), F.col("x.least") * F.col("y.least"), F.col("x.most") * F.col("y.least"), F.col("x.least") * F.col("y.most"))
+    d = two.withColumn("best", best).groupBy("src", "dst", "rel").agg(F.round(F.max("best"), digits).alias("confidence"))
     return d.join(rels.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti")
 
 

@@ -164,14 +164,15 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, self_join: bool = Fal
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pairwise(vectors: DataFrame, digits: int = 6, block: int = 1024) -> DataFrame:
-    """(a, b, sim): the cosine of all pairs of vectors with ids a < b, as ``cosine`` gives it; null where a vector
+def pairwise(vectors: DataFrame, digits: int = 6, block: int = 1024, by: str | None = None) -> DataFrame:
+    """(a, b, sim): the cosine of all pairs of vectors with ids a < b (and, with ``by``, of equal values there that are not null), as ``cosine`` gives it; null where a vector
     is null or holds a null or non-finite component, or the lengths differ.
 
     Vectors are packed into blocks; a task multiplies one block by another, each two blocks once.
     """
     n = max(1, -(-vectors.count() // block))
-    packed = vectors.where("id is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("p")).agg(F.collect_list(F.struct("id", "vector")).alias("ps"))
+    group = F.lit(0) if by is None else F.col(by)
+    packed = vectors.where("id is not null").groupBy(group.alias("g"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("p")).agg(F.collect_list(F.struct("id", "vector")).alias("ps"))
 
     def rows(items):
         """The ids, and for each length the places and the scaled vectors."""
@@ -202,7 +203,8 @@ def pairwise(vectors: DataFrame, digits: int = 6, block: int = 1024) -> DataFram
                     keep = a < b if p == q else np.ones(a.shape, bool)
                     yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[keep]), "b": pa.array(np.maximum(a, b)[keep]), "sim": pa.array(sim[lo : lo + 64][keep], mask=~known[lo : lo + 64][keep])})
 
-    pairs = packed.crossJoin(packed.withColumnsRenamed({"p": "q", "ps": "qs"})).where("p <= q")
+    other = packed.withColumnsRenamed({"p": "q", "ps": "qs"})
+    pairs = (packed.crossJoin(other.drop("g")) if by is None else packed.join(other, "g")).where("p <= q").drop("g")
     return pairs.repartition(min(4096, n * (n + 1) // 2)).mapInArrow(multiply, "a long, b long, sim double")
 
 

@@ -185,9 +185,7 @@ def associative_links(s, d):
 @query("pairwise_similarity", VEC + " select a.id a, b.id b, round(list_cosine_similarity(a.vector, b.vector), 6) + 0.0 sim from vectors a join vectors b on a.id < b.id and a.label = b.label")
 def pairwise_similarity(s, d):
     """The similarity matrix of each class; ``pairwise_all`` is that of all vectors."""
-    v = S.vectors(s, d)
-    a, b = v.select("label", F.col("id").alias("a"), F.col("vector").alias("x")), v.select("label", F.col("id").alias("b"), F.col("vector").alias("y"))
-    return a.join(b, "label").where("a < b").select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("sim"))
+    return V.pairwise(S.vectors(s, d), by="label")
 
 
 @query("pairwise_all", VEC + " select a.id a, b.id b, round(list_cosine_similarity(a.vector, b.vector), 6) + 0.0 sim from vectors a join vectors b on a.id < b.id")

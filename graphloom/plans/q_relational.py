@@ -183,11 +183,9 @@ def hydrate_join(s, d):
 
 @query("chat_last_50", MSG + " select chat_id, id, turn from messages qualify row_number() over (partition by chat_id order by turn desc) <= 3")
 def chat_last_50(s, d):
-    """The last messages of each chat by the order of its id list (here 3: the chats are short)."""
-    m = S.messages(s, d)
-    chats = m.groupBy("chat_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda x: x["id"]).alias("ids"))
-    last = chats.select("chat_id", F.explode(F.slice("ids", F.greatest(F.lit(1), F.size("ids") - 2), F.lit(3))).alias("id"))
-    return last.join(m.select("id", "turn"), "id").select("chat_id", "id", "turn")
+    """The last messages of each chat in the order of its ids (here 3: the chats are short): a task keeps three of a chat before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.desc("turn")))
+    return S.messages(s, d).select("chat_id", "id", "turn", rank.alias("rank")).where("rank <= 3").drop("rank")
 
 
 @query("entity_find_or_create", "select distinct p_name as label, p_type as entity_type from part where p_size > 25 and (p_name, p_type) not in (select p_name, p_type from part where p_size <= 25)")
@@ -274,11 +272,13 @@ def access_rate(s, d):
 @query("layer_latency_ewma", """with e as (select event_type, value, row_number() over (partition by event_type order by ts, event_id) i, count(*) over (partition by event_type) n from events)
 select event_type, round(sum(0.1 * value * pow(cast(0.9 as double), n - i)), 6) ewma from e group by 1""")
 def layer_latency_ewma(s, d):
-    """avg = 0.9 * avg + 0.1 * x from 0 on, in closed form, so no group is gathered: each value weighs 0.1 * 0.9^(later ones)."""
-    e = table(s, d, "events")
-    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return e.withColumn("i", i).join(n, "event_type").groupBy("event_type").agg(F.round(F.sum(0.1 * F.col("value") * F.pow(F.lit(0.9), F.col("n") - F.col("i"))), 6).alias("ewma"))
+    """avg = 0.9 * avg + 0.1 * x from 0 on, in closed form: each value weighs 0.1 * 0.9^(later ones). Places are counted over key ranges, so
+    no type is gathered."""
+    e = table(s, d, "events").select("event_type", "ts", "event_id", "value")
+    e = ordering.running(e, ["event_type", "ts", "event_id"], out="i")
+    # a row for each type
+    n = e.groupBy("event_type").agg(F.max("i").alias("n"))
+    return e.join(n, "event_type").groupBy("event_type").agg(F.round(F.sum(0.1 * F.col("value") * F.pow(F.lit(0.9), F.col("n") - F.col("i"))), 6).alias("ewma"))
 
 
 @query("failure_streaks", """with e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type = 'error' order by ts, event_id) g from events)
@@ -473,7 +473,10 @@ def interval_join_events(s, d):
     e = table(s, d, "events")
     a = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("t"))
     b = e.where("event_type = 'click'").select("user_id", "ts")
-    return a.join(b, "user_id").where("ts between t and t + interval 1 hour").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    # both sides meet by user and hour: a signup looks into its own hour and the next
+    hour = lambda c: F.floor(S.millis(c) / 3_600_000)
+    a = a.withColumn("hour", F.explode(F.array(hour("t"), hour("t") + 1)))
+    return a.join(b.withColumn("hour", hour("ts")), ["user_id", "hour"]).where("ts between t and t + interval 1 hour").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("theta_join", "select r_name, count(*) n from region join customer on c_nationkey < r_regionkey * 5 group by 1")

@@ -557,3 +557,51 @@ def test_odd_vectors_agree(spark, tmp_path):
     assert {r["src"] for r in vectors.knn_join(v, v, 3, self_join=True).collect()} == {*range(9), 23, 25} - {23}
     lone = {(r["a"], r["b"]): r["sim"] for r in vectors.pairwise(v).collect()}
     assert lone[(0, 20)] is None and lone[(0, 24)] is None and lone[(0, 23)] is None and lone[(0, 25)] == 0.0
+
+
+def test_a_store_by_format_name(spark, tmp_path):
+    from graphloom.sources import source
+
+    source.register(spark)
+    s = Store(spark, str(tmp_path / "s"))
+    row = lambda *r: spark.createDataFrame(list(r), "id string, x int")
+    s.write(spark.range(5000).selectExpr("lpad(id, 5, '0') as id", "cast(id as int) as x").repartition(4))
+    s.upsert(row(("00007", -7), ("zzz", 1)))
+    s.delete(row(("00009", 0), ("zzz", 0)))
+    s.upsert(spark.createDataFrame([("00011", 3, "more")], "id string, x int, note string"))
+    read = lambda **o: spark.read.format("graphloom").options(**o).load(str(tmp_path / "s"))
+    d = read()
+    assert d.columns == ["id", "x", "note"] and pairs(d.selectExpr("id", "x", "coalesce(note, '') as n")) == pairs(s.read().selectExpr("id", "x", "coalesce(note, '') as n"))
+    one = d.where("id = '00007'")
+    assert [tuple(r)[:2] for r in one.collect()] == [("00007", -7)] and d.where("id between '00005' and '00010' and x > 5").count() == 3
+    assert read(version="1").count() == 5000 and read(version="2").count() == 5001
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "graphloom" in plan.lower() and "00007" not in plan.split("BatchScan")[0]  # no filter is left above the scan
+    reader = source.StoreReader(str(tmp_path / "s"), "id", None, d.schema)
+    every = len(reader.partitions())
+    assert list(reader.pushFilters([source.EqualTo(("id",), "00007"), source.EqualTo(("x",), 1)])) == [source.EqualTo(("x",), 1)] and len(reader.partitions()) < every
+    with pytest.raises(Exception):
+        read(version="0").count()
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from graphloom.functions import ml
+
+    scores = spark.createDataFrame([(i, "a" if i < 900 else None, i / 100) for i in range(1000)], "id long, k string, score double")
+    top = {k: sum(math.exp(i / 100 - m / 100) for i in r) for k, r, m in (("a", range(900), 899), (None, range(900, 1000), 999))}
+    got = {r["id"]: r["p"] for r in ml.softmax(scores, "k", digits=9).collect()}
+    assert all(got[i] == pytest.approx(math.exp((i - (899 if i < 900 else 999)) / 100) / top["a" if i < 900 else None], abs=1e-8) for i in got)
+    assert "Window" not in ml.softmax(scores, "k")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(knowledge, "HUB", 7)
+    rng = random.Random(4)
+    rels = [(rng.randrange(30), 99, "r", rng.uniform(-1, 1)) for _ in range(60)] + [(99, rng.randrange(30), "r", rng.uniform(-1, 1)) for _ in range(40)] + [(1, 2, "q", 0.5)]
+    best = {}
+    for a, m, r, c in rels:
+        for b, t, q, e in rels:
+            if m == b and r == q and a != t and not any((a, t, r) == x[:3] for x in rels):
+                best[a, t, r] = max(best.get((a, t, r), -9), c * e)
+    got = {(r["src"], r["dst"], r["rel"]): r["confidence"] for r in knowledge.infer(spark.createDataFrame(rels, "src long, dst long, rel string, confidence double")).collect()}
+    assert got.keys() == best.keys() and all(got[k] == pytest.approx(best[k], abs=1e-6) for k in best)
+    v = spark.createDataFrame([(i, [float(i), 1.0], i % 3 if i else None) for i in range(20)], "id long, vector array<double>, label int")
+    want = {(r["a"], r["b"], r["sim"]) for r in vectors.pairwise(v).collect() if r["a"] and r["a"] % 3 == r["b"] % 3}
+    assert {tuple(r) for r in vectors.pairwise(v, block=3, by="label").collect()} == want

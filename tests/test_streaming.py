@@ -58,3 +58,40 @@ def test_summaries_come_due_once(spark, tmp_path):
         q.stop()
     batch = enrich.summary_due(spark.read.parquet(str(tmp_path / "m")), 5).collect()
     assert got == sorted((r["chat_id"], k, 5 * k) for r in batch for k in range(1, r["summaries"] + 1))
+
+
+def test_time_alone_moves_chats(spark, tmp_path):
+    """A chat falls back because the time of other chats goes on; a new message brings it back."""
+    from graphloom.streaming import timers
+
+    timers.use_store(spark)
+    files = [
+        [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 01:00:00"), (1, "2024-01-02 00:00:00")],
+        [(2, "2024-02-05 00:00:00"), (None, "2024-02-05 00:00:00")],
+        [(3, "2024-05-20 00:00:00"), (1, "2023-12-01 00:00:00")],
+        [(1, "2024-06-01 00:00:00")],
+        [(3, "2024-06-02 00:00:00")],
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "chat_id long, ts string").selectExpr("chat_id", "cast(ts as timestamp) as ts").coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+    stream = str(tmp_path / "in")
+    spark.read.parquet(str(tmp_path / "f0")).limit(0).write.parquet(stream)
+    q = timers.moves(enrich.file_stream(spark, stream, "chat_id long, ts timestamp"), late="1 hour").writeStream.format("memory").queryName("moved").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for i in range(len(files)):
+            spark.read.parquet(str(tmp_path / f"f{i}")).write.mode("append").parquet(stream)
+            q.processAllAvailable()
+        got = sorted(map(str, spark.table("moved").selectExpr("chat_id", "date_format(at, 'yyyy-MM-dd HH') as at", "before", "after").collect()))
+    finally:
+        q.stop()
+    every = spark.createDataFrame([r for f in files for r in f if r != (1, "2023-12-01 00:00:00")], "chat_id long, ts string").selectExpr("chat_id", "cast(ts as timestamp) as ts")
+    want = timers.moves_of(every, "2024-06-01 23:00:00").selectExpr("chat_id", "date_format(at, 'yyyy-MM-dd HH') as at", "before", "after")
+    assert got == sorted(map(str, want.collect())) and any("chat_id=2" in x and "before='recent', after='archive'" in x for x in got)
+
+
+def test_steps_of_a_batch(spark):
+    from graphloom.streaming import timers
+
+    d = spark.createDataFrame([(1, 0), (1, 10), (1, 60), (2, None)], "chat_id long, m int").selectExpr("chat_id", "timestamp_seconds(m * 60) as ts")
+    got = timers.moves_of(d, "1970-01-01 02:00:00", steps=timers.IDLE).selectExpr("chat_id", "unix_seconds(at) div 60 as m", "after").collect()
+    assert sorted(map(tuple, got)) == [(1, 40, "idle"), (1, 60, "busy"), (1, 90, "idle")]

@@ -43,7 +43,7 @@ LEXICONS = {
     "worth": "trash scum worthless garbage filth vermin loser losers lowlife",
     "mockery": "clown pathetic laughable joke crybaby coward weakling",
     "disgust": "disgusting gross vile repulsive nasty sickening revolting",
-    "threat": "kill hurt destroy beat murder die burn",
+    "threat": "kill hurt destroy beat murder burn",
     "hate": "hate despise loathe detest",
     "german": "idioten dumm trottel abschaum widerlich versager dreck",
     "french": "imbécile ordure nul crétin dégoûtant minable pourriture",

@@ -2,9 +2,11 @@
 possible hits go to an exact hash join that removes false positives.
 
 Defined results for odd input
-* null urls and urls without ``://``: host, path and canonical URL are empty; no rule fits and they are not listed;
+* null and empty urls and urls without ``://``: host, path and canonical URL are empty; no rule fits, they are not listed, and
+  where the filter is joined by block they go around that join, so however many there are they meet in no block;
+* very long urls are worked on whole;
 * ties (rules of equal length that fit): block wins, then the smaller rule string;
-* repeated rows stay; empty tables give empty results; extra columns of the input are left out.
+* repeated rows stay; empty tables give empty results; extra columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,12 +111,15 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     p = pages.select(F.col(key).alias("key_"), F.col(url).alias("url_"))
     p = p.select("key_", url_host(F.col("url_")).alias("host"), url_path(F.col("url_")).alias("path"), canonical_url(F.col("url_")).alias("canonical"))
     p = p.withColumn("block", _block(F.col("canonical"), blocks))
-    bloom = F.broadcast(bloom) if blocks * (8 + 4 * WORDS) * 2 <= BROADCAST_BYTES else bloom
+    small = blocks * (8 + 4 * WORDS) * 2 <= BROADCAST_BYTES
+    bloom = F.broadcast(bloom) if small else bloom
     passes = F.lit(True)
     for i in range(WORDS):
         m = _mask(F.col("canonical"), i)
         passes = passes & (F.col(f"w{i}").bitwiseAND(m) == m)
-    probed = p.join(bloom, "block", "left").withColumn("bloom_hit", F.coalesce(passes, F.lit(False)))
+    probed = (p if small else p.where("canonical <> ''")).join(bloom, "block", "left").withColumn("bloom_hit", F.coalesce(passes, F.lit(False)))
+    if not small:
+        probed = probed.select(*p.columns, "bloom_hit").unionByName(p.where("canonical = ''").withColumn("bloom_hit", F.lit(False)))
     hits = probed.where("bloom_hit").join(listed.withColumn("found", F.lit(True)), "canonical", "left")
     cols = ["key_", "host", "path", "canonical", "bloom_hit"]
     both = hits.select(*cols, F.coalesce("found", F.lit(False)).alias("listed")).unionAll(probed.where("not bloom_hit").select(*cols, F.lit(False).alias("listed")))

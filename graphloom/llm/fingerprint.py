@@ -12,7 +12,8 @@ Likeness = shared pieces / all pieces (Jaccard), from the piece counts and the r
 Defined results for odd input: a null text is an empty text; two empty texts are alike (1.0); pieces
 count once however often they repeat; equal texts have equal sketches; rows with a null doc_id come last and rows of one
 doc_id follow each other by the hash of their texts, repeated rows each by the next; a very long text is one row and one
-task's memory, its pieces are numbers; an empty table gives an empty result; extra columns are left out.
+task's memory, its pieces are numbers; equal pieces of a text are one; an empty table gives an empty result; extra columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ Defined results for odd input: null and empty texts and texts without words have
 and are kept; a null key links with nothing and is kept; rows that share a key are one document (if any of its texts links
 with another document, all its rows with words have that component); a text with fewer than five words has one shingle; very long
 texts are compared whole: a node is bounded by its shingles too, and two texts that meet are one task's memory;
-an empty table gives an empty result; extra columns are left out.
+of equal keys the smallest names the component, of pairs at exactly the threshold both are linked; an empty table gives an empty
+result; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Defined results for odd input: rows with a null doc_id go through every stage; r
 the near-copy stage and are judged by their own text elsewhere; null texts and texts without words pass the classifiers by
 their base scores, link with nothing, and are never taken by the mix; very long texts are worked on whole; repeated rows are
 copies of each other: those of one doc_id all stay, those of several leave one; without labels the lexicons alone decide on
-toxicity and no text is poor; an empty table gives an empty result; extra columns stay as they are, also where they have an operator's column names.
+toxicity and no text is poor; a text at exactly a threshold is toxic, is kept as good, and is a near copy; of near copies the smallest doc_id
+stays; an empty table gives an empty result; extra columns stay as they are, also where they have an operator's column names.
 """
 
 from __future__ import annotations

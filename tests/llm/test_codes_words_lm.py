@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import attention, code_compression, embedding_dedup, language_model, pipeline, spelling
+from graphloom.llm import attention, code_compression, embedding_dedup, language_model, pipeline, spelling, url_filter
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -304,3 +304,13 @@ def test_equal_slices_have_numbers(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit("clash")).repartition(3)
     got = [tuple(r) for r in pipeline.numbered(d).select("doc_id", "text", "copy_").collect()]
     assert sorted(got, key=str) == sorted([(1, "a b", 0), (1, "a b", 1), (1, "a b", 2), (1, "c", 0), (2, "a b", 0), (None, None, 0), (None, None, 1), (3, None, 0)], key=str)
+
+
+def test_empty_urls_go_around_a_large_filter(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    rows = [(1, None), (2, ""), (3, "nothing"), (4, "http://a.org/x"), (5, "http://b.org/" + "y" * 5000), (6, None), (6, "http://a.org/x/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("block", F.lit("clash"))
+    listed = spark.createDataFrame([("a.org/x",), ("",), (None,)], "canonical string")
+    got = {(r["page_id"], r["canonical"][:9]): (r["listed"], r["verdict"]) for r in url_filter.filter_urls(pages, listed, []).collect()}
+    free = (False, "allow")
+    assert got == {(1, ""): free, (2, ""): free, (3, ""): free, (4, "a.org/x"): (True, "block"), (5, "b.org/yyy"): free, (6, ""): free, (6, "a.org/x"): (True, "block")}

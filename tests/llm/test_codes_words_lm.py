@@ -251,6 +251,8 @@ def test_base_scores_and_counts(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HOT", 4)
     monkeypatch.setattr(language_model, "COUNTED", 3)
     monkeypatch.setattr(language_model, "CHUNK", 200)
+    monkeypatch.setattr(language_model, "SLAB", 150)
+    monkeypatch.setattr(language_model, "SCORED", 170)
     rows, d = corpus(spark)
     low = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
     tokens = [(k, [*WORD.findall((t or "").translate(low)), None]) for k, t in rows]
@@ -263,6 +265,17 @@ def test_base_scores_and_counts(spark, monkeypatch):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_words_are_split_as_the_pattern_says():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x85\u00a0\u2003aZÄé0") for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", "  "]
+    words, n = language_model.split(pa.array(texts, pa.string()))
+    low = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+    want = [WORD.findall((t or "").translate(low)) for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]
+
+
 def test_language_model_of_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert language_model.score(d).collect() == []

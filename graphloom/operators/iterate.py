@@ -141,7 +141,33 @@ def astar(edges: DataFrame, start, goal, heuristic: DataFrame) -> DataFrame:
 
 
 def bidirectional(edges: DataFrame, start, goal) -> DataFrame:
-    """(cost): least cost from start to goal, no row if there is no path. Costs grow from both ends, a round each in turn; a
+    """(cost): least cost from start to goal, no row if there is no path."""
+    meeting = _two_sided(edges, start, goal)[0]
+    return edges.sparkSession.createDataFrame([(meeting,)] if meeting < float("inf") else [], "cost double")
+
+
+def bidirectional_path(edges: DataFrame, start, goal) -> DataFrame:
+    """(cost, path): the cheapest path by a two-sided search, among equal costs the least by node order; no row if there is none.
+
+    Edges that lie on a cheapest path by the costs that either side has found are few; the path grows backwards from the goal over these.
+    """
+    meeting, ahead, behind, e = _two_sided(edges, start, goal)
+    kind, spark = edges.schema["src"].dataType, edges.sparkSession
+    if meeting == float("inf"):
+        return spark.createDataFrame([], f"cost double, path array<{kind.simpleString()}>")
+    a, b = ahead.where(F.col("cost") <= meeting), behind.where(F.col("cost") <= meeting)
+    d = e.where("src <> dst")
+    for side, cost in (("src", "a"), ("dst", "b")):
+        d = d.join(a.select(F.col("id").alias(side), F.col("cost").alias(f"{cost}f")), side, "left").join(b.select(F.col("id").alias(side), F.col("cost").alias(f"{cost}g")), side, "left")
+    on = lambda x: F.coalesce(F.abs(x) < 1e-9, F.lit(False))
+    tight = on(F.col("af") + F.col("weight") - F.col("bf")) | on(F.col("weight") + F.col("bg") - F.col("ag")) | on(F.col("af") + F.col("weight") + F.col("bg") - meeting)
+    tight = materialize(d.where(tight).select("src", "dst", "weight"), "tight")
+    # what is left is the same question on a few edges
+    return least_path(tight, start, goal).where(F.abs(F.col("cost") - meeting) < 1e-9)
+
+
+def _two_sided(edges: DataFrame, start, goal) -> tuple[float, DataFrame, DataFrame, DataFrame]:
+    """(least cost, costs from the start, costs to the goal, least edges). Costs grow from both ends, a round each in turn; a
     node is not expanded if its cost alone reaches the best meeting, and the search ends when neither side has an open node."""
     kind = edges.schema["src"].dataType
     one = lambda x: edges.sparkSession.range(1).select(F.lit(x).cast(kind).alias("id"), F.lit(0.0).alias("cost"))
@@ -158,7 +184,7 @@ def bidirectional(edges: DataFrame, start, goal) -> DataFrame:
         empty = [f.where(F.col("cost") < meeting).isEmpty() for f in frontier]
         # one side alone, run to its end, has found the least cost
         if empty[side] or all(empty):
-            return edges.sparkSession.createDataFrame([(meeting,)] if meeting < float("inf") else [], "cost double")
+            return meeting, best[0], best[1], e
         side = 1 - side if not empty[1 - side] else side
 
 
@@ -350,6 +376,16 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         level += 1
 
 
+def topo_sort(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, place): a topological order, by level and then by id; an ``ArithmeticError`` if there is a cycle."""
+    from graphloom.operators import ordering
+
+    levels = materialize(topo_levels(edges, nodes), "levels")
+    if levels.count() < nodes.select("id").distinct().count():
+        raise ArithmeticError("the graph has a cycle")
+    return ordering.running(levels, ["level", "id"], out="place").select("id", F.col("place").cast("long").alias("place"))
+
+
 def is_bipartite(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: no node is reached with both parities (components of the graph's double cover)."""
     side = lambda c, s: F.struct(F.col(c).alias("n"), F.lit(s).alias("s"))

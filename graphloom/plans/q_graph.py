@@ -539,6 +539,12 @@ def bidirectional_bfs(s, d):
     return I.bidirectional(trade_edges(s, d).withColumn("weight", F.lit(1.0)), 0, 14)
 
 
+@query("bidirectional_path", _DIST.format(w="1") + " select cost, array_to_string(path, ',') as path from p where pos = 14 order by cost, path limit 1")
+def bidirectional_path(s, d):
+    """The least of the shortest paths to nation 14, by searches from both ends."""
+    return I.bidirectional_path(trade_edges(s, d).withColumn("weight", F.lit(1.0)), 0, 14).select("cost", text(F.col("path")).alias("path"))
+
+
 @query("sssp_path", _DIST.format(w="weight") + " select cost, array_to_string(path, ',') as path from p where pos = 9 order by cost, path limit 1")
 def sssp_path(s, d):
     return I.least_path(_weighted(s, d), 0, 9).select("cost", text(F.col("path")).alias("path"))
@@ -632,7 +638,8 @@ query("topo_order", _LEVELS.replace("select id, max(level) as level from l group
 
 
 def _topo_order(s, d):
-    return ordering.running(topo_levels(s, d), ["level", "id"], out="place").select("id", F.col("place").cast("long").alias("place"))
+    g = G.Graph(supply_edges(s, d).select("src", "dst"))
+    return I.topo_sort(g.edges, g.nodes)
 
 
 @query("dag_cycle_check", RSUP + ", l(id, level) as (select id, 0 from (select src id from supply union select dst from supply) union select dst, level + 1 from l join supply on src = id where level < 12) select count(*) > 0 as has_cycle from l where level = 12")

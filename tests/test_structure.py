@@ -154,3 +154,19 @@ def test_stretches_reach_the_files(spark, tmp_path):
     assert "GreaterThanOrEqual(cell_" in plan
     kept = x.rows().where(F.col("cell_").between(*spatial.cover(spatial.boxes(10.0, 20.0, 50_000))[0])).count()
     assert kept < 200
+
+
+def test_two_sided_paths_and_orders(spark):
+    rng = random.Random(11)
+    e = [(rng.randrange(15), rng.randrange(15), float(rng.randint(1, 3))) for _ in range(40)]
+    d = spark.createDataFrame(e, "src long, dst long, weight double")
+    for goal in (3, 7, 14):
+        want = [(r["cost"], r["path"]) for r in iterate.least_path(d, 0, goal).collect()]
+        assert [(r["cost"], r["path"]) for r in iterate.bidirectional_path(d, 0, goal).collect()] == want
+        assert [r["cost"] for r in iterate.bidirectional(d, 0, goal).collect()] == [c for c, _ in want]
+    assert iterate.bidirectional_path(d.where("dst <> 14"), 0, 14).count() == 0
+    dag = d.where("src < dst")
+    order = {r["id"]: r["place"] for r in iterate.topo_sort(dag, spark.range(15)).collect()}
+    assert sorted(order.values()) == list(range(1, 16)) and all(order[a] < order[b] for a, b, _ in e if a < b)
+    with pytest.raises(ArithmeticError):
+        iterate.topo_sort(d, spark.range(15))

@@ -28,18 +28,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x * x)))
 
 
-def comparable(a: Column, b: Column) -> Column:
-    """Both vectors are there, of one length, without null or NaN components. What is not comparable has no similarity (null)."""
-    good = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    return F.coalesce((F.size(a) == F.size(b)) & good(a) & good(b), F.lit(False))
+def comparable(v: Column, size: int) -> Column:
+    """The vector is there, of that length, without null, NaN or infinite components. What is not comparable has no similarity."""
+    return F.coalesce((F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity in [-1, 1]; empty vectors: 1, a zero norm: 0. Null where the vectors are not comparable, or a component is infinite."""
-    n, d = norm(a) * norm(b), dot(a, b)
-    # a product that is null (lengths differ, a null component) or NaN gives no similarity; least and greatest would hide both
-    r = F.when(d.isNull() | n.isNull() | F.isnan(d) | F.isnan(n) | F.isnan(d / n), F.lit(None)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), d / n)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((n == 0) & comparable(a, b), F.lit(0.0)).otherwise(r)
+    """Similarity in [-1, 1]; empty vectors: 1, a zero norm: 0. Null where a vector is null, the lengths differ, or a component is null, NaN or infinite."""
+    # the product and the norms are named once, as functions of arrays are worked out wherever they are named
+    parts = F.array(F.struct(dot(a, b).alias("d"), (norm(a) * norm(b)).alias("n"), (F.size(a) + F.size(b)).alias("size")))
+
+    def value(p: Column) -> Column:
+        d, n = p["d"], p["n"]
+        r = F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), d / n)))
+        # least and greatest would hide a null or NaN
+        none = d.isNull() | n.isNull() | F.isnan(d) | F.isnan(n) | (F.abs(d) == float("inf")) | (n == float("inf"))
+        return F.when(p["size"] == 0, F.lit(1.0)).when(none, F.lit(None)).otherwise(r)
+
+    return F.transform(parts, value)[0]
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -103,9 +109,10 @@ def top_k(df: DataFrame, k: int, score: str = "score", key: str = "id", offset:
 
 
 def scored(vectors: DataFrame, query: list[float], name: str = "cosine", digits: int = 6) -> DataFrame:
-    """With ``score``; what cannot be compared with the query is no hit and is left out."""
-    d = vectors.withColumn("score", F.round(metric(name)[1](F.col("vector"), literal(query)), digits) + 0.0)
-    return d.where(F.col("score").isNotNull() & ~F.isnan("score") & comparable(F.col("vector"), literal(query)))
+    """With ``score``; what cannot be compared with the query is no hit and is left out, by a look at the vector alone, before it is scored."""
+    fine = all(x is not None and np.isfinite(x) for x in query)
+    d = vectors.where(comparable(F.col("vector"), len(query)) if fine else F.lit(False))
+    return d.withColumn("score", F.round(metric(name)[1](F.col("vector"), literal(query if fine else [])), digits) + 0.0)
 
 
 def search(vectors: DataFrame, query: list[float], k: int, name: str = "cosine", threshold: float | None = None, where: Column | None = None, digits: int = 6) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import ordering
 from graphloom.session import discard, materialize
 
 # communities --------------------------------------------------------------------------------------
@@ -114,12 +115,14 @@ def color_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _refined(e, materialize(nodes.select(F.lit(0).alias("g"), "id", F.lit(0).cast("long").alias("color")).distinct(), "colors")).select("id", "color")
 
 
-def isomorphism(edges_a: DataFrame, edges_b: DataFrame, nodes_a: DataFrame | None = None, nodes_b: DataFrame | None = None, tries: int = 64) -> DataFrame | None:
+def isomorphism(edges_a: DataFrame, edges_b: DataFrame, nodes_a: DataFrame | None = None, nodes_b: DataFrame | None = None, tries: int = 64, order_a: Column | None = None, order_b: Column | None = None) -> DataFrame | None:
     """(a, b): a mapping of the nodes that makes the one directed multigraph the other, or None if there is none.
 
-    Both graphs are coloured together. Differing classes settle it; classes of one node each are the mapping, which is then checked edge by edge;
-    else a node of the smallest class gets a colour of its own, with each node of its class on the other side in turn, and the
-    colouring goes on. More than ``tries`` such pairs are refused: the graphs are too symmetric for this way.
+    Both graphs are coloured together. Differing classes settle it; else the nodes of each class are paired in the order of ``order_a`` and ``order_b`` (of
+    the column id; by default the id itself), and that mapping is checked edge by edge: classes of one node, and nodes that can be swapped for each other, need no more.
+    If it fails, a node of the smallest class gets a colour of its own, with each node of its class on the other side in turn, and the
+    colouring goes on. More than ``tries`` such pairs are refused: the graphs are too symmetric for this way. So of several
+    mappings the one that keeps the orders is taken, if there is one.
     """
     ends = lambda e: e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id")))
     both = lambda a, b: materialize(a.withColumn("g", F.lit(0)).unionByName(b.withColumn("g", F.lit(1))), "refine")
@@ -133,12 +136,17 @@ def isomorphism(edges_a: DataFrame, edges_b: DataFrame, nodes_a: DataFrame | Non
         sizes = color.groupBy("color").agg(F.count_if(F.col("g") == 0).alias("a"), F.count_if(F.col("g") == 1).alias("b"))
         if not sizes.where("a <> b").isEmpty():
             return None
+        # classes are of one size on both sides, so equal places have equal colours
+        ranked = [ordering.running(color.where(F.col("g") == g).select("color", F.col("id").alias(name), (F.col("id") if o is None else o).alias("by_")), ["color", "by_", name], out="place") for g, name, o in ((0, "a", order_a), (1, "b", order_b))]
+        pair = materialize(ranked[0].select("place", "a").join(ranked[1].select("place", "b"), "place").select("a", "b"), "mapping")
+        moved = e.where("g = 0").join(pair.select(F.col("a").alias("src"), F.col("b").alias("s")), "src").join(pair.select(F.col("a").alias("dst"), F.col("b").alias("t")), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
+        there = e.where("g = 1").select("src", "dst")
+        if moved.exceptAll(there).isEmpty() and there.exceptAll(moved).isEmpty():
+            return pair
+        discard(pair)
         open_ = sizes.where("a > 1").orderBy("a", "color").limit(1).collect()
         if not open_:
-            pair = color.where("g = 0").select("color", F.col("id").alias("a")).join(color.where("g = 1").select("color", F.col("id").alias("b")), "color").select("a", "b")
-            moved = e.where("g = 0").join(pair.select(F.col("a").alias("src"), F.col("b").alias("s")), "src").join(pair.select(F.col("a").alias("dst"), F.col("b").alias("t")), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
-            there = e.where("g = 1").select("src", "dst")
-            return pair if moved.exceptAll(there).isEmpty() and there.exceptAll(moved).isEmpty() else None
+            return None
         chosen = color.where(F.col("color") == open_[0]["color"])
         one = chosen.where("g = 0").agg(F.min("id")).first()[0]
         for (other,) in chosen.where("g = 1").select("id").orderBy("id").limit(left[0] + 1).collect():

@@ -222,9 +222,10 @@ def sim_color_classes(s, d):
 
 @query("isomorphic_copy", _SIM_R + _PAIRS + " select id a, -id b from n")
 def isomorphic_copy(s, d):
-    """The mapping of the neighbour graph onto a copy whose nodes have other names."""
+    """The mapping of the neighbour graph onto a copy whose nodes have other names. The copy's names fall where those of the graph rise, so nodes that
+    can be swapped for each other are paired by falling names."""
     g = _sim(s, d)
-    return structure.isomorphism(g.edges, g.edges.select((-F.col("src")).alias("src"), (-F.col("dst")).alias("dst")))
+    return structure.isomorphism(g.edges, g.edges.select((-F.col("src")).alias("src"), (-F.col("dst")).alias("dst")), order_b=-F.col("id"))
 
 
 @query("sim_cliques", _SIM_R + """, e as materialized (select src a, dst b from sim union select dst, src from sim), n as (select distinct a id from e),

@@ -101,6 +101,17 @@ def test_isomorphism(spark):
     assert structure.isomorphism(d.limit(0), d.limit(0), spark.range(1), spark.range(1)).count() == 1
 
 
+def test_isomorphism_pairs_nodes_that_can_be_swapped(spark):
+    # a path of four nodes with two leaves each: four pairs, more than may be tried; the mapping that keeps the orders is taken
+    e = [(i, i + 1) for i in range(3)] + [(i, 10 * (i + 1) + k) for i in range(4) for k in (0, 1)]
+    d = spark.createDataFrame(e, "src long, dst long")
+    minus = d.select((-F.col("src")).alias("src"), (-F.col("dst")).alias("dst"))
+    nodes = sorted({v for x in e for v in x})
+    assert pairs(structure.isomorphism(d, minus, tries=2, order_b=-F.col("id"))) == [(v, -v) for v in nodes]
+    found = dict(pairs(structure.isomorphism(d, minus, tries=2)))
+    assert sorted((found[a], found[b]) for a, b in e) == sorted((-a, -b) for a, b in e)
+
+
 def test_cliques(spark):
     e, d = drawn(spark, 20, 90, 6)
     near = {v: set() for v in range(22)}

@@ -2,7 +2,8 @@
 
 Unit vectors are cut into ``parts``; each part has ``2 ** 8`` entries at most, fitted on a bounded sample. A search adds up, for each
 code, the entries of the query's table of inner products (one row a part), keeps the best ``recall`` codes of each task and then of
-all, and ranks these again by the exact cosine. Codes are kept apart from the vectors, so a scan reads ``parts`` bytes a row.
+all, and ranks these again by the exact cosine. A code has its distance from the vector with it, which bounds what the code can be wrong by: a second scan
+takes every code that this does not rule out, so the result is exact. Codes are kept apart from the vectors, so a scan reads ``parts`` + 8 bytes a row.
 
 Vectors of another length than the commonest, zero vectors and those with null or non-finite components have no code: no hit.
 """
@@ -56,21 +57,21 @@ class ProductIndex:
                     part = b.slice(lo, 4096)
                     x = X._unit(np.asarray(part.column("vector").flatten(), np.float64).reshape(part.num_rows, -1))
                     codes = np.stack([X._far(x[:, a:e], c).argmin(1) for (a, e), c in zip(zip(cut, cut[1:]), shared.value)], axis=1).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in codes], pa.binary())], names=["id", "code"])
+                    far = np.linalg.norm(x - np.concatenate([c[codes[:, i]] for i, c in enumerate(shared.value)], axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(far)], names=["id", "code", "far"])
 
-        coded = materialize(d.select("id", "vector").mapInArrow(encode, f"id {kind}, code binary"), "codes")
+        coded = materialize(d.select("id", "vector").mapInArrow(encode, f"id {kind}, code binary, far double"), "codes")
         coded.repartitionByRange(F.col("id")).write.mode("overwrite").parquet(f"{path}/codes")
         discard(coded)
         d.repartitionByRange(F.col("id")).sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/rows")
         return ProductIndex(spark, path)
 
     def codes(self) -> DataFrame:
-        """(id, code)."""
+        """(id, code, far): far is the distance of the unit vector from its code."""
         return self.spark.read.parquet(f"{self.path}/codes")
 
-    def candidates(self, query: list[float], recall: int, codes: DataFrame | None = None) -> DataFrame:
-        """(id, near): the ``recall`` best of all codes, or of some, each task's first."""
-        codes = self.codes() if codes is None else codes
+    def _near(self, query: list[float], codes: DataFrame, recall: int | None = None, least: float = -np.inf) -> DataFrame:
+        """(id, near) of codes whose vectors may have the cosine ``least``; with ``recall`` so many of each batch, the best."""
         q, at, table = X._unit(np.array([query], np.float64))[0], 0, []
         for b in self.books:
             table.append(np.pad(b @ q[at : at + b.shape[1]], (0, 256 - len(b))))
@@ -81,18 +82,27 @@ class ProductIndex:
             for b in batches:
                 code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 s = table[np.arange(len(table))[None, :], code].sum(1)
-                top = np.argsort(-s, kind="stable")[:recall]
+                top = np.flatnonzero(s + np.asarray(b.column("far")) >= least)
+                top = top if recall is None else top[np.argsort(-s[top], kind="stable")[:recall]]
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(top)), pa.array(s[top])], names=["id", "near"])
 
         kind = codes.schema["id"].dataType.simpleString()
-        return codes.mapInArrow(scan, f"id {kind}, near double").orderBy(F.desc("near"), "id").limit(recall)
+        return codes.select("id", "code", "far").mapInArrow(scan, f"id {kind}, near double")
+
+    def candidates(self, query: list[float], recall: int, codes: DataFrame | None = None) -> DataFrame:
+        """(id, near): the ``recall`` best of all codes, or of some, each task's first."""
+        return self._near(query, self.codes() if codes is None else codes, recall).orderBy(F.desc("near"), "id").limit(recall)
 
     def search(self, query: list[float], k: int, recall: int = 200, where: Column | None = None, digits: int = 6) -> DataFrame:
-        """Top-k by exact cosine among the ``recall`` best by code. A filter is applied before the scan."""
+        """Top-k by exact cosine: of the ``recall`` best by code, and then of all whose code does not rule out that they are better. A filter is applied before the scans."""
         if not self.books or not X.fit_for(query, sum(b.shape[1] for b in self.books)):
             return V.scored(self.spark.read.parquet(f"{self.path}/rows"), query, "cosine", digits).limit(0)
         rows = self.spark.read.parquet(f"{self.path}/rows")
-        codes = None if where is None else self.codes().join(rows.where(where).select("id"), "id", "left_semi")
-        found = self.candidates(query, recall, codes)
+        codes = self.codes() if where is None else self.codes().join(rows.where(where).select("id"), "id", "left_semi")
+        found = self.candidates(query, max(k, recall), codes)
         # at most ``recall`` ids
-        return V.top_k(V.scored(rows.join(F.broadcast(found.select("id")), "id", "left_semi"), query, "cosine", digits), k)
+        first = V.top_k(V.scored(rows.join(F.broadcast(found.select("id")), "id", "left_semi"), query, "cosine", digits), k).select("score").collect()
+        # scores are rounded, so a little more is taken
+        least = min(r["score"] for r in first) - 2 * 10.0**-digits if len(first) == k > 0 else -np.inf
+        open_ = self._near(query, codes, least=least).select("id")
+        return V.top_k(V.scored(rows.join(open_, "id", "left_semi"), query, "cosine", digits), k)

@@ -130,3 +130,12 @@ def test_product_codes_recall(spark, tmp_path):
         q = [float(c) for c in v.where(F.col("id") == i).first()["vector"]]
         hits += len({r["id"] for r in x.search(q, 10, recall=100).collect()} & {r["id"] for r in vectors.search(v, q, 10).collect()})
     assert hits >= 36
+
+
+def test_product_codes_are_exact_beyond_the_recall(spark, tmp_path):
+    # codes of two bytes, and hardly more candidates than hits: what the codes rank too low is found all the same
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((1500, 12)))], "id long, vector array<double>")
+    x = product.ProductIndex.build(v, str(tmp_path / "x"), parts=2)
+    for q in rng.standard_normal((3, 12)).tolist():
+        assert pairs(x.search(q, 10, recall=10).select("id", "score")) == pairs(vectors.search(v, q, 10).select("id", "score"))

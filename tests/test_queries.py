@@ -54,3 +54,14 @@ def test_entry(spark):
 
     rows = entry.entry(spark).collect()
     assert [(r["id"], round(r["score"], 6)) for r in rows] == [(146, -0.001171), (46, -0.038924), (133, -0.138659), (43, -0.170622)]
+
+
+def test_distinct_users_keep_a_sketch_for_each_type_only(spark, tmp_path):
+    from graphloom.plans import registry
+
+    rows = [(i, "ab"[i % 2] if i % 7 else None, i % 50) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["approx_distinct_users"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("user_id" in line.split("functions=")[0] and "approx_count_distinct" in line for line in plan.splitlines() if "keys=[" in line)
+    assert sorted(map(str, got.collect())) == sorted(f"Row(event_type={t!r}, near=True)" for t in ("a", "b", None))

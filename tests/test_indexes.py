@@ -139,3 +139,10 @@ def test_product_codes_are_exact_beyond_the_recall(spark, tmp_path):
     x = product.ProductIndex.build(v, str(tmp_path / "x"), parts=2)
     for q in rng.standard_normal((3, 12)).tolist():
         assert pairs(x.search(q, 10, recall=10).select("id", "score")) == pairs(vectors.search(v, q, 10).select("id", "score"))
+
+
+def test_blocks_meet_without_a_shuffle_of_pairs(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 7, -i / 3], i % 2) for i in range(12)], "id long, vector array<double>, label int")
+    for by in (None, "label"):
+        plan = vectors.pairwise(v, block=3, by=by)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(?<!Broadcast)Exchange", plan)

@@ -138,21 +138,36 @@ class VectorIndex:
         """(src, dst, sim, rank): for each query its k most similar vectors among the ``probes`` cells nearest to it, or, without ``probes``, of all.
 
         A cell is compared block by block: a task holds a block of the index and streams the queries, of which it keeps k rows each.
-        The exact way visits the ``FIRST`` nearest cells, and then those cells whose distance less their radius does not lie
+        Up to ``FIRST`` cells go that way. The exact way visits the ``FIRST`` nearest cells, and then, by blocks of queries, those cells whose distance less their radius does not lie
         beyond the k-th best so found (all, for queries that have found fewer than k).
         """
         if probes is None:
             first = materialize(self.knn_join(queries, k, min(FIRST, max(1, len(self.centers))), self_join, digits), "first")
             worst = first.groupBy("src").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("worst"))
-            found = self._compared(queries.join(worst.withColumnRenamed("src", "id"), "id", "left"), k, 0, self_join, digits)
-        else:
-            found = self._compared(queries, k, probes, self_join, digits)
+            return materialize(self._visited(queries.join(worst.withColumnRenamed("src", "id"), "id", "left"), k, 0, self_join, digits), "neighbours")
+        if probes > FIRST:
+            return self._visited(queries, k, probes, self_join, digits)
+        found = self._compared(queries, k, probes, self_join, digits)
         w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return ranked if probes is not None else materialize(ranked, "neighbours")
-
-    def _compared(self, queries: DataFrame, k: int, probes: int, self_join: bool, digits: int) -> DataFrame:
-        """The best k of each query and block; with ``probes`` of 0 the cells are those that the column ``worst`` does not rule out."""
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def _visited(self, queries: DataFrame, k: int, probes: int, self_join: bool, digits: int) -> DataFrame:
+        """(src, dst, sim, rank), by blocks of queries that lie together and blocks of cells: no query is copied to its cells. A block of cells is read by
+        the blocks of queries of which one has a cell there."""
+        placed = materialize(self._placed(queries, probes, digits), "placed")
+        # by the nearest cell, so that queries of a block visit much the same cells
+        near = placed.repartitionByRange(max(1, -(-placed.count() // V.BLOCK)), "own", "id").sortWithinPartitions("own")
+        exact = not probes
+        asked = V.blocks(near, "worst double, cells array<long>" if exact else "cells array<long>")
+        rows = self.rows().where("cell >= 0").select("id", "vector", "cell")
+        rows = rows.repartitionByRange(max(1, -(-rows.count() // V.BLOCK)), "cell", "id").sortWithinPartitions("cell")
+        there = V.blocks(rows, "cell long").withColumn("has", F.array_distinct("cell"))
+        asked = asked.withColumn("any", F.array_distinct(F.flatten("cells")))
+        asked = asked.drop("cells") if exact else asked.withColumnRenamed("cells", "visits")
+        return V.best_of_blocks(asked, there, k, self_join, digits, F.arrays_overlap("any", "t_has"))
+
+    def _placed(self, queries: DataFrame, probes: int, digits: int) -> DataFrame:
+        """(id, vector, worst, own, cells): the nearest cell, and those to visit; with ``probes`` of 0 they are those that the column ``worst`` does not rule out."""
         shared, dims, radius = self.spark.sparkContext.broadcast(self.centers), self.centers.shape[1], self.radius
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +185,14 @@ class VectorIndex:
                             cells = [np.flatnonzero(row) for row in d - radius[None, :] <= reach[:, None]]
                         else:
                             cells = list(np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape))
-                        yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "cells": pa.array(cells, pa.list_(pa.int64()))})
+                        yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "worst": part.column("worst"), "own": pa.array(d.argmin(1)), "cells": pa.array(cells, pa.list_(pa.int64()))})
 
         worst = F.col("worst") if not probes else F.lit(None).cast("double")
-        asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), worst.alias("worst")).mapInArrow(place, "id long, vector array<double>, cells array<long>")
+        return queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), worst.alias("worst")).mapInArrow(place, "id long, vector array<double>, worst double, own long, cells array<long>")
+
+    def _compared(self, queries: DataFrame, k: int, probes: int, self_join: bool, digits: int) -> DataFrame:
+        """The best k of each query and block of the ``probes`` nearest cells."""
+        asked = self._placed(queries, probes, digits)
         rows = self.rows().where("cell >= 0").select(F.col("id").cast("long").alias("id"), "vector", "cell")
         sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         # a row for each cell: as many as the codebook, which the driver holds

@@ -146,3 +146,14 @@ def test_blocks_meet_without_a_shuffle_of_pairs(spark):
     for by in (None, "label"):
         plan = vectors.pairwise(v, block=3, by=by)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"(?<!Broadcast)Exchange", plan)
+
+
+def test_an_exact_join_copies_no_query_to_its_cells(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((300, 8)))], "id long, vector array<double>")
+    x, seen, compared = index.VectorIndex.build(v, str(tmp_path / "x")), [], index.VectorIndex._compared
+    monkeypatch.setattr(index.VectorIndex, "_compared", lambda self, queries, k, probes, *more: seen.append(probes) or compared(self, queries, k, probes, *more))
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    got = x.knn_join(v, 3, self_join=True)
+    assert seen == [index.FIRST]
+    assert pairs(got) == pairs(vectors.knn_join(v, v, 3, self_join=True))

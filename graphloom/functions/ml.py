@@ -21,13 +21,18 @@ def byte_embedding(text: str, dims: int = DIMENSIONS) -> list[float]:
     return (v / n if n else v).tolist()
 
 
+#: Vectors that a task of ``embedder`` holds at once.
+EMBEDDED = 256
+
+
 def embedder(model: Callable[[str], list[float]] = byte_embedding):
-    """Pandas UDF: text -> array<double> by any model of one text."""
+    """Pandas UDF: text -> array<double> by any model of one text. A batch of texts gives its vectors in parts of ``EMBEDDED``, as flat numbers."""
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: model(t if isinstance(t, str) else ""))
+            for lo in range(0, max(1, len(texts)), EMBEDDED):
+                yield pd.Series([np.asarray(model(t if isinstance(t, str) else ""), np.float64) for t in texts.iloc[lo : lo + EMBEDDED]], dtype=object)
 
     return embed
 

@@ -65,3 +65,14 @@ def test_distinct_users_keep_a_sketch_for_each_type_only(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any("user_id" in line.split("functions=")[0] and "approx_count_distinct" in line for line in plan.splitlines() if "keys=[" in line)
     assert sorted(map(str, got.collect())) == sorted(f"Row(event_type={t!r}, near=True)" for t in ("a", "b", None))
+
+
+def test_an_embedder_holds_few_vectors_at_once(spark):
+    import pandas as pd
+
+    from graphloom.functions import ml
+
+    texts = pd.Series([f"text {i}" for i in range(700)] + [None])
+    found = list(ml.embedder().func(iter([texts, texts[:0]])))
+    assert [len(x) for x in found] == [256, 256, 189, 0]
+    assert [v.tolist() for x in found for v in x] == [ml.byte_embedding(t or "") for t in texts]

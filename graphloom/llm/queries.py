@@ -54,8 +54,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every text: their sizes, scores and digests."""
-    return segmentation.segment(table(spark, sf_dir, "documents"), k=2, emit_ids=False)
+    """Two distinct sampled segmentations of every text: their sizes, scores, digests and ids, each decoded again."""
+    return segmentation.segment(table(spark, sf_dir, "documents"), k=2)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

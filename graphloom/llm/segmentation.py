@@ -611,7 +611,7 @@ def segment(
 ) -> DataFrame:
     """Up to k distinct sampled segmentations of every whole text: ``key``, ``carry``, rank (1 is the best
     perturbed score), n_pieces, logp, score, inclusion, digest (SHA-256 of the ids as little-endian
-    32-bit numbers), round_trip (the first segmentation decodes to the text; null for the others) and, with
+    32-bit numbers), round_trip (the segmentation decodes to the text) and, with
     ``emit_ids``, ids. ``draw`` is the number that, with the seed, decides a row's draws: the key, if not another column.
     """
     import hashlib
@@ -643,7 +643,7 @@ def segment(
             for i, a, b in zip(f["rows"].tolist(), lo.tolist(), hi.tolist()):
                 own = ids[a:b]
                 cols["digest"].append(hashlib.sha256(own.tobytes()).hexdigest())
-                cols["round_trip"].append(decode(own.tolist(), spell) == (texts[i] or "") if r == 0 else None)
+                cols["round_trip"].append(decode(own.tolist(), spell) == (texts[i] or ""))
                 for c in ("key", *names):
                     cols[c].append(rows[c][i])
                 if emit_ids:

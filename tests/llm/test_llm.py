@@ -1028,3 +1028,12 @@ def test_registered(spark):
     cur = con.execute(entry.oracle_sql()["op1_url_filter"])
     names = [c[0] for c in cur.description]
     assert sorted(map(str, ([r[c] for c in names] for r in df.collect()))) == sorted(map(str, map(list, cur.fetchall())))
+
+
+def test_segmentation_query_gives_and_checks_every_segmentation(spark, tmp_path):
+    from graphloom.llm import queries
+
+    rows = [(1, "the nation then"), (2, "a  line\nand another \u2581 mark"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_segmentation(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r["round_trip"] and len(r["ids"]) == r["n_pieces"] for r in got)

@@ -1,9 +1,11 @@
 """Reachability by labels, and eccentricities by neighbourhood sketches: both without the pairs of a closure.
 
 Two-hop labels: every strong component keeps a few landmarks that it reaches and a few that reach it, such that a component a reaches b
-if, and only if, a landmark stands in the first list of a and the second of b. Landmarks are taken in batches by falling degree; each
-batch is searched in both directions at once, and a search does not go on behind a component whose question the labels at
-hand already answer. Many questions are then one join.
+if, and only if, a landmark stands in the first list of a and the second of b. Nodes are taken out first, many at once and those of low degree
+first, as long as the edges that lead past them are not more than those that go: a node's lists are its own name and the lists of the
+neighbours that it had then. So rounds grow with the logarithm of a path, and no two landmarks' lists are compared. In what is
+left (a dense core) landmarks are taken in batches by falling degree; each batch is searched in both directions at once, and a search does
+not go on behind a component whose question the labels at hand already answer. Many questions are then one join.
 
 A neighbourhood sketch is a distinct-count sketch of what a node reaches in so many steps; in a round each node takes the union of
 its own and its neighbours'. The last round that raises a node's count is its eccentricity. A sketch of 2^SKETCH cells holds up to
@@ -21,6 +23,9 @@ from graphloom.session import discard, materialize
 
 #: Landmarks of the first batch, and how much larger each next one is.
 FIRST, GROWTH = 16, 16
+#: The share of the nodes at hand that a round takes out at least (with fewer the rest is the core); what share of sinks or sources are many; and
+#: how many times the mean degree a hub has.
+TAKEN, MANY, HUB = 1 / 16, 1 / 4, 4
 SKETCH = 17
 
 
@@ -78,6 +83,65 @@ def two_hop_labels(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     return out, into
 
 
+def _round(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """One round of taking nodes out of (src, dst): (what is left with the edges past the nodes, the edges with marks ``s`` and ``d`` of the
+    ends that went, the nodes that went, their share). No two that go are neighbours: all sinks or all sources if they are many,
+    or those of lower degree than their neighbours."""
+    ends = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(e.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    degree = materialize(ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")), "degree")
+    n = degree.agg(F.count(F.lit(1)).alias("nodes"), F.avg(F.col("o") + F.col("i")).alias("mean")).first()
+    # ends of the graph are no neighbours of each other; those of hubs wait, or their lists would be long
+    low = F.col("o") + F.col("i") <= HUB * n["mean"]
+    last, first = degree.where(low & (F.col("o") == 0)).select("id"), degree.where(low & (F.col("i") == 0)).select("id")
+    some = max((last, first), key=lambda x: x.count())
+    if some.count() >= MANY * n["nodes"]:
+        gone = materialize(some, "gone")
+    else:
+        free = degree.where("o * i <= o + i").select("id", (F.col("o") + F.col("i")).alias("d"))
+        key = lambda c: F.struct(F.col(f"{c}_d"), F.xxhash64(c), F.col(c))
+        both = e.join(free.toDF("src", "src_d"), "src").join(free.toDF("dst", "dst_d"), "dst")
+        later = both.select(F.when(key("src") < key("dst"), F.col("dst")).otherwise(F.col("src")).alias("id")).distinct()
+        gone = materialize(free.select("id").join(later, "id", "left_anti"), "gone")
+    mark = lambda c: gone.select(F.col("id").alias(c), F.lit(True).alias(c[0]))
+    marked = materialize(e.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left").select("src", "dst", F.coalesce("s", F.lit(False)).alias("s"), F.coalesce("d", F.lit(False)).alias("d")), "marked")
+    past = marked.where("d").select("src", F.col("dst").alias("via")).join(marked.where("s").select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+    left = materialize(marked.where("not s and not d").select("src", "dst").unionAll(past).distinct(), "left")
+    discard(degree)
+    return left, marked, gone, gone.count() / n["nodes"]
+
+
+def label_lists(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, marks) of what each node reaches, and of what reaches it, of an acyclic graph (src, dst): a row for each node."""
+    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "dag")
+    rounds = []
+    while not e.isEmpty():
+        left, marked, gone, share = _round(e)
+        discard(e)
+        e = left
+        rounds.append((marked, gone))
+        if share < TAKEN:
+            break
+    own = nodes.select(F.col("id").alias("node")).distinct()
+    for _, gone in rounds:
+        own = own.join(gone.withColumnRenamed("id", "node"), "node", "left_anti")
+    own = materialize(own, "own")
+    if e.isEmpty():
+        held = [own.select("node", F.array("node").alias("marks"))] * 2
+    else:
+        # nodes without edges are of the core too, and have their own names
+        held = [materialize(x.groupBy("node").agg(F.collect_list("mark").alias("marks")), "lists") for x in two_hop_labels(e, own.withColumnRenamed("node", "id"))]
+    for marked, gone in reversed(rounds):
+        name = gone.select(F.col("id").alias("node"), F.array("id").alias("marks"))
+        new = []
+        for there, (end, node, up) in zip(held, (("s", "src", "dst"), ("d", "dst", "src"))):
+            got = marked.where(end).select(F.col(node).alias("of"), F.col(up).alias("node")).join(there, "node").select(F.col("of").alias("node"), "marks")
+            new.append(materialize(name.unionAll(got).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")), "lists"))
+        held = [x.unionAll(y) for x, y in zip(held, new)]
+        discard(marked)
+        discard(gone)
+    return held[0], held[1]
+
+
 class ReachabilityIndex:
     """Labels of a directed graph in the folder ``path``: whether one node reaches another is a join. A node reaches itself."""
 
@@ -86,12 +150,19 @@ class ReachabilityIndex:
 
     @staticmethod
     def build(edges: DataFrame, nodes: DataFrame, path: str, acyclic: bool = False) -> ReachabilityIndex:
-        """Strong components are found first, unless the graph is said to have no cycles."""
+        """Strong components are found first, unless the graph is said to have no cycles. Nodes are numbered, so that edges and labels are of numbers."""
         spark, path = edges.sparkSession, path.rstrip("/")
-        of = nodes.select("id", F.col("id").alias("component")) if acyclic else iterate.strong_components(edges, nodes)
-        of = materialize(of, "components")
-        e = edges.join(of.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        out, into = two_hop_labels(e, of.select(F.col("component").alias("id")).distinct())
+        names = materialize(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("component")), "names")
+        number = lambda c: names.select(F.col("id").alias(c), F.col("component").alias(f"{c}_n"))
+        e = edges.select("src", "dst").where("src <> dst").join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"))
+        e, of, every = materialize(e, "numbers"), names, names.select(F.col("component").alias("id"))
+        cycles = None if acyclic else iterate.trimmed(e)
+        if cycles is not None and not cycles.isEmpty():
+            found = materialize(iterate.strong_components(cycles, every).select("id", F.col("component").alias("to")), "components")
+            of = names.join(found.withColumnRenamed("id", "component"), "component").select("id", F.col("to").alias("component"))
+            e = e.join(found.toDF("src", "a"), "src").join(found.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            every = found.select(F.col("to").alias("id")).distinct()
+        out, into = label_lists(e, every)
         for name, d, by in (("components", of, "id"), ("out", out, "node"), ("into", into, "node")):
             d.repartitionByRange(F.col(by)).sortWithinPartitions(by).write.mode("overwrite").parquet(f"{path}/{name}")
         return ReachabilityIndex(spark, path)
@@ -101,17 +172,16 @@ class ReachabilityIndex:
 
     def labels(self) -> DataFrame:
         """(kind, n): how many entries both lists have."""
-        return self._table("out").select(F.lit("out").alias("kind")).unionAll(self._table("into").select(F.lit("into").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+        n = lambda kind: self._table(kind).select(F.lit(kind).alias("kind"), F.size("marks").alias("n"))
+        return n("out").unionAll(n("into")).groupBy("kind").agg(F.sum("n").alias("n"))
 
     def reaches(self, questions: DataFrame) -> DataFrame:
         """(src, dst, reaches) of distinct questions (src, dst); nodes that the graph does not have reach nothing, not even themselves."""
         of = self._table("components")
         q = questions.select("src", "dst").distinct()
-        named = q.join(of.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
-        asked = named.select("a", "b").distinct()
-        told = _answered(asked, self._table("out"), self._table("into")).withColumn("told", F.lit(True))
-        yes = named.join(told, ["a", "b"]).select("src", "dst", "told")
-        return q.join(yes, ["src", "dst"], "left").select("src", "dst", F.coalesce("told", F.lit(False)).alias("reaches"))
+        named = q.join(of.select(F.col("id").alias("src"), F.col("component").alias("a")), "src", "left").join(of.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst", "left")
+        told = named.join(self._table("out").toDF("a", "a_marks"), "a", "left").join(self._table("into").toDF("b", "b_marks"), "b", "left")
+        return told.select("src", "dst", F.coalesce(F.arrays_overlap("a_marks", "b_marks"), F.lit(False)).alias("reaches"))
 
 
 def eccentricities(edges: DataFrame, nodes: DataFrame, size: int = SKETCH) -> DataFrame:

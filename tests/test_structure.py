@@ -181,3 +181,32 @@ def test_two_sided_paths_and_orders(spark):
     assert sorted(order.values()) == list(range(1, 16)) and all(order[a] < order[b] for a, b, _ in e if a < b)
     with pytest.raises(ArithmeticError):
         iterate.topo_sort(d, spark.range(15))
+
+
+def test_labels_take_nodes_out_in_few_rounds(spark, tmp_path, monkeypatch):
+    """A graph of orders, customers and parts under one root: nearly all nodes go by whole layers, and no landmark is searched from one by one."""
+    searched, rounds, plain, one = [], [], reach.two_hop_labels, reach._round
+    monkeypatch.setattr(reach, "two_hop_labels", lambda *a: searched.append(1) or plain(*a))
+    monkeypatch.setattr(reach, "_round", lambda *a: rounds.append(1) or one(*a))
+    rng = random.Random(5)
+    e = [("r", f"c{c}") for c in range(60)] + [(f"c{c}", f"o{c}-{o}") for c in range(60) for o in range(5)]
+    e += [(f"o{c}-{o}", f"p{rng.randrange(40)}") for c in range(60) for o in range(5) for _ in range(3)]
+    d = spark.createDataFrame(e, "src string, dst string")
+    g = graph.Graph(d)
+    x = reach.ReachabilityIndex.build(g.edges, g.nodes, str(tmp_path / "x"))
+    assert not searched and len(rounds) <= 5
+    names = sorted({v for p in e for v in p})
+    far = hops(e, names)
+    asked = [(a, b) for a in names if a[0] in "rc" for b in names if b[0] in "pr"]
+    assert pairs(x.reaches(spark.createDataFrame(asked, "src string, dst string"))) == sorted((a, b, b in far[a]) for a, b in asked)
+
+
+@pytest.mark.parametrize("seed, m", [(6, 60), (7, 200), (8, 250)])
+def test_labels_of_a_core_against_search(spark, seed, m):
+    """Acyclic graphs too dense to take all nodes out."""
+    rng = random.Random(seed)
+    e = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(m)})
+    far = hops(e, range(30))
+    out, into = (dict(tuple(r) for r in x.collect()) for x in reach.label_lists(spark.createDataFrame(e, "src long, dst long"), spark.range(31)))
+    assert sorted(out) == sorted(into) == list(range(31))
+    assert all(bool({*out[a]} & {*into[b]}) == (b in far[a]) for a in range(30) for b in range(30)) and out[30] == into[30] == [30]

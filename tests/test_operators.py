@@ -605,3 +605,25 @@ def test_hot_keys_are_split(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i), 1.0], i % 3 if i else None) for i in range(20)], "id long, vector array<double>, label int")
     want = {(r["a"], r["b"], r["sim"]) for r in vectors.pairwise(v).collect() if r["a"] and r["a"] % 3 == r["b"] % 3}
     assert {tuple(r) for r in vectors.pairwise(v, block=3, by="label").collect()} == want
+
+
+def test_blocks_are_looked_through_in_single_precision(spark):
+    """Places above bounds; and neighbours that single precision cannot tell apart, copies and zeros come out as in double."""
+    import numpy as np
+
+    from graphloom.operators import vectors as V
+
+    rng = np.random.default_rng(0)
+    for shape in ((16, 24), (5, 7), (1, 8), (3, 0)):
+        s, low = rng.normal(size=shape).astype(np.float32), rng.normal(size=shape[0]).astype(np.float32)
+        assert [list(x) for x in V.at_least(s, low)] == [list(x) for x in np.nonzero(s >= low[:, None])]
+    x = rng.normal(size=(300, 16))
+    x[100:200] = x[0] + rng.normal(size=(100, 16)) * 1e-5
+    x[200:280], x[299] = x[1], 0
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(1)[:, None])
+    sim = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sim, -np.inf)
+    want = sorted((i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), -sim[i]))[:3])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = V.knn_join(d, d, 3, self_join=True, digits=9, block=64)
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == want

@@ -23,6 +23,8 @@ from graphloom.session import discard, materialize
 
 #: Landmarks of the first batch, and how much larger each next one is.
 FIRST, GROWTH = 16, 16
+#: The share of the edges that a round of sketches drops at least; with fewer none is looked for any more.
+SHRINK = 1 / 8
 #: The share of the nodes at hand that a round takes out at least (with fewer the rest is the core); what share of sinks or sources are many; and
 #: how many times the mean degree a hub has.
 TAKEN, MANY, HUB = 1 / 16, 1 / 4, 4
@@ -188,20 +190,37 @@ def eccentricities(edges: DataFrame, nodes: DataFrame, size: int = SKETCH) -> Da
     """(id, eccentricity, reached): the longest hop distance to any node that is reached, and about how many are (itself included).
 
     A round sends along every edge one sketch and unites them where they arrive, in tasks first, so a hub costs a sketch a task; nodes whose
-    neighbours did not change send nothing.
+    neighbours did not change send nothing. The first round makes sketches of the edges themselves. An edge to a node that can get nothing
+    any more goes, and a node without edges is done: neither is read or written in later rounds.
     """
-    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "hops")
-    sketch = nodes.select("id").distinct().groupBy("id").agg(F.hll_sketch_agg("id", F.lit(size)).alias("held"))
-    held = materialize(sketch.select("id", "held", F.lit(1).cast("long").alias("reached"), F.lit(0).alias("eccentricity"), F.lit(True).alias("changed")), "sketch")
-    rounds = 0
-    while True:
+    e = edges.select("src", "dst").where("src <> dst")
+    # sketches take an edge twice as once
+    near = e.select(F.col("src").alias("id"), F.explode(F.array("src", "dst")).alias("near")).groupBy("id").agg(F.hll_sketch_agg("near", F.lit(size)).alias("held"))
+    held = materialize(near.select("id", "held", F.hll_sketch_estimate("held").alias("reached"), F.lit(1).alias("eccentricity"), F.lit(True).alias("changed")), "sketch")
+    result = lambda d: d.select("id", F.col("eccentricity").cast("double").alias("eccentricity"), "reached")
+    done = result(nodes.select("id").distinct().join(held.select("id"), "id", "left_anti").select("id", F.lit(0).alias("eccentricity"), F.lit(1).cast("long").alias("reached")))
+    rounds, n = 1, None
+    while not held.where("changed").isEmpty():
         rounds += 1
+        stay = held
+        if n != 0:
+            # of the edges those to nodes that had edges in the round before
+            fewer = materialize(e.join(held.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "hops")
+            was, n = n, fewer.count()
+            discard(e)
+            e, live = fewer, materialize(fewer.select(F.col("src").alias("id")).distinct(), "live")
+            done = done.unionAll(result(held.join(live, "id", "left_anti")))
+            stay = held.join(live, "id", "left_semi")
+            if not n:
+                return done
+            if was is not None and n > (1 - SHRINK) * was:
+                n = 0
         sent = held.where("changed").select(F.col("id").alias("dst"), "held").join(e, "dst").groupBy(F.col("src").alias("id")).agg(F.hll_union_agg("held").alias("got"))
-        both = held.drop("changed").join(sent, "id", "left").withColumn("new", F.when(F.col("got").isNotNull(), F.hll_union("held", "got")).otherwise(F.col("held")))
+        both = stay.drop("changed").join(sent, "id", "left").withColumn("new", F.when(F.col("got").isNotNull(), F.hll_union("held", "got")).otherwise(F.col("held")))
         more = F.hll_sketch_estimate("new") > F.col("reached")
         old, held = held, materialize(
             both.select("id", F.col("new").alias("held"), F.when(more, F.hll_sketch_estimate("new")).otherwise(F.col("reached")).alias("reached"), F.when(more, F.lit(rounds)).otherwise(F.col("eccentricity")).alias("eccentricity"), more.alias("changed")), "sketch"
         )
-        discard(old)
-        if held.where("changed").isEmpty():
-            return held.select("id", F.col("eccentricity").cast("double").alias("eccentricity"), "reached")
+        if stay is old:
+            discard(old)
+    return done.unionAll(result(held))

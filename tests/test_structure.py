@@ -210,3 +210,20 @@ def test_labels_of_a_core_against_search(spark, seed, m):
     out, into = (dict(tuple(r) for r in x.collect()) for x in reach.label_lists(spark.createDataFrame(e, "src long, dst long"), spark.range(31)))
     assert sorted(out) == sorted(into) == list(range(31))
     assert all(bool({*out[a]} & {*into[b]}) == (b in far[a]) for a in range(30) for b in range(30)) and out[30] == into[30] == [30]
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_eccentricity_rounds_write_what_can_change(spark, monkeypatch, cycle):
+    """Layers, with or without a cycle at the top: sketches of nodes that are done are not written again, and edges that are double count once."""
+    wrote, plain = [], reach.materialize
+    monkeypatch.setattr(reach, "materialize", lambda d, tag="t": (lambda m: wrote.append((tag, m.count())) or m)(plain(d, tag)))
+    e = [("r", f"c{c}") for c in range(10)] + [(f"c{c}", f"o{c}-{o}") for c in range(10) for o in range(5)] + [(f"o{c}-{o}", f"p{(c + o) % 7}") for c in range(10) for o in range(5)]
+    e += e[:20] + [("p0", "p0")] + ([("c0", "r")] if cycle else [])
+    d = spark.createDataFrame(e, "src string, dst string")
+    g = graph.Graph(d)
+    names = sorted({v for p in e for v in p})
+    far = hops(set(e), names)
+    got = {r["id"]: (r["eccentricity"], r["reached"]) for r in reach.eccentricities(g.edges, g.nodes).collect()}
+    assert got == {v: (max(x.values()), len(x)) for v, x in far.items()}
+    sizes = [n for tag, n in wrote if tag == "sketch"]
+    assert sizes[0] == 61 and max(sizes[1:]) == 11

@@ -25,16 +25,18 @@ from graphloom.session import discard, materialize, scratch
 SHARD, LINKS, NEAR = 10_000, 16, 48
 #: Queries that one task searches a shard for at once, and in all.
 SIDE, QUERIES = 256, 20_000
+#: Similarities that are held at once while links are looked for.
+STRIP = 1 << 20
 
 
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest other rows of each row of unit vectors, nearest first."""
-    out = np.empty((len(x), k), np.int32)
-    for lo in range(0, len(x), 1024):
-        s = x[lo : lo + 1024] @ x.T
+    """The k nearest other rows of each row of unit vectors, nearest first; of so many rows at once that ``STRIP`` similarities are held."""
+    out, step = np.empty((len(x), k), np.int32), max(1, STRIP // max(1, len(x)))
+    for lo in range(0, len(x), step):
+        s = x[lo : lo + step] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
         at = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-        out[lo : lo + 1024] = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+        out[lo : lo + step] = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
     return out
 
 

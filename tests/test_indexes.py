@@ -157,3 +157,21 @@ def test_an_exact_join_copies_no_query_to_its_cells(spark, tmp_path, monkeypatch
     got = x.knn_join(v, 3, self_join=True)
     assert seen == [index.FIRST]
     assert pairs(got) == pairs(vectors.knn_join(v, v, 3, self_join=True))
+
+
+def test_links_are_looked_for_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from graphloom.operators import proximity
+
+    x = np.random.default_rng(0).normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = proximity.nearest(x, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert (got == np.argsort(-s, axis=1, kind="stable")[:, :5]).all() and peak < 40_000_000

@@ -5,10 +5,10 @@ What is learned comes from all training texts (those whose key has no remainder
 1. Words are counted by Spark, in tasks first. The counts give the base score.
 2. Every distinct word is encoded once by a public subword vocabulary; the counts of subwords and of pairs of them in words, and of first
    and last subwords, make the model's vocabulary and its bigram tables (``attention.Tables``).
-3. The network is trained in ``ROUNDS`` rounds on windows of the training texts: a task takes one pass of Adam over its windows from the common
-   weights, and Spark adds the changes up, weighed by windows, in whole numbers. Windows come from pieces of ``PIECE`` bytes that the key
-   and the place of the piece draw: one in ``1 / RATE``, whatever the size of the input, and more if that would be
-   under ``FLOOR`` tokens (then up to ``PASSES`` passes). So what is trained on grows with the input and has no cap.
+3. The network is trained in ``ROUNDS`` rounds on windows of all training texts: a task takes one pass of Adam over its windows from the common
+   weights, and Spark adds the changes up, weighed by windows, in whole numbers. Texts are cut at white space into pieces of about ``PIECE`` bytes, and
+   the key and the place of a piece say in which round it is trained on: each subword once, or in up to ``PASSES`` passes
+   if there are fewer than ``FLOOR``.
 4. Texts are scored whole, in overlapping windows, each token once. In the same pass the words that are not among the ``HOT`` commonest
    are listed; their counts come by a join, which thus has no hot words of the training texts.
 
@@ -42,7 +42,7 @@ from graphloom.session import discard, materialize
 HELD, SMOOTH = 10, 0.1
 #: Words whose counts and subwords are sent to every task; rarer ones are joined. Distinct words that a task holds, about, before it passes counts on.
 HOT, COUNTED = 200_000, 400_000
-ROUNDS, PASSES, RATE, FLOOR, PIECE = 8, 4, 1 / 16, 4_000_000, 1024
+ROUNDS, PASSES, FLOOR, PIECE = 8, 4, 4_000_000, 1024
 #: Learning rate of the first round; it falls to a twelfth.
 SPEED = 0.01
 #: Bytes of text that are counted, and looked up, at once; subwords that are scored at once. Longer texts are worked on in parts of these sizes.
@@ -290,33 +290,31 @@ class _Sequence:
         return out
 
 
-def training_windows(texts: DataFrame, corpus, proto: bytes, share: float) -> DataFrame:
-    """(slot, inputs, targets, sizes) of pieces of (key, text) that are drawn; a piece goes to one of ``ROUNDS`` slots."""
+def training_windows(texts: DataFrame, corpus, proto: bytes) -> DataFrame:
+    """(slot, inputs, targets, sizes) of all of (key, text), in pieces cut at white space; a piece goes to one of ``ROUNDS`` slots by its key and place.
+    Every subword and every end is the target of one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(corpus.value, proto)
         end = corpus.value["end"]
         held: dict[int, list] = {}
         drawn: list[tuple] = []
+        before = end
 
         def encode() -> None:
-            """The windows' inputs and targets of the drawn (slot, piece, first, last)."""
+            """The windows' inputs and targets of the drawn (slot, piece, last), which are in the order of their texts."""
+            nonlocal before
             words, size = split(_strings([d[1] for d in drawn]))
             _, ids, n, _, _ = vocabulary.look(words)
             at = np.r_[0, np.cumsum(n)]
             hi = np.cumsum(size)
-            for (slot, _, first, last), a, b in zip(drawn, hi - size, hi):
-                # the words at a cut may not be whole
-                a, b = a + (not first), b - (not last)
-                if a >= b:
-                    continue
+            for (slot, _, last), a, b in zip(drawn, hi - size, hi):
                 t = ids[at[a] : at[b]]
                 t = np.concatenate([t, [end]]) if last else t
-                x = np.concatenate([[end], t[:-1]])
-                if not first:
-                    x, t = x[1:], t[1:]
-                if len(x):
-                    held.setdefault(slot, []).append((x, t))
+                if len(t):
+                    held.setdefault(slot, []).append((np.concatenate([[before], t[:-1]]), t))
+                    # the end of a text is what is before the next one
+                    before = t[-1]
             drawn.clear()
 
         def full(slot: int) -> pa.RecordBatch:
@@ -325,15 +323,11 @@ def training_windows(texts: DataFrame, corpus, proto: bytes, share: float) -> Da
             return pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "inputs": pa.array([x], pa.binary()), "targets": pa.array([y], pa.binary()), "sizes": pa.array([sizes], pa.binary())})
 
         for b in batches:
-            sizes = np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)).tolist()
-            for i, (key, size) in enumerate(zip(b.column("key").to_pylist(), sizes)):
-                key, text = (key or "").encode(), None
-                for k in range(-(-size // PIECE)):
-                    h = zlib.crc32(b"%b:%d" % (key, k))
-                    if (h >> 3) % 65536 >= share * 65536:
-                        continue
-                    text = memoryview(b.column("text")[i].as_buffer()) if text is None else text
-                    drawn.append((h % ROUNDS, bytes(text[k * PIECE : (k + 1) * PIECE]), k == 0, (k + 1) * PIECE >= size))
+            for i, key in enumerate(b.column("key").to_pylist()):
+                text = b.column("text")[i]
+                pieces = parts(bytes(memoryview(text.as_buffer())) if text.is_valid else b"", PIECE)
+                for k, piece in enumerate(pieces):
+                    drawn.append((zlib.crc32(b"%b:%d" % ((key or "").encode(), k)) % ROUNDS, piece, k + 1 == len(pieces)))
                     if len(drawn) >= 1024:
                         encode()
                         for slot in [s for s in held if len(held[s]) >= 256]:
@@ -353,11 +347,10 @@ def fit(train: DataFrame, corpus: Corpus, shared, proto: bytes) -> dict:
     weights = attention.flat(attention.start()).astype(np.float64)
     if not corpus.tokens:
         return attention.shaped(weights)
-    steps = min(PASSES * corpus.subwords, max(FLOOR, RATE * corpus.subwords))
-    passes = max(1, -(-int(steps) // corpus.subwords))
-    drawn = training_windows(train, shared, proto, steps / corpus.subwords / passes)
+    passes = min(PASSES, max(1, -(-FLOOR // corpus.subwords)))
+    drawn = training_windows(train, shared, proto)
     least = spark.sparkContext.defaultParallelism
-    rows = materialize(drawn.repartition(least) if steps < 2 * FLOOR else drawn, "windows")
+    rows = materialize(drawn.repartition(least) if corpus.subwords < 2 * FLOOR else drawn, "windows")
     passes = min(ROUNDS, passes * 2 if passes > 1 else 1)
     for r in range(ROUNDS):
         now, rate = attention.shaped(weights), SPEED * 12.0 ** (-r / (ROUNDS - 1))

@@ -327,3 +327,21 @@ def test_empty_urls_go_around_a_large_filter(spark, monkeypatch):
     got = {(r["page_id"], r["canonical"][:9]): (r["listed"], r["verdict"]) for r in url_filter.filter_urls(pages, listed, []).collect()}
     free = (False, "allow")
     assert got == {(1, ""): free, (2, ""): free, (3, ""): free, (4, "a.org/x"): (True, "block"), (5, "b.org/yyy"): free, (6, ""): free, (6, "a.org/x"): (True, "block")}
+
+
+def test_network_is_trained_on_every_subword(spark):
+    import numpy as np
+
+    from graphloom.llm import language_model as L
+
+    rows = [(str(i), f"a quite plain text {i} of " + "several longer words and others " * (i * 9)) for i in range(40)] + [("x", None), ("y", "")]
+    d = spark.createDataFrame(rows, "key string, text string").repartition(3)
+    with open(L.model_file(), "rb") as f:
+        proto = f.read()
+    corpus = L.Corpus(L.count_words(d).cache(), len(rows), proto)
+    end = int(corpus.tables.number[L.END])
+    sent = {"hot": L._hot(corpus.hot, proto), "below": corpus.below, "share": corpus.share, "number": corpus.tables.number[corpus.own], "end": end, "tables": corpus.tables}
+    got = L.training_windows(d, spark.sparkContext.broadcast(sent), proto).collect()
+    x, y = (np.concatenate([np.frombuffer(r[c], np.int16) for r in got]) for c in ("inputs", "targets"))
+    assert len(x) == len(y) == corpus.subwords and (y == end).sum() == (x == end).sum() == len(rows)
+    assert sum(int(np.frombuffer(r["sizes"], np.int32).sum()) for r in got) == len(y) and len({r["slot"] for r in got}) == L.ROUNDS

@@ -105,16 +105,27 @@ def windows(inputs: np.ndarray, targets: np.ndarray, sizes: np.ndarray) -> tuple
     return np.concatenate([ahead, x], axis=1), y, before
 
 
+_ONES = np.ones(2 * STEP, np.float32)
+
+
 def _add_rows(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Rows summed by number (size, columns)."""
-    order = np.argsort(at, kind="stable")
-    begin = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     out = np.zeros((size, rows.shape[1]), np.float32)
-    out[at[order][begin]] = np.add.reduceat(rows[order], begin, axis=0)
+    out[at[begin]] = np.add.reduceat(rows[order], begin, axis=0)
     return out
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
+    """Of rows of 2 STEP values. The largest value of a row is taken off only if some row needs it."""
+    if s.max(initial=0) < 60:
+        out = np.exp(s)
+        sums = out.reshape(-1, 2 * STEP) @ _ONES
+        if sums.min(initial=1) > 1e-25:
+            out /= sums.reshape(*s.shape[:-1], 1)
+            return out
     s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(-1, keepdims=True)
@@ -126,17 +137,29 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     n = len(x)
     have = y >= 0
     xi, yi = np.maximum(x, 0), np.maximum(y, 0)
+    # products of all windows are made in one, as far as they share a matrix
     ex = w["e"][xi]
-    k, v = ex @ w["k"], ex @ w["v"]
-    q = ex[:, STEP:] @ w["q"]
-    hide = _AHEAD[None] | (x < 0)[:, None, :]
+    both, own = ex.reshape(-1, DIM), ex[:, STEP:].reshape(-1, DIM)
+    k, v = (both @ w["k"]).reshape(n, -1, DIM), (both @ w["v"]).reshape(n, -1, DIM)
+    q = (own @ w["q"]).reshape(n, STEP, DIM)
     scale = np.float32(DIM**-0.5)
-    s = (q @ k.transpose(0, 2, 1)) * scale + w["near"][_BACK]
-    s[hide] = -1e9
+    s = q @ k.transpose(0, 2, 1)
+    s *= scale
+    s += np.where(_AHEAD, np.float32(-1e9), w["near"][_BACK])
+    gone = x < 0
+    rows = np.flatnonzero(gone.any(1))
+    if len(rows):
+        s[rows] = np.where(gone[rows][:, None, :], np.float32(-1e9), s[rows])
     a = _softmax(s)
-    prior = np.where((x[:, STEP - 1 : -1] >= 0)[:, :, None], w["p"][xi[:, STEP - 1 : -1]], 0)
-    h = (ex[:, STEP:] + prior + a @ v).reshape(-1, DIM)
-    r = np.maximum(0, h @ w["w1"] + w["b1"])
+    ahead = x[:, STEP - 1 : -1].ravel()
+    prior = w["p"][np.maximum(ahead, 0)]
+    prior[ahead < 0] = 0
+    h = (a @ v).reshape(-1, DIM)
+    h += own
+    h += prior
+    r = h @ w["w1"]
+    r += w["b1"]
+    np.maximum(r, 0, out=r)
     g = h + r @ w["w2"]
     # positions in the order of their target's class: the members of a class share a matrix
     by = np.argsort((yi.ravel() // CLASS).astype(np.int16), kind="stable")
@@ -144,7 +167,9 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     cls, member, row = yf // CLASS, yf % CLASS, np.arange(len(yf))
     ends = np.searchsorted(cls, np.arange(CLASS + 1)).tolist()
     groups = [(c, slice(ends[c], ends[c + 1])) for c in range(CLASS) if ends[c] < ends[c + 1]]
-    p1 = _softmax(g @ w["u1"] + t.of_class[before])
+    p1 = g @ w["u1"]
+    p1 += t.of_class[before]
+    p1 = _softmax(p1)
     p2 = t.of_member[before * CLASS + cls].astype(g.dtype, copy=False)
     for c, at in groups:
         p2[at] += g[at] @ w["u2"][c]
@@ -164,44 +189,51 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     back[by] = dg
     dg = back
     d["w2"] = r.T @ dg
-    dr = (dg @ w["w2"].T) * (r > 0)
+    dr = dg @ w["w2"].T
+    dr *= r > 0
     d["w1"], d["b1"] = h.T @ dr, dr.sum(0)
-    dh = (dg + dr @ w["w1"].T).reshape(n, STEP, DIM)
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    dh = dg + dr @ w["w1"].T
+    by_window = dh.reshape(n, STEP, DIM)
+    ds = by_window @ v.transpose(0, 2, 1)
+    dv = (a.transpose(0, 2, 1) @ by_window).reshape(-1, DIM)
+    ds *= a
+    ds -= a * (ds.reshape(-1, 2 * STEP) @ _ONES).reshape(n, STEP, 1)
     d["near"] = np.bincount(_BACK.ravel(), ds.sum(0).ravel(), minlength=2 * STEP).astype(np.float32)
-    dq, dk = (ds @ k) * scale, (ds.transpose(0, 2, 1) @ q) * scale
-    both = ex.reshape(-1, DIM)
-    d["q"] = ex[:, STEP:].reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-    d["k"], d["v"] = both.T @ dk.reshape(-1, DIM), both.T @ dv.reshape(-1, DIM)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, STEP:] += dh + dq @ w["q"].T
-    d["e"] = _add_rows(np.where(x >= 0, x, VOCAB).ravel(), dx.reshape(-1, DIM), VOCAB + 1)[:VOCAB]
-    ahead = x[:, STEP - 1 : -1]
-    d["p"] = _add_rows(np.where(ahead >= 0, ahead, VOCAB).ravel(), dh.reshape(-1, DIM), VOCAB + 1)[:VOCAB]
+    ds *= scale
+    dq, dk = (ds @ k).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    d["q"] = own.T @ dq
+    d["k"], d["v"] = both.T @ dk, both.T @ dv
+    dx = dk @ w["k"].T
+    dx += dv @ w["v"].T
+    dx.reshape(n, 2 * STEP, DIM)[:, STEP:] += (dh + dq @ w["q"].T).reshape(n, STEP, DIM)
+    d["e"] = _add_rows(np.where(x >= 0, x, VOCAB).ravel(), dx, VOCAB + 1)[:VOCAB]
+    d["p"] = _add_rows(np.where(ahead >= 0, ahead, VOCAB), dh, VOCAB + 1)[:VOCAB]
     return d, loss
 
 
 def train(w: dict, t: Tables, x: np.ndarray, y: np.ndarray, rate: float, batch: int = 64, seed: int = 0) -> tuple[dict, float, int]:
     """One pass of Adam over windows in a seeded order: (weights, sum of losses, scored tokens)."""
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    # the weights are parts of one row of numbers, which a step changes at once
+    row, names, w, at = flat(w), sorted(w), dict(w), 0
+    for k in names:
+        w[k] = row[at : at + w[k].size].reshape(w[k].shape)
+        at += w[k].size
+    m, s = np.zeros_like(row), np.zeros_like(row)
     order, loss = np.random.default_rng(seed).permutation(len(x)), 0.0
     for i, lo in enumerate(range(0, len(x), batch)):
         at = order[lo : lo + batch]
         d, one = gradients(w, t, x[at], y[at])
         loss += one
-        for k, grad in d.items():
-            m[k] += np.float32(0.1) * (grad - m[k])
-            s[k] += np.float32(0.01) * (grad * grad - s[k])
-            w[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / np.float32(1 - 0.99 ** (i + 1))) + np.float32(1e-6))
+        grad = np.concatenate([d[k].ravel() for k in names])
+        m += np.float32(0.1) * (grad - m)
+        s += np.float32(0.01) * (grad * grad - s)
+        step = m / np.float32(1 - 0.9 ** (i + 1))
+        step *= np.float32(rate)
+        step /= np.sqrt(s / np.float32(1 - 0.99 ** (i + 1))) + np.float32(1e-6)
+        row -= step
     return w, loss, int((y >= 0).sum())
 
 
-_ONES = np.ones(2 * STEP, np.float32)
-
-
 def _log_sums(z: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of exponentials by row. The largest value of a row is taken off only if some row needs it."""
     if z.max(initial=0) < 60:

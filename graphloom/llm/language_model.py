@@ -47,6 +47,8 @@ ROUNDS, PASSES, FLOOR, PIECE = 8, 4, 4_000_000, 1024
 SPEED = 0.01
 #: Bytes of text that are counted, and looked up, at once; subwords that are scored at once. Longer texts are worked on in parts of these sizes.
 SLAB, SCORED, CHUNK = 16_000_000, 4_000_000, 120_000
+#: Subwords of a row of windows, about.
+ROW = 4096
 LONG_WORD = 1000
 _FINE = 1 << 20
 
@@ -318,9 +320,14 @@ def training_windows(texts: DataFrame, corpus, proto: bytes) -> DataFrame:
             drawn.clear()
 
         def full(slot: int) -> pa.RecordBatch:
-            x, y = (np.concatenate([s[i] for s in held[slot]]).astype(np.int16).tobytes() for i in (0, 1))
-            sizes = np.array([len(s[0]) for s in held.pop(slot)], np.int32).tobytes()
-            return pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "inputs": pa.array([x], pa.binary()), "targets": pa.array([y], pa.binary()), "sizes": pa.array([sizes], pa.binary())})
+            """A row for about ``ROW`` subwords: the writer looks at its memory every hundred rows only, and packs what is large in buffers outside the heap."""
+            own = held.pop(slot)
+            size = np.array([len(s[0]) for s in own], np.int32)
+            row = (np.cumsum(size, dtype=np.int64) - size) // ROW
+            cuts = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(own)]
+            x, y = ([np.concatenate([s[i] for s in own[lo:hi]]).astype(np.int16).tobytes() for lo, hi in zip(cuts, cuts[1:])] for i in (0, 1))
+            sizes = [size[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_pydict({"slot": pa.array([slot] * len(x), pa.int32()), "inputs": pa.array(x, pa.binary()), "targets": pa.array(y, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
         for b in batches:
             for i, key in enumerate(b.column("key").to_pylist()):

@@ -345,3 +345,25 @@ def test_network_is_trained_on_every_subword(spark):
     x, y = (np.concatenate([np.frombuffer(r[c], np.int16) for r in got]) for c in ("inputs", "targets"))
     assert len(x) == len(y) == corpus.subwords and (y == end).sum() == (x == end).sum() == len(rows)
     assert sum(int(np.frombuffer(r["sizes"], np.int32).sum()) for r in got) == len(y) and len({r["slot"] for r in got}) == L.ROUNDS
+
+
+def test_rows_of_windows_are_small(spark):
+    """A row of all pieces that a task holds would be hundreds of kilobytes, and the writer holds a hundred of them in buffers."""
+    L = language_model
+    rows = [(str(i), f"text {i} of " + "several longer words and others " * 3000) for i in range(12)]
+    d = spark.createDataFrame(rows, "key string, text string").coalesce(1)
+    with open(L.model_file(), "rb") as f:
+        proto = f.read()
+    corpus = L.Corpus(L.count_words(d).cache(), len(rows), proto)
+    sent = {"hot": L._hot(corpus.hot, proto), "below": corpus.below, "share": corpus.share, "number": corpus.tables.number[corpus.own], "end": int(corpus.tables.number[L.END]), "tables": corpus.tables}
+    got = L.training_windows(d, spark.sparkContext.broadcast(sent), proto).collect()
+    sizes = [np.frombuffer(r["sizes"], np.int32) for r in got]
+    assert sum(int(s.sum()) for s in sizes) == corpus.subwords
+    assert all(s.sum() < L.ROW + s[-1] for s in sizes) and max(len(r["inputs"]) for r in got) < 4 * L.ROW
+
+
+def test_softmax_of_low_and_high_rows():
+    s = np.array([[0.0] * 32, [-200.0] * 32, [300.0] + [0.0] * 31, [-1e9] * 31 + [-90.0]], np.float32)
+    for part in (s, s[:1], s[[0, 1]], s[[0, 3]]):
+        want = np.exp(part.astype(np.float64) - part.max(1, keepdims=True))
+        assert np.allclose(attention._softmax(part.copy()), want / want.sum(1, keepdims=True), atol=1e-6)

@@ -627,3 +627,24 @@ def test_blocks_are_looked_through_in_single_precision(spark):
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
     got = V.knn_join(d, d, 3, self_join=True, digits=9, block=64)
     assert sorted((r["src"], r["dst"]) for r in got.collect()) == want
+
+
+def test_few_of_many_near_places_are_compared_again():
+    """Of places above a weak bound those that can be among a row's k best are left, copies at the k-th best included."""
+    import numpy as np
+
+    from graphloom.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    s = rng.normal(size=(40, 500)).astype(np.float32)
+    s[3], s[4, 100:300], s[5, 2:] = 0.5, 4.0, -np.inf
+    low = np.full(40, -1.0, np.float32)
+    low[6] = 9
+    rows, cols = V.at_least(s, low)
+    got = set(zip(*(x.tolist() for x in V.near_best(s, rows, cols, 3, 1e-3))))
+    want = set()
+    for i in range(40):
+        own = cols[rows == i]
+        bar = np.sort(s[i, own])[-3] - 1e-3 if len(own) >= 3 else -np.inf
+        want |= {(i, int(j)) for j in own if s[i, j] >= bar}
+    assert got == want and len(got) < len(rows) // 4 and sum(i == 3 for i, _ in got) == 500

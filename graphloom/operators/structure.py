@@ -207,6 +207,8 @@ def maximal_cliques(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     links = wedge.join(e, ["a", "b"]).select("u", "a", "b")
     # a node's later neighbours stand by themselves (a = b) and with their links
     rows = o.select("u", F.col("v").alias("a"), F.col("v").alias("b")).unionAll(links)
+    # by a number, as Spark would take these few bytes together for one task
+    rows = rows.repartition(edges.sparkSession.sparkContext.defaultParallelism, "u")
 
     def grow(key: tuple, t: pa.Table) -> pa.Table:
         a, b = t.column("a").to_pylist(), t.column("b").to_pylist()

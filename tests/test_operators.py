@@ -648,3 +648,13 @@ def test_few_of_many_near_places_are_compared_again():
         bar = np.sort(s[i, own])[-3] - 1e-3 if len(own) >= 3 else -np.inf
         want |= {(i, int(j)) for j in own if s[i, j] >= bar}
     assert got == want and len(got) < len(rows) // 4 and sum(i == 3 for i, _ in got) == 500
+
+
+def test_cliques_are_grown_in_all_tasks(spark, monkeypatch):
+    from graphloom.operators import structure
+
+    held, write = {}, structure.materialize
+    monkeypatch.setattr(structure, "materialize", lambda df, tag="t": held.setdefault(tag, df) is None or write(df, tag))
+    e = spark.range(200).selectExpr("id as src", "(id * 7 + 1) % 200 as dst")
+    structure.maximal_cliques(e, spark.range(200)).collect()
+    assert held["cliques"].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -46,7 +46,7 @@ ROUNDS, PASSES, FLOOR, PIECE = 8, 4, 4_000_000, 1024
 #: Learning rate of the first round; it falls to a twelfth.
 SPEED = 0.01
 #: Bytes of text that are counted, and looked up, at once; subwords that are scored at once. Longer texts are worked on in parts of these sizes.
-SLAB, SCORED, CHUNK = 16_000_000, 4_000_000, 120_000
+SLAB, SCORED, CHUNK = 16_000_000, 1_000_000, 120_000
 #: Subwords of a row of windows, about.
 ROW = 4096
 LONG_WORD = 1000

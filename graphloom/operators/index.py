@@ -154,21 +154,39 @@ class VectorIndex:
     def _visited(self, queries: DataFrame, k: int, probes: int, self_join: bool, digits: int) -> DataFrame:
         """(src, dst, sim, rank), by blocks of queries that lie together and blocks of cells: no query is copied to its cells. A block of cells is read by
         the blocks of queries of which one has a cell there."""
-        placed = materialize(self._placed(queries, probes, digits), "placed")
+        placed = materialize(self._placed(queries, probes), "placed")
         # by the nearest cell, so that queries of a block visit much the same cells
-        near = placed.repartitionByRange(max(1, -(-placed.count() // V.BLOCK)), "own", "id").sortWithinPartitions("own")
+        n = placed.count()
+        near = placed.repartitionByRange(max(1, -(-n // V.block_for(n))), "own", "id").sortWithinPartitions("own")
         exact = not probes
-        asked = V.blocks(near, "worst double, cells array<long>" if exact else "cells array<long>")
+        # cells of the exact way are listed for a block and not for a query: a query's are a share of all cells, so such lists would outgrow the input
+        asked = V.blocks(near, "worst double", V.block_for(n), ("any array<long>", self._reached(digits))) if exact else V.blocks(near, "cells array<long>", V.block_for(n))
         rows = self.rows().where("cell >= 0").select("id", "vector", "cell")
-        rows = rows.repartitionByRange(max(1, -(-rows.count() // V.BLOCK)), "cell", "id").sortWithinPartitions("cell")
-        there = V.blocks(rows, "cell long").withColumn("has", F.array_distinct("cell"))
-        asked = asked.withColumn("any", F.array_distinct(F.flatten("cells")))
-        asked = asked.drop("cells") if exact else asked.withColumnRenamed("cells", "visits")
+        n = rows.count()
+        rows = rows.repartitionByRange(max(1, -(-n // V.block_for(n))), "cell", "id").sortWithinPartitions("cell")
+        there = V.blocks(rows, "cell long", V.block_for(n)).withColumn("has", F.array_distinct("cell"))
+        if not exact:
+            asked = asked.withColumn("any", F.array_distinct(F.flatten("cells"))).withColumnRenamed("cells", "visits")
         return V.best_of_blocks(asked, there, k, self_join, digits, F.arrays_overlap("any", "t_has"))
 
-    def _placed(self, queries: DataFrame, probes: int, digits: int) -> DataFrame:
-        """(id, vector, worst, own, cells): the nearest cell, and those to visit; with ``probes`` of 0 they are those that the column ``worst`` does not rule out."""
-        shared, dims, radius = self.spark.sparkContext.broadcast(self.centers), self.centers.shape[1], self.radius
+    def _reached(self, digits: int) -> Callable[[np.ndarray, pa.Table], list]:
+        """The cells that the k-th best so far (``worst``) of some vector of a block does not rule out."""
+        shared, radius = self.spark.sparkContext.broadcast(self.centers), self.radius
+
+        def reached(x: np.ndarray, rows: pa.Table) -> list:
+            s = rows.column("worst").to_numpy().astype(np.float64)
+            # scores are rounded, so a little more is visited
+            reach = np.sqrt(np.maximum(0, 2 - 2 * (np.where(np.isnan(s), -1.0, s) - 2 * 10.0**-digits))) + 1e-9
+            hit = np.zeros(len(radius), bool)
+            for lo in range(0, len(x), 1024):
+                hit |= (_far(x[lo : lo + 1024], shared.value) - radius[None, :] <= reach[lo : lo + 1024, None]).any(0)
+            return np.flatnonzero(hit).tolist()
+
+        return reached
+
+    def _placed(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(id, vector, worst, own, cells): the nearest cell, and the ``probes`` to visit (none are listed with ``probes`` of 0)."""
+        shared, dims = self.spark.sparkContext.broadcast(self.centers), self.centers.shape[1]
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -178,13 +196,7 @@ class VectorIndex:
                     x = _unit(np.array(part.column("vector").to_pylist(), np.float64).reshape(part.num_rows, -1))
                     if len(x):
                         d = _far(x, shared.value)
-                        if not probes:
-                            s = np.array([-1.0 if v is None else v for v in part.column("worst").to_pylist()])
-                            # scores are rounded, so a little more is visited
-                            reach = np.sqrt(np.maximum(0, 2 - 2 * (s - 2 * 10.0**-digits))) + 1e-9
-                            cells = [np.flatnonzero(row) for row in d - radius[None, :] <= reach[:, None]]
-                        else:
-                            cells = list(np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape))
+                        cells = list(np.argpartition(d, probes - 1, axis=1)[:, :probes] if 0 < probes < d.shape[1] else np.broadcast_to(np.arange(min(probes, d.shape[1])), (len(d), min(probes, d.shape[1]))))
                         yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "worst": part.column("worst"), "own": pa.array(d.argmin(1)), "cells": pa.array(cells, pa.list_(pa.int64()))})
 
         worst = F.col("worst") if not probes else F.lit(None).cast("double")
@@ -192,7 +204,7 @@ class VectorIndex:
 
     def _compared(self, queries: DataFrame, k: int, probes: int, self_join: bool, digits: int) -> DataFrame:
         """The best k of each query and block of the ``probes`` nearest cells."""
-        asked = self._placed(queries, probes, digits)
+        asked = self._placed(queries, probes)
         rows = self.rows().where("cell >= 0").select(F.col("id").cast("long").alias("id"), "vector", "cell")
         sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         # a row for each cell: as many as the codebook, which the driver holds

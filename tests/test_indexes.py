@@ -159,6 +159,22 @@ def test_an_exact_join_copies_no_query_to_its_cells(spark, tmp_path, monkeypatch
     assert pairs(got) == pairs(vectors.knn_join(v, v, 3, self_join=True))
 
 
+def test_an_exact_join_lists_cells_by_block(spark, tmp_path, monkeypatch):
+    """Lists of cells of each query grow faster than the input, and were read again for each partition of the other side."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((600, 6)), 3)
+    x[1], x[2] = 0, x[3]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(9000, None), (9001, [1.0])], "id long, vector array<double>")
+    seen, blocks = [], vectors.blocks
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "blocks", lambda *a, **k: seen.append(blocks(*a, **k)) or seen[-1])
+    got = pairs(index.VectorIndex.build(v, str(tmp_path / "x"), cells=40).knn_join(v, 4, self_join=True))
+    asked = seen[0]
+    assert "cells" not in asked.columns and asked.where("any is null or size(any) > 40 or size(array_distinct(any)) < size(any)").count() == 0
+    assert got == pairs(vectors.knn_join(v.where("id <> 1"), v.where("id <> 1"), 4, self_join=True))
+    assert [vectors.block_for(n) for n in (0, 64 * 16, 64 * 32, 10**9)] == [64, 64, 128, 256]
+
+
 def test_links_are_looked_for_in_bounded_memory():
     import tracemalloc
 

@@ -110,12 +110,9 @@ _ONES = np.ones(2 * STEP, np.float32)
 
 def _add_rows(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Rows summed by number (size, columns)."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    at = at[order]
-    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[at[begin]] = np.add.reduceat(rows[order], begin, axis=0)
-    return out
+    wide = rows.shape[1]
+    place = (at[:, None] * wide + np.arange(wide)).ravel()
+    return np.bincount(place, rows.ravel(), size * wide).astype(np.float32).reshape(size, wide)
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -140,7 +137,9 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     # products of all windows are made in one, as far as they share a matrix
     ex = w["e"][xi]
     both, own = ex.reshape(-1, DIM), ex[:, STEP:].reshape(-1, DIM)
-    k, v = (both @ w["k"]).reshape(n, -1, DIM), (both @ w["v"]).reshape(n, -1, DIM)
+    key_value = np.concatenate([w["k"], w["v"]], axis=1)
+    kv = (both @ key_value).reshape(n, -1, 2 * DIM)
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
     q = (own @ w["q"]).reshape(n, STEP, DIM)
     scale = np.float32(DIM**-0.5)
     s = q @ k.transpose(0, 2, 1)
@@ -171,8 +170,10 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     p1 += t.of_class[before]
     p1 = _softmax(p1)
     p2 = t.of_member[before * CLASS + cls].astype(g.dtype, copy=False)
+    more = np.empty_like(p2)
     for c, at in groups:
-        p2[at] += g[at] @ w["u2"][c]
+        np.matmul(g[at], w["u2"][c], out=more[at])
+    p2 += more
     p2 = _softmax(p2)
     loss = -float((np.log(np.maximum(p1[row, cls], 1e-30)) + np.log(np.maximum(p2[row, member], 1e-30)))[live].sum())
     share = (live / max(1, live.sum())).astype(np.float32)[:, None]
@@ -182,10 +183,12 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     p2 *= share
     d = {"u1": g.T @ p1, "u2": np.zeros_like(w["u2"])}
     dg = p1 @ w["u1"].T
-    for c, at in groups:
-        d["u2"][c] = g[at].T @ p2[at]
-        dg[at] += p2[at] @ w["u2"][c].T
     back = np.empty_like(dg)
+    for c, at in groups:
+        one = p2[at]
+        np.matmul(g[at].T, one, out=d["u2"][c])
+        np.matmul(one, w["u2"][c].T, out=back[at])
+    dg += back
     back[by] = dg
     dg = back
     d["w2"] = r.T @ dg
@@ -195,16 +198,19 @@ def gradients(w: dict, t: Tables, x: np.ndarray, y: np.ndarray) -> tuple[dict, f
     dh = dg + dr @ w["w1"].T
     by_window = dh.reshape(n, STEP, DIM)
     ds = by_window @ v.transpose(0, 2, 1)
-    dv = (a.transpose(0, 2, 1) @ by_window).reshape(-1, DIM)
+    dkv = np.empty_like(kv)
+    np.matmul(a.transpose(0, 2, 1), by_window, out=dkv[:, :, DIM:])
     ds *= a
     ds -= a * (ds.reshape(-1, 2 * STEP) @ _ONES).reshape(n, STEP, 1)
     d["near"] = np.bincount(_BACK.ravel(), ds.sum(0).ravel(), minlength=2 * STEP).astype(np.float32)
     ds *= scale
-    dq, dk = (ds @ k).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    dq = (ds @ k).reshape(-1, DIM)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+    dkv = dkv.reshape(-1, 2 * DIM)
     d["q"] = own.T @ dq
-    d["k"], d["v"] = both.T @ dk, both.T @ dv
-    dx = dk @ w["k"].T
-    dx += dv @ w["v"].T
+    of_both = both.T @ dkv
+    d["k"], d["v"] = of_both[:, :DIM], of_both[:, DIM:]
+    dx = dkv @ key_value.T
     dx.reshape(n, 2 * STEP, DIM)[:, STEP:] += (dh + dq @ w["q"].T).reshape(n, STEP, DIM)
     d["e"] = _add_rows(np.where(x >= 0, x, VOCAB).ravel(), dx, VOCAB + 1)[:VOCAB]
     d["p"] = _add_rows(np.where(ahead >= 0, ahead, VOCAB), dh, VOCAB + 1)[:VOCAB]
@@ -218,18 +224,26 @@ def train(w: dict, t: Tables, x: np.ndarray, y: np.ndarray, rate: float, batch:
     for k in names:
         w[k] = row[at : at + w[k].size].reshape(w[k].shape)
         at += w[k].size
-    m, s = np.zeros_like(row), np.zeros_like(row)
+    m, s, grad, step = (np.zeros_like(row) for _ in range(4))
     order, loss = np.random.default_rng(seed).permutation(len(x)), 0.0
     for i, lo in enumerate(range(0, len(x), batch)):
         at = order[lo : lo + batch]
         d, one = gradients(w, t, x[at], y[at])
         loss += one
-        grad = np.concatenate([d[k].ravel() for k in names])
-        m += np.float32(0.1) * (grad - m)
-        s += np.float32(0.01) * (grad * grad - s)
-        step = m / np.float32(1 - 0.9 ** (i + 1))
-        step *= np.float32(rate)
-        step /= np.sqrt(s / np.float32(1 - 0.99 ** (i + 1))) + np.float32(1e-6)
+        np.concatenate([d[k].ravel() for k in names], out=grad)
+        # m += 0.1 (grad - m), s += 0.01 (grad^2 - s), in place
+        m *= np.float32(0.9)
+        np.multiply(grad, np.float32(0.1), out=step)
+        m += step
+        s *= np.float32(0.99)
+        grad *= step
+        grad *= np.float32(0.1)
+        s += grad
+        np.sqrt(s, out=step)
+        step *= np.float32((1 - 0.99 ** (i + 1)) ** -0.5)
+        step += np.float32(1e-6)
+        np.divide(m, step, out=step)
+        step *= np.float32(rate / (1 - 0.9 ** (i + 1)))
         row -= step
     return w, loss, int((y >= 0).sum())
 

@@ -367,3 +367,25 @@ def test_softmax_of_low_and_high_rows():
     for part in (s, s[:1], s[[0, 1]], s[[0, 3]]):
         want = np.exp(part.astype(np.float64) - part.max(1, keepdims=True))
         assert np.allclose(attention._softmax(part.copy()), want / want.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_rows_are_summed_by_any_number():
+    at, rows = np.array([1, 65537, 1, 40000, 65537]), np.arange(15, dtype=np.float32).reshape(5, 3)
+    want = np.zeros((65538, 3), np.float32)
+    np.add.at(want, at, rows)
+    assert np.array_equal(attention._add_rows(at, rows, 65538), want)
+
+
+def test_a_step_of_training_is_adam():
+    rng = np.random.default_rng(2)
+    t = attention.Tables(rng.random((attention.VOCAB, attention.VOCAB)), rng.random(attention.VOCAB), rng.random(attention.VOCAB))
+    x, y = rng.integers(0, attention.VOCAB, (6, 2 * attention.STEP)), rng.integers(0, attention.VOCAB, (6, attention.STEP))
+    got = attention.flat(attention.train(attention.start(), t, x, y, 0.01, batch=2, seed=3)[0])
+    row = attention.flat(attention.start()).astype(np.float64)
+    m, s, order = np.zeros_like(row), np.zeros_like(row), np.random.default_rng(3).permutation(6)
+    for i in range(3):
+        at = order[2 * i : 2 * i + 2]
+        grad = attention.flat(attention.gradients(attention.shaped(row), t, x[at], y[at])[0]).astype(np.float64)
+        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
+        row -= 0.01 * m / (1 - 0.9 ** (i + 1)) / (np.sqrt(s / (1 - 0.99 ** (i + 1))) + 1e-6)
+    assert np.abs(got - row).max() < 2e-4

@@ -22,6 +22,8 @@ from graphloom.session import discard, materialize
 LEVEL = 16
 #: Stretches that a circle is covered with at most.
 STRETCHES = 48
+#: Counts around centers look at cells so many levels finer than the circle, while there are no more than 2^FINEST columns.
+FINER, FINEST = 2, 10
 #: Circles are covered with this much more, relative and in degrees, as distances are in floating point.
 SLACK, DEGREES = 1e-9, 1e-7
 
@@ -138,7 +140,29 @@ class SpatialIndex:
         Both sides meet by cells of a grid as high as the circle, so a center looks at three rows of cells, and in them at the columns
         that its circle can reach; the distance is taken for rows of these cells only. Cells that many rows share are split by Spark's skew join.
         """
+        c = centers.select("center", F.col("lat").cast("double").alias("c_lat"), F.col("lon").cast("double").alias("c_lon"))
+        return self._near(c, self._at("id"), metres).select("center", "id", "metres")
+
+    def around(self, centers: DataFrame, metres: float) -> DataFrame:
+        """(center, n, farthest): how many rows lie within ``metres`` of each of ``centers`` (center, lat, lon), and how far the farthest is; none: no row.
+
+        Rows at one place are counted together, and centers at one place are looked for once, so the work grows with the places that differ
+        and not with the pairs.
+        """
+        c = centers.select("center", F.col("lat").cast("double").alias("c_lat"), F.col("lon").cast("double").alias("c_lon"))
+        c = materialize(c.groupBy("center", "c_lat", "c_lon").agg(F.count(F.lit(1)).alias("times")), "centers")
+        places = self._at().groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("rows"))
+        found = self._near(c.select("c_lat", "c_lon").distinct(), places, metres, FINER).groupBy("c_lat", "c_lon").agg(F.sum("rows").alias("rows"), F.max("metres").alias("farthest"))
+        return c.join(found, ["c_lat", "c_lon"]).groupBy("center").agg(F.sum(F.col("rows") * F.col("times")).alias("n"), F.max("farthest").alias("farthest"))
+
+    def _at(self, *columns: str) -> DataFrame:
+        return self.rows().where("cell_ >= 0").select(*columns, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+
+    @staticmethod
+    def _near(c: DataFrame, d: DataFrame, metres: float, finer: int = 0) -> DataFrame:
+        """The pairs of ``c`` (c_lat, c_lon, ...) and ``d`` (lat, lon, ...) within ``metres``, with that; by cells as high as the circle or ``finer`` levels below."""
         level = max(1, min(LEVEL, int(math.floor(math.log2(180.0 / (math.degrees(metres / EARTH_RADIUS_M) + DEGREES))))))
+        level = max(level, min(level + finer, FINEST))
         n = 1 << level
         fine = lambda lat, lon: F.coalesce((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.lit(False))
         r = metres / EARTH_RADIUS_M * (1 + SLACK)
@@ -146,16 +170,17 @@ class SpatialIndex:
         reach = math.degrees(r) + DEGREES
         polar = (lat - reach <= -90) | (lat + reach >= 90) | F.lit(r >= math.pi / 2)
         wide = F.when(polar, F.lit(180.0)).otherwise(F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(r, math.pi / 2))) / F.cos(F.radians(lat))))) + DEGREES))
-        c = centers.select("center", F.col("lat").cast("double").alias("c_lat"), F.col("lon").cast("double").alias("c_lon")).where(fine(lat, lon))
+        c = c.where(fine(lat, lon))
         c = c.withColumn("row", F.explode(F.sequence(place(F.greatest(F.lit(-90.0), lat - reach), -90.0, 180.0, level), place(F.least(F.lit(90.0), lat + reach), -90.0, 180.0, level))))
         # columns go around: from the western one on, each once
         first = F.floor((lon - wide + 180) / 360 * n).cast("long")
         span = F.least(F.lit(n - 1).cast("long"), F.floor((lon + wide + 180) / 360 * n).cast("long") - first)
         c = c.withColumn("col", F.explode(F.sequence(first, first + span))).withColumn("col", F.pmod("col", F.lit(n)))
-        d = self.rows().where("cell_ >= 0").select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+        if finer:
+            # few bytes make much work: all tasks take part
+            c = c.repartition(4 * c.sparkSession.sparkContext.defaultParallelism, "row", "col")
         d = d.withColumn("row", place(F.col("lat"), -90.0, 180.0, level)).withColumn("col", place(F.col("lon"), -180.0, 360.0, level))
-        hit = c.join(d, ["row", "col"]).withColumn("metres", haversine(F.col("lat"), F.col("lon"), lat, lon)).where(F.col("metres") <= metres)
-        return hit.select("center", "id", "metres")
+        return c.join(d, ["row", "col"]).withColumn("metres", haversine(F.col("lat"), F.col("lon"), lat, lon)).where(F.col("metres") <= metres)
 
 
 def refresh(index: SpatialIndex, rows: DataFrame) -> SpatialIndex:

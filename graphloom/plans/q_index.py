@@ -115,9 +115,9 @@ def spatial_nearest(s, d):
 
 @query("spatial_join", f"with g as ({_PART}), c as ({_SUPPLIER}) select center, count(*) n, round(max({_metres('c_lat', 'c_lon')}), 3) farthest from g, c where {_metres('c_lat', 'c_lon')} <= 700000 group by 1")
 def spatial_join(s, d):
-    """The parts around each supplier, by a join of grid cells."""
+    """How many parts are around each supplier, by a join of grid cells of the places that differ."""
     c = table(s, d, "supplier").selectExpr("s_suppkey as center", "cast((s_suppkey * 37) % 181 - 90 as double) as lat", "cast((s_suppkey * 53) % 361 - 180 as double) as lon")
-    return _places(s, d).join(c, 700_000).groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("metres"), 3).alias("farthest"))
+    return _places(s, d).around(c, 700_000).select("center", "n", F.round("farthest", 3).alias("farthest"))
 
 
 # reachability and eccentricity --------------------------------------------------------------------

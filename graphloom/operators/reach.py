@@ -26,8 +26,8 @@ FIRST, GROWTH = 16, 16
 #: The share of the edges that a round of sketches drops at least; with fewer none is looked for any more.
 SHRINK = 1 / 8
 #: The share of the nodes at hand that a round takes out at least (with fewer the rest is the core); what share of sinks or sources are many; and
-#: how many times the mean degree a hub has.
-TAKEN, MANY, HUB = 1 / 16, 1 / 4, 4
+#: how many times the mean degree a hub has. Sinks or sources are many as well if they have the share MOST of the edges.
+TAKEN, MANY, HUB, MOST = 1 / 16, 1 / 4, 4, 1 / 2
 SKETCH = 17
 
 
@@ -85,46 +85,60 @@ def two_hop_labels(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     return out, into
 
 
-def _round(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+def _round(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, str]:
     """One round of taking nodes out of (src, dst): (what is left with the edges past the nodes, the edges with marks ``s`` and ``d`` of the
-    ends that went, the nodes that went, their share). No two that go are neighbours: all sinks or all sources if they are many,
-    or those of lower degree than their neighbours."""
+    ends that went, the nodes that went, the larger share of nodes or edges that went with them, which marks there are). No two that go are neighbours: all sinks
+    or all sources if they or their edges are many, or those of lower degree than their neighbours."""
     ends = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(e.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     degree = materialize(ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")), "degree")
-    n = degree.agg(F.count(F.lit(1)).alias("nodes"), F.avg(F.col("o") + F.col("i")).alias("mean")).first()
+    d = F.col("o") + F.col("i")
+    n = degree.agg(F.count(F.lit(1)).alias("nodes"), F.sum("o").alias("edges"), F.avg(d).alias("mean"), F.avg(F.when(F.col("o") == 0, d)).alias("d"), F.avg(F.when(F.col("i") == 0, d)).alias("s")).first()
     # ends of the graph are no neighbours of each other; those of hubs wait, or their lists would be long
-    low = F.col("o") + F.col("i") <= HUB * n["mean"]
-    last, first = degree.where(low & (F.col("o") == 0)).select("id"), degree.where(low & (F.col("i") == 0)).select("id")
-    some = max((last, first), key=lambda x: x.count())
-    if some.count() >= MANY * n["nodes"]:
-        gone = materialize(some, "gone")
-    else:
-        free = degree.where("o * i <= o + i").select("id", (F.col("o") + F.col("i")).alias("d"))
-        key = lambda c: F.struct(F.col(f"{c}_d"), F.xxhash64(c), F.col(c))
-        both = e.join(free.toDF("src", "src_d"), "src").join(free.toDF("dst", "dst_d"), "dst")
-        later = both.select(F.when(key("src") < key("dst"), F.col("dst")).otherwise(F.col("src")).alias("id")).distinct()
-        gone = materialize(free.select("id").join(later, "id", "left_anti"), "gone")
+    some = {}
+    for mark, none in (("d", "o"), ("s", "i")):
+        x = degree.where((F.col(none) == 0) & (d <= HUB * max(n["mean"], n[mark] or 0)))
+        some[mark] = (x.select("id"), *x.agg(F.count(F.lit(1)), F.coalesce(F.sum(d), F.lit(0))).first())
+    mark, (ending, count, taken) = max(some.items(), key=lambda x: max(x[1][1] / n["nodes"], x[1][2] / n["edges"]))
+    if count >= MANY * n["nodes"] or taken >= MOST * n["edges"]:
+        gone = materialize(ending, "gone")
+        # no edge leads past a sink or a source
+        end = {"d": "dst", "s": "src"}[mark]
+        there = e.join(gone.select(F.col("id").alias(end), F.lit(True).alias("gone")), end, "left").select("src", "dst", F.col("gone").isNotNull().alias(mark), F.lit(False).alias({"d": "s", "s": "d"}[mark]))
+        marked = materialize(there, "marked")
+        discard(degree)
+        return marked.where("not s and not d").select("src", "dst"), marked, gone, max(count / n["nodes"], taken / n["edges"]), mark
+    free = degree.where("o * i <= o + i").select("id", d.alias("d"))
+    key = lambda c: F.struct(F.col(f"{c}_d"), F.xxhash64(c), F.col(c))
+    both = e.join(free.toDF("src", "src_d"), "src").join(free.toDF("dst", "dst_d"), "dst")
+    later = both.select(F.when(key("src") < key("dst"), F.col("dst")).otherwise(F.col("src")).alias("id")).distinct()
+    gone = materialize(free.select("id").join(later, "id", "left_anti"), "gone")
     mark = lambda c: gone.select(F.col("id").alias(c), F.lit(True).alias(c[0]))
     marked = materialize(e.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left").select("src", "dst", F.coalesce("s", F.lit(False)).alias("s"), F.coalesce("d", F.lit(False)).alias("d")), "marked")
     past = marked.where("d").select("src", F.col("dst").alias("via")).join(marked.where("s").select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
     left = materialize(marked.where("not s and not d").select("src", "dst").unionAll(past).distinct(), "left")
     discard(degree)
-    return left, marked, gone, gone.count() / n["nodes"]
+    return left, marked, gone, gone.count() / n["nodes"], "sd"
 
 
-def label_lists(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, marks) of what each node reaches, and of what reaches it, of an acyclic graph (src, dst): a row for each node."""
-    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "dag")
+def label_lists(edges: DataFrame, nodes: DataFrame, acyclic: bool = True) -> tuple[DataFrame, DataFrame] | None:
+    """(node, marks) of what each node reaches, and of what reaches it, of a graph (src, dst; written, as rounds read it) without cycles: a row for each node. None if it
+    has a cycle, which is looked for unless the graph is said to have none: edges past the nodes make a loop of it, or it is in the core."""
+    # an edge that comes twice does no harm, so all edges are not shuffled for that
+    e = edges.select("src", "dst").where("src <> dst")
     rounds = []
     while not e.isEmpty():
-        left, marked, gone, share = _round(e)
+        left, marked, gone, share, marks = _round(e)
         discard(e)
         e = left
-        rounds.append((marked, gone))
+        rounds.append((marked, gone, marks))
+        if not acyclic and marks == "sd" and not e.where("src = dst").isEmpty():
+            return None
         if share < TAKEN:
             break
+    if not acyclic and not e.isEmpty() and iterate.has_cycle(e):
+        return None
     own = nodes.select(F.col("id").alias("node")).distinct()
-    for _, gone in rounds:
+    for _, gone, _ in rounds:
         own = own.join(gone.withColumnRenamed("id", "node"), "node", "left_anti")
     own = materialize(own, "own")
     if e.isEmpty():
@@ -132,15 +146,19 @@ def label_lists(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     else:
         # nodes without edges are of the core too, and have their own names
         held = [materialize(x.groupBy("node").agg(F.collect_list("mark").alias("marks")), "lists") for x in two_hop_labels(e, own.withColumnRenamed("node", "id"))]
-    for marked, gone in reversed(rounds):
+    for marked, gone, marks in reversed(rounds):
         name = gone.select(F.col("id").alias("node"), F.array("id").alias("marks"))
         new = []
         for there, (end, node, up) in zip(held, (("s", "src", "dst"), ("d", "dst", "src"))):
+            if end not in marks:
+                new.append(materialize(name, "lists"))
+                continue
             got = marked.where(end).select(F.col(node).alias("of"), F.col(up).alias("node")).join(there, "node").select(F.col("of").alias("node"), "marks")
             new.append(materialize(name.unionAll(got).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")), "lists"))
         held = [x.unionAll(y) for x, y in zip(held, new)]
-        discard(marked)
         discard(gone)
+    for marked, _, _ in rounds:
+        discard(marked)
     return held[0], held[1]
 
 
@@ -151,21 +169,37 @@ class ReachabilityIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     @staticmethod
-    def build(edges: DataFrame, nodes: DataFrame, path: str, acyclic: bool = False) -> ReachabilityIndex:
-        """Strong components are found first, unless the graph is said to have no cycles. Nodes are numbered, so that edges and labels are of numbers."""
+    def build(edges: DataFrame, nodes: DataFrame | None, path: str, acyclic: bool = False) -> ReachabilityIndex:
+        """Strong components are found where there is a cycle; it is not looked for if the graph is said to have none. ``nodes`` None: the ends of the
+        edges. Nodes are numbered, so that edges and labels are of numbers: by their hash, which needs no join, if no two nodes share one.
+        Without cycles lists are stored by the nodes' own ids."""
         spark, path = edges.sparkSession, path.rstrip("/")
-        names = materialize(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("component")), "names")
-        number = lambda c: names.select(F.col("id").alias(c), F.col("component").alias(f"{c}_n"))
-        e = edges.select("src", "dst").where("src <> dst").join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"))
-        e, of, every = materialize(e, "numbers"), names, names.select(F.col("component").alias("id"))
-        cycles = None if acyclic else iterate.trimmed(e)
-        if cycles is not None and not cycles.isEmpty():
-            found = materialize(iterate.strong_components(cycles, every).select("id", F.col("component").alias("to")), "components")
+        names = None
+        if nodes is None:
+            edges = materialize(edges.select("src", "dst", F.xxhash64("src").alias("src_n"), F.xxhash64("dst").alias("dst_n")), "edges")
+            names = materialize(edges.select(F.col("src").alias("id"), F.col("src_n").alias("component")).unionAll(edges.select("dst", "dst_n")).where("id is not null").distinct(), "names")
+            nodes = names
+            if names.groupBy("component").count().where("count > 1").isEmpty():
+                e = edges.where("src is not null and dst is not null and src_n <> dst_n").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"))
+            else:
+                names = None
+        if names is None:
+            names = materialize(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("component")), "names")
+            number = lambda c: names.select(F.col("id").alias(c), F.col("component").alias(f"{c}_n"))
+            e = edges.select("src", "dst").where("src <> dst").join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"))
+            e = materialize(e, "numbers")
+        every = names.select(F.col("component").alias("id"))
+        lists = label_lists(e, every, acyclic)
+        if lists is not None:
+            tables = [(name, names.join(d, F.col("component") == F.col("node")).select("id", "marks"), "id") for name, d in zip(("out", "into"), lists)]
+        else:
+            found = materialize(iterate.strong_components(iterate.trimmed(e), every).select("id", F.col("component").alias("to")), "components")
             of = names.join(found.withColumnRenamed("id", "component"), "component").select("id", F.col("to").alias("component"))
             e = e.join(found.toDF("src", "a"), "src").join(found.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-            every = found.select(F.col("to").alias("id")).distinct()
-        out, into = label_lists(e, every)
-        for name, d, by in (("components", of, "id"), ("out", out, "node"), ("into", into, "node")):
+            e = materialize(e, "numbers")
+            out, into = label_lists(e, found.select(F.col("to").alias("id")).distinct())
+            tables = [("components", of, "id"), ("out", out, "node"), ("into", into, "node")]
+        for name, d, by in tables:
             d.repartitionByRange(F.col(by)).sortWithinPartitions(by).write.mode("overwrite").parquet(f"{path}/{name}")
         return ReachabilityIndex(spark, path)
 
@@ -179,10 +213,14 @@ class ReachabilityIndex:
 
     def reaches(self, questions: DataFrame) -> DataFrame:
         """(src, dst, reaches) of distinct questions (src, dst); nodes that the graph does not have reach nothing, not even themselves."""
-        of = self._table("components")
         q = questions.select("src", "dst").distinct()
+        out, into = self._table("out"), self._table("into")
+        if "id" in out.columns:
+            told = q.join(out.toDF("src", "a_marks"), "src", "left").join(into.toDF("dst", "b_marks"), "dst", "left")
+            return told.select("src", "dst", F.coalesce(F.arrays_overlap("a_marks", "b_marks"), F.lit(False)).alias("reaches"))
+        of = self._table("components")
         named = q.join(of.select(F.col("id").alias("src"), F.col("component").alias("a")), "src", "left").join(of.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst", "left")
-        told = named.join(self._table("out").toDF("a", "a_marks"), "a", "left").join(self._table("into").toDF("b", "b_marks"), "b", "left")
+        told = named.join(out.toDF("a", "a_marks"), "a", "left").join(into.toDF("b", "b_marks"), "b", "left")
         return told.select("src", "dst", F.coalesce(F.arrays_overlap("a_marks", "b_marks"), F.lit(False)).alias("reaches"))
 
 

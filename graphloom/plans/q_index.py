@@ -133,13 +133,12 @@ reach(a, id) as (select src, src from starts union select a, dst from reach join
 select ask.src, ask.dst, r.id is not null as reaches from ask left join reach r on r.a = ask.src and r.id = ask.dst""")
 def reachability_labels(s, d):
     """Whether customers reach parts, parts suppliers, nations suppliers: a join of stored labels, without a closure."""
-    e = V.supply(s, d).select("src", "dst")
-    g = graph.Graph(materialize(e, "supply"))
-    x = held(s, ("reach", d), "reach", lambda path: reach.ReachabilityIndex.build(g.edges, g.nodes, path))
+    x = held(s, ("reach", d), "reach", lambda path: reach.ReachabilityIndex.build(V.supply(s, d, once=False), None, path))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
     first = table(s, d, "orders").join(table(s, d, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
     sup = table(s, d, "supplier")
-    asked = [first.select(name("c:", "o_custkey"), name("p:", "l_partkey")), first.select(name("c:", F.col("o_custkey") + 1), name("p:", "l_partkey")), table(s, d, "lineitem").select(name("p:", "l_partkey"), name("s:", "l_suppkey")), sup.select(name("s:", "s_suppkey"), name("s:", "s_suppkey"))]
+    first = first.select(F.explode(F.array("o_custkey", F.col("o_custkey") + 1)).alias("c"), "l_partkey")
+    asked = [first.select(name("c:", "c"), name("p:", "l_partkey")), table(s, d, "lineitem").select(name("p:", "l_partkey"), name("s:", "l_suppkey")), sup.select(name("s:", "s_suppkey"), name("s:", "s_suppkey"))]
     # every nation with every supplier: 25 rows a supplier
     asked.append(sup.select(F.explode(F.array(*[F.lit(r[0]) for r in table(s, d, "nation").select(name("n:", "n_nationkey")).collect()])), name("s:", "s_suppkey")))
     q = asked[0]
